@@ -5,23 +5,138 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import line_dedup
+from tessella.llm import chat_format, language_id, license_scan, line_dedup, media, minhash_dedup, packing, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+#: A conversation that every run formats besides the table's, with control strings in its texts.
+ODD_CONVERSATION = ((-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.sql("SELECT " + "explode(array(" + ", ".join(f"named_struct('conv_id', {c}L, 'turn', {t}L, 'role', '{r}', 'text', r'{x}')" for c, t, r, x in ODD_CONVERSATION) + ")) AS x").select("x.*")
+    back = chat_format.read_back(chat_format.windows(turns.unionByName(odd)))
+    flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(flat.cast("binary"), 256).alias("turns_sha256"),
+        F.length("targets").cast("long").alias("loss_chars"),
+        F.sha2(F.col("targets").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.encode(_read(spark, sf_dir, "documents"), with_pcm=False, with_media=False)
+
+
+QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_chat_format": op8_chat_format,
+    "op9_license_scan": op9_license_scan,
+    "op10_media_columns": op10_media_columns,
+}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+def _licenses_sql() -> str:
+    """Dice over multisets of bigrams by joins: the templates as rows of constants."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    grams = license_scan.template_bigrams()
+    rows = ", ".join(f"({quote(n)}, {quote(g)}, {gs.count(g)}, {len(gs)})" for n, gs in grams.items() for g in sorted(set(gs)))
+    return f"""
+WITH template(name, gram, c, size) AS (VALUES {rows}),
+parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+units AS (
+  SELECT doc_id, i AS unit, string_split(trim(regexp_replace(lower(ls[i]), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM parts, unnest(range(1, len(ls) + 1)) AS u(i)
+  UNION ALL
+  SELECT doc_id, 0, string_split(trim(regexp_replace(lower(array_to_string(ls, chr(10))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') FROM parts WHERE len(ls) > 1
+),
+sized AS (SELECT doc_id, unit, w, len(w) - 1 AS a FROM units WHERE len(w) > 1 AND len(w) <= 300),
+grams AS (SELECT doc_id, unit, a, w[i] || ' ' || w[i + 1] AS gram FROM sized, unnest(range(1, len(w))) AS u(i)),
+counted AS (SELECT doc_id, unit, a, gram, count(*) AS c FROM grams GROUP BY ALL),
+scored AS (
+  SELECT doc_id, unit, name, 2.0::DOUBLE * sum(least(g.c, t.c))::DOUBLE / (any_value(a) + any_value(size)) AS dice
+  FROM counted g JOIN template t USING (gram) GROUP BY doc_id, unit, name
+),
+best AS (SELECT doc_id, unit, max(dice) AS dice, min_by(name, (-dice, name)) AS name FROM scored WHERE dice >= {license_scan.THRESHOLD} GROUP BY doc_id, unit),
+per AS (SELECT doc_id, count(*) AS n_matches, max(dice) AS dice, min_by(name, (-dice, name)) AS license, list_sort(list(DISTINCT name)) AS licenses FROM best GROUP BY doc_id)
+SELECT p.doc_id, len(ls) AS n_lines, coalesce(n_matches, 0) AS n_matches, license, dice, coalesce(licenses, []) AS licenses
+FROM parts p LEFT JOIN per USING (doc_id)"""
+
+
+def _chat_sql() -> str:
+    def escaped(column: str, n: int) -> str:
+        for char, letter in chat_format.CONTROLS[:n]:
+            column = f"replace({column}, '{char}', '\\{letter}')"
+        return column
+
+    odd = " UNION ALL ".join(f"SELECT {c}, {t}, '{r}', '{x}'" for c, t, r, x in ODD_CONVERSATION)
+    return f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL {odd}),
+heads AS (SELECT *, '### ' || {escaped("role", 4)} || ': ' AS head, {escaped("text", 3)} AS body FROM turns),
+sized AS (SELECT *, length(head) + length(body) + 8 AS chars, CASE WHEN role = 'system' THEN 0 ELSE ceil((length(head) + length(body) + 8) / 4.0) END AS new FROM heads),
+placed AS (
+  SELECT *, row_number() OVER o AS pos, sum(new) OVER (PARTITION BY conv_id ORDER BY turn, head, body ROWS UNBOUNDED PRECEDING) - new AS before
+  FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn, head, body)
+),
+windowed AS (SELECT *, floor(before / {chat_format.BUDGET}) AS win FROM placed),
+stops AS (SELECT conv_id, win, max(before + new) AS stop, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS after FROM windowed GROUP BY conv_id, win),
+many AS (SELECT conv_id, count(*) AS n FROM stops GROUP BY conv_id),
+copies AS (
+  SELECT w.*, CASE WHEN role = 'system' THEN n WHEN after IS NOT NULL AND stop - before <= {chat_format.HISTORY} THEN 2 ELSE 1 END AS times
+  FROM windowed w JOIN stops USING (conv_id, win) JOIN many USING (conv_id)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars * times)::BIGINT AS formatted_chars
+FROM copies GROUP BY conv_id"""
+
+
 SQL = {
+    "op8_chat_format": _chat_sql(),
     "op3_line_dedup": f"""
 WITH parts AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -37,4 +152,5 @@ WITH parts AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op9_license_scan": _licenses_sql(),
 }
