@@ -193,18 +193,19 @@ def identify(docs: DataFrame, sample: tuple | None = None, doc_col: str = "doc_i
         sample = training_sample(docs, doc_col=doc_col, text_col=text_col, lang_col=lang_col)
     sent = docs.sparkSession.sparkContext.broadcast(sample)  # bounded by languages x SAMPLE_WORDS words
 
+    source = text_col if keep else "__text"
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(sent.value)
         for batch in batches:
-            column = batch.column("__text")
+            column = batch.column(batch.schema.names.index(source))
+            kept = [n for n in batch.schema.names if n != "__text"]
             for i, j, _, _ in tb.chunks(column):
                 part = batch.slice(i, j - i)
                 names, scores = predict([t or "" for t in column.slice(i, j - i).to_pylist()], model)
-                cols = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "__text"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(scores)], [*(n for n in part.schema.names if n != "__text"), "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.names.index(n)) for n in kept), pa.array(names, pa.string()), pa.array(scores)], [*kept, "__lang", "__score"])
 
-    kept = [F.col(c) for c in docs.columns] if keep else [F.col(doc_col)]
-    rows = docs.select(*kept, F.col(text_col).alias("__text"))
+    rows = docs if keep else docs.select(F.col(doc_col), F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
     out = rows.mapInArrow(work, f"{schema}, __lang string, __score double")
     held = F.coalesce(F.pmod(F.crc32(F.col(doc_col).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))

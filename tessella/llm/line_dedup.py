@@ -91,11 +91,11 @@ class LineRuns:
         remove(self.spark, self.root)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_col, n_lines, n_dropped, kept (the text left); all lines of a key found in min_docs documents or more go, but for those of the largest doc_id."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, doc_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_col, the columns of keep, n_lines, n_dropped, kept (the text left); all lines of a key found in min_docs documents or more go, but for those of the largest doc_id."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(doc_col), F.col(text_col))
+    docs = docs.select(F.col(doc_col), F.col(text_col), *keep)
     lines = materialize(hashed_lines(docs, min_chars, doc_col, text_col), "line-hashes")
     store = LineRuns(spark, fanout=fanout)
     for k in range(batches):
@@ -107,6 +107,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     store.drop()
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.withColumns({text_col: text, "__t": F.xxhash64(text)}).join(gone, (F.col(doc_col) == F.col("d")) & (F.col("__t") == F.col("t")), "left")
-    parts = joined.select(doc_col, text_col, "gone", _split(F.col(text_col)).alias("lines"))
+    parts = joined.select(doc_col, *keep, text_col, "gone", _split(F.col(text_col)).alias("lines"))
     kept = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    return parts.select(doc_col, F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    return parts.select(doc_col, *keep, F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
