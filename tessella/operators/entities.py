@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.rules import NAME_BOUNDARY
 from tessella.operators.joins import double_index, mentions
@@ -20,12 +21,12 @@ def fold(text: str) -> str:
     return " ".join(flat.replace("—", "-").replace("–", "-").split()).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: fold(t or ""))
 
 
-@F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])))
 def find_folded(text: pd.Series, wanted: pd.Series) -> pd.Series:
     """Where folded names stand in a text: offsets and the text in its own spelling, through a map of folded to own places."""
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLEU_N, CHAR_N, WORD_N, BETA = 4, 6, 2, 2.0
 _TOKEN = ((re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "), (re.compile(r"([^0-9])([\.,])"), r"\1 \2 "), (re.compile(r"([\.,])([^0-9])"), r" \1 \2"), (re.compile(r"([0-9])(-)"), r"\1 \2 "))
@@ -101,13 +102,13 @@ def chrf(stats: list[int] | tuple[int, ...]) -> float:
     return 100 * (1 + BETA**2) * p * r / (BETA**2 * p + r) if p + r else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sentence_chrf(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """M3"""
     return pd.Series([chrf(chrf_statistics(h or "", r or "")) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sentence_bleu(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """M4: with effective order."""
     return pd.Series([bleu(bleu_statistics(h or "", r or ""), True) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
