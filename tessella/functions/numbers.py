@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.regex import W, map_matches
+from tessella.functions.regex import W, let, map_matches
 from tessella.functions.rules import FRACTION_TOLERANCE, FRACTIONS_4
 
 
@@ -16,6 +16,10 @@ def _trimmed(text: Column) -> Column:
 
 def general(x: Column) -> Column:
     """Like %g: six significant digits, no trailing zeros, exponents from 1e6."""
+    return let(x, _general)
+
+
+def _general(x: Column) -> Column:
     size = F.abs(x)
     whole = F.length(F.floor(size).cast("string"))
     fixed = F.coalesce(*(F.when(whole == k, F.format_string(f"%.{6 - k}f", F.round(x, 6 - k))) for k in range(1, 7)))
@@ -43,9 +47,12 @@ def fold_additions(text: Column) -> Column:
 def _near(whole: Column, part: Column, value: Column, table: tuple) -> Column:
     """The whole number with the decimal of the nearest known fraction, if that is near enough; else five decimals."""
     options = F.array(*(F.struct(F.abs(part - F.lit(v)).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, (v, t) in enumerate(table)))
-    best = F.array_min(options)
-    joined = F.when(whole == 0, best["t"]).otherwise(F.concat(whole.cast("string"), F.substr(best["t"], F.lit(2))))
-    return F.when(best["d"] <= FRACTION_TOLERANCE, joined).otherwise(_trimmed(F.format_string("%.5f", value)))
+
+    def spell(best: Column) -> Column:
+        joined = F.when(whole == 0, best["t"]).otherwise(F.concat(whole.cast("string"), F.substr(best["t"], F.lit(2))))
+        return F.when(best["d"] <= FRACTION_TOLERANCE, joined).otherwise(_trimmed(F.format_string("%.5f", value)))
+
+    return let(F.array_min(options), spell)
 
 
 def canonical_decimals(text: Column, table: tuple = FRACTIONS_4, floor_slack: float = 1e-12) -> Column:

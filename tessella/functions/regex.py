@@ -46,14 +46,21 @@ def words_space(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def map_matches(text: Column, pattern: str, change, groups: tuple[int, ...] = (0,)) -> Column:
     """Each match of pattern replaced by change(its groups), in one pass from left to right.
 
     The text between matches comes from a split by the same pattern, so lookarounds see the whole text."""
     rx = F.lit("(?U)" + pattern)
-    between = F.split(text, "(?U)" + pattern, -1)
-    found = [F.regexp_extract_all(text, rx, F.lit(g)) for g in groups]
-    new = F.transform(F.arrays_zip(*(f.alias(f"g{g}") for f, g in zip(found, groups, strict=True))), lambda m: change(*(m[f"g{g}"] for g in groups)))
-    # A split drops nothing with limit -1: there is one part more than there are matches.
-    joined = F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    return F.when(F.size(found[0]) == 0, text).otherwise(F.array_join(joined, ""))
+
+    def replaced(t: Column) -> Column:
+        found = [F.regexp_extract_all(t, rx, F.lit(g)) for g in groups]
+        new = F.transform(F.arrays_zip(*(f.alias(f"g{g}") for f, g in zip(found, groups, strict=True))), lambda m: change(*(m[f"g{g}"] for g in groups)))
+        # A split drops nothing with limit -1: there is one part more than there are matches.
+        return F.array_join(F.zip_with(F.split(t, "(?U)" + pattern, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    return let(text, lambda t: F.when(F.regexp_like(t, rx), replaced(t)).otherwise(t))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import numbers
 from tessella.functions import rules as R
-from tessella.functions.regex import LEFT, RIGHT, W, literals, removed, squeeze, sub, subs, words_ws
+from tessella.functions.regex import LEFT, RIGHT, W, let, literals, removed, squeeze, sub, subs, words_ws
 
 _MARK = "\x00GAP\x00"
 
@@ -358,8 +358,10 @@ def md5_index(seed: Column, n: Column) -> Column:
 
 def marker_counts(text: Column) -> Column:
     """struct(words, x, ellipsis): tokens after stripping brackets and punctuation, and how many of them mark gaps."""
-    tokens = words_ws(nonnull(text))
-    outer = F.transform(tokens, lambda t: F.btrim(t, F.lit(R.OUTER_STRIP)))
+    return let(F.transform(words_ws(nonnull(text)), lambda t: F.btrim(t, F.lit(R.OUTER_STRIP))), _marker_counts)
+
+
+def _marker_counts(outer: Column) -> Column:
     marks = F.transform(outer, lambda t: F.btrim(t, F.lit("*'\"")))
     inner = F.transform(outer, lambda t: F.btrim(t, F.lit(R.INNER_STRIP)))
     pairs = F.filter(F.arrays_zip(marks.alias("m"), inner.alias("t")), lambda p: p["m"] != "")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.functions.regex import let
+
 
 def join_unique(value: str, order: str, sep: str = "\n---------\n") -> Column:
     """A1: distinct non-blank values in order of first sight, joined."""
@@ -85,7 +87,7 @@ def cooccurrence(df: DataFrame, key: str, words: Column) -> DataFrame:
     """Counts of words and of adjacent pairs, over the words left after filtering."""
     base = df.select(F.col(key).alias("key"), words.alias("w"))
     single = base.select("key", F.explode("w").alias("term")).withColumn("kind", F.lit("word"))
-    pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(F.get("w", i), F.lit(" "), x))
+    pairs = let(F.col("w"), lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))
     double = base.filter(F.size("w") > 1).select("key", F.explode(pairs).alias("term")).withColumn("kind", F.lit("bigram"))
     return single.unionByName(double).groupBy("kind", "term").agg(F.count("*").alias("n"), F.countDistinct("key").alias("rows"))
 
@@ -110,11 +112,13 @@ def phrase_summary(df: DataFrame, key: str, tokens: Column, phrase: list[str], w
     """(key, positions, contexts) of the rows that hold the phrase; overlapping occurrences count each."""
     k = len(phrase)
     query = F.array(*map(F.lit, phrase))
-    base = df.select(F.col(key), tokens.alias("_t"))
-    spots = F.when(F.size("_t") >= k, F.filter(F.sequence(F.lit(1), F.size("_t") - (k - 1)), lambda i: F.slice("_t", i, k) == query)).otherwise(F.array().cast("array<int>"))
-    found = base.withColumn("positions", spots).filter(F.size("positions") > 0)
-    context = F.transform("positions", lambda i: F.array_join(F.slice("_t", F.greatest(i - window, F.lit(1)), F.least(i, F.lit(window + 1)) - 1 + k + window), " "))
-    return found.select(key, (F.size("positions")).cast("long").alias("n"), F.transform("positions", lambda i: (i - 1).cast("long")).alias("positions"), context.alias("contexts"))
+
+    def found_in(t: Column) -> Column:
+        spots = F.when(F.size(t) >= k, F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1))), lambda i: F.slice(t, i, k) == query)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda i: F.struct((i - 1).cast("long").alias("pos"), F.array_join(F.slice(t, F.greatest(i - window, F.lit(1)), F.least(i, F.lit(window + 1)) - 1 + k + window), " ").alias("context")))
+
+    found = df.select(F.col(key), let(tokens, found_in).alias("_f")).filter(F.size("_f") > 0)
+    return found.select(key, F.size("_f").cast("long").alias("n"), F.col("_f.pos").alias("positions"), F.col("_f.context").alias("contexts"))
 
 
 def type_sets(df: DataFrame, form: str, kind: str) -> DataFrame:

@@ -80,7 +80,7 @@ def merge_entities(df: DataFrame, order: str, mode: str = "ordered") -> DataFram
             out = merge_ordered(rows)
             return pd.DataFrame([{**e, **{k: sorted(e[k]) for k in ("names", "spellings", "sources")}} for e in out], columns=["display", "names", "spellings", "sources"])
 
-        return df.groupBy(F.lit(1)).applyInPandas(work, _ENTITY)
+        return df.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(work, _ENTITY)
     names = df.select(F.col(order).alias("id"), F.explode("names").alias("n")).withColumn("key", folded("n")).filter("key <> ''").select("id", "key").distinct()
     now = names.groupBy("id").agg(F.min("key").alias("root"))
     while True:  # the least key spreads through shared names

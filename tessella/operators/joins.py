@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.functions.regex import let
+
 SEP = "\x01"
 
 
@@ -44,13 +46,13 @@ def any_mismatch(verdicts: DataFrame, key: str, flag: str = "match") -> DataFram
 def ngrams(tokens: Column, longest: int = 4) -> Column:
     """All runs of 1 to longest tokens as struct(pos from 0, n, key)."""
 
-    def of(n: int) -> Column:
+    def of(tokens: Column, n: int) -> Column:
         count = F.size(tokens) - (n - 1)
         return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.struct((i - 1).alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), SEP).alias("key")))).otherwise(
             F.array().cast("array<struct<pos:int,n:int,key:string>>")
         )
 
-    return F.concat(*(of(n) for n in range(1, longest + 1)))
+    return let(tokens, lambda t: F.concat(*(of(t, n) for n in range(1, longest + 1))))
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, key: str, tokens: Column, phrase_id: str, phrase_tokens: Column) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.regex import let
+
 BLEU_N, CHAR_N, WORD_N, BETA = 4, 6, 2, 2.0
 _TOKEN = ((re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "), (re.compile(r"([^0-9])([\.,])"), r"\1 \2 "), (re.compile(r"([\.,])([^0-9])"), r" \1 \2"), (re.compile(r"([0-9])(-)"), r"\1 \2 "))
 
@@ -154,20 +156,27 @@ def reward(bleu_score: Column, chrf_score: Column, w: float = 0.5) -> Column:
 
 def rouge2(hyp: Column, ref: Column) -> Column:
     """struct(precision, recall, f1) over bigrams of lower-case words, repeats counted."""
-    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = lambda w: F.array_sort(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))
-    tagged = lambda g: F.transform(g, lambda x, i: F.concat(x, F.lit(" "), (i + 1 - F.array_position(g, x)).cast("string")))
-    a, b = pairs(words(hyp)), pairs(words(ref))
-    both = F.size(F.array_intersect(tagged(a), tagged(b)))
-    p, r = both / F.greatest(F.size(a), F.lit(1)), both / F.greatest(F.size(b), F.lit(1))
-    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+    def tagged(text: Column) -> Column:
+        """Sorted bigrams, each with its number among its equals."""
+        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        pairs = let(words, lambda w: F.array_sort(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))))
+        return let(pairs, lambda g: F.transform(g, lambda x, i: F.concat(x, F.lit(" "), (i + 1 - F.array_position(g, x)).cast("string"))))
+
+    def score(ab: Column) -> Column:
+        p = ab["both"] / F.greatest(ab["a"], F.lit(1))
+        r = ab["both"] / F.greatest(ab["b"], F.lit(1))
+        return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+    sides = let(F.struct(tagged(hyp).alias("a"), tagged(ref).alias("b")), lambda s: F.struct(F.size(s["a"]).alias("a"), F.size(s["b"]).alias("b"), F.size(F.array_intersect(s["a"], s["b"])).alias("both")))
+    return let(sides, score)
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
     """M2: of sets of lower-case tokens, 0 to 100; 100 if both are empty."""
-    sets = [F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda w: w != "")) for x in (a, b)]
-    union = F.size(F.array_union(*sets))
-    return F.when(union == 0, 100.0).otherwise(100.0 * F.size(F.array_intersect(*sets)) / union)
+    one = lambda x: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda w: w != ""))
+    counts = let(F.struct(one(a).alias("a"), one(b).alias("b")), lambda s: F.struct(F.size(F.array_union(s["a"], s["b"])).alias("union"), F.size(F.array_intersect(s["a"], s["b"])).alias("both")))
+    return let(counts, lambda c: F.when(c["union"] == 0, 100.0).otherwise(100.0 * c["both"] / c["union"]))
 
 
 def dedupe_candidates(df: DataFrame, by: str, text: str, pos: str, fold: bool = True, priority: str | None = None) -> DataFrame:

@@ -73,8 +73,8 @@ def _phrases(spark, sf_dir):
 _PHRASE_SQL = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')[1:3] AS p FROM benchmark),
-at AS (SELECT doc_id, i - 1 AS pos, w[i:i + 2] AS g FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
-found AS (SELECT doc_id, pos, item_id FROM at JOIN p ON g = p AND len(p) = 3)
+spots AS (SELECT doc_id, i - 1 AS pos, w[i:i + 2] AS g FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+found AS (SELECT doc_id, pos, item_id FROM spots JOIN p ON g = p AND len(p) = 3)
 """
 
 
