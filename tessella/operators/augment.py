@@ -59,7 +59,7 @@ def swap_items(pairs: DataFrame, lexicon: DataFrame, gloss: Column, key: str = "
     many = F.when(F.endswith("gloss", F.lit("s")), F.col("gloss")).otherwise(F.concat("gloss", F.lit("s")))
     pattern = lambda w: F.concat(F.lit(r"(?iU)\b(\Q"), w, F.lit(r"\E)\b"))
     p = F.when(F.regexp_like(target, pattern(many)), pattern(many)).otherwise(pattern(F.col("gloss")))
-    hit = hit.withColumn("_p", p).withColumn("_at", F.regexp_instr(target, F.col("_p"))).filter("_at > 0").withColumn("_found", F.regexp_extract(target, F.col("_p"), F.lit(1)))
+    hit = hit.withColumn("_p", p).withColumn("_at", F.regexp_instr(target, F.col("_p"))).filter("_at > 0").withColumn("_found", F.get(F.regexp_extract_all(target, F.col("_p"), F.lit(1)), F.lit(0)))
     other = F.filter("pool", lambda c: (c["form"] != F.col("form")) & (c["gloss"] != F.col("gloss")))
     seed = F.concat_ws("|", F.col(key).cast("string"), F.col("_pos").cast("string"), "form", "gloss")
     out = hit.withColumn("_new", _pick(seed, other)).filter("_new is not null").withColumn("_form", F.col("_new.form"))

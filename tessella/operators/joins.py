@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,8 +139,6 @@ def rewrite_greedy(tokens: list[str], index: dict[tuple[str, ...], str], pools:
 
 def alias_names(df: DataFrame, text: str, index: dict[tuple[str, ...], str], pools: dict[str, list[str]], longest: int = 4, most: int = 8) -> DataFrame:
     """J11 over a column: aliased text and the pairs to restore. The index is a dictionary of names and has a dictionary's size."""
-    import pandas as pd
-
     @F.pandas_udf("text string, pairs array<struct<alias:string,name:string>>")
     def work(texts: pd.Series) -> pd.DataFrame:
         done = [rewrite_greedy((t or "").split(), index, pools, longest, most) for t in texts]

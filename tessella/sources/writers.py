@@ -52,4 +52,4 @@ def append(df: DataFrame, path: str) -> None:
 
 def formatted(value: Column, digits: int = 3) -> Column:
     """K8: fixed decimals, blank for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value.cast("double")), F.lit(""))
+    return F.when(value.isNull(), "").otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
