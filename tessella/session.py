@@ -28,8 +28,13 @@ def session(app: str = "tessella", cores: str | int = "*", shuffle_partitions: i
     )
 
 
+#: What a Python worker gets at once, and the JVM holds for it.
+ARROW_BATCH = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Python workers find this package by path, whatever folder the driver was started in."""
+    """Python workers find this package by path, whatever folder the driver was started in, and get small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     env = spark.sparkContext.environment
     env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([ROOT, *filter(None, env.get("PYTHONPATH", "").split(os.pathsep))]))
 
