@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1 << 62, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
