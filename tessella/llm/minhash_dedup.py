@@ -7,8 +7,8 @@ of M slots and a slot keeps its first point: two bags share a slot's point with
 weighted Jaccard similarity. Points come in order of time, so a document stops at the time by which all
 slots are filled.
 
-Bags that agree in a band of slots meet in a bucket. Each bucket's members are verified against its
-smallest one (a count linear in the bucket). Buckets whose members are then still in several components
+Bags that agree in a band of slots meet in a bucket. Each bucket's members are verified against the one
+that meets the most others (a count linear in the bucket). Buckets whose members are then still in several components
 compare just the members of different components. Every link is verified on the multisets of whole texts:
 sum of min counts / sum of max counts >= 0.8.
 
@@ -31,8 +31,8 @@ from tessella.session import materialize, ship
 
 SLOTS, ROWS, BANDS, SHINGLE = 192, 6, 28, 5
 NUM, DEN = 4, 5  # similarity 0.8
-#: Of the 192 one-bit sketch, so many bits may differ: 19 are expected at 0.8, with a deviation of 4.2.
-DIFFER = 42
+#: Of a sketch of 192 half bytes, so many may differ: 36 are expected at 0.8, with a deviation of 5.4.
+DIFFER, NIBBLES = 58, 16
 #: Ids of up to so many documents are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 U = np.uint64
@@ -113,8 +113,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 bands += bits[:, r : BANDS * ROWS : ROWS] * tb._PLACE[r]
             bands = tb.mix(bands + np.arange(BANDS, dtype=np.uint64))
-            sketch = ((bits >> U(7)) & U(1)).reshape(n, SLOTS // 64, 64)
-            sketch = (sketch << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+            sketch = ((bits >> U(7)) & U(15)).reshape(n, SLOTS // NIBBLES, NIBBLES)
+            sketch = (sketch << (U(4) * np.arange(NIBBLES, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
             prints = []
             for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
                 each = tb.mix(element ^ U(salt)) * count.astype(np.uint64)
@@ -122,11 +122,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(total, doc, each)
                 prints.append(tb.mix(total + U(salt)))
             size = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
-            flat = pa.array(bands.reshape(-1).view(np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (sketch, bands)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, n), pa.array(size), *(pa.array(p.view(np.int64)) for p in prints), *(pa.array(sketch[:, k].copy().view(np.int64)) for k in range(3)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), flat)],
-                ["doc_id", "size", "f1", "f2", "s0", "s1", "s2", "bands"],
+                [batch.column(0).slice(i, n), pa.array(size), *(pa.array(p.view(np.int64)) for p in prints), *lists],
+                ["doc_id", "size", "f1", "f2", "sketch", "bands"],
             )
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def overlaps(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +159,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inter, union = overlaps(batch.column(2), batch.column(3))
         good = pa.array(inter * DEN >= union * NUM)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+        del batch, good
+        pa.default_memory_pool().release_unused()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
@@ -194,27 +198,36 @@ def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     """One row per row of docs: doc_col and class_id, the smallest doc_col of its class (its own where it has no like)."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(doc_col).cast("long").alias("d"), F.col(text_col).alias("text"))
-    signed = materialize(docs.mapInArrow(_sign, "doc_id long, size long, f1 long, f2 long, s0 long, s1 long, s2 long, bands array<long>"), "signatures")
+    signed = materialize(docs.mapInArrow(_sign, "doc_id long, size long, f1 long, f2 long, sketch array<long>, bands array<long>"), "signatures")
     classes = signed.filter("size > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
     classes = materialize(classes, "bags")
     nodes = signed.filter("size > 0").join(classes.withColumnRenamed("node", "doc_id").select("doc_id", "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id"])
     nodes = materialize(nodes.withColumnRenamed("doc_id", "node"), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-    members = materialize(rows.join(buckets.select("key", "pivot"), "key"), "buckets")
-    sketch = nodes.select("node", "size", "s0", "s1", "s2")
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialize(rows.join(many, "key"), "buckets")
+    # The pivot of a bucket is the member that meets the most others: of near copies of one text, the text itself.
+    met = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
+    ranked = members.join(met, "node").select("band", "key", "node", F.struct("met", (-F.col("node")).alias("m")).alias("rank"))
+    pivots = ranked.groupBy("key").agg((-F.max("rank")["m"]).alias("pivot"))
+    members = materialize(members.drop("n").join(pivots, "key"), "members")
+    sketch = nodes.select("node", "size", "sketch")
     side = lambda k: sketch.select(*(F.col(c).alias(f"{k}{c}") for c in sketch.columns))
-    alike = F.expr(f"bit_count(as0 ^ bs0) + bit_count(as1 ^ bs1) + bit_count(as2 ^ bs2) <= {DIFFER} and least(asize, bsize) * {DEN} >= greatest(asize, bsize) * {NUM}")
-    stars = members.filter("pivot < node").select(F.col("pivot").alias("anode"), F.col("node").alias("bnode")).distinct()
+    odd = lambda x: f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {0x1111111111111111}L)"
+    unlike = " + ".join(odd(f"(asketch[{k}] ^ bsketch[{k}])") for k in range(SLOTS // NIBBLES))
+    alike = F.expr(f"least(asize, bsize) * {DEN} >= greatest(asize, bsize) * {NUM} and {unlike} <= {DIFFER}")
+    stars = members.filter("pivot <> node").select(F.least("pivot", "node").alias("anode"), F.greatest("pivot", "node").alias("bnode")).distinct()
     stars = materialize(stars.join(side("a"), "anode").join(side("b"), "bnode").filter(alike).select(F.col("anode").alias("a"), F.col("bnode").alias("b")), "star-pairs")
     links = _verified(stars, nodes, docs, "star")
     roots = components(links)
     # Buckets whose members the stars did not bring together: only members of different components are compared.
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rest = materialize(placed.join(open_keys, "key", "left_semi").join(sketch, "node"), "open")
-    a, b = (rest.select("key", *(F.col(c).alias(f"{k}{c}") for c in ("node", "root", "size", "s0", "s1", "s2"))) for k in "ab")
-    more = a.join(b, (a["key"] == b["key"]) & (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & alike).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
+    rest = materialize(placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "size", "sketch", "bands"), "node"), "open")
+    a, b = (rest.select("key", F.col("band").alias(f"{k}band"), *(F.col(c).alias(f"{k}{c}") for c in ("node", "root", "size", "sketch", "bands"))) for k in "ab")
+    # A pair that meets in several bands is made in the first of them only.
+    first = F.expr("forall(zip_with(slice(abands, 1, aband), slice(bbands, 1, aband), (x, y) -> x = y), same -> not same)")
+    more = a.join(b, (a["key"] == b["key"]) & (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & alike & first).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
     more = materialize(more.join(stars, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
         links = links.unionAll(_verified(more, nodes, docs, "more"))
