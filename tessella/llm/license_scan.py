@@ -1,10 +1,17 @@
 """Licence scans by Dice coefficient over word bigrams (DataFrame functions only).
 
-Units are the whole text of a document and, if there are several, each of its lines. Normal form: lower
-case, all but letters and digits as spaces. A unit of a bigrams and a template of b can reach the threshold t
-only if t / (2 - t) * b <= a <= (2 - t) / t * b; a constant table gives for each a the templates within these
-bounds, so most units end without a bigram being built. Of the rest, Dice = 2 |A and B| / (|A| + |B|) over
-multisets of bigrams.
+Units are the whole text of a document and, if there are several, each of its lines; and windows of words
+anywhere in the text. Normal form: lower case, all but letters and digits as spaces. A unit of a bigrams and
+a template of b can reach the threshold t only if t / (2 - t) * b <= a <= (2 - t) / t * b; a constant table
+gives for each a the templates within these bounds, so most lines end without a bigram being built. Of the
+rest, Dice = 2 |A and B| / (|A| + |B|) over multisets of bigrams.
+
+A window has b to (2 - t) / t * b bigrams (text that ends sooner counts as b), so it must share t * b of them.
+Texts without one of each template's anchor words, chosen so that a text without them can't share that many,
+end there. For the rest the best window from each bigram of the template is found by one fold, and windows
+that share bigrams with one of more matching bigrams (then higher Dice, first template, first place) are
+dropped. A window within a line that matches is no further unit, nor is one whose licence the whole text has
+with the same Dice or a higher one.
 
 Defined cases: null text has no unit that matches; texts under two words match nothing; equal scores go
 to the template first by name; repeated rows each get a row; an empty table gives an empty result; other
@@ -16,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.regex import let
+
 THRESHOLD = 0.8
 #: The wording of public licences and of their usual notices.
 TEMPLATES = {
@@ -25,8 +34,10 @@ TEMPLATES = {
     "bsd-clauses": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "gpl-3-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-3-short": "Released under the GNU General Public License v3.",
+    "gpl-3-work-notice": "This work is licensed under the GNU General Public License, version 3.",
     "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "mit-notice": "Released under the MIT License.",
@@ -60,6 +71,59 @@ def _candidates(sizes: list[int], threshold: float) -> list[list[int]]:
     return [[k for k, b in enumerate(sizes) if a and 2 * min(a, b) >= threshold * (a + b)] for a in range(top + 1)]
 
 
+def _shared(size: int, threshold: float) -> int:
+    """The bigrams that a window shares with a template of this size at least."""
+    return next(o for o in range(size + 2) if 2.0 * o / (2 * size) >= threshold)
+
+
+def _anchors(threshold: float) -> list[str]:
+    """Words of the templates; a window without any of them shares too few bigrams with every template."""
+    texts = [_tokens(x) for _, x in sorted(TEMPLATES.items())]
+    spread = {w: sum(w in t for t in texts) for t in texts for w in t}
+    out = set()
+    for t in texts:
+        pairs = list(zip(t, t[1:], strict=False))
+        left = len(pairs) - _shared(len(pairs), threshold) + 1  # so many must be lost without the anchors
+        for w in sorted(set(t), key=lambda w: (spread[w], -len(w), w)):
+            if sum(bool(out & set(p)) for p in pairs) >= left:
+                break
+            out.add(w)
+    return sorted(out)
+
+
+def _windows(grams: Column, k: Column, distinct: Column, counts: Column, size: Column, shared: Column, longest: Column, threshold: float) -> Column:
+    """The best window from each place of a template's bigram: o (shared), dice, k (negated), a and z (first and last bigram)."""
+    hits = F.filter(F.transform(grams, lambda g, i: F.struct(i.alias("p"), F.array_position(distinct, g).cast("int").alias("q"))), lambda h: h["q"] > 0)
+
+    def before(all_hits: Column, h: Column, t: Column) -> Column:
+        """Where the bigram stood as many times ago as the template has it; it counts in windows that begin after that."""
+        same = F.filter(F.slice(all_hits, F.greatest(t - longest + 1, F.lit(1)), F.least(t, longest)), lambda x: x["q"] == h["q"])
+        return let(same, lambda x: F.coalesce(F.when(F.size(x) >= F.get(counts, h["q"] - 1), F.get(x, F.size(x) - F.get(counts, h["q"] - 1))["p"]), F.lit(-1)))
+
+    def step(acc: Column, x: Column, first: Column) -> Column:
+        o = acc["o"] + F.when((x["v"] < first) & (x["p"] < first + longest), 1).otherwise(0)
+        dice = F.lit(2.0) * o / (F.greatest(x["p"] - first + 1, size) + size)
+        better = (x["p"] < first + longest) & (dice > acc["dice"])
+        return F.struct(o.alias("o"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"), F.when(better, o).otherwise(acc["m"]).alias("m"), F.when(better, x["p"]).otherwise(acc["z"]).alias("z"))
+
+    def best(placed: Column, h: Column, t: Column) -> Column:
+        start = F.struct(F.lit(0).alias("o"), F.lit(0.0).alias("dice"), F.lit(0).alias("m"), F.lit(-1).alias("z"))
+        fold = F.aggregate(F.slice(placed, t + 1, longest), start, lambda acc, x: step(acc, x, h["p"]))
+        far = F.get(placed, t + shared - 1)["p"]
+        return F.when(far < h["p"] + longest, let(fold, lambda f: F.struct(f["m"].alias("o"), f["dice"].alias("dice"), (-k).alias("k"), h["p"].alias("a"), f["z"].alias("z"))))
+
+    placed = lambda hs: F.transform(hs, lambda h, t: F.struct(h["p"].alias("p"), before(hs, h, t).alias("v")))
+    found = let(hits, lambda hs: let(placed(hs), lambda ps: F.transform(ps, lambda h, t: best(ps, h, t))))
+    return F.filter(found, lambda w: w.isNotNull() & (w["dice"] >= threshold))
+
+
+def _apart(windows: Column) -> Column:
+    """Windows without a bigram in common, those with most shared bigrams first."""
+    ranked = F.reverse(F.array_sort(F.transform(windows, lambda w: F.struct(w["o"].alias("o"), w["dice"].alias("dice"), w["k"].alias("k"), (-w["a"]).alias("a"), w["z"].alias("z")))))
+    free = lambda kept, w: ~F.exists(kept, lambda x: (w["z"] >= -x["a"]) & (x["z"] >= -w["a"]))
+    return F.aggregate(ranked, F.filter(ranked, lambda w: F.lit(False)), lambda kept, w: F.when(free(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
+
+
 def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _GAP), lambda w: w != "")
 
@@ -78,9 +142,12 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id",
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     units = F.transform(lines, normal_words)
     # The whole text's words are its lines' words; a text of one line is one unit.
-    base = docs.select(F.col(doc_col), units.alias("units")).select(doc_col, F.size("units").cast("long").alias("n_lines"), F.when(F.size("units") > 1, F.concat("units", F.array(F.flatten("units")))).otherwise(F.col("units")).alias("units"))
-    fits = F.transform("units", lambda w: F.struct(w.alias("w"), F.coalesce(F.get(near, F.size(w) - 1), _ints([])).alias("near")))
-    base = base.select(doc_col, "n_lines", F.filter(fits, lambda u: (F.size(u["w"]) > 1) & (F.size(u["near"]) > 0)).alias("units"))
+    base = docs.select(F.col(doc_col), units.alias("lines"))
+    base = base.select(doc_col, "lines", F.size("lines").cast("long").alias("n_lines"), F.when(F.size("lines") > 1, F.concat("lines", F.array(F.flatten("lines")))).otherwise(F.col("lines")).alias("units"))
+    fits = F.transform("units", lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(near, F.size(w) - 1), _ints([])).alias("near"), i.alias("i")))
+    words = F.get("units", F.size("units") - 1)
+    pairs = let(words, lambda w: F.when(F.arrays_overlap(w, F.array(*map(F.lit, _anchors(threshold)))), F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))))
+    base = base.select(doc_col, "n_lines", "lines", F.filter(fits, lambda u: (F.size(u["w"]) > 1) & (F.size(u["near"]) > 0)).alias("units"), pairs.alias("pairs"))
 
     def bigrams(words: Column) -> Column:
         return F.array_sort(F.transform(F.slice(words, 2, F.size(words) - 1), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w)))
@@ -88,11 +155,30 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id",
     def tagged(sorted_grams: Column) -> Column:
         return F.transform(sorted_grams, lambda g, i: F.concat(g, F.lit(" "), (i + 1 - F.array_position(sorted_grams, g)).cast("string")))
 
-    base = base.select(doc_col, "n_lines", F.transform("units", lambda u: F.struct(bigrams(u["w"]).alias("g"), u["near"].alias("near"))).alias("units"))
-    base = base.select(doc_col, "n_lines", F.transform("units", lambda u: F.struct(tagged(u["g"]).alias("g"), u["near"].alias("near"))).alias("units"))
+    base = base.select(doc_col, "n_lines", "lines", "pairs", F.transform("units", lambda u: F.struct(bigrams(u["w"]).alias("g"), u["near"].alias("near"), u["i"].alias("i"))).alias("units"))
+    base = base.select(doc_col, "n_lines", "lines", "pairs", F.transform("units", lambda u: F.struct(tagged(u["g"]).alias("g"), u["near"].alias("near"), u["i"].alias("i"))).alias("units"))
     dice = lambda g, k: F.lit(2.0) * F.size(F.array_intersect(g, F.get(sets, k))) / (F.size(g) + F.get(_ints(sizes), k))
-    scored = F.transform("units", lambda u: F.array_max(F.filter(F.transform(u["near"], lambda k: F.struct(dice(u["g"], k).alias("dice"), (-k).alias("t"))), lambda s: s["dice"] >= threshold)))
-    found = base.select(doc_col, "n_lines", F.filter(scored, lambda s: s.isNotNull()).alias("found"))
+    scored = F.transform("units", lambda u: F.array_max(F.filter(F.transform(u["near"], lambda k: F.struct(dice(u["g"], k).alias("dice"), (-k).alias("t"), u["i"].cast("int").alias("i"))), lambda s: s["dice"] >= threshold)))
+    # Windows: of templates with enough of their different bigrams in the text.
+    kinds = [sorted(set(g)) for g in grams.values()]
+    shared = [_shared(b, threshold) for b in sizes]
+    table = [F.array(*(F.array(*map(F.lit, x)) for x in kinds)), F.array(*(_ints([g.count(x) for x in ks]) for g, ks in zip(grams.values(), kinds, strict=True))), _ints(sizes), _ints(shared), _ints([int(b * (2 - threshold) / threshold + 1e-9) for b in sizes])]
+    enough = _ints([len(x) - b + o for x, b, o in zip(kinds, sizes, shared, strict=True)])
+    every = F.array(*map(F.lit, sorted(set().union(*kinds))))
+    likely = let(F.array_intersect("pairs", every), lambda p: F.filter(_ints(list(range(len(sizes)))), lambda k: F.size(F.array_intersect(p, F.get(table[0], k))) >= F.get(enough, k)))
+    base = base.select(doc_col, "n_lines", "lines", "pairs", F.filter(scored, lambda s: s.isNotNull()).alias("found"), F.when(F.size("pairs") > 0, likely).alias("likely"))
+    spans = F.when(F.size("likely") > 0, _apart(F.flatten(F.transform("likely", lambda k: _windows(F.col("pairs"), k, *(F.get(t, k) for t in table), threshold)))))
+    base = base.select(doc_col, "n_lines", "lines", "found", spans.alias("spans"))
+    line_of = F.flatten(F.transform("lines", lambda w, i: F.transform(w, lambda _: i)))
+
+    def further(of: Column, w: Column) -> Column:
+        first, last = F.get(of, -w["a"]), F.get(of, w["z"] + 1)
+        within = lambda s: (s["i"] == first) & (first == last)
+        whole = lambda s: (s["i"] == F.col("n_lines")) & (s["t"] == w["k"]) & (s["dice"] >= w["dice"])
+        return ~F.exists("found", lambda s: within(s) | whole(s))
+
+    extra = let(line_of, lambda of: F.transform(F.filter("spans", lambda w: further(of, w)), lambda w: F.struct(w["dice"].alias("dice"), w["k"].alias("t"), F.lit(-1).alias("i"))))
+    found = base.select(doc_col, "n_lines", F.when(F.size("spans") > 0, F.concat("found", extra)).otherwise(F.col("found")).alias("found"))
     top = F.array_max("found")
     return found.select(
         doc_col,

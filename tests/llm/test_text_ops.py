@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -164,3 +165,38 @@ def test_adpcm_and_laws():
         assert out.tolist() == want
     assert media.mu_law()[0xFF] == 0 and media.mu_law()[0x00] == -32124 and media.mu_law()[0x80] == 32124 and len(media.STEP_SIZES) == 89
     assert media.a_law()[0xD5] == 8 and media.a_law()[0x55] == -8 and media.a_law()[0xAA] == 32256
+
+
+def test_license_windows(spark):
+    """Wrapped texts inside longer documents, against all windows of words."""
+    wrap = lambda x, head="": "\n".join(head + y for y in textwrap.wrap(x, 70))
+    t = license_scan.TEMPLATES
+    code = "\n".join(f"value_{i} = compute(input_{i}, {i * 7}) + offset" for i in range(40))
+    rows = [
+        (1, f"{code}\n{wrap(t['mit'])}\n{code}", None, None),
+        (2, f"{wrap(t['apache-2.0-header'], ' * ')}\n{code}", None, None),
+        (3, f"{code}\n{wrap(t['isc'].replace('hereby', 'now hereby'))}\n{code}\n{wrap(t['mit'].replace('copies', 'copy'))}", None, None),
+        (4, "Copyright 2020 Foo and Bar, all of it made in one go. All rights\nreserved by the many people who have made it so far.", None, None),
+        (5, "This work is licensed under the GNU General Public License, version 2.", None, None),
+        (6, f"{code}\nSPDX-License-Identifier: BSD-2-Clause", None, None),
+        (7, "Licensed under CC BY-NC 4.0.", None, None),
+    ]
+    got = {x.doc_id: x for x in license_scan.scan(frame(spark, rows)).collect()}
+    grams = {k: Counter(v) for k, v in license_scan.template_bigrams().items()}
+    for i, x, *_ in rows:
+        w = license_scan._tokens(x)
+        own = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        best = 0.0
+        for g in grams.values():
+            b = sum(g.values())
+            for a in range(len(own)):
+                left, o = Counter(g), 0
+                for z in range(a, min(len(own), a + int(1.5 * b))):
+                    o += left[own[z]] > 0
+                    left[own[z]] -= 1
+                    best = max(best, 2 * o / (max(z - a + 1, b) + b))
+        units = [Counter(f"{a} {b}" for a, b in zip(u, u[1:], strict=False)) for u in map(license_scan._tokens, [x, *x.split("\n")])]
+        best = max(best, *(2 * sum((u & g).values()) / max(1, sum(u.values()) + sum(g.values())) for u in units for g in grams.values()))
+        assert (got[i].dice or 0) == (best if best >= 0.8 else 0), i
+    assert [got[i].license for i in (1, 2, 4, 5, 6, 7)] == ["mit", "apache-2.0-header", "proprietary-notice", "gpl-3-work-notice", None, "cc-by-nc-4.0-notice"]
+    assert {"isc", "mit"} <= set(got[3].licenses) and got[4].n_matches == got[5].n_matches == 1
