@@ -10,8 +10,10 @@ node's exact marginal, and runs of text with a content marginal over one half ar
 Character references are decoded, white space inside a block becomes one blank, blocks are joined by \\n.
 
 Defined cases: null html is an empty page with empty text; unclosed tags end with what holds them; `<` that
-starts no tag is text; scripts, styles, templates and other unseen elements have no text, closed or not; a
-page without any tag is a single run; repeated rows each get a row; an empty table gives an empty result;
+starts no tag is text; scripts, styles, templates and other unseen elements have no text. Without an end tag
+of its own, script, style, title and textarea take the rest of the page as in HTML, the others end at the next
+start or end of a block; an open head ends where text or a tag begins that a head can't hold, and `/>` closes
+svg and math. A page without any tag is a single run; repeated rows each get a row; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -39,10 +41,15 @@ _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|data-y)(?:\s*=\s*
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of HTML: elements whose content is not seen as text, elements without content, and inline elements.
 UNSEEN = frozenset("script style noscript template title textarea select button svg iframe object canvas audio video map head math datalist".split())
+#: Unseen elements whose content is text alone, and what a head may hold.
+_RAW = frozenset("script style textarea title".split())
+_HEAD = frozenset("base basefont bgsound html head link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var picture".split())
 #: A start tag ends an open element of the same group; the second set bounds how far up it looks.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|html|li|main|menu|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|tr|ul)(?=[\s/>])", re.I)
+_AFTER_HEAD = re.compile(r"</head\b[^>]*>?|(?=<body\b)", re.I)
 
 
 class Nodes:
@@ -87,11 +94,70 @@ def _names(tag: str, attrs: str) -> tuple[list[str], int]:
     return names, label
 
 
+def _end_tag(tag: str, page: str, at: int) -> re.Match | None:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+
+
+def _unseen_ends(page: str) -> dict[int, int]:
+    """Where unseen elements with an end tag of their own end, by the end of their start tag; in one pass."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if tag not in UNSEEN or tag == "head":
+            continue
+        if m[1] or m[4]:
+            if opened.get(tag):
+                ends[opened[tag].pop()] = at
+        elif tag in _RAW:
+            end = _end_tag(tag, page, at)
+            if end is None:
+                break
+            ends[at] = at = end.end()
+        elif not _closed(tag, m):
+            opened.setdefault(tag, []).append(at)
+    return ends
+
+
+def _closed(tag: str, m: re.Match) -> bool:
+    return tag in ("svg", "math") and (m[3] or m[6] or "").endswith("/")
+
+
+def _after_head(page: str, at: int) -> int:
+    """Where a head ends that begins at this place."""
+    n = len(page)
+    end = _AFTER_HEAD.search(page, at)
+    while True:
+        if end and at > end.start():
+            end = _AFTER_HEAD.search(page, at)
+        stop, after = (end.start(), end.end()) if end else (n, n)
+        m = _TAG.search(page, at)
+        upto = min(stop, m.start()) if m else stop
+        if page[at:upto].strip():
+            return at
+        if m is None or m.start() >= stop:
+            return after
+        tag = (m[2] or m[5] or "").lower()
+        closing = bool(m[1] or m[4])
+        if tag and not closing and tag not in _HEAD:
+            return m.start()
+        at = m.end()
+        if tag in UNSEEN and tag != "head" and not closing:
+            close = _end_tag(tag, page, at)
+            if close is None or close.start() > stop:
+                block = None if end or tag in _RAW else _BLOCK.search(page, at)
+                return block.start() if block else after
+            at = close.end()
+
+
 def parse(page: str, nodes: Nodes) -> None:
     """Appends the page's nodes; the root first."""
     stack: list[tuple[str, int]] = [("#root", nodes.add(-1, ["t=#root"], 1, tag="#root"))]
     run: list[str] = []
     linked, in_link, at, n = 0, 0, 0, len(page)
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -121,8 +187,13 @@ def parse(page: str, nodes: Nodes) -> None:
         closing = bool(m[1] or m[4])
         if tag in UNSEEN:
             if not closing:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at) if tag != "head" else re.compile(r"</head\b[^>]*>?|(?=<body\b)", re.I).search(page, at)
-                at = end.end() if end else n
+                if tag == "head":
+                    at = _after_head(page, at)
+                elif not _closed(tag, m):
+                    if ends is None:
+                        ends = _unseen_ends(page)
+                    block = None if at in ends or tag in _RAW else _BLOCK.search(page, at)
+                    at = ends.get(at) or (block.start() if block else n)
                 run.append(" ")
             continue
         if tag in INLINE:

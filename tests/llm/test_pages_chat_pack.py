@@ -68,6 +68,20 @@ def test_odd_pages(model):
     assert len(html_extract.extract_texts([deep], model)) == 1
 
 
+def test_unclosed_unseen(model):
+    body = "<article><h1>Title</h1><p>Some text in a paragraph that is long enough.</p><p>And more of it in another one.</p></article>"
+    want = html_extract.extract_texts([body], model)[0]
+    assert want.count("\n") == 2
+    heads = ["<html><head><title>T</title>", "<head><meta charset=utf-8><link href=a>", "<head><!-- </head> --><script>a='<p>'</script>", "<head><title>T</title></head><body>", "<head><title>T</head><body>", "<svg width=1 />", "<math/>"]
+    for tag in ("object", "iframe", "noscript", "button", "select", "map", "video", "canvas", "svg", "audio", "template"):
+        heads += [f"<{tag}>", f"<{tag} a='b' />", f"<div><{tag}>unseen words</div>"]
+    heads += ["<button>Menu", "<button>A</button><button>B<button>C</button>", "<object><object>x</object>y<p>fallback</p></object>"]
+    for head, got in zip(heads, html_extract.extract_texts([h + body for h in heads], model), strict=True):
+        assert got == want, head
+    assert html_extract.extract_texts(["<script>" + body, "<head><style>" + body, "<button>Menu</button>"], model) == ["", "", ""]
+    assert html_extract.extract_texts(["<p>Words that come before it all.</p>" + "<button>" * 20_000], model) == ["Words that come before it all."]
+
+
 def test_extract_frame(spark, model):
     df = spark.createDataFrame([(1, "u", "<article><p>some text that is here</p></article>", "z"), (2, None, None, "z"), (2, None, None, "z")], "page_id long, url string, html string, text string")
     rows = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df, model).collect())
