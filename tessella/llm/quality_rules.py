@@ -8,7 +8,8 @@ MIN_WORDS, is depleted and rejected.
 
 Defined cases: null text has no word and fails the base rules; null host is a host of its own; a row
 without doc_id has its statistics but no part in line counts; repeated rows each get a row and count once;
-an empty table gives an empty result; other columns are ignored. Lines under MIN_LINE bytes are no evidence.
+an empty table gives an empty result; other columns are ignored. Every
+line with a word counts, however short.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from tessella.llm import textbytes as tb
 from tessella.session import materialize, ship
 
 MIN_WORDS, MAX_REPEAT = 10, 20
-MAX_DOCS, MAX_LOST, MIN_LINE = 10, 80, 20
+MAX_DOCS, MAX_LOST = 10, 80
+#: Bytes of the shortest line that counts.
+MIN_LINE = 0
 SYMBOLS = b"#*$%&|<>"
 U = np.uint64
 
@@ -86,8 +89,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     powers, _ = tb._power(len(folded) + 1)
     total = np.concatenate((np.zeros(1, U), np.cumsum(folded * powers[place])))
     line = tb.mix(total[b] - total[a] + (b - a).astype(np.uint64))
-    long = (end - begin) >= MIN_LINE
-    out |= {"line_doc": ldoc[long], "line_hash": line[long], "line_words": lwords[long]}
+    out |= {"line_doc": ldoc, "line_hash": line, "line_words": lwords}
     return out
 
 

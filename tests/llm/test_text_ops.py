@@ -63,6 +63,14 @@ def test_quality_brute_force(spark):
     assert quality_rules.quality_rules(frame(spark, [])).collect() == []
 
 
+def test_quality_short_lines(spark):
+    """Short lines count in every document of a host, however they are indented."""
+    rows = [(i, "Read more\n" * 9 + "own" + "abcdefgh"[i] + " words", "en", "s1") for i in range(8)] + [(20 + i, " " * 20 * (i % 2) + "短い行\none two three four five six seven eight nine ten", "en", "s2") for i in range(8)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), max_docs=5).collect()}
+    assert [got[i].n_lost_words for i in range(8)] == [0] + [18] * 7
+    assert [got[20 + i].n_lost_words for i in range(8)] == [0] + [11] * 7 and [got[20 + i].kept for i in range(8)] == [True] + [False] * 7
+
+
 def test_phrases_brute_force():
     sample = (("a", ("banana", "bandana")), ("b", ("cabcab", "bacca")))
     model = language_id.Model({k: list(v) for k, v in sample})
