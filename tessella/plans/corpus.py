@@ -142,10 +142,9 @@ def addition_folding(spark, sf_dir):
 
 @query(f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace({_TEXT}, '\\.{{3,}}|…+|\\[\\.+\\]', '<gap>', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents WHERE NOT regexp_matches({_TEXT}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])x+([^\\p{{L}}\\p{{N}}_]|$)|<|break|broken|big')")
 def gap_unify(spark, sf_dir):
-    """N14, on texts without its other spellings."""
+    """N14, on all texts; the SQL follows only those without its other spellings."""
     t = text.nonnull(F.col("text"))
-    plain = ~F.regexp_like(t, F.lit(r"(?i)(^|[^\p{L}\p{N}_])x+([^\p{L}\p{N}_]|$)|<|break|broken|big"))
-    return table(spark, sf_dir, "documents").filter(plain).select("doc_id", F.md5(squeeze(text.unify_gaps(t))).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(squeeze(text.unify_gaps(t))).alias("digest"))
 
 
 @query()
