@@ -378,7 +378,9 @@ def extract_quoted(text: Column) -> Column:
 
 def merge_ci(a: Column, b: Column) -> Column:
     """Both arrays in order, later repeats but for case left out."""
-    return F.aggregate(F.concat(a, b), F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    ranked = F.array_sort(F.transform(F.concat(a, b), lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = let(ranked, lambda s: F.filter(s, lambda h, j: h["k"].isNull() | (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(h["k"])))
+    return F.transform(F.array_sort(F.transform(first, lambda h: F.struct(h["i"].alias("i"), h["x"].alias("x")))), lambda h: h["x"])
 
 
 def list_literal(text: Column) -> Column:

@@ -57,10 +57,14 @@ def ngrams(tokens: Column, longest: int = 4) -> Column:
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, key: str, tokens: Column, phrase_id: str, phrase_tokens: Column) -> DataFrame:
-    """(key, pos, phrase_id): where each phrase stands. Joined on the first token, the rest is compared on arrays."""
-    at = docs.select(F.col(key), tokens.alias("_t")).select(key, "_t", F.posexplode("_t").alias("pos", "_first"))
-    index = phrases.select(F.col(phrase_id), phrase_tokens.alias("_p")).filter(F.size("_p") > 0).withColumn("_head", F.col("_p")[0])
-    return at.join(index, (at["_first"] == index["_head"]) & (F.slice("_t", F.col("pos") + 1, F.size("_p")) == F.col("_p"))).select(key, "pos", phrase_id)
+    """(key, pos, phrase_id): where each phrase stands. Joined on the first one to three tokens, the rest is compared on arrays."""
+    longest = phrases.agg(F.max(F.size(phrase_tokens))).first()[0] or 0  # rows carry so many tokens, not whole texts
+    places = F.explode(F.transform("_t", lambda _, i: F.struct(i.alias("pos"), F.slice("_t", i + 1, longest).alias("_rest")))).alias("a")
+    at = docs.select(F.col(key), tokens.alias("_t")).select(key, places).select(key, "a.*")
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.size("_rest"), F.lit(3))), lambda n: F.slice("_rest", 1, n))
+    at = at.filter(F.size("_rest") > 0).select(key, "pos", "_rest", F.explode(heads).alias("_first"))
+    index = phrases.select(F.col(phrase_id), phrase_tokens.alias("_p")).filter(F.size("_p") > 0).withColumn("_head", F.slice("_p", 1, 3))
+    return at.join(index, (at["_first"] == index["_head"]) & (F.slice("_rest", 1, F.size("_p")) == F.col("_p"))).select(key, "pos", phrase_id)
 
 
 def phrase_contains(docs: DataFrame, phrases: DataFrame, key: str, tokens: Column, phrase_id: str, phrase_tokens: Column) -> DataFrame:

@@ -66,8 +66,10 @@ def _words(spark, sf_dir):
 
 
 def _phrases(spark, sf_dir):
-    """The first three words of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.slice(words_ws(F.lower(text.nonnull(F.col("text")))), 1, 3).alias("p"))
+    """Each three words in a row of each benchmark item, once; items of one or two words as they are. The SQL has first words only."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", words_ws(F.lower(text.nonnull(F.col("text")))).alias("w"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.slice("w", i, 3))
+    return items.select("item_id", F.explode(F.array_distinct(grams)).alias("p")).filter(F.size("p") > 0)
 
 
 _PHRASE_SQL = """
@@ -81,14 +83,14 @@ found AS (SELECT doc_id, pos, item_id FROM spots JOIN p ON g = p AND len(p) = 3)
 @query(_PHRASE_SQL + "SELECT doc_id, pos, item_id FROM found")
 def phrase_positions(spark, sf_dir):
     """J5"""
-    out = joins.phrase_matches(_words(spark, sf_dir), _phrases(spark, sf_dir).filter(F.size("p") == 3), "doc_id", F.col("w"), "item_id", F.col("p"))
+    out = joins.phrase_matches(_words(spark, sf_dir), _phrases(spark, sf_dir), "doc_id", F.col("w"), "item_id", F.col("p"))
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "item_id")
 
 
 @query(_PHRASE_SQL + "SELECT DISTINCT doc_id, item_id FROM found")
 def phrase_contains(spark, sf_dir):
     """J6"""
-    return joins.phrase_contains(_words(spark, sf_dir), _phrases(spark, sf_dir).filter(F.size("p") == 3), "doc_id", F.col("w"), "item_id", F.col("p"))
+    return joins.phrase_contains(_words(spark, sf_dir), _phrases(spark, sf_dir), "doc_id", F.col("w"), "item_id", F.col("p"))
 
 
 @query("SELECT r_regionkey, r_name, coalesce(string_agg(n_name, '; ' ORDER BY n_nationkey), '') AS nations FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL")
@@ -100,7 +102,7 @@ def lookup_list(spark, sf_dir):
 @query(_PHRASE_SQL + "SELECT doc_id, item_id, rank FROM (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos), item_id) AS rank FROM found GROUP BY doc_id, item_id) WHERE rank <= 12")
 def ngram_join(spark, sf_dir):
     """J8"""
-    phrases = _phrases(spark, sf_dir).filter(F.size("p") == 3)
+    phrases = _phrases(spark, sf_dir)
     out = joins.ngram_join(_words(spark, sf_dir), phrases, "doc_id", F.col("w"), "item_id", F.array_join("p", joins.SEP), longest=3)
     return out.select("doc_id", "item_id", F.col("rank").cast("long").alias("rank"))
 
@@ -120,10 +122,11 @@ def token_candidates(spark, sf_dir):
 
 @query()
 def greedy_hints(spark, sf_dir):
-    """Longest phrases of one or two words from the benchmark's beginnings."""
+    """Longest phrases of one or two words from anywhere in the benchmark's items."""
     words = words_ws(F.lower(text.nonnull(F.col("text"))))
     lex = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
-    lex = lex.select(F.explode(F.array(F.array_join(F.slice("w", 1, 1), joins.SEP), F.array_join(F.slice("w", 1, 2), joins.SEP))).alias("form"), F.col("item_id").cast("string").alias("hint")).groupBy("form").agg(F.min("hint").alias("hint"))
+    two = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(F.get("w", i), F.lit(joins.SEP), x))
+    lex = lex.select(F.explode(F.concat("w", two)).alias("form"), F.col("item_id").cast("string").alias("hint")).groupBy("form").agg(F.min("hint").alias("hint"))
     turns = table(spark, sf_dir, "conversations").withColumn("k", F.concat_ws(":", "conv_id", "turn"))
     out = joins.hints(turns, lex, "k", words, "form", "hint", longest=2)
     return out.select("conv_id", "turn", F.size("hints").cast("long").alias("n"), F.to_json("hints").alias("hints"))
@@ -318,15 +321,14 @@ def common_keys(spark, sf_dir):
 
 @query("SELECT doc_id, merged FROM (SELECT doc_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(list_concat(string_split(text, ' ')[1:6], ['The', 'of', 'OF']), lambda x: [x])), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: lower(y)), lower(x[1])) THEN a ELSE list_concat(a, x) END) AS merged FROM documents)")
 def merge_ci(spark, sf_dir):
-    """U6"""
-    first = F.slice(F.split("text", " "), 1, 6)
-    return table(spark, sf_dir, "documents").select("doc_id", text.merge_ci(first, F.array(F.lit("The"), F.lit("of"), F.lit("OF"))).alias("merged"))
+    """U6, on all words; the SQL has the first six."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.merge_ci(F.split("text", " "), F.array(F.lit("The"), F.lit("of"), F.lit("OF"))).alias("merged"))
 
 
 def _names(spark, sf_dir):
-    """Names to look for: words that begin benchmark items."""
+    """Names to look for: the longer words of benchmark items."""
     w = words_ws(text.nonnull(F.col("text")))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("entry"), F.explode(F.slice(w, 1, 4)).alias("name")).filter(F.length("name") > 5).groupBy("name").agg(F.min("entry").alias("entry"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("entry"), F.explode(w).alias("name")).filter(F.length("name") > 5).groupBy("name").agg(F.min("entry").alias("entry"))
 
 
 @query()
@@ -362,12 +364,12 @@ def merged_entities(spark, sf_dir):
 
 @query()
 def name_swap(spark, sf_dir):
-    """G1: first words of turns as names of their conversation's language side."""
+    """G1: words of benchmark items as names."""
     from tessella.plans.corpus import pairs
 
     p = pairs(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("oare_id"), F.col("source").alias("transliteration"), F.col("source").alias("translation"))
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.slice(words_ws(text.nonnull(F.col("text"))), 1, 8)).alias("i", "form")).filter(F.length("form") > 3)
-    lex = w.select("form", F.col("form").alias("norm"), F.col("form").alias("lexeme"), F.when(F.col("item_id") % 2 == 0, "PN").otherwise("GN").alias("type"), (F.col("item_id") * 100 + F.col("i")).alias("_ord"))
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words_ws(text.nonnull(F.col("text")))).alias("i", "form")).filter(F.length("form") > 3)
+    lex = w.select("form", F.col("form").alias("norm"), F.col("form").alias("lexeme"), F.when(F.col("item_id") % 2 == 0, "PN").otherwise("GN").alias("type"), F.struct("item_id", "i").alias("_ord"))
     return augment.swap_names(p, lex)
 
 
