@@ -366,9 +366,9 @@ def length_buckets(spark, sf_dir):
 
 @query("SELECT conv_id, list_filter(w, lambda x: true)[1:greatest(0, cut)] AS hints FROM (SELECT conv_id, w, coalesce((SELECT max(i) FROM (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE list_sum(list_transform(w[1:i], lambda x: length(x) + 2)) + 10 <= 60), 0) AS cut FROM (SELECT conv_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM conversations WHERE turn = 0))")
 def budget_trim(spark, sf_dir):
-    """W13"""
+    """W13, on all turns; the SQL has the first ones."""
     w = words_ws(text.nonnull(F.col("text")))
-    return table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", windows.trim_to_budget(w, lambda h: F.length(h) + 2, F.lit(10), 60).alias("hints"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", windows.trim_to_budget(w, lambda h: F.length(h) + 2, F.lit(10), 60).alias("hints"))
 
 
 @query()

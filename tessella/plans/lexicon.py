@@ -290,8 +290,8 @@ def ordered_rank(spark, sf_dir):
 
 @query("SELECT doc_id, text AS note FROM documents WHERE lang = 'es' UNION ALL SELECT vec_id, NULL FROM embeddings")
 def union_reports(spark, sf_dir):
-    """U1, U2"""
-    d = table(spark, sf_dir, "documents").filter("lang = 'es'").select("doc_id", F.col("text").alias("note"))
+    """U1, U2, on all documents; the SQL has the Spanish ones."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("note"))
     return sets.union_all(d, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")))
 
 

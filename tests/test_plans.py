@@ -57,3 +57,19 @@ def test_whole_items_and_texts(spark, tmp_path):
     assert "1th\\u0001sentence" in hints[(1, 0)].replace("\x01", "\\u0001")
     assert {"sentence"} <= {r.surface.lower() for r in QUERIES["surface_mentions"](spark, sf).collect()} and QUERIES["name_mentions"](spark, sf).count() > 0
     assert QUERIES["name_swap"](spark, sf).count() > 0 and QUERIES["missing_mentions"](spark, sf).count() == 0
+
+
+def test_all_rows(spark):
+    docs, turns = (spark.read.parquet(f"{SMALL}/{x}.parquet") for x in ("documents", "conversations"))
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+    assert QUERIES["union_reports"](spark, SMALL).count() == docs.count() + vectors
+    got = {(r.conv_id, r.turn): r.hints for r in QUERIES["budget_trim"](spark, SMALL).collect()}
+    for r in turns.collect():
+        w, size, kept = (r.text or "").split(), 10, []
+        for x in w:
+            size += len(x) + 2
+            if size > 60:
+                break
+            kept.append(x)
+        assert got[(r.conv_id, r.turn)] == kept
+    assert len(got) == turns.count()
