@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -40,14 +46,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint folder that the caller has set.
+
+    Where neither is set, a local session gets a folder of its own, as driver and executors are one process there;
+    on a cluster that would be another disk on each machine, so it is an error."""
+    context = spark.sparkContext
+    conf = context.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    own = "/tmp/checkpoints"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tessella-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(f"file://{own}")
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -55,13 +68,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that `materialize` has written within each open `settle` of this thread.
+_written = threading.local()
+
+
 def materialize(df, name: str):
     """Cut lineage: write df as Parquet into the shared folder and read it back."""
     path = scratch(df.sparkSession, name)
+    if stack := getattr(_written, "stack", None):
+        stack[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of build, written to the shared folder; all tables that were written on the way are deleted."""
+    _written.stack = [*getattr(_written, "stack", []), []]
+    try:
+        out, path = build(), scratch(spark, name)
+        out.write.parquet(path)
+    finally:
+        *_written.stack, own = _written.stack
+        for table in own:
+            remove(spark, table)
+    if _written.stack:
+        _written.stack[-1].append(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
     jvm = spark.sparkContext._jvm
