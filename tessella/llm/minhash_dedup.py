@@ -7,14 +7,23 @@ of M slots and a slot keeps its first point: two bags share a slot's point with
 weighted Jaccard similarity. Points come in order of time, so a document stops at the time by which all
 slots are filled.
 
-Bags that agree in a band of slots meet in a bucket. Each bucket's members are verified against the one
-that meets the most others (a count linear in the bucket). Buckets whose members are then still in several components
-compare just the members of different components. Every link is verified on the multisets of whole texts:
-sum of min counts / sum of max counts >= 0.8.
+Bags that agree in a band of slots meet in a group. Links are verified on the multisets of whole texts:
+sum of min counts / sum of max counts >= 0.8. A group makes no pairs of all its members. Each round takes
+one pivot of a group (the member that meets the most others, a count linear in the group), works out the
+exact overlap of every member with it and joins the similar ones. With a(x) units of x inside the pivot and
+n(x) in all, two members x, y share at most min(a(x), a(y)) units plus what they share of their extras
+outside the pivot; similar ones share 4/9 (n(x) + n(y)) at least. So two members of different components
+can only be similar if they have an extra in common, or if both lie inside the pivot far enough for
+9 min(a(x), a(y)) >= 4 (n(x) + n(y)). Those who share an extra, and those inside the pivot by size, make the
+smaller groups of the next round. Groups of up to SMALL members end in pairs, so the pairs stay linear in the
+members. After ROUNDS rounds what is left ends in pairs whatever its size, so that no link is lost.
 
 Defined cases: null text is an empty one; a document without a word is in a class of its own; one with 1
-to 4 words has one shingle of them all; equal bags are one node, so copies never make pairs; repeated
-rows each get a row; an empty table gives an empty result; other columns are ignored.
+to 4 words has one shingle of them all; equal bags are one node, so copies never make pairs, and one doc_id
+on several texts is a node for each; rows without doc_id have the class of their text, null where no other
+row has it; repeated rows each get a row; of several likely pivots the first node wins, which changes no
+class; a very long text goes through a worker by itself; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
-from tessella.session import materialize, ship
+from tessella.session import materialize, settle, ship
 
-SLOTS, ROWS, BANDS, SHINGLE = 192, 6, 28, 5
+SLOTS, ROWS, BANDS, SHINGLE = 168, 6, 28, 5
 NUM, DEN = 4, 5  # similarity 0.8
-#: Of a sketch of 192 half bytes, so many may differ: 36 are expected at 0.8, with a deviation of 5.4.
-DIFFER, NIBBLES = 58, 16
+#: Groups of up to SMALL members end in pairs; larger ones do so after ROUNDS rounds only.
+SMALL, ROUNDS = 16, 12
+#: So many members are compared with one copy of a pivot's text.
+STAR = 64
 #: Ids of up to so many documents are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 U = np.uint64
@@ -105,16 +116,13 @@ def _bag_of(column: pa.Array) -> Iterator[tuple[int, int, tuple]]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, (doc, element, count) in _bag_of(batch.column(1)):
+        for i, j, (doc, element, count) in _bag_of(batch.column(2)):
             n = j - i
-            sig = signatures(doc, element, count, n)
-            bits = tb.mix(sig.view(np.uint64))
+            bits = tb.mix(signatures(doc, element, count, n).view(np.uint64))
             bands = np.zeros((n, BANDS), np.uint64)
             for r in range(ROWS):
                 bands += bits[:, r : BANDS * ROWS : ROWS] * tb._PLACE[r]
             bands = tb.mix(bands + np.arange(BANDS, dtype=np.uint64))
-            sketch = ((bits >> U(7)) & U(15)).reshape(n, SLOTS // NIBBLES, NIBBLES)
-            sketch = (sketch << (U(4) * np.arange(NIBBLES, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
             prints = []
             for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
                 each = tb.mix(element ^ U(salt)) * count.astype(np.uint64)
@@ -122,116 +130,167 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(total, doc, each)
                 prints.append(tb.mix(total + U(salt)))
             size = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (sketch, bands)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, n), pa.array(size), *(pa.array(p.view(np.int64)) for p in prints), *lists],
-                ["doc_id", "size", "f1", "f2", "sketch", "bands"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(size), *(pa.array(p.view(np.int64)) for p in prints), lists], ["doc_id", "t", "size", "f1", "f2", "bands"])
         del batch
         pa.default_memory_pool().release_unused()
 
 
-def overlaps(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the sums of the smaller and of the larger counts of the two texts' bags."""
-    inter, union = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
-    step = max(1, len(left) // max(1, (left.nbytes + right.nbytes) // tb.CHUNK))
-    for at in range(0, len(left), step):
-        sides = [left.slice(at, step), right.slice(at, step)]
-        keys, counts = [], []
-        for side in sides:
-            for i, _, (doc, element, count) in _bag_of(side):
-                keys.append((doc.astype(np.uint64) + U(i)) << U(44) | element)
-                counts.append(count)
-        key, count = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(key, kind="stable")
-        key, count = key[order], count[order]
-        twice = np.flatnonzero(key[1:] == key[:-1]) if len(key) else np.zeros(0, np.int64)
-        pair = (key >> U(44)).astype(np.int64)
-        n = len(sides[0])
-        both = np.bincount(pair[twice], weights=np.minimum(count[twice], count[twice + 1]), minlength=n).astype(np.int64)
-        inter[at : at + n] = both
-        union[at : at + n] = np.bincount(pair, weights=count, minlength=n).astype(np.int64) - both
-    return inter, union
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        inter, union = overlaps(batch.column(2), batch.column(3))
-        good = pa.array(inter * DEN >= union * NUM)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
-        del batch, good
-        pa.default_memory_pool().release_unused()
+def _against_pivots(extras: bool):
+    """Rows (pivot, salt, role, node, text) come sorted; each pivot's text is followed by its members'. Per member: the
+    units it shares with the pivot and, with extras, the elements of which it has more."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for batch in batches:
+            roles = batch.column(2).to_numpy()
+            for i, j, (doc, element, count) in _bag_of(batch.column(4)):
+                is_pivot = roles[i:j] == 0
+                segment = np.cumsum(is_pivot).astype(np.uint64)  # 0: the pivot of an earlier chunk
+                key = (segment[doc] << U(44)) | element
+                of_pivot = is_pivot[doc]
+                keys = np.concatenate((last[0], key[of_pivot]))
+                counts = np.concatenate((last[1], count[of_pivot]))
+                if is_pivot.any():
+                    mine = of_pivot & (doc == np.flatnonzero(is_pivot)[-1])
+                    last = (element[mine], count[mine])
+                doc, element, count, key = doc[~of_pivot], element[~of_pivot], count[~of_pivot], key[~of_pivot]
+                at = np.searchsorted(keys, key)
+                have = np.zeros(len(key), np.int64)
+                inside = at < len(keys)
+                hit = inside.copy()
+                hit[inside] = keys[at[inside]] == key[inside]
+                have[hit] = np.minimum(counts[at[hit]], count[hit])
+                members = np.flatnonzero(~is_pivot)
+                shared = np.bincount(doc, weights=have, minlength=j - i).astype(np.int64)[members]
+                take = pa.array(members)
+                cols = [batch.column(0).slice(i, j - i).take(take), batch.column(3).slice(i, j - i).take(take), pa.array(shared)]
+                if extras:
+                    more = count > have
+                    ends = np.searchsorted(doc[more], members, side="right")
+                    begin = np.concatenate(([0], ends)).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(begin), pa.array(element[more].astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(cols, ["pivot", "node", "shared", "extras"][: len(cols)])
+            del batch
+            pa.default_memory_pool().release_unused()
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of representatives whose texts are similar; texts of other documents aren't moved."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = materialize(ids, f"{name}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    text = docs.join(F.broadcast(ids) if few else ids, docs["d"] == ids["node"]).select("node", "text").dropDuplicates(["node"])
-    text = materialize(text, f"{name}-texts")
-    left, right = text.select(F.col("node").alias("a"), F.col("text").alias("ta")), text.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    full = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return materialize(full.mapInArrow(_verify, "a long, b long"), f"{name}-links")
+    return work
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def overlaps(stars: DataFrame, texts: DataFrame, name: str, extras: bool = False) -> DataFrame:
+    """(pivot, node, shared units, with extras the elements outside the pivot) of the distinct pairs (pivot, node); a pivot's text goes along once for STAR members."""
+    sizes = stars.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).alias("salts"))
+    dealt = stars.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node")
+    rows = dealt.select("pivot", "salt", F.lit(1).alias("role"), "node").unionAll(dealt.select("pivot", "salt", F.lit(0).alias("role"), F.col("pivot").alias("node")).distinct())
+    full = rows.join(texts, "node").select("pivot", "salt", "role", "node", "text")
+    full = full.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
+    schema = "pivot long, node long, shared long" + ", extras array<long>" * extras
+    return materialize(full.mapInArrow(_against_pivots(extras), schema), name)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b): alternating large stars and small stars until nothing changes."""
-    spark = edges.sparkSession
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        now = materialize(small, "stars")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after = materialize(small, "stars")
+        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = after
         if state == before:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")) if spark else now
 
 
-def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _similar(shared: str, n: str, m: str) -> str:
+    """Shared units of bags of n and m units that make them similar enough."""
+    return f"{NUM + DEN} * {shared} >= {NUM} * ({n} + {m})"
+
+
+def _links(stars: DataFrame, nodes: DataFrame) -> DataFrame:
+    size = lambda c, n: nodes.select(F.col("node").alias(c), F.col("size").alias(n))
+    return stars.join(size("pivot", "np"), "pivot").join(size("node", "nx"), "node").filter(_similar("shared", "np", "nx")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+
+
+def _pivots(groups: DataFrame) -> DataFrame:
+    """(key, node, pivot): the pivot of a group is its member that meets the most others: of near copies of one text, the text itself."""
+    many = groups.groupBy("key").agg(F.count("*").alias("n"))
+    sized = groups.join(many, "key")
+    met = sized.groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
+    ranked = sized.join(met, "node").groupBy("key").agg((-F.max(F.struct("met", (-F.col("node")).alias("m")))["m"]).alias("pivot"))
+    return groups.join(ranked, "key")
+
+
+def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their roots, of groups that lie in several components."""
+    placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
+    return placed.join(spread, "key")
+
+
+def _next(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, node): the groups that the members (pivot, node, root, shared) of open groups fall into."""
+    rows = members.join(nodes.select("node", "size"), "node")
+    # Inside the pivot: both have 4/5 of their units there, and one of them is smaller than the pivot.
+    size = nodes.select(F.col("node").alias("pivot"), F.col("size").alias("np"))
+    step = F.floor(F.log(F.col("size").cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("long")
+    inside = rows.filter(f"{DEN} * shared >= {NUM} * size").join(size, "pivot").select("pivot", "node", "root", "np", "size", F.explode(F.array(step, step + 1)).alias("step"))
+    key = F.xxhash64("pivot", "step").alias("key")
+    fit = inside.groupBy("pivot", "step").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.col("size") - F.col("np")).alias("least")).filter("lo < hi and least < 0")
+    first = inside.join(fit.select("pivot", "step"), ["pivot", "step"]).select(key, "node")
+    more = overlaps(rows.select("pivot", "node").distinct(), texts, "extras", True)
+    each = more.join(members.select("pivot", "node", "root").distinct(), ["pivot", "node"]).select("pivot", "node", "root", F.explode("extras").alias("e"))
+    both = each.groupBy("pivot", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("pivot", "e")
+    second = each.join(both, ["pivot", "e"]).select(F.xxhash64("pivot", "e").alias("key"), "node")
+    return first.unionAll(second).distinct()
+
+
+def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: doc_col and class_id, the smallest doc_col of its class (its own where it has no like)."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col(doc_col).cast("long").alias("d"), F.col(text_col).alias("text"))
-    signed = materialize(docs.mapInArrow(_sign, "doc_id long, size long, f1 long, f2 long, sketch array<long>, bands array<long>"), "signatures")
-    classes = signed.filter("size > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
-    classes = materialize(classes, "bags")
-    nodes = signed.filter("size > 0").join(classes.withColumnRenamed("node", "doc_id").select("doc_id", "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id"])
-    nodes = materialize(nodes.withColumnRenamed("doc_id", "node"), "nodes")
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(rows.join(many, "key"), "buckets")
-    # The pivot of a bucket is the member that meets the most others: of near copies of one text, the text itself.
-    met = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
-    ranked = members.join(met, "node").select("band", "key", "node", F.struct("met", (-F.col("node")).alias("m")).alias("rank"))
-    pivots = ranked.groupBy("key").agg((-F.max("rank")["m"]).alias("pivot"))
-    members = materialize(members.drop("n").join(pivots, "key"), "members")
-    sketch = nodes.select("node", "size", "sketch")
-    side = lambda k: sketch.select(*(F.col(c).alias(f"{k}{c}") for c in sketch.columns))
-    odd = lambda x: f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {0x1111111111111111}L)"
-    unlike = " + ".join(odd(f"(asketch[{k}] ^ bsketch[{k}])") for k in range(SLOTS // NIBBLES))
-    alike = F.expr(f"least(asize, bsize) * {DEN} >= greatest(asize, bsize) * {NUM} and {unlike} <= {DIFFER}")
-    stars = members.filter("pivot <> node").select(F.least("pivot", "node").alias("anode"), F.greatest("pivot", "node").alias("bnode")).distinct()
-    stars = materialize(stars.join(side("a"), "anode").join(side("b"), "bnode").filter(alike).select(F.col("anode").alias("a"), F.col("bnode").alias("b")), "star-pairs")
-    links = _verified(stars, nodes, docs, "star")
+    rows = docs.select(F.col(doc_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    return settle(docs.sparkSession, lambda: _classes(rows, small, rounds), "classes").withColumnRenamed("doc_id", doc_col)
+
+
+def _classes(docs: DataFrame, small: int, rounds: int) -> DataFrame:
+    signed = materialize(docs.mapInArrow(_sign, "doc_id long, t long, size long, f1 long, f2 long, bands array<long>"), "signatures")
+    # A node for each bag, whatever rows have it.
+    bags = signed.filter("size > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "t")).alias("of"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = materialize(bags.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "of.doc_id", "of.t", "size", "bands"), "nodes")
+    rows = nodes.select("node", F.explode("bands").alias("key"))
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    groups = materialize(_pivots(rows.join(many, "key")), "groups")
+    ids = materialize(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "t"), "texts-of")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, (docs["d"] == ids["doc_id"]) & (docs["t"] == ids["t"])).select("node", "text").dropDuplicates(["node"])
+    texts = materialize(texts, "texts")
+    stars = overlaps(groups.filter("pivot <> node").select("pivot", "node").distinct(), texts, "overlaps")
+    links = materialize(_links(stars, nodes), "links")
     roots = components(links)
-    # Buckets whose members the stars did not bring together: only members of different components are compared.
-    placed = members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rest = materialize(placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "size", "sketch", "bands"), "node"), "open")
-    a, b = (rest.select("key", F.col("band").alias(f"{k}band"), *(F.col(c).alias(f"{k}{c}") for c in ("node", "root", "size", "sketch", "bands"))) for k in "ab")
-    # A pair that meets in several bands is made in the first of them only.
-    first = F.expr("forall(zip_with(slice(abands, 1, aband), slice(bbands, 1, aband), (x, y) -> x = y), same -> not same)")
-    more = a.join(b, (a["key"] == b["key"]) & (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & alike & first).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
-    more = materialize(more.join(stars, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        links = links.unionAll(_verified(more, nodes, docs, "more"))
+    for turn in range(rounds):
+        left = materialize(_open(groups.filter("pivot <> node"), roots).join(stars, ["pivot", "node"]), "open")
+        if left.isEmpty():
+            break
+        groups = materialize(_next(left, nodes, texts), "groups")
+        spread = materialize(_open(groups, roots), "spread")
+        if spread.isEmpty():
+            break
+        size = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"))
+        ends = spread.filter(F.col("n") <= small) if turn + 1 < rounds else spread
+        a, b = (ends.select("key", F.col("node").alias(k), F.col("root").alias(f"root{k}")).join(size(k), k) for k in "ab")
+        pairs = a.join(b, "key").filter(f"a < b and roota <> rootb and {DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select(F.col("a").alias("pivot"), F.col("b").alias("node")).distinct()
+        groups = materialize(_pivots(spread.filter(F.col("n") > small).select("key", "node")), "groups")
+        stars = pairs if turn + 1 == rounds else pairs.unionAll(groups.filter("pivot <> node").select("pivot", "node")).distinct()
+        stars = overlaps(stars, texts, "overlaps")
+        links = materialize(links.unionAll(_links(stars, nodes)), "links")
         roots = components(links)
-    of = classes.join(roots, "node", "left").select(F.col("f1"), F.col("f2"), F.coalesce("root", "node").alias("root"))
-    out = signed.select("doc_id", F.when(F.col("size") > 0, F.col("f1")).alias("f1"), "f2").join(of, ["f1", "f2"], "left")
-    return out.select(F.col("doc_id").alias(doc_col), F.coalesce("root", "doc_id").alias("class_id"))
+    # The class of a component has the smallest doc_id of its bags.
+    of = nodes.select("node", "f1", "f2", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = of.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = of.join(least, "root").select("f1", "f2", "class_id")
+    out = signed.select("doc_id", F.when(F.col("size") > 0, F.col("f1")).alias("f1"), "f2").join(named, ["f1", "f2"], "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -108,6 +108,58 @@ def test_hot_group_of_near_copies(spark):
     assert {x.class_id for x in got} == {0}
 
 
+def test_one_id_on_two_texts(spark):
+    r = random.Random(8)
+    a, b = ([f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join([*a, "x"])), (7, " ".join([*b, "x"])), (None, " ".join(a)), (None, "only here")]
+    got = Counter((x.doc_id, x.class_id) for x in minhash_dedup.near_duplicates(frame(spark, rows)).collect())
+    assert got == Counter({(5, 5): 2, (6, 5): 1, (7, 5): 1, (None, 5): 1, (None, None): 1})
+
+
+def hard_group(n=140, seed=2):
+    """Copies of one text changed a little or a lot, copies of its changed copies, and its beginnings of many lengths."""
+    r = random.Random(seed)
+    word = lambda: f"v{r.randrange(10**6)}"
+    base = [word() for _ in range(120)]
+    second = [w if r.random() > 0.06 else word() for w in base]
+    docs = []
+    for i in range(n):
+        w = list(r.choice((base, second)))
+        for _ in range(r.choice((1, 2, 4, 5, 6, 8, 12))):
+            w[r.randrange(len(w))] = word()
+        docs.append((i, " ".join(w)))
+    docs += [(n + k, " ".join(base[: 60 + k])) for k in range(0, 60, 4)]
+    return docs
+
+
+@pytest.mark.parametrize(("small", "rounds"), [(16, 12), (3, 12), (3, 1)])
+def test_hard_group_brute_force(spark, small, rounds):
+    docs = hard_group()
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(frame(spark, docs), small=small, rounds=rounds).collect()}
+    want = classes_of(docs)
+    assert got == want and len(set(want.values())) > 10
+
+
+def test_overlaps_brute_force(spark):
+    docs = corpus(seed=9, n=40)
+    texts = frame(spark, docs).selectExpr("doc_id as node", "text").filter("text is not null")
+    pairs = [(a, b) for a in (3, 7, 20) for b in range(40) if a != b]
+    got = minhash_dedup.overlaps(spark.createDataFrame(pairs, "pivot long, node long"), texts, "t", True).collect()
+    bags = {i: shingles(t) for i, t in docs}
+    assert {(x.pivot, x.node): (x.shared, len(x.extras)) for x in got} == {(a, b): (sum((bags[a] & bags[b]).values()), len(bags[b] - bags[a])) for a, b in pairs}
+
+
+def test_nothing_is_left_behind(spark):
+    from pathlib import Path
+
+    from tessella.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "tessella"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    minhash_dedup.near_duplicates(frame(spark, corpus(n=20))).collect()
+    assert [x.name.partition("-")[0] for x in set(folder.iterdir()) - before] == ["classes"]
+
+
 def test_near_duplicates_empty(spark):
     assert minhash_dedup.near_duplicates(frame(spark, [])).collect() == []
 
