@@ -41,7 +41,7 @@ def test_quality_brute_force(spark):
     for i, t, _, src in rows:
         if i is not None:
             for x in (t or "").split("\n"):
-                if split(x) and len(x.encode()) >= quality_rules.MIN_LINE:
+                if split(x):
                     hosts[(src, tuple(map(low, split(x))))].add(i)
     for i, t, _, src in rows:
         w = split(t)
@@ -52,7 +52,7 @@ def test_quality_brute_force(spark):
         lost = 0
         for x in lines:
             key = (src, tuple(map(low, split(x))))
-            if i is not None and len(x.encode()) >= quality_rules.MIN_LINE and len(hosts[key]) > 5 and i != min(hosts[key]):
+            if i is not None and len(hosts[key]) > 5 and i != min(hosts[key]):
                 lost += len(split(x))
         g = got[i]
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered))
@@ -63,6 +63,29 @@ def test_quality_brute_force(spark):
     assert quality_rules.quality_rules(frame(spark, [])).collect() == []
 
 
+def test_quality_one_id_on_two_texts(spark):
+    line = "this line is in very many of the documents"
+    own = [" ".join(f"{chr(97 + i)}{chr(97 + k)}" for k in range(20)) for i in range(12)]
+    rows = [(i, f"{line}\n{own[i]}", "en", "s") for i in range(8)] + [(3, f"one two three\n{own[9]}\n{line}\n{line}", "en", "s"), (5, f"{line}\n{own[5]}", "en", "s"), (6, "three words only", "en", "s"), (None, f"{line}\n{own[3]}", "en", "s")]
+    got = Counter((r.doc_id, r.n_words, r.n_lost_words, r.kept) for r in quality_rules.quality_rules(frame(spark, rows), max_docs=5).collect())
+    want = Counter({(0, 29, 0, True): 1, (5, 29, 9, True): 2, (3, 41, 18, False): 1, (6, 3, 0, False): 1, (None, 29, 0, True): 1} | {(i, 29, 9, True): 1 for i in (1, 2, 3, 4, 6, 7)})
+    want[(3, 41, 18, False)] = 0
+    repeated = [x for x in got if x[:2] == (3, 41)]
+    assert len(repeated) == 1 and repeated[0][2] == 18
+    assert got - Counter(repeated) == +want
+    clean = Counter((r.doc_id, r.text) for r in quality_rules.clean(frame(spark, rows), max_docs=5).collect())
+    assert clean[(1, own[1])] == 1 and clean[(5, own[5])] == 2 and clean[(0, f"{line}\n{own[0]}")] == 1 and (6, "three words only") not in clean
+    assert clean[(None, f"{line}\n{own[3]}")] == 1 and sum(clean.values()) == sum(r[3] * n for r, n in got.items())
+
+
+def test_quality_repeats_in_long_texts(spark):
+    """Counts of a long text without repeats, and of one with a single repeated window at its ends."""
+    words = [f"{k:x}" for k in range(200_000)]
+    rows = [(1, " ".join(words), "en", "s"), (2, " ".join([*words, *words[:5]]), "en", "s"), (3, "\n".join(words), "en", "s")]
+    got = {r.doc_id: (r.n_repeat_words, r.n_dup_lines) for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert got == {1: (0, 0), 2: (10, 0), 3: (0, 0)}
+
+
 def test_quality_short_lines(spark):
     """Short lines count in every document of a host, however they are indented."""
     rows = [(i, "Read more\n" * 9 + "own" + "abcdefgh"[i] + " words", "en", "s1") for i in range(8)] + [(20 + i, " " * 20 * (i % 2) + "短い行\none two three four five six seven eight nine ten", "en", "s2") for i in range(8)]
