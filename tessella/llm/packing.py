@@ -2,20 +2,24 @@
 
 The histogram of piece lengths (at most CAPACITY values, so it has a proven bound) goes to the driver.
 Its configuration LP - fewest sequences so that configurations cover the counts - is solved by
-multiplicative weights: each round prices the lengths, a knapsack dynamic program over the capacity finds
-the configuration worth most, and its count is added while the prices of what it covers sink. The
-fractional solution is rounded down; pieces it leaves over are packed best fit, longest first.
+multiplicative weights: each round prices the lengths, a bounded knapsack dynamic program over the capacity
+finds the configuration worth most among the pieces still open, and a share of sequences is given to it
+while the prices of what it covers sink. Configurations that leave room are no part of the plan. The
+fractional solution is rounded down, then up where pieces are left, largest fractions first; what it leaves
+over is packed best fit, longest first. Each shard keeps the better of this packing and plain best fit.
 
 Pieces are dealt by hash to shards of about SHARD pieces; each shard takes its share of the solution and
 packs its own rest, so no task holds more than a shard and a length that a third of all pieces share is
 spread. Only ids and lengths move, never texts.
 
 Tokens: the tokenizer's pre-tokens are independent of each other, so each worker encodes a pre-token once
-and keeps its ids in a cache of bounded size; a text's ids are gathered from there.
+and keeps its ids in a cache of bounded size, under a 64-bit hash; a text's ids are gathered from there. A
+text that holds a special token's string goes to the tokenizer as a whole.
 
 Defined cases: null text is an empty one and has the single id 0; documents over CAPACITY are cut into
-full pieces from their end, so the first may be shorter; repeated rows are packed each; an empty table
-gives an empty result; other columns are ignored.
+full pieces from their end, so the first may be shorter; a very long text goes through a worker by itself;
+pieces of equal length are taken in the order in which they come; repeated rows are packed each; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
-from tessella.session import materialize, ship
+from tessella.session import materialize, settle, ship
 
-CAPACITY, SHARD, ROUNDS, CACHE = 2048, 60_000, 400, 1_500_000
+CAPACITY, SHARD, ROUNDS, CACHE = 2048, 60_000, 200, 1_500_000
 U = np.uint64
 _SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTED = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -91,7 +95,8 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that are one token wherever they stand.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -112,6 +117,16 @@ class Coder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets by text); id 0 ends each text."""
+        odd = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        if not odd:
+            return self._gather(texts)
+        ids, at = self._gather(["" if i in set(odd) else t for i, t in enumerate(texts)])
+        parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+        for i in odd:
+            parts[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, 0], np.uint32)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+    def _gather(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
@@ -174,66 +189,74 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_col: s
 
 
 def knapsack(price: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length is in the configuration worth most, no length more often than its count allows."""
+    """How often each length is in the configuration worth most, no length more often than its count allows.
+
+    Each length goes in by bundles of 1, 2, 4, ... copies that add up to its bound."""
     value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, np.int64)
-    for room in range(1, capacity + 1):
-        fit = int(np.searchsorted(lengths, room, side="right"))
-        value[room], choice[room] = value[room - 1], -1
-        if fit:
-            worth = value[room - lengths[:fit]] + price[:fit]
-            k = int(worth.argmax())
-            if worth[k] > value[room]:
-                value[room], choice[room] = worth[k], k
+    bundles, taken = [], []
+    for k in np.flatnonzero(counts > 0):
+        size, left, copies = int(lengths[k]), int(min(counts[k], capacity // int(lengths[k]))), 1
+        while left > 0:
+            copies = min(copies, left)
+            room = copies * size
+            worth = value[: capacity + 1 - room] + copies * price[k]
+            better = worth > value[room:]
+            if better.any():
+                value[room:] = np.where(better, worth, value[room:])
+                bundles.append((int(k), copies, room))
+                taken.append(better)
+            left -= copies
+            copies *= 2
     used = np.zeros(len(lengths), np.int64)
-    room = capacity
-    while room > 0:
-        k = choice[room]
-        if k < 0:
-            room -= 1
-        else:
-            used[k] += 1
-            room -= int(lengths[k])
-    return np.minimum(used, counts)
-
-
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+    room = int(value.argmax())
+    for (k, copies, size), better in zip(reversed(bundles), reversed(taken), strict=True):
+        if room >= size and better[room - size]:
+            used[k] += copies
+            room -= size
+    return used
+
+
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, full: float = 1.0) -> list[tuple[np.ndarray, int]]:
     """Configurations and how many sequences of each, the rounded fractional solution; never more than the counts hold.
 
-    Each round adds the best-priced configuration by a share of the open counts and multiplies the prices of
-    lengths by exp(eta * (demand still open, relative to the mean)): what falls behind becomes dear."""
+    Each round adds the best-priced configuration by its step and multiplies the prices of lengths by
+    exp(-eta * (share covered, relative to the least)): what falls behind becomes dear. A configuration is
+    part of the solution if it fills the capacity to the share `full`."""
     if not len(lengths):
         return []
     demand = counts.astype(np.float64)
     covered = np.zeros(len(lengths))
     found: dict[bytes, float] = {}
-    log_price = np.log(lengths / capacity)
+    worth = np.log(lengths / capacity)
+    log_price = worth.copy()
     bound = float((lengths * counts).sum()) / capacity
     step = bound / rounds
+    eta = 4.0 * np.log(len(lengths) + 1)
     for _ in range(rounds):
-        price = np.exp(log_price - log_price.max())
-        config = knapsack(price, lengths, counts, capacity)
+        free = np.ceil(np.maximum(0.0, demand - covered) / max(1.0, step)).astype(np.int64)
+        config = knapsack(np.exp(log_price - log_price.max()), lengths, free, capacity)
         if not config.any():
             break
-        take = step
-        found[config.tobytes()] = found.get(config.tobytes(), 0.0) + take
-        covered += config * take
+        if (config * lengths).sum() >= full * capacity:
+            found[config.tobytes()] = found.get(config.tobytes(), 0.0) + step
+        covered = np.minimum(demand, covered + config * step)
         share = covered / demand
-        log_price = np.log(lengths / capacity) - 4.0 * np.maximum(0, share - share.min()) ** 1.0 * np.log(len(lengths) + 1)
+        log_price = worth - eta * (share - share.min())
     left = counts.copy()
-    out = []
-    for raw, amount in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+    times = {}
+    # Down first, then up by the largest fractions, both as far as pieces are left.
+    for raw, amount in [*sorted(((r, float(int(a))) for r, a in found.items()), key=lambda x: (-x[1], x[0])), *sorted(((r, a % 1) for r, a in found.items() if a % 1), key=lambda x: (-x[1], x[0]))]:
         config = np.frombuffer(raw, np.int64)
         some = config > 0
-        times = min(int(amount), int((left[some] // config[some]).min()))
-        if times > 0:
-            left -= config * times
-            out.append((config, times))
-    return out
+        n = min(int(np.ceil(amount)), int((left[some] // config[some]).min()))
+        if n > 0:
+            left -= config * n
+            times[raw] = times.get(raw, 0) + n
+    return [(np.frombuffer(raw, np.int64), n) for raw, n in times.items()]
 
 
-def pack_lengths(length: np.ndarray, lengths: np.ndarray, plan: list[tuple[np.ndarray, int]], share: float, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece: its share of the plan, the rest best fit with the longest first."""
+def _place(length: np.ndarray, lengths: np.ndarray, plan: list[tuple[np.ndarray, int]], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sequence, offset) of each piece and the number of sequences: the plan, as far as pieces are there, the rest best fit with the longest first."""
     order = np.argsort(length, kind="stable")
     ranked = length[order]
     begin = {int(x): int(i) for x, i in zip(*np.unique(ranked, return_index=True), strict=True)}
@@ -242,7 +265,7 @@ def pack_lengths(length: np.ndarray, lengths: np.ndarray, plan: list[tuple[np.nd
     made = 0
     for config, times in plan:
         used = [(int(lengths[k]), int(config[k])) for k in np.flatnonzero(config)]
-        n = min([round(times * share), *(have.get(x, 0) // c for x, c in used)])
+        n = min([times, *(have.get(x, 0) // c for x, c in used)])
         if n <= 0:
             continue
         at = 0
@@ -272,25 +295,42 @@ def pack_lengths(length: np.ndarray, lengths: np.ndarray, plan: list[tuple[np.nd
             if room > x:
                 rooms[room - x].append(s)
                 open_rooms |= 1 << (room - x)
-    return sequence, offset
+    return sequence, offset, made
+
+
+def pack_lengths(length: np.ndarray, lengths: np.ndarray, plan: list[tuple[np.ndarray, int]], shard: int = 0, shards: int = 1, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each piece of a shard: by its share of the plan, or as much of it as needs no more sequences than plain best fit."""
+    own = [(config, times * (shard + 1) // shards - times * shard // shards if times >= shards else int((shard + i) % shards < times)) for i, (config, times) in enumerate(plan)]
+    # Few small pieces may be left to fill the last gaps; then the shard takes the largest part of the plan that costs no sequence.
+    ends = np.cumsum([times for _, times in own])
+    parts = (_place(length, lengths, own[: int((ends <= part * ends[-1]).sum())] if own else [], capacity) for part in (1, 0.75, 0.5, 0.25, 0))
+    best = next(parts)
+    for other in parts:
+        if best[2] <= -(-int(length.sum()) // capacity):  # none can need fewer
+            break
+        best = min(best, other, key=lambda x: x[2])
+    return best[:2]
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: int = SHARD, rounds: int = ROUNDS, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     ship(docs.sparkSession)
+    return settle(docs.sparkSession, lambda: _packed(docs, tokenizer, capacity, shard, rounds, doc_col, text_col), "packed")
+
+
+def _packed(docs: DataFrame, tokenizer: str, capacity: int, shard: int, rounds: int, doc_col: str, text_col: str) -> DataFrame:
     rows = materialize(pieces(docs, tokenizer, capacity, doc_col, text_col), "pieces")
     histogram = np.array(sorted((r.length, r.n) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()), np.int64).reshape(-1, 2)  # at most `capacity` rows
     lengths, counts = histogram[:, 0], histogram[:, 1]
-    total = int(counts.sum())
     plan = configurations(lengths, counts, capacity, rounds)
-    shards = max(1, -(-total // shard))
+    shards = max(1, -(-int(counts.sum()) // shard))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
-        length = part["length"].to_numpy()
-        sequence, offset = pack_lengths(length, lengths, plan, len(part) / total, capacity)
+        own = int(part["shard"].iloc[0])
+        sequence, offset = pack_lengths(part["length"].to_numpy(), lengths, plan, own, shards, capacity)
         out = part[["doc_id", "piece", "start", "length", "ids_crc32"]].astype({"piece": "int32"})
-        return out.assign(sequence_id=sequence * shards + part["shard"].to_numpy(), offset=offset)
+        return out.assign(sequence_id=sequence * shards + own, offset=offset)
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(work, schema)
