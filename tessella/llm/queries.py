@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import chat_format, html_extract, language_id, license_scan, line_dedup, media, minhash_dedup, mixing, packing, quality_rules
+from tessella.session import settle
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,7 +55,11 @@ ODD_CONVERSATION = ((-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "ass
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.sql("SELECT " + "explode(array(" + ", ".join(f"named_struct('conv_id', {c}L, 'turn', {t}L, 'role', '{r}', 'text', r'{x}')" for c, t, r, x in ODD_CONVERSATION) + ")) AS x").select("x.*")
-    back = chat_format.read_back(chat_format.windows(turns.unionByName(odd)))
+    return settle(spark, lambda: _chat_digest(turns.unionByName(odd)), "chat")
+
+
+def _chat_digest(turns: DataFrame) -> DataFrame:
+    back = chat_format.read_back(chat_format.windows(turns))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -126,17 +131,27 @@ def _chat_sql() -> str:
     return f"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL {odd}),
 heads AS (SELECT *, '### ' || {escaped("role", 4)} || ': ' AS head, {escaped("text", 3)} AS body FROM turns),
-sized AS (SELECT *, length(head) + length(body) + 8 AS chars, CASE WHEN role = 'system' THEN 0 ELSE ceil((length(head) + length(body) + 8) / 4.0) END AS new FROM heads),
-placed AS (
-  SELECT *, row_number() OVER o AS pos, sum(new) OVER (PARTITION BY conv_id ORDER BY turn, head, body ROWS UNBOUNDED PRECEDING) - new AS before
-  FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn, head, body)
+sized AS (
+  SELECT *, length(head) + length(body) + 8 AS chars, ceil((length(head) + length(body) + 8) / 4.0)::BIGINT AS size, role = 'system' AS fixed,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, head, body) AS pos FROM heads
+),
+kept AS (SELECT conv_id, coalesce(sum(size) FILTER (fixed), 0) AS fixed_size FROM sized GROUP BY conv_id),
+rooms AS (
+  SELECT conv_id, fixed_size, least({chat_format.HISTORY}, greatest({chat_format.BUDGET} - fixed_size, 1) // 4) AS past,
+    greatest(greatest({chat_format.BUDGET} - fixed_size, 1) - least({chat_format.HISTORY}, greatest({chat_format.BUDGET} - fixed_size, 1) // 4), 1) AS room FROM kept
+),
+kinds AS (SELECT s.*, fixed_size, past, room, CASE WHEN NOT fixed AND 2 * size > room THEN 1 ELSE 0 END AS alone FROM sized s JOIN rooms USING (conv_id)),
+running AS (
+  SELECT *, coalesce(sum(CASE WHEN fixed OR alone = 1 THEN 0 ELSE size END) OVER o, 0) AS before, coalesce(sum(alone) OVER o, 0) AS larger
+  FROM kinds WINDOW o AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
-windowed AS (SELECT *, floor(before / {chat_format.BUDGET}) AS win FROM placed),
-stops AS (SELECT conv_id, win, max(before + new) AS stop, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS after FROM windowed GROUP BY conv_id, win),
-many AS (SELECT conv_id, count(*) AS n FROM stops GROUP BY conv_id),
+windowed AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY 2 * larger + alone, 2 * before // room) AS win FROM running),
+spans AS (SELECT conv_id, win, coalesce(sum(size) FILTER (NOT fixed), 0) AS own, any_value(fixed_size) AS fixed_size, any_value(past) AS past FROM windowed GROUP BY conv_id, win),
+many AS (SELECT conv_id, max(win) AS n FROM spans GROUP BY conv_id),
+tails AS (SELECT *, sum(CASE WHEN fixed THEN 0 ELSE size END) OVER (PARTITION BY conv_id, win ORDER BY pos DESC) AS tail FROM windowed),
 copies AS (
-  SELECT w.*, CASE WHEN role = 'system' THEN n WHEN after IS NOT NULL AND stop - before <= {chat_format.HISTORY} THEN 2 ELSE 1 END AS times
-  FROM windowed w JOIN stops USING (conv_id, win) JOIN many USING (conv_id)
+  SELECT t.*, CASE WHEN t.fixed THEN n WHEN tail <= greatest(least(s.past, {chat_format.BUDGET} - s.fixed_size - s.own), 0) THEN 2 ELSE 1 END AS times
+  FROM tails t JOIN many USING (conv_id) LEFT JOIN spans s ON s.conv_id = t.conv_id AND s.win = t.win + 1
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
