@@ -13,8 +13,9 @@ Defined cases: null html is an empty page with empty text; unclosed tags end wit
 starts no tag is text; scripts, styles, templates and other unseen elements have no text. Without an end tag
 of its own, script, style, title and textarea take the rest of the page as in HTML, the others end at the next
 start or end of a block; an open head ends where text or a tag begins that a head can't hold, and `/>` closes
-svg and math. A page without any tag is a single run; repeated rows each get a row; an empty table gives an empty result;
-other columns are ignored.
+svg and math. A page without any tag is a single run; a run that is as likely content as not is left out; repeated rows
+each get a row; an empty table gives an empty result; other columns are ignored. Very long pages go through a worker by
+themselves, in time linear in their length. Labels are read from training pages only: `data-y` of other pages says nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ from tessella.session import ship
 TRAINING_PAGES, SMOOTHING = 1200, 0.5
 #: Powers of the likelihoods by kind of feature: those of one node aren't independent of each other.
 WEIGHTS = {"t": 0.5, "n": 0.1, "l": 1.0, "c": 2.0, "u": 1.0}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+_START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|data-y)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of HTML: elements whose content is not seen as text, elements without content, and inline elements.
@@ -52,10 +54,52 @@ _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|center|dd|deta
 _AFTER_HEAD = re.compile(r"</head\b[^>]*>?|(?=<body\b)", re.I)
 
 
+class Tags:
+    """The tags and comments of a page, found in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        #: Places outside quotes from which no `>` outside quotes follows.
+        self.dead: set[int] = set()
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, lowered name, attributes) of the next one; a comment has no name."""
+        page = self.page
+        while m := _START.search(page, at):
+            if m[2]:
+                if (end := self._end(m.end())) > 0:
+                    return m.start(), end, bool(m[1]), m[2].lower(), page[m.end() : end - 1]
+                at = m.end()
+                continue
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = page.find(mark, m.end())
+            return m.start(), len(page) if end < 0 else end + len(mark), False, "", ""
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name ends at this place: after the first `>` outside quotes, else after the first one; 0 without any."""
+        if at > self.last[">"]:
+            return 0
+        passed, p = [], at
+        while p not in self.dead and (stop := _STOP.search(self.page, p)):
+            c = stop[0]
+            if c == ">":
+                return stop.end()
+            if stop.end() > self.last[c]:
+                break
+            passed.append(p)
+            p = self.page.index(c, stop.end()) + 1
+        self.dead.update(passed)
+        self.dead.add(p)
+        return self.page.index(">", at) + 1
+
+
 class Nodes:
-    """Nodes of one or more pages, parents before children."""
+    """Nodes of one or more pages, parents before children; with labels where the pages are labelled ones."""
 
-    def __init__(self):
+    def __init__(self, labelled: bool = False):
+        self.labelled = labelled
         self.parent: list[int] = []
         self.depth: list[int] = []
         self.names: list[list[str]] = []
@@ -77,7 +121,7 @@ class Nodes:
         return len(self.parent) - 1
 
 
-def _names(tag: str, attrs: str) -> tuple[list[str], int]:
+def _names(attrs: str, labelled: bool) -> tuple[list[str], int]:
     """Feature names of an element, and its label if it has one."""
     names, label = [], -1
     if attrs and attrs.strip():
@@ -88,7 +132,7 @@ def _names(tag: str, attrs: str) -> tuple[list[str], int]:
             elif key == "role":
                 names.append("r=" + value.lower())
             elif key == "data-y":
-                label = int(value or -1)
+                label = int(value) if labelled else -1
             elif key in ("hidden", "aria-hidden") and value != "false" or key == "style" and "display:none" in value.replace(" ", ""):
                 names.append("hidden")
     return names, label
@@ -102,13 +146,12 @@ def _unseen_ends(page: str) -> dict[int, int]:
     """Where unseen elements with an end tag of their own end, by the end of their start tag; in one pass."""
     ends: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
-    at = 0
-    while m := _TAG.search(page, at):
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    at, tags = 0, Tags(page)
+    while found := tags.after(at):
+        _, at, closing, tag, attrs = found
         if tag not in UNSEEN or tag == "head":
             continue
-        if m[1] or m[4]:
+        if closing:
             if opened.get(tag):
                 ends[opened[tag].pop()] = at
         elif tag in _RAW:
@@ -116,16 +159,16 @@ def _unseen_ends(page: str) -> dict[int, int]:
             if end is None:
                 break
             ends[at] = at = end.end()
-        elif not _closed(tag, m):
+        elif not _closed(tag, attrs):
             opened.setdefault(tag, []).append(at)
     return ends
 
 
-def _closed(tag: str, m: re.Match) -> bool:
-    return tag in ("svg", "math") and (m[3] or m[6] or "").endswith("/")
+def _closed(tag: str, attrs: str) -> bool:
+    return tag in ("svg", "math") and attrs.endswith("/")
 
 
-def _after_head(page: str, at: int) -> int:
+def _after_head(page: str, tags: Tags, at: int) -> int:
     """Where a head ends that begins at this place."""
     n = len(page)
     end = _AFTER_HEAD.search(page, at)
@@ -133,17 +176,15 @@ def _after_head(page: str, at: int) -> int:
         if end and at > end.start():
             end = _AFTER_HEAD.search(page, at)
         stop, after = (end.start(), end.end()) if end else (n, n)
-        m = _TAG.search(page, at)
-        upto = min(stop, m.start()) if m else stop
+        found = tags.after(at)
+        upto = min(stop, found[0]) if found else stop
         if page[at:upto].strip():
             return at
-        if m is None or m.start() >= stop:
+        if found is None or found[0] >= stop:
             return after
-        tag = (m[2] or m[5] or "").lower()
-        closing = bool(m[1] or m[4])
+        start, at, closing, tag, _ = found
         if tag and not closing and tag not in _HEAD:
-            return m.start()
-        at = m.end()
+            return start
         if tag in UNSEEN and tag != "head" and not closing:
             close = _end_tag(tag, page, at)
             if close is None or close.start() > stop:
@@ -152,9 +193,31 @@ def _after_head(page: str, at: int) -> int:
             at = close.end()
 
 
+class _Stack:
+    """The open elements; the lowest open one of a name is found without a search."""
+
+    def __init__(self, root: int):
+        self.open: list[tuple[str, int]] = [("#root", root)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, node))
+
+    def lowest(self, names: Iterable[str]) -> int:
+        """The place of the lowest open element of these names, 0 without any."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def close(self, place: int) -> None:
+        """Ends the element at a place, and all that it holds; place 0 ends none."""
+        while place and len(self.open) > place:
+            self.places[self.open.pop()[0]].pop()
+
+
 def parse(page: str, nodes: Nodes) -> None:
     """Appends the page's nodes; the root first."""
-    stack: list[tuple[str, int]] = [("#root", nodes.add(-1, ["t=#root"], 1, tag="#root"))]
+    stack = _Stack(nodes.add(-1, ["t=#root"], 1, tag="#root"))
+    tags = Tags(page)
     run: list[str] = []
     linked, in_link, at, n = 0, 0, 0, len(page)
     ends: dict[int, int] | None = None
@@ -164,72 +227,56 @@ def parse(page: str, nodes: Nodes) -> None:
         if run:
             text = " ".join(entities.unescape("".join(run)).split())
             if text:
-                nodes.add(stack[-1][1], [f"t={stack[-1][0]}>#text"], -1, text, min(linked, len(text)), "#text")
+                name, node = stack.open[-1]
+                nodes.add(node, [f"t={name}>#text"], -1, text, min(linked, len(text)), "#text")
             run.clear()
         linked = 0
 
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            run.append(page[at:])
-            if in_link:
-                linked += n - at
-            break
-        if m.start() > at:
-            run.append(page[at : m.start()])
+        found = tags.after(at)
+        start, end, closing, tag, attrs = found or (n, n, False, "", "")
+        if start > at:
+            run.append(page[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            continue
-        tag = tag.lower()
-        closing = bool(m[1] or m[4])
+                linked += start - at
+        at = end
         if tag in UNSEEN:
             if not closing:
                 if tag == "head":
-                    at = _after_head(page, at)
-                elif not _closed(tag, m):
+                    at = _after_head(page, tags, at)
+                elif not _closed(tag, attrs):
                     if ends is None:
                         ends = _unseen_ends(page)
                     block = None if at in ends or tag in _RAW else _BLOCK.search(page, at)
                     at = ends.get(at) or (block.start() if block else n)
                 run.append(" ")
-            continue
-        if tag in INLINE:
+        elif tag in INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
-            continue
-        if tag in VOID:
+        elif tag in VOID:
             run.append(" ")
             if tag == "hr":
                 flush()
-            continue
-        flush()
-        in_link = 0
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            continue
-        if stack[-1][0] == "p":
-            stack.pop()
-        if tag in _ENDS:
-            group, bound = _ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in bound:
-                    break
-                if stack[k][0] in group:
-                    del stack[k:]
-                    break
-        if tag in ("html", "body"):
-            continue
-        names, label = _names(tag, m[3] or m[6] or "")
-        if tag in ("div", "section") and not any(x.startswith("c=") for x in names):
-            names.append(f"u={stack[-1][0]}>{tag}")  # unnamed
-        names.append(f"t={stack[-1][0]}>{tag}")
-        stack.append((tag, nodes.add(stack[-1][1], names, label, tag=tag)))
+        elif tag:
+            flush()
+            in_link = 0
+            if closing:
+                stack.close(stack.lowest((tag,)))
+                continue
+            if stack.open[-1][0] == "p":
+                stack.close(len(stack.open) - 1)
+            if tag in _ENDS:
+                group, bound = _ENDS[tag]
+                if (place := stack.lowest(group)) > stack.lowest(bound):
+                    stack.close(place)
+            if tag in ("html", "body"):
+                continue
+            above = stack.open[-1]
+            names, label = _names(attrs, nodes.labelled)
+            if tag in ("div", "section") and not any(x.startswith("c=") for x in names):
+                names.append(f"u={above[0]}>{tag}")  # unnamed
+            names.append(f"t={above[0]}>{tag}")
+            stack.push(tag, nodes.add(above[1], names, label, tag=tag))
     flush()
 
 
@@ -255,7 +302,7 @@ class Model:
         seen: list[Counter] = [Counter(), Counter()]
         moves = np.full((2, 2), 1.0)
         for page in pages:
-            nodes = Nodes()
+            nodes = Nodes(labelled=True)
             parse(page, nodes)
             size, linked = _total(nodes)
             label = list(nodes.label)

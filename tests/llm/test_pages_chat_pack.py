@@ -27,7 +27,7 @@ def model():
 def test_pages_held_out(model):
     wrong = total = 0
     for page in labelled_pages.pages(200, seed=77):
-        nodes = html_extract.Nodes()
+        nodes = html_extract.Nodes(labelled=True)
         html_extract.parse(page, nodes)
         kept = model.marginals(nodes) > 0.5
         for t, k, y in zip(nodes.text, kept, labels_of(nodes), strict=True):
@@ -82,6 +82,59 @@ def test_unclosed_unseen(model):
     assert html_extract.extract_texts(["<p>Words that come before it all.</p>" + "<button>" * 20_000], model) == ["Words that come before it all."]
 
 
+def test_labels_of_real_pages_say_nothing(model):
+    body = "<article><h1>Title</h1><p>Some text in a paragraph that is long enough.</p></article>"
+    want = html_extract.extract_texts([body], model)[0]
+    odd = [body.replace("<article", f"<article data-y={y}") for y in ("left", "0", "", "'1 2'")]
+    assert html_extract.extract_texts(odd, model) == [want] * 4
+
+
+def test_odd_tags_take_linear_time(model):
+    import time
+
+    parts = ["<a ", "<a '", '<a "\'', "<div></p></span>", "<div><li></li>", "</x>", "<!-- ", "<button>", "<li><ul><div><li></li>", '<a ">', "<td><table>", "<a <b '>'", "&amp", "<title>"]
+    began = time.time()
+    for part in parts:
+        assert len(html_extract.extract_texts([part * 20_000 + "<p>end</p>"], model)) == 1
+    assert time.time() - began < 60
+
+
+def test_tags_as_the_pattern_says():
+    """Against the definition as one regular expression."""
+    import re
+
+    pattern = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+    r = random.Random(5)
+    for _ in range(3000):
+        page = "".join(r.choice(("<a", "</b", "<!--", "-->", "<!x", "<", ">", '"', "'", " ", "c", "=", "<p>")) for _ in range(r.randint(0, 24)))
+        tags, at, got = html_extract.Tags(page), 0, []
+        while found := tags.after(at):
+            got.append(found)
+            at = found[1]
+        want = [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in pattern.finditer(page)]
+        assert got == want, page
+
+
+def article_of(page):
+    """The text of the pages of the table, by what their author wrote: blocks of the article that are neither advert nor comment."""
+    import html
+    import re
+
+    inner = page[page.index("<article") : page.index("</article>")]
+    inner = re.sub(r"<!--.*?-->|<script.*?</script>|<style.*?</style>|<form.*?</form>", " ", inner, flags=re.S)
+    assert not re.search(r"<(?:div|aside|nav|section)", inner), inner
+    blocks = re.split(r"<(?:/?(?:article|p|h[1-6]|ul|ol|li|blockquote|pre|table|tr|td|div))\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?(?!br)[a-z][^>]*>", "", b))).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
+def test_pages_of_the_table(spark, model):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r.html and "<article" in r.html and "</article>" in r.html]
+    got = html_extract.extract_texts(pages, model)
+    right = sum(a == article_of(b) for a, b in zip(got, pages, strict=True))
+    assert right >= 0.98 * len(pages) and len(pages) > 100
+
+
 def test_extract_frame(spark, model):
     df = spark.createDataFrame([(1, "u", "<article><p>some text that is here</p></article>", "z"), (2, None, None, "z"), (2, None, None, "z")], "page_id long, url string, html string, text string")
     rows = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df, model).collect())
