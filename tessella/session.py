@@ -72,12 +72,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 _written = threading.local()
 
 
-def materialize(df, name: str):
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it back."""
     path = scratch(df.sparkSession, name)
     if stack := getattr(_written, "stack", None):
         stack[-1].append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
