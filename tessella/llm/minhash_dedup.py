@@ -8,15 +8,18 @@ weighted Jaccard similarity. Points come in order of time, so a document stops a
 slots are filled.
 
 Bags that agree in a band of slots meet in a group. Links are verified on the multisets of whole texts:
-sum of min counts / sum of max counts >= 0.8. A group makes no pairs of all its members. Each round takes
-one pivot of a group (the member that meets the most others, a count linear in the group), works out the
-exact overlap of every member with it and joins the similar ones. With a(x) units of x inside the pivot and
-n(x) in all, two members x, y share at most min(a(x), a(y)) units plus what they share of their extras
-outside the pivot; similar ones share 4/9 (n(x) + n(y)) at least. So two members of different components
-can only be similar if they have an extra in common, or if both lie inside the pivot far enough for
-9 min(a(x), a(y)) >= 4 (n(x) + n(y)). Those who share an extra, and those inside the pivot by size, make the
-smaller groups of the next round. Groups of up to SMALL members end in pairs, so the pairs stay linear in the
-members. After ROUNDS rounds what is left ends in pairs whatever its size, so that no link is lost.
+sum of min counts / sum of max counts >= 0.8. A group makes no pairs of all its members. First it takes one
+pivot (the member that meets the most others, a count linear in the group), works out the exact overlap of
+every member with it and joins the similar ones. Where a group's members are then still in several
+components, and its pairs across components are no more than SMALL for each member, those pairs are
+compared. The members of other groups get a second, longer signature with bands of STRICT_ROWS slots, so many
+of them that two bags of similarity 0.8 meet as before, but less similar ones rarely do; its groups end in
+the same way, and those with more pairs take pivots in turn, each without the pivots before. After
+ROUNDS pivots what is left ends in pairs whatever its number.
+
+Pairs that can't be similar are not verified: with a(x) units of x inside a pivot p, x and y share
+a(x) + a(y) - n(p) units, what both lack of p, and what both have beyond p. Of either set a member keeps a
+bit map of BITS buckets, and the buckets that two members have in common bound what they share there.
 
 Defined cases: null text is an empty one; a document without a word is in a class of its own; one with 1
 to 4 words has one shingle of them all; equal bags are one node, so copies never make pairs, and one doc_id
@@ -40,8 +43,12 @@ from tessella.session import materialize, settle, ship
 
 SLOTS, ROWS, BANDS, SHINGLE = 168, 6, 28, 5
 NUM, DEN = 4, 5  # similarity 0.8
-#: Groups of up to SMALL members end in pairs; larger ones do so after ROUNDS rounds only.
-SMALL, ROUNDS = 16, 12
+#: Groups end in pairs where these are up to SMALL for each member; others do so after ROUNDS pivots only.
+SMALL, ROUNDS = 64, 3
+#: Buckets of the bit maps, 64 in each long.
+BITS = 512
+#: The second signature: two bags of similarity 0.8 meet in none of its bands with a chance of 1 in 1,000.
+STRICT_ROWS, STRICT_BANDS = 14, 153
 #: So many members are compared with one copy of a pivot's text.
 STAR = 64
 #: Ids of up to so many documents are broadcast (8 bytes each); beyond, the join shuffles.
@@ -114,15 +121,32 @@ def _bag_of(column: pa.Array) -> Iterator[tuple[int, int, tuple]]:
         yield i, j, tb.bags(doc, value)
 
 
+def banded(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """A hash of each band of so many slots."""
+    bits = tb.mix(signature.view(np.uint64))
+    out = np.zeros((len(bits), bands), np.uint64)
+    for r in range(rows):
+        out += bits[:, r : bands * rows : rows] * tb._PLACE[r]
+    return tb.mix(out + np.arange(bands, dtype=np.uint64))
+
+
+def _lists(bands: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1).view(np.int64)))
+
+
+def _sign_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, (doc, element, count) in _bag_of(batch.column(1)):
+            # Other elements, so other points than those of the first signature.
+            bands = banded(signatures(doc, element ^ U(0x5DEECE66D), count, j - i, STRICT_ROWS * STRICT_BANDS), STRICT_ROWS, STRICT_BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(bands)], ["node", "bands"])
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, (doc, element, count) in _bag_of(batch.column(2)):
             n = j - i
-            bits = tb.mix(signatures(doc, element, count, n).view(np.uint64))
-            bands = np.zeros((n, BANDS), np.uint64)
-            for r in range(ROWS):
-                bands += bits[:, r : BANDS * ROWS : ROWS] * tb._PLACE[r]
-            bands = tb.mix(bands + np.arange(BANDS, dtype=np.uint64))
+            bands = banded(signatures(doc, element, count, n), ROWS, BANDS)
             prints = []
             for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
                 each = tb.mix(element ^ U(salt)) * count.astype(np.uint64)
@@ -130,62 +154,61 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(total, doc, each)
                 prints.append(tb.mix(total + U(salt)))
             size = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(size), *(pa.array(p.view(np.int64)) for p in prints), lists], ["doc_id", "t", "size", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(size), *(pa.array(p.view(np.int64)) for p in prints), _lists(bands)], ["doc_id", "t", "size", "f1", "f2", "bands"])
         del batch
         pa.default_memory_pool().release_unused()
 
 
-def _against_pivots(extras: bool):
-    """Rows (pivot, salt, role, node, text) come sorted; each pivot's text is followed by its members'. Per member: the
-    units it shares with the pivot and, with extras, the elements of which it has more."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for batch in batches:
-            roles = batch.column(2).to_numpy()
-            for i, j, (doc, element, count) in _bag_of(batch.column(4)):
-                is_pivot = roles[i:j] == 0
-                segment = np.cumsum(is_pivot).astype(np.uint64)  # 0: the pivot of an earlier chunk
-                key = (segment[doc] << U(44)) | element
-                of_pivot = is_pivot[doc]
-                keys = np.concatenate((last[0], key[of_pivot]))
-                counts = np.concatenate((last[1], count[of_pivot]))
-                if is_pivot.any():
-                    mine = of_pivot & (doc == np.flatnonzero(is_pivot)[-1])
-                    last = (element[mine], count[mine])
-                doc, element, count, key = doc[~of_pivot], element[~of_pivot], count[~of_pivot], key[~of_pivot]
-                at = np.searchsorted(keys, key)
-                have = np.zeros(len(key), np.int64)
-                inside = at < len(keys)
-                hit = inside.copy()
-                hit[inside] = keys[at[inside]] == key[inside]
-                have[hit] = np.minimum(counts[at[hit]], count[hit])
-                members = np.flatnonzero(~is_pivot)
-                shared = np.bincount(doc, weights=have, minlength=j - i).astype(np.int64)[members]
-                take = pa.array(members)
-                cols = [batch.column(0).slice(i, j - i).take(take), batch.column(3).slice(i, j - i).take(take), pa.array(shared)]
-                if extras:
-                    more = count > have
-                    ends = np.searchsorted(doc[more], members, side="right")
-                    begin = np.concatenate(([0], ends)).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(begin), pa.array(element[more].astype(np.int64))))
-                yield pa.RecordBatch.from_arrays(cols, ["pivot", "node", "shared", "extras"][: len(cols)])
-            del batch
-            pa.default_memory_pool().release_unused()
-
-    return work
-
-
-def overlaps(stars: DataFrame, texts: DataFrame, name: str, extras: bool = False) -> DataFrame:
-    """(pivot, node, shared units, with extras the elements outside the pivot) of the distinct pairs (pivot, node); a pivot's text goes along once for STAR members."""
+def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pivot, salt, role, node, text) come sorted; each pivot's text is followed by its members'. Per member: the units
+    it shares with the pivot, and the buckets of the elements of which it has more and of which it has less than the pivot."""
+    last = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for batch in batches:
+        roles = batch.column(2).to_numpy()
+        for i, j, (doc, element, count) in _bag_of(batch.column(4)):
+            is_pivot = roles[i:j] == 0
+            segment = np.cumsum(is_pivot).astype(np.uint64)  # 0: the pivot of an earlier chunk
+            key = (segment[doc] << U(44)) | element
+            of_pivot = is_pivot[doc]
+            keys = np.concatenate((last[0], key[of_pivot]))
+            counts = np.concatenate((last[1], count[of_pivot]))
+            if is_pivot.any():
+                mine = of_pivot & (doc == np.flatnonzero(is_pivot)[-1])
+                last = (element[mine], count[mine])
+            doc, element, count, key = doc[~of_pivot], element[~of_pivot], count[~of_pivot], key[~of_pivot]
+            at = np.searchsorted(keys, key)
+            have = np.zeros(len(key), np.int64)
+            inside = at < len(keys)
+            hit = inside.copy()
+            hit[inside] = keys[at[inside]] == key[inside]
+            have[hit] = np.minimum(counts[at[hit]], count[hit])
+            members = np.flatnonzero(~is_pivot)
+            shared = np.bincount(doc, weights=have, minlength=j - i).astype(np.int64)[members]
+            # Buckets of the pivots' elements, less those that a member has in full.
+            row = np.cumsum(~is_pivot) - 1
+            bucket = lambda e: (tb.mix(e) & U(BITS - 1)).astype(np.int64)
+            more = count > have
+            extra = np.zeros(len(members) * BITS, bool)
+            extra[row[doc[more]] * BITS + bucket(element[more])] = True
+            full = np.zeros(len(key), bool)
+            full[hit] = have[hit] == counts[at[hit]]
+            total = np.bincount((keys >> U(44)).astype(np.int64) * BITS + bucket(keys & U((1 << 44) - 1)), minlength=(int(segment[-1]) + 1) * BITS).reshape(-1, BITS)
+            missing = total[segment[members].astype(np.int64)].reshape(-1) > np.bincount(row[doc[full]] * BITS + bucket(element[full]), minlength=len(members) * BITS)
+            take = pa.array(members)
+            maps = [pa.ListArray.from_arrays(pa.array(np.arange(len(members) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.packbits(x).view(np.int64))) for x in (extra, missing)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(take), batch.column(3).slice(i, j - i).take(take), pa.array(shared), *maps], ["pivot", "node", "shared", "extra", "missing"])
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def overlaps(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pivot, node, shared units, bit maps extra and missing) of the distinct pairs (pivot, node); a pivot's text goes along once for STAR members."""
     sizes = stars.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).alias("salts"))
     dealt = stars.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node")
     rows = dealt.select("pivot", "salt", F.lit(1).alias("role"), "node").unionAll(dealt.select("pivot", "salt", F.lit(0).alias("role"), F.col("pivot").alias("node")).distinct())
     full = rows.join(texts, "node").select("pivot", "salt", "role", "node", "text")
     full = full.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
-    schema = "pivot long, node long, shared long" + ", extras array<long>" * extras
-    return materialize(full.mapInArrow(_against_pivots(extras), schema), name)
+    return materialize(full.mapInArrow(_against_pivots, "pivot long, node long, shared long, extra array<long>, missing array<long>"), "overlaps")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,28 +248,38 @@ def _pivots(groups: DataFrame) -> DataFrame:
     return groups.join(ranked, "key")
 
 
-def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members, with their roots, of groups that lie in several components."""
+def _open(groups: DataFrame, roots: DataFrame, small: int) -> DataFrame:
+    """The members, with their roots, of groups that lie in several components; few: whether the pairs across them are up to small for each member."""
     placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
+    parts = placed.groupBy("key", "root").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts"))
+    spread = parts.filter("parts > 1").select("key", (F.col("n") * F.col("n") - F.col("within") <= 2.0 * small * F.col("n")).alias("few"))
     return placed.join(spread, "key")
 
 
-def _next(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, node): the groups that the members (pivot, node, root, shared) of open groups fall into."""
-    rows = members.join(nodes.select("node", "size"), "node")
-    # Inside the pivot: both have 4/5 of their units there, and one of them is smaller than the pivot.
-    size = nodes.select(F.col("node").alias("pivot"), F.col("size").alias("np"))
-    step = F.floor(F.log(F.col("size").cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("long")
-    inside = rows.filter(f"{DEN} * shared >= {NUM} * size").join(size, "pivot").select("pivot", "node", "root", "np", "size", F.explode(F.array(step, step + 1)).alias("step"))
-    key = F.xxhash64("pivot", "step").alias("key")
-    fit = inside.groupBy("pivot", "step").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.col("size") - F.col("np")).alias("least")).filter("lo < hi and least < 0")
-    first = inside.join(fit.select("pivot", "step"), ["pivot", "step"]).select(key, "node")
-    more = overlaps(rows.select("pivot", "node").distinct(), texts, "extras", True)
-    each = more.join(members.select("pivot", "node", "root").distinct(), ["pivot", "node"]).select("pivot", "node", "root", F.explode("extras").alias("e"))
-    both = each.groupBy("pivot", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("pivot", "e")
-    second = each.join(both, ["pivot", "e"]).select(F.xxhash64("pivot", "e").alias("key"), "node")
-    return first.unionAll(second).distinct()
+def _measured(stars: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The overlaps with what their bounds need: size, that of the pivot, and the units that share a bucket with others."""
+    bits = lambda x: " + ".join(f"bit_count({x}[{k}])" for k in range(BITS // 64))
+    sized = stars.join(sizes, "node").join(sizes.select(F.col("node").alias("pivot"), F.col("size").alias("np")), "pivot")
+    return sized.withColumns({"xo": F.expr(f"size - shared - ({bits('extra')})"), "mo": F.expr(f"np - shared - ({bits('missing')})")})
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """(pivot, node): the pairs of members of a group that lie in different components and may be similar, as far as a pivot that they have in common tells."""
+    cols = ("node", "root", "size", "pivot", "shared", "np", "extra", "missing", "xo", "mo")
+    a, b = (members.select("key", *(F.col(c).alias(f"{c}{k}") for c in cols)) for k in "ab")
+    both = lambda x: " + ".join(f"bit_count({x}a[{k}] & {x}b[{k}])" for k in range(BITS // 64))
+    lacking = f"least(npa - shareda, npa - sharedb, {both('missing')} + least(moa, mob))"
+    beyond = f"least(sizea - shareda, sizeb - sharedb, {both('extra')} + least(xoa, xob))"
+    likely = f"pivota <> pivotb or {_similar(f'(shareda + sharedb - npa + {lacking} + {beyond})', 'sizea', 'sizeb')}"
+    fit = f"nodea < nodeb and roota <> rootb and {DEN} * least(sizea, sizeb) >= {NUM} * greatest(sizea, sizeb) and ({likely})"
+    return a.join(b, "key").filter(fit).select(F.col("nodea").alias("pivot"), F.col("nodeb").alias("node")).distinct()
+
+
+def _again(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, node): the groups of the members' second signature."""
+    nodes = members.select("node").distinct()
+    signed = materialize(texts.join(nodes, "node").select("node", "text").mapInArrow(_sign_again, "node long, bands array<long>"), "signatures")
+    return signed.select("node", F.explode("bands").alias("key"))
 
 
 def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
@@ -268,26 +301,34 @@ def _classes(docs: DataFrame, small: int, rounds: int) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, (docs["d"] == ids["doc_id"]) & (docs["t"] == ids["t"])).select("node", "text").dropDuplicates(["node"])
     texts = materialize(texts, "texts")
-    stars = overlaps(groups.filter("pivot <> node").select("pivot", "node").distinct(), texts, "overlaps")
+    stars = overlaps(groups.filter("pivot <> node").select("pivot", "node").distinct(), texts)
     links = materialize(_links(stars, nodes), "links")
     roots = components(links)
-    for turn in range(rounds):
-        left = materialize(_open(groups.filter("pivot <> node"), roots).join(stars, ["pivot", "node"]), "open")
-        if left.isEmpty():
-            break
-        groups = materialize(_next(left, nodes, texts), "groups")
-        spread = materialize(_open(groups, roots), "spread")
-        if spread.isEmpty():
+    near = materialize(_measured(stars, nodes.select("node", "size")), "near")
+    # Of a node's pivots, the one that most nodes have: the likeliest to tell something of a pair.
+    known = near.join(near.groupBy("pivot").agg(F.count("*").alias("of")), "pivot")
+    best = known.groupBy("node").agg(F.max_by(F.struct(*(c for c in near.columns if c != "node")), F.struct("of", "pivot")).alias("x")).select("node", "x.*")
+    members = materialize(_open(groups.filter("pivot <> node"), roots, small).join(near, ["pivot", "node"]), "open")
+    for turn in range(1, rounds + 1):
+        if members.isEmpty():
             break
-        size = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"))
-        ends = spread.filter(F.col("n") <= small) if turn + 1 < rounds else spread
-        a, b = (ends.select("key", F.col("node").alias(k), F.col("root").alias(f"root{k}")).join(size(k), k) for k in "ab")
-        pairs = a.join(b, "key").filter(f"a < b and roota <> rootb and {DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select(F.col("a").alias("pivot"), F.col("b").alias("node")).distinct()
-        groups = materialize(_pivots(spread.filter(F.col("n") > small).select("key", "node")), "groups")
-        stars = pairs if turn + 1 == rounds else pairs.unionAll(groups.filter("pivot <> node").select("pivot", "node")).distinct()
-        stars = overlaps(stars, texts, "overlaps")
-        links = materialize(links.unionAll(_links(stars, nodes)), "links")
-        roots = components(links)
+        end = F.col("few") if turn < rounds else F.lit(True)
+        stars = _pairs(members.filter(end))
+        large = members.filter(~end)
+        if turn == 1 and not large.isEmpty():
+            large = materialize(_open(_again(large, texts), roots, small).join(best, "node"), "open")
+            stars = stars.unionAll(_pairs(large.filter(end)))
+            large = large.filter(~end)
+        groups = materialize(_pivots(large.select("key", "node")), "groups")
+        mine = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        of_pivot = mine.filter("node = pivot").select("key", F.col("root").alias("other"))
+        mine = mine.join(of_pivot, "key").filter("root <> other").select("pivot", "node")
+        found = overlaps(stars.unionAll(mine).distinct(), texts)
+        found = materialize(_links(found, nodes), "links")
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            roots = components(links)
+        members = materialize(_open(groups.filter("pivot <> node").select("key", "node"), roots, small).join(best, "node"), "open")
     # The class of a component has the smallest doc_id of its bags.
     of = nodes.select("node", "f1", "f2", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("class_id"))

@@ -76,7 +76,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.encode(_read(spark, sf_dir, "documents"), with_pcm=False, with_media=False)
+    return media.encode(_read(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -167,16 +167,29 @@ def test_licenses(spark):
 
 
 def test_media_round_trip(spark):
-    rows = [(1, "héllo wörld " * 50, None, None), (2, None, None, None), (3, "", None, None), (4, "x" * 64, None, None), (4, "x" * 64, None, None), (5, "long " * 200_000, None, None)]
-    for x in media.encode(frame(spark, rows)).collect():
+    rows = [(1, "héllo wörld " * 50, None, None), (2, None, None, None), (3, "", None, None), (4, "x" * 64, None, None), (4, "x" * 64, None, None), (5, "long " * 500_000, None, None)]
+    df = frame(spark, rows)
+    stored = media.store(df)
+    files = {x.doc_id: bytes(x.media) for x in stored.collect()}
+    digests = {x.doc_id: x for x in media.encode(df).collect()}
+    for x in media.decode(stored, with_pcm=True).collect():
         raw = (next(t for i, t, *_ in rows if i == x.doc_id) or "").encode()
         want = media.payload(raw)
         assert len(want) % 64 == 0 and len(want) >= 64 and want.rstrip(b"\0") == raw.rstrip(b"\0")
-        stored = media.read_wav(bytes(x.media))
-        assert stored == want and x.payload_sha256 == hashlib.sha256(want).hexdigest() and x.n_bytes == len(raw) and x.payload_bytes == len(want)
-        assert x.tail_crc32 == zlib.crc32(want[-64:]) and x.media_sha256 == hashlib.sha256(bytes(x.media)).hexdigest() and x.media_bytes == len(x.media)
-        assert len(media.read_wav(bytes(x.pcm))) == 4 * len(want)
-    assert media.encode(frame(spark, [])).collect() == []
+        assert media.read_wav(files[x.doc_id]) == want and x.payload_sha256 == hashlib.sha256(want).hexdigest() and x.n_bytes == len(raw) and x.payload_bytes == len(want)
+        assert x.tail_crc32 == zlib.crc32(want[-64:]) and x.media_sha256 == hashlib.sha256(files[x.doc_id]).hexdigest() and x.media_bytes == len(files[x.doc_id])
+        # Features by their definition: sums over samples one by one for short files, in one go for long ones.
+        laws = [law[np.frombuffer(want, np.uint8)].astype(float) for law in (media.mu_law(), media.a_law())]
+        rms = [round(float(np.sqrt((v * v).mean()))) for v in laws]
+        wide = np.zeros(2 * len(want) + 6)
+        wide[3:-3:2] = laws[0]
+        pcm = np.clip(np.rint(sum(c * wide[k : k + 2 * len(want)] for k, c in enumerate((-3 / 32, 0, 19 / 32, 1, 19 / 32, 0, -3 / 32)))), -32768, 32767).astype("<i2").tobytes()
+        blocks = media.adpcm(np.frombuffer(want, np.uint8).reshape(-1, 64)).astype("<i2").tobytes()
+        assert media.read_wav(bytes(x.pcm)) == pcm
+        assert x.feature == f"mulaw8k:{len(want)}:{rms[0]}:{rms[1]}:{zlib.crc32(blocks):08x}:{zlib.crc32(pcm):08x}"
+        own = digests[x.doc_id].asDict()
+        assert own == {k: v for k, v in x.asDict().items() if k != "pcm"}
+    assert media.encode(frame(spark, [])).collect() == [] and len(digests) == 5
 
 
 def test_adpcm_and_laws():
