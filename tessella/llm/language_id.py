@@ -7,12 +7,15 @@ its own. The language that needs the fewest phrases for each letter wins. As phr
 chunk's distinct words are parsed once, all languages and words in lock step.
 
 The training sample: of each language, SAMPLE_DOCS documents with the smallest hashes of doc_id among
-those whose crc32(doc_id) mod 3 is not 1, at most SAMPLE_WORDS distinct words of them in order of their
-hash. Both bounds are parameters; all documents are predicted from whole texts.
+those whose crc32(doc_id) mod 3 is not 1, at most SAMPLE_WORDS distinct words of them, of up to WORD_LETTERS
+letters, in order of their hash. The bounds are parameters, and words are picked before they reach the
+driver; all documents are predicted from whole texts.
 
 Defined cases: null text or one without a letter is `und` with score 0; null lang rows aren't learned
-from; ties go to the first language by name; without any labelled row all is `und`; an empty table gives
-an empty result; repeated rows each get a row; other columns are ignored.
+from; of several texts of one doc_id all are learned from; ties go to the first language by name; without any
+labelled row all is `und`; a very long text goes through a worker by itself; an empty table gives an empty
+result; repeated rows each get a row; other columns are ignored, or kept where asked for, but for those
+named held_out, lang_pred and score, which give way to the result's.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tessella.llm import textbytes as tb
 from tessella.session import ship
 
-SAMPLE_DOCS, SAMPLE_WORDS, FOLDS, HELD_OUT, UNKNOWN = 48, 6000, 3, 1, "und"
+SAMPLE_DOCS, SAMPLE_WORDS, WORD_LETTERS, FOLDS, HELD_OUT, UNKNOWN = 48, 6000, 64, 3, 1, "und"
 U = np.uint64
 _letters: list[np.ndarray] = []
 _models: dict[tuple, Model] = {}
@@ -163,27 +168,37 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     return list(np.where(some, names[best], UNKNOWN)), np.where(some, score, 0.0)
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, o, word): the distinct words of each text, with their hash."""
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            points, starts, ends, _ = word_spans([text or ""])
+            short = ends - starts <= WORD_LETTERS
+            _, first, _ = tb.distinct(tb.hashed_points(points, starts[short], ends[short]))
+            flat = points.astype("<u4").tobytes()
+            found = [flat[4 * s : 4 * e].decode("utf-32-le", "surrogatepass") for s, e in zip(starts[short][first], ends[short][first], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found], pa.int64()), pa.array(found, pa.string())], ["lang", "o", "word"])
+
+
 def training_sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, words_per_lang: int = SAMPLE_WORDS, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple:
-    """Words by language, from at most docs_per_lang documents each; what reaches the driver has that bound."""
+    """Words by language, from at most docs_per_lang documents each; only words_per_lang of them reach the driver."""
     fold = F.pmod(F.crc32(F.col(doc_col).cast("string").cast("binary")), F.lit(FOLDS))
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold != HELD_OUT)).select(F.col(doc_col).alias("d"), F.col(lang_col).alias("lang"), F.xxhash64(doc_col).alias("o"))
     # A hot language is cut to its first documents in each hash shard before its shards meet.
     shard = usable.withColumn("s", F.pmod(F.xxhash64("o"), F.lit(64)))
     near = shard.withColumn("k", F.row_number().over(W.partitionBy("lang", "s").orderBy("o", "d"))).filter(F.col("k") <= docs_per_lang)
     best = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("o", "d"))).filter(F.col("k") <= docs_per_lang)
-    picked = best.select("d", "lang").collect()
+    picked = best.select("d", "lang").distinct().collect()  # at most docs_per_lang ids a language
     if not picked:
         return ()
-    lang = {r.d: r.lang for r in picked}
-    sample: dict[str, set[str]] = {}
-    texts = docs.filter(F.col(doc_col).isin(list(lang))).select(F.col(doc_col).alias("d"), F.col(text_col).alias("text")).dropDuplicates(["d"])
-    for r in texts.toLocalIterator():
-        points, starts, ends, _ = word_spans([r.text or ""])
-        found = sample.setdefault(lang[r.d], set())
-        flat = points.astype("<u4").tobytes()
-        found.update(flat[4 * s : 4 * e].decode("utf-32-le", "surrogatepass") for s, e in zip(starts, ends, strict=True))
-    order = lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w)
-    return tuple((k, tuple(sorted(v, key=order)[:words_per_lang])) for k, v in sorted(sample.items()) if v)
+    ids = docs.sparkSession.createDataFrame([(r.d, r.lang) for r in picked], f"d {docs.schema[doc_col].dataType.simpleString()}, lang string")
+    texts = docs.select(F.col(doc_col).alias("d"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("d").isin([r.d for r in picked])).join(F.broadcast(ids), ["d", "lang"]).select("lang", "text")
+    found = texts.mapInArrow(_words, "lang string, o long, word string").distinct()
+    kept = found.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("o", "word"))).filter(F.col("k") <= words_per_lang)
+    sample: dict[str, list[str]] = {}
+    for r in kept.orderBy("lang", "k").collect():
+        sample.setdefault(r.lang, []).append(r.word)
+    return tuple((k, tuple(v)) for k, v in sorted(sample.items()))
 
 
 def identify(docs: DataFrame, sample: tuple | None = None, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False) -> DataFrame:
@@ -192,21 +207,19 @@ def identify(docs: DataFrame, sample: tuple | None = None, doc_col: str = "doc_i
     if sample is None:
         sample = training_sample(docs, doc_col=doc_col, text_col=text_col, lang_col=lang_col)
     sent = docs.sparkSession.sparkContext.broadcast(sample)  # bounded by languages x SAMPLE_WORDS words
-
-    source = text_col if keep else "__text"
+    kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")] if keep else [doc_col]
+    # Kept columns travel as one, so that their names clash with none.
+    rows = docs.select(F.struct(*(F.col(c) for c in kept)).alias("row"), F.lit(None).cast("string").alias("text") if keep and text_col in kept else F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(sent.value)
         for batch in batches:
-            column = batch.column(batch.schema.names.index(source))
-            kept = [n for n in batch.schema.names if n != "__text"]
+            column = pc.struct_field(batch.column(0), text_col) if text_col in kept else batch.column(1)
             for i, j, _, _ in tb.chunks(column):
-                part = batch.slice(i, j - i)
                 names, scores = predict([t or "" for t in column.slice(i, j - i).to_pylist()], model)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.names.index(n)) for n in kept), pa.array(names, pa.string()), pa.array(scores)], [*kept, "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores)], ["row", "lang_pred", "score"])
 
-    rows = docs if keep else docs.select(F.col(doc_col), F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    out = rows.mapInArrow(work, f"{schema}, __lang string, __score double")
-    held = F.coalesce(F.pmod(F.crc32(F.col(doc_col).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
-    return out.select(*(F.col(c) for c in out.columns if not c.startswith("__")), held.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    out = rows.mapInArrow(work, StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    own = F.col("row")[doc_col]
+    held = F.coalesce(F.pmod(F.crc32(own.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), held.alias("held_out"), "lang_pred", "score")

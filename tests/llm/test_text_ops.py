@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from tessella.llm import language_id, license_scan, media, mixing, quality_rules
 
@@ -130,6 +131,22 @@ def test_language_held_out(spark):
     assert language_id.identify(frame(spark, [])).collect() == []
 
 
+def test_language_sample_and_kept_columns(spark):
+    rows = [(i, ("the thing " if i % 2 else "le chose ") * 3 + f"w{'abcdefghij'[i % 10] * 3} " + "x" * 100, "en" if i % 2 else "fr", "s") for i in range(60)]
+    df = frame(spark, rows)
+    sample = dict(language_id.training_sample(df, docs_per_lang=5, words_per_lang=4))
+    used = sorted((i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: i)
+    words = {lang: {w for i in used if (i % 2 == 1) == (lang == "en") for w in rows[i][1].split() if len(w) <= 64} for lang in ("en", "fr")}
+    assert set(sample) == {"en", "fr"} and all(len(v) == 4 and set(v) <= words[k] for k, v in sample.items())
+    odd = df.withColumnsRenamed({"host": "score", "weight": "__w", "lines": "held_out"})
+    out = language_id.identify(odd, keep=True)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "__w", "held_out", "lang_pred", "score"]
+    got = out.collect()
+    assert all(r.lang_pred == r.lang and r.text == rows[r.doc_id][1] and r["__w"] == "x" and 0 <= r.score <= 1 for r in got) and len(got) == 60
+    one = language_id.identify(frame(spark, [(1, "word " * 400_000, "en", "s"), (5, "mot", "fr", "s"), (5, "mots", "fr", "s")])).collect()
+    assert len(one) == 3
+
+
 def test_mixing(spark):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(("aaaaaaaa", "bbbbbbbb", "cc")) for _ in range(r.randint(1, 40))), r.choice(("en", "en", "en", "fr", None)), r.choice(("a", "a", "b", "c"))) for i in range(400)]
@@ -152,7 +169,41 @@ def test_mixing(spark):
         for k, v in raised.items():
             assert abs(fit[k] - total * v / sum(raised.values())) < 1e-3 * total
     assert mixing.weights(frame(spark, [])).collect() == []
-    assert mixing.sample(df).columns == df.columns
+    # Every row is sampled as its hash says, and sample gives just these rows.
+    place = {x.doc_id: x.p for x in df.selectExpr("doc_id", "xxhash64(doc_id, 0) / double(18446744073709551616) + 0.5 as p").collect()}
+    assert all(x.sampled == (k is not None and place[k] < x.prob) for k, x in one.items()) and not one[None].sampled
+    kept = mixing.sample(df)
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == sorted(k for k, x in one.items() if x.sampled)
+    assert mixing.sample(frame(spark, [])).collect() == []
+
+
+def test_mixing_by_own_targets_and_contradictions(spark):
+    rows = [(i, "some words that are here", ("en", "fr")[i % 2], ("a", "b")[i % 2]) for i in range(40)]
+    with pytest.warns(UserWarning, match="raking stopped"):
+        mixing.weights(frame(spark, rows), targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "fr": 0.8}}).collect()
+    rows = [(i, "some words that are here", ("en", "fr")[i % 2], ("a", "b")[i // 2 % 2]) for i in range(40)]
+    got = mixing.weights(frame(spark, rows), targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "fr": 0.8}}).collect()
+    share = lambda f: sum(x.weight * x.n_words for x in got if f(x)) / sum(x.weight * x.n_words for x in got)
+    assert abs(share(lambda x: x.source == "a") - 0.9) < 1e-6 and abs(share(lambda x: x.lang == "fr") - 0.8) < 1e-6
+
+
+def test_topics_are_clusters_and_not_languages(spark):
+    """Texts of two languages, each about one of three things."""
+    r = random.Random(5)
+    word = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(6)) + k
+    common = {lang: [word(lang) for _ in range(30)] for lang in ("en", "fr")}
+    about = {(lang, t): [word(lang) for _ in range(25)] for lang in ("en", "fr") for t in range(3)}
+    shared = {t: [word("x") for _ in range(25)] for t in range(3)}
+    rows, kind = [], {}
+    for i in range(300):
+        lang, t = r.choice(("en", "fr")), r.randrange(3)
+        kind[i] = t
+        rows.append((i, " ".join(r.choice(common[lang]) if r.random() < 0.4 else r.choice(about[(lang, t)] if r.random() < 0.5 else shared[t]) for _ in range(80)), lang, "s"))
+    got = {x.doc_id: x.topic for x in mixing.weights(frame(spark, rows), topics=3).collect()}
+    best = defaultdict(Counter)
+    for i, t in kind.items():
+        best[got[i]][t] += 1
+    assert sum(c.most_common(1)[0][1] for c in best.values()) > 0.9 * len(rows) and len(best) == 3
 
 
 def test_licenses(spark):
