@@ -7,19 +7,24 @@ gives for each a the templates within these bounds, so most lines end without a
 rest, Dice = 2 |A and B| / (|A| + |B|) over multisets of bigrams.
 
 A window has b to (2 - t) / t * b bigrams (text that ends sooner counts as b), so it must share t * b of them.
-Texts without one of each template's anchor words, chosen so that a text without them can't share that many,
-end there. For the rest the best window from each bigram of the template is found by one fold, and windows
-that share bigrams with one of more matching bigrams (then higher Dice, first template, first place) are
-dropped. A window within a line that matches is no further unit, nor is one whose licence the whole text has
-with the same Dice or a higher one.
+Texts without one of each template's anchor words, chosen so that a unit or window without them can't reach the
+threshold, end before they are split into words. For the rest the best window from each bigram of the template is
+found by one fold, and windows that share bigrams with one of more matching bigrams (then higher Dice, first
+template, first place) are dropped. A window within a line that matches is no further unit, nor is one whose licence
+the whole text has with the same Dice or a higher one.
 
 Defined cases: null text has no unit that matches; texts under two words match nothing; equal scores go
 to the template first by name; repeated rows each get a row; an empty table gives an empty result; other
-columns are ignored. The templates are constants, so everything broadcast has a fixed size.
+columns are ignored. A very long text is read as a whole by Spark's own string functions. The templates are constants,
+so everything broadcast has a fixed size. Of the GPL, Apache and MPL there are notices, headers and the opening of the
+full text, which is enough to find it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +35,35 @@ THRESHOLD = 0.8
 TEMPLATES = {
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "agpl-3-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "apache-2.0-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "bsd-2-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "bsd-3-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "bsd-3-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "bsd-clauses": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-2.0-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
     "gpl-3-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-3-short": "Released under the GNU General Public License v3.",
     "gpl-3-work-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
     "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "mit-notice": "Released under the MIT License.",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-2.0-text": 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.',
     "proprietary-notice": "All rights reserved.",
     "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0",
     "spdx-gpl-3.0": "SPDX-License-Identifier: GPL-3.0-or-later",
     "spdx-mit": "SPDX-License-Identifier: MIT",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Words that other texts are full of: no anchors where there are others.
+_COMMON = frozenset("the of and to in is this or be by under with for that all following without including provided from as not are you any".split())
 _GAP = "[^\\p{L}\\p{N}]+"
 
 
@@ -76,21 +92,32 @@ def _shared(size: int, threshold: float) -> int:
     return next(o for o in range(size + 2) if 2.0 * o / (2 * size) >= threshold)
 
 
-def _anchors(threshold: float) -> list[str]:
-    """Words of the templates; a window without any of them shares too few bigrams with every template."""
-    texts = [_tokens(x) for _, x in sorted(TEMPLATES.items())]
-    spread = {w: sum(w in t for t in texts) for t in texts for w in t}
-    out = set()
-    for t in texts:
+def _least(size: int, threshold: float) -> int:
+    """The bigrams that any unit shares with a template of this size at least: the smallest units, all of theirs."""
+    return next(o for o in range(size + 2) if 2.0 * o / (o + size) >= threshold)
+
+
+def _anchors(threshold: float, least: Callable[[int, float], int] = _shared) -> list[str]:
+    """Words of the templates; a window (with _least: any unit) without any of them shares too few bigrams with every template."""
+    out: set[str] = set()
+    for t in (_tokens(x) for _, x in sorted(TEMPLATES.items())):
         pairs = list(zip(t, t[1:], strict=False))
-        left = len(pairs) - _shared(len(pairs), threshold) + 1  # so many must be lost without the anchors
-        for w in sorted(set(t), key=lambda w: (spread[w], -len(w), w)):
-            if sum(bool(out & set(p)) for p in pairs) >= left:
-                break
-            out.add(w)
+        left = len(pairs) - least(len(pairs), threshold) + 1  # so many must be lost without the anchors
+        while sum(bool(out & set(p)) for p in pairs) < left:
+            gain = Counter(w for p in pairs if not out & set(p) for w in set(p))
+            # Long words are rare in other texts; of those the ones in most bigrams.
+            out.add(min(gain, key=lambda w: (w in _COMMON, -min(len(w), 6), -gain[w], w)))
     return sorted(out)
 
 
+def _any_word(words: list[str]) -> str:
+    """A pattern for texts that hold one of the words, alternatives by first letter."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(by.items())) + r")(?![\p{L}\p{N}])"
+
+
 def _windows(grams: Column, k: Column, distinct: Column, counts: Column, size: Column, shared: Column, longest: Column, threshold: float) -> Column:
     """The best window from each place of a template's bigram: o (shared), dice, k (negated), a and z (first and last bigram)."""
     hits = F.filter(F.transform(grams, lambda g, i: F.struct(i.alias("p"), F.array_position(distinct, g).cast("int").alias("q"))), lambda h: h["q"] > 0)
@@ -139,11 +166,15 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id",
     near = F.array(*map(_ints, _candidates(sizes, threshold)))  # constants; folded into one literal each
     sets = F.array(*(F.array(*map(F.lit, _tagged(g))) for g in grams.values()))
     names = F.array(*map(F.lit, grams))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    # Only texts with an anchor word are split further.
+    likely_text = F.when(F.lower(whole).rlike(_any_word(_anchors(threshold, _least))), whole).otherwise(F.lit(""))
+    docs = docs.select(F.col(doc_col), likely_text.alias("__text"), (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("__n"))
+    lines = F.split(F.col("__text"), "\n", -1)
     units = F.transform(lines, normal_words)
     # The whole text's words are its lines' words; a text of one line is one unit.
-    base = docs.select(F.col(doc_col), units.alias("lines"))
-    base = base.select(doc_col, "lines", F.size("lines").cast("long").alias("n_lines"), F.when(F.size("lines") > 1, F.concat("lines", F.array(F.flatten("lines")))).otherwise(F.col("lines")).alias("units"))
+    base = docs.select(F.col(doc_col), units.alias("lines"), F.col("__n").alias("n_lines"))
+    base = base.select(doc_col, "lines", "n_lines", F.when(F.size("lines") > 1, F.concat("lines", F.array(F.flatten("lines")))).otherwise(F.col("lines")).alias("units"))
     fits = F.transform("units", lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(near, F.size(w) - 1), _ints([])).alias("near"), i.alias("i")))
     words = F.get("units", F.size("units") - 1)
     pairs = let(words, lambda w: F.when(F.arrays_overlap(w, F.array(*map(F.lit, _anchors(threshold)))), F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))))
@@ -174,8 +205,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id",
     def further(of: Column, w: Column) -> Column:
         first, last = F.get(of, -w["a"]), F.get(of, w["z"] + 1)
         within = lambda s: (s["i"] == first) & (first == last)
-        whole = lambda s: (s["i"] == F.col("n_lines")) & (s["t"] == w["k"]) & (s["dice"] >= w["dice"])
-        return ~F.exists("found", lambda s: within(s) | whole(s))
+        of_text = lambda s: (s["i"] == F.col("n_lines")) & (s["t"] == w["k"]) & (s["dice"] >= w["dice"])
+        return ~F.exists("found", lambda s: within(s) | of_text(s))
 
     extra = let(line_of, lambda of: F.transform(F.filter("spans", lambda w: further(of, w)), lambda w: F.struct(w["dice"].alias("dice"), w["k"].alias("t"), F.lit(-1).alias("i"))))
     found = base.select(doc_col, "n_lines", F.when(F.size("spans") > 0, F.concat("found", extra)).otherwise(F.col("found")).alias("found"))

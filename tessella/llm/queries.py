@@ -100,6 +100,8 @@ def _licenses_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     grams = license_scan.template_bigrams()
     rows = ", ".join(f"({quote(n)}, {quote(g)}, {gs.count(g)}, {len(gs)})" for n, gs in grams.items() for g in sorted(set(gs)))
+    # Units of more words share too little with the longest template.
+    most = int(max(map(len, grams.values())) * (2 - license_scan.THRESHOLD) / license_scan.THRESHOLD) + 2
     return f"""
 WITH template(name, gram, c, size) AS (VALUES {rows}),
 parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -108,7 +110,7 @@ units AS (
   UNION ALL
   SELECT doc_id, 0, string_split(trim(regexp_replace(lower(array_to_string(ls, chr(10))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') FROM parts WHERE len(ls) > 1
 ),
-sized AS (SELECT doc_id, unit, w, len(w) - 1 AS a FROM units WHERE len(w) > 1 AND len(w) <= 300),
+sized AS (SELECT doc_id, unit, w, len(w) - 1 AS a FROM units WHERE len(w) > 1 AND len(w) <= {most}),
 grams AS (SELECT doc_id, unit, a, w[i] || ' ' || w[i + 1] AS gram FROM sized, unnest(range(1, len(w))) AS u(i)),
 counted AS (SELECT doc_id, unit, a, gram, count(*) AS c FROM grams GROUP BY ALL),
 scored AS (

@@ -262,6 +262,28 @@ def test_adpcm_and_laws():
     assert media.a_law()[0xD5] == 8 and media.a_law()[0x55] == -8 and media.a_law()[0xAA] == 32256
 
 
+def test_license_anchors():
+    """No unit that reaches the threshold is without an anchor word: not even the part of a template without them."""
+    anchors = set(license_scan._anchors(0.8, license_scan._least))
+    for name, text in license_scan.TEMPLATES.items():
+        w = license_scan._tokens(text)
+        grams = list(zip(w, w[1:], strict=False))
+        free = sum(not (set(g) & anchors) for g in grams)
+        assert 2 * free / (free + len(grams)) < 0.8, name
+
+
+def test_license_full_texts(spark):
+    """Full texts with the usual layout, in documents of their own and before code."""
+    code = "\n".join(f"value_{i} = compute(input_{i}, {i * 7}) + offset" for i in range(200))
+    t = license_scan.TEMPLATES
+    wrap = lambda x, n: "\n".join(" " * (n % 3) + y for y in textwrap.wrap(x, n))
+    more = "\n".join(f"{i}. Further terms of this licence, number {i}, as they may be found in the whole text." for i in range(60))
+    names = ("apache-2.0-text", "gpl-2.0-text", "gpl-3.0-text", "mpl-2.0-text", "bsd-2-clause", "bsd-3-clause", "mit", "agpl-3-notice", "lgpl-2.1-notice", "gpl-2.0-notice")
+    rows = [(k, f"Copyright (c) 2020 Some One\n{wrap(t[n], 12 * 6 + k)}\n{more if n.endswith('-text') else code}", None, None) for k, n in enumerate(names)]
+    got = {x.doc_id: x.license for x in license_scan.scan(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(names))
+
+
 def test_license_windows(spark):
     """Wrapped texts inside longer documents, against all windows of words."""
     wrap = lambda x, head="": "\n".join(head + y for y in textwrap.wrap(x, 70))
