@@ -51,6 +51,8 @@ BITS = 512
 STRICT_ROWS, STRICT_BANDS = 14, 153
 #: So many members are compared with one copy of a pivot's text.
 STAR = 64
+#: So many links (16 bytes each) are joined in one task.
+BLOCK = 500_000
 #: Ids of up to so many documents are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 U = np.uint64
@@ -139,7 +141,7 @@ def _sign_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, (doc, element, count) in _bag_of(batch.column(1)):
             # Other elements, so other points than those of the first signature.
             bands = banded(signatures(doc, element ^ U(0x5DEECE66D), count, j - i, STRICT_ROWS * STRICT_BANDS), STRICT_ROWS, STRICT_BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(bands)], ["node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), _lists(bands)], ["node", "root", "bands"])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +205,7 @@ def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def overlaps(stars: DataFrame, texts: DataFrame) -> DataFrame:
     """(pivot, node, shared units, bit maps extra and missing) of the distinct pairs (pivot, node); a pivot's text goes along once for STAR members."""
+    stars = materialize(stars, "pairs")
     sizes = stars.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).alias("salts"))
     dealt = stars.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node")
     rows = dealt.select("pivot", "salt", F.lit(1).alias("role"), "node").unionAll(dealt.select("pivot", "salt", F.lit(0).alias("role"), F.col("pivot").alias("node")).distinct())
@@ -211,22 +214,48 @@ def overlaps(stars: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(full.mapInArrow(_against_pivots, "pivot long, node long, shared long, extra array<long>, missing array<long>"), "overlaps")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of the edges (a, b): alternating large stars and small stars until nothing changes."""
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
-    before = None
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a block as stars: each node with the least of its component there."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    ends = np.concatenate([np.concatenate(x) for x in zip(*parts, strict=True)])
+    names, at = np.unique(ends, return_inverse=True)
+    u, v = at[: len(at) // 2], at[len(at) // 2 :]
+    root = np.arange(len(names))
+    while True:  # the least root of either end goes to the other's root, then paths are halved until they are flat
+        least = np.minimum(root[u], root[v])
+        before = root.copy()
+        np.minimum.at(root, root[u], least)
+        np.minimum.at(root, root[v], least)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    some = np.flatnonzero(root != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[root[some]])], ["u", "v"])
+
+
+def components(edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, root) of all nodes of the edges (a, b), the least one being the root.
+
+    Blocks of about `block` edges become stars by themselves, then a large-star and a small-star step brings their
+    roots together; again until no root has a root. A single block is done at once."""
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    now = materialize(now, "stars")
     while True:
+        blocks = -(-now.count() // block)
+        now = materialize((now.coalesce(1) if blocks <= 1 else now.repartition(blocks)).mapInArrow(_contract, "u long, v long"), "stars")
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("own")).unionAll(now.select(F.col("v").alias("x"), F.lit(0).alias("own")))
+        deep = ends.groupBy("x").agg(F.sum("own").alias("roots"), F.min("own").alias("leaf")).filter("roots > 1 or (roots = 1 and leaf = 0)")
+        if blocks <= 1 or deep.isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        after = materialize(small, "stars")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = after
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        now = materialize(small, "stars")
 
 
 def _similar(shared: str, n: str, m: str) -> str:
@@ -240,22 +269,23 @@ def _links(stars: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _pivots(groups: DataFrame) -> DataFrame:
-    """(key, node, pivot): the pivot of a group is its member that meets the most others: of near copies of one text, the text itself."""
-    many = groups.groupBy("key").agg(F.count("*").alias("n"))
-    sized = groups.join(many, "key")
-    met = sized.groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
-    ranked = sized.join(met, "node").groupBy("key").agg((-F.max(F.struct("met", (-F.col("node")).alias("m")))["m"]).alias("pivot"))
+    """The members (key, node, ..., n in the group) with the pivot of their group: the member that meets the most others; of near copies of one text, the text itself."""
+    met = groups.groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
+    ranked = groups.join(met, "node").groupBy("key").agg((-F.max(F.struct("met", (-F.col("node")).alias("m")))["m"]).alias("pivot"))
     return groups.join(ranked, "key")
 
 
-def _open(groups: DataFrame, roots: DataFrame, small: int) -> DataFrame:
-    """The members, with their roots, of groups that lie in several components; few: whether the pairs across them are up to small for each member."""
-    placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _open(placed: DataFrame, small: int) -> DataFrame:
+    """The members (key, node, root, ...) of groups that lie in several components; few: whether the pairs across them are up to small for each member."""
     parts = placed.groupBy("key", "root").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts"))
-    spread = parts.filter("parts > 1").select("key", (F.col("n") * F.col("n") - F.col("within") <= 2.0 * small * F.col("n")).alias("few"))
+    spread = parts.filter("parts > 1").select("key", F.col("n").cast("long").alias("n"), (F.col("n") * F.col("n") - F.col("within") <= 2.0 * small * F.col("n")).alias("few"))
     return placed.join(spread, "key")
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def _measured(stars: DataFrame, sizes: DataFrame) -> DataFrame:
     """The overlaps with what their bounds need: size, that of the pivot, and the units that share a bucket with others."""
     bits = lambda x: " + ".join(f"bit_count({x}[{k}])" for k in range(BITS // 64))
@@ -275,28 +305,57 @@ def _pairs(members: DataFrame) -> DataFrame:
     return a.join(b, "key").filter(fit).select(F.col("nodea").alias("pivot"), F.col("nodeb").alias("node")).distinct()
 
 
-def _again(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, node): the groups of the members' second signature."""
-    nodes = members.select("node").distinct()
-    signed = materialize(texts.join(nodes, "node").select("node", "text").mapInArrow(_sign_again, "node long, bands array<long>"), "signatures")
-    return signed.select("node", F.explode("bands").alias("key"))
+def _again(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, node, root): the groups of the second signature of nodes (node, root)."""
+    signed = materialize(texts.join(nodes, "node").select("node", "text", "root").mapInArrow(_sign_again, "node long, root long, bands array<long>"), "signatures")
+    return signed.select("node", "root", F.explode("bands").alias("key"))
 
 
 def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: doc_col and class_id, the smallest doc_col of its class (its own where it has no like)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    return settle(docs.sparkSession, lambda: _classes(rows, small, rounds), "classes").withColumnRenamed("doc_id", doc_col)
+    return settle(docs.sparkSession, lambda: _classes(rows, small, rounds).select("doc_id", "class_id"), "classes").withColumnRenamed("doc_id", doc_col)
+
+
+def first_of_class(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay when one document of each class stays: the one with the smallest doc_col. Of rows
+    that agree in document and text one stays; a document without a word, or without doc_col, stays."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select(F.col(doc_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    own = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    keyed = docs.select(*own, F.col(doc_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"))
+
+    def build() -> DataFrame:
+        found = _classes(rows, SMALL, ROUNDS).filter("root is not null and doc_id is not null")
+        each = found.groupBy("root", "doc_id", "t").agg(F.count("*").alias("times"))
+        least = each.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("of"))
+        judged = each.join(least, "root").select("doc_id", "t", (F.struct("doc_id", "t") == F.col("of")).alias("stays"), "times")
+        return judged.filter("not stays or times > 1")
+
+    judged = settle(spark, build, "judged")
+    few = judged.count() <= BROADCAST_IDS
+    side = judged.select(F.col("doc_id").alias("gd"), F.col("t").alias("gt"), "stays")
+    alike = (keyed["d"] == side["gd"]) & (keyed["t"] == side["gt"])
+    left = keyed.join(F.broadcast(side) if few else side, alike, "left_anti")
+    # Rows that come more than once and stay: one of each.
+    again = side.filter("stays")
+    if not again.isEmpty():
+        again = keyed.join(F.broadcast(again) if few else again, alike, "left_semi").dropDuplicates(["d", "t"])
+        left = left.unionAll(again)
+    return left.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def _classes(docs: DataFrame, small: int, rounds: int) -> DataFrame:
+    """Per row of docs: doc_id, t, class_id and the root of its component, null for a text without a word."""
     signed = materialize(docs.mapInArrow(_sign, "doc_id long, t long, size long, f1 long, f2 long, bands array<long>"), "signatures")
     # A node for each bag, whatever rows have it.
     bags = signed.filter("size > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "t")).alias("of"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = materialize(bags.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "of.doc_id", "of.t", "size", "bands"), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    groups = materialize(_pivots(rows.join(many, "key")), "groups")
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    groups = materialize(_pivots(materialize(rows.join(many, "key"), "members")).drop("n"), "groups")
     ids = materialize(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "t"), "texts-of")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, (docs["d"] == ids["doc_id"]) & (docs["t"] == ids["t"])).select("node", "text").dropDuplicates(["node"])
@@ -308,7 +367,7 @@ def _classes(docs: DataFrame, small: int, rounds: int) -> DataFrame:
     # Of a node's pivots, the one that most nodes have: the likeliest to tell something of a pair.
     known = near.join(near.groupBy("pivot").agg(F.count("*").alias("of")), "pivot")
     best = known.groupBy("node").agg(F.max_by(F.struct(*(c for c in near.columns if c != "node")), F.struct("of", "pivot")).alias("x")).select("node", "x.*")
-    members = materialize(_open(groups.filter("pivot <> node"), roots, small).join(near, ["pivot", "node"]), "open")
+    members = materialize(_open(_rooted(groups.filter("pivot <> node"), roots), small).join(near, ["pivot", "node"]), "open")
     for turn in range(1, rounds + 1):
         if members.isEmpty():
             break
@@ -316,22 +375,25 @@ def _classes(docs: DataFrame, small: int, rounds: int) -> DataFrame:
         stars = _pairs(members.filter(end))
         large = members.filter(~end)
         if turn == 1 and not large.isEmpty():
-            large = materialize(_open(_again(large, texts), roots, small).join(best, "node"), "open")
+            large = materialize(_open(_again(large.select("node", "root").distinct(), texts), small).join(best, "node"), "open")
             stars = stars.unionAll(_pairs(large.filter(end)))
             large = large.filter(~end)
-        groups = materialize(_pivots(large.select("key", "node")), "groups")
-        mine = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        of_pivot = mine.filter("node = pivot").select("key", F.col("root").alias("other"))
-        mine = mine.join(of_pivot, "key").filter("root <> other").select("pivot", "node")
-        found = overlaps(stars.unionAll(mine).distinct(), texts)
-        found = materialize(_links(found, nodes), "links")
+        if large.isEmpty():
+            groups, found = None, stars
+        else:
+            groups = materialize(_pivots(large.select("key", "node", "root", "n")), "groups")
+            other = groups.filter("node = pivot").select("key", F.col("root").alias("other"))
+            found = stars.unionAll(groups.join(other, "key").filter("root <> other").select("pivot", "node")).distinct()
+        found = materialize(_links(overlaps(found, texts), nodes), "links")
         if not found.isEmpty():
             links = links.unionAll(found)
             roots = components(links)
-        members = materialize(_open(groups.filter("pivot <> node").select("key", "node"), roots, small).join(best, "node"), "open")
+        if groups is None:
+            break
+        members = materialize(_open(_rooted(groups.filter("pivot <> node").select("key", "node"), roots), small).join(best, "node"), "open")
     # The class of a component has the smallest doc_id of its bags.
     of = nodes.select("node", "f1", "f2", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = of.join(least, "root").select("f1", "f2", "class_id")
-    out = signed.select("doc_id", F.when(F.col("size") > 0, F.col("f1")).alias("f1"), "f2").join(named, ["f1", "f2"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = of.join(least, "root").select("f1", "f2", "class_id", "root")
+    out = signed.select("doc_id", "t", F.when(F.col("size") > 0, F.col("f1")).alias("f1"), "f2").join(named, ["f1", "f2"], "left")
+    return out.select("doc_id", "t", F.coalesce("class_id", "doc_id").alias("class_id"), "root")

@@ -138,6 +138,15 @@ def test_one_id_on_two_texts(spark):
     assert got == Counter({(5, 5): 2, (6, 5): 1, (7, 5): 1, (None, 5): 1, (None, None): 1})
 
 
+def test_first_of_class(spark):
+    r = random.Random(8)
+    a, b = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(5, a), (5, a), (5, b), (6, f"{a} x"), (7, f"{b} x"), (None, a), (8, ""), (8, ""), (9, None), (10, "alone here"), (10, "alone here"), (11, "alone here")]
+    got = minhash_dedup.first_of_class(frame(spark, rows))
+    assert got.columns == frame(spark, rows).columns
+    assert Counter((x.doc_id, x.text) for x in got.collect()) == Counter([(5, a), (5, b), (None, a), (8, ""), (8, ""), (9, None), (10, "alone here")])
+
+
 def hard_group(n=140, seed=2):
     """Copies of one text changed a little or a lot, copies of its changed copies, and its beginnings of many lengths."""
     r = random.Random(seed)
@@ -214,13 +223,25 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(est) - np.mean(true)) < 0.015
 
 
-@pytest.mark.parametrize("n", [1, 2, 7])
-def test_components(spark, n):
+@pytest.mark.parametrize(("n", "block"), [(1, 500_000), (2, 3), (7, 1)])
+def test_components(spark, n, block):
     edges = [(k, k + 1) for k in range(10 * n, 10 * n + 8)] + [(1000, 2000), (2000, 1500)]
-    got = {r.node: r.root for r in minhash_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in minhash_dedup.components(spark.createDataFrame(edges, "a long, b long"), block).collect()}
     assert all(got[k] == 10 * n for k in range(10 * n + 1, 10 * n + 9)) and got[2000] == 1000 and got[1500] == 1000
 
 
+def test_components_of_random_links(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)]
+    root = {i: i for e in edges for i in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    for block in (500_000, 20):
+        got = {x.node: x.root for x in minhash_dedup.components(spark.createDataFrame(edges, "a long, b long"), block).collect()}
+        assert got == {k: v for k, v in root.items() if k != v}
+
+
 def test_words_and_windows():
     import pyarrow as pa
 
