@@ -1,7 +1,14 @@
 """From raw documents to packed training sequences.
 
 STAGES: language ID, line dedup, MinHash near-dedup, mixing to target weights, best-fit packing. Each is
-(name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
+(name, function of (spark, docs, sf_dir)); all but the last return the columns of documents: doc_id, text, lang,
+source, n_chars, whatever other columns docs has.
+
+Defined cases, by stage. A text that is null or has no letter has no language and goes with the first stage; null lang and
+source are values like others in mixing. A document keeps its place if it loses some of its lines, and goes if
+nothing but white space is left of it. Of repeated rows and of equal texts one stays, that with the smallest doc_id;
+rows without doc_id lose no line, are no near copies, and are never sampled. Texts of any length are worked on whole;
+an empty table gives an empty result at each stage.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import language_id, line_dedup, minhash_dedup, mixing, packing
 from tessella.llm.queries import tokenizer_path
-from tessella.session import materialize, ship
+from tessella.session import materialize, settle, ship
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -33,12 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    ship(spark)
-    docs = _columns(docs)
-    found = minhash_dedup.near_duplicates(docs)
-    gone = materialize(found.filter(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
-    few = gone.count() <= minhash_dedup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone"], "left_anti")
+    return minhash_dedup.first_of_class(_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,14 +61,18 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Automata, signatures, raking and the packing program have no SQL form; tests hold run() against brute force.
+#: Automata, signatures, raking and the packing program have no SQL form; tests hold the stages and run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written to the shared folder and read again."""
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+
+    def build() -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+
+    return settle(spark, build, "pipeline")
