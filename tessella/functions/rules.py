@@ -50,7 +50,22 @@ SHEKELS = (
     (r"5\s+11\s*/\s*12\s+shekels?", "6 shekels less 15 grains"),
     (r"5\s*/\s*12\s+shekels?", "⅓ shekel 15 grains"),
     (r"7\s*/\s*12\s+shekels?", "½ shekel 15 grains"),
+    (r"1\s*/\s*12\s*(?:\(shekel\)|(?<![\p{L}\p{N}_])shekel)?", "15 grains"),
 )
+#: Ways to write a gap; that of a broken line is left out by the inference profiles.
+GAPS = (
+    r"<\s*big[\s_\-]*gap\s*>", r"<\s*gap\s*>", r"(?<![\p{L}\p{N}_])big[\s_\-]*gap(?![\p{L}\p{N}_])", r"(?<![\p{L}\p{N}_])x(?:\s+x)+(?![\p{L}\p{N}_])", r"\.{3,}|…+|\[\.+\]",
+    r"\[\s*x\s*\]|\(\s*x\s*\)", r"(?<![\p{L}\p{N}_])x{2,}(?![\p{L}\p{N}_])", r"(?<![\p{L}\p{N}_])x(?![\p{L}\p{N}_])", r"\(\s*large\s+break\s*\)", r"\(\s*break\s*\)", r"\(\s*\d+\s+broken\s+lines?\s*\)",
+)
+GAP_BROKEN_LINE = r"\(\s*broken\s+line\s*\)"
+GRAMMAR_NOTES = r"\(\s*(?:fem|plur|pl|sing|singular|plural|\?|\!)(?:\.\s*(?:plur|plural|sing|singular))?\.?\s*[^)]*\)"
+GRAMMAR_WORDS = r"(?:fem|sing|pl|plural)\.?"
+SIMPLE_FORBIDDEN = "⌈⌋⌊ʾ"
+SIMPLE_ALPHABET = """!"'()+,-.0123456789:;<>?ABCDEFGHIJKLMNOPQRSTUWYZ[]_abcdefghijklmnopqrstuvwxyz¼½àâāēğīışŠšūṢṣṬṭ–—‘’“”⅓⅔⅙⅚ """
+SIMPLE_FALLBACK = (
+    ("V", "v"), ("X", "x"), ("Á", "á"), ("À", "à"), ("Â", "â"), ("Ā", "ā"), ("Ē", "ē"), ("Ğ", "ğ"), ("Ī", "ī"), ("İ", "i"), ("Ş", "ş"), ("Ū", "ū"),
+    ("¾", "0.75"), ("⅝", "0.625"), ("⅜", "0.375"), ("⅞", "0.875"), ("⅛", "0.125"),
+)
 ROMAN = (("XII", 12), ("XI", 11), ("X", 10), ("IX", 9), ("VIII", 8), ("VII", 7), ("VI", 6), ("V", 5), ("IV", 4), ("III", 3), ("II", 2), ("I", 1))
 TARGET_FIXES = (("ofדsilver", "of silver"), ("myself()", "myself"), ("<lil>", "-lil"), ("<of firewood>", "of firewood"), ("andĀl-ṭāb", "and Āl-ṭāb"))
 
@@ -59,3 +74,31 @@ OUTER_STRIP, INNER_STRIP = "[](){}<>⸢⸣⌈⌉⌊⌋⟦⟧", ".,;:!?+-*'\""
 NUMERIC_PLUS = "0-9¼½¾⅓⅔⅙⅚⅝"
 NAME_BOUNDARY = "A-Za-zÀ-ÖØ-öø-ÿĀ-žḀ-ỿ-"
 PANDAS_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+CONTENT_TOKEN = r"[A-Za-z]+(?:[-'][A-Za-z]+)?"
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "her", "him", "his", "i", "in", "into", "is", "it", "its", "me", "my", "of", "on", "or", "our",
+    "she", "that", "the", "their", "them", "they", "this", "to", "us", "was", "we", "were", "with", "you", "your",
+)
+
+# --- Fixed values: candidate quality -----------------------------------------------------------------------
+QUALITY_PUNCTUATION = "!\"'()+,-.0123456789:;<>?[]_–—"
+QUALITY_WORDS = (
+    "the", "and", "of", "to", "in", "is", "for", "with", "from", "you", "he", "she", "they", "we", "it",
+    "silver", "textile", "textiles", "mina", "minas", "shekel", "shekels", "gold", "month", "owed", "received", "sent", "pay", "paid", "tablet", "brother", "son",
+)
+QUALITY_LEAST = 0.42
+
+# --- Fixed values: rows of printed tables -------------------------------------------------------------------
+TITLE_SOURCE = r"(?i)\b(?:kt|kts|tc|tcl|cct|ick|poat|ktm)\b"
+TITLE_NUMBER = r"(?i)^\d+[a-z]?\.$"
+NOTE_START = r"(?i)^(?:note|notes|comment)\s*:"
+MARKER = r"(?i)^(?:\d+[a-z]?|e)\.?$"
+TERMINAL = r"(?:\.\.\.|[.!?;:])[\]\"')]*$"
+SOURCE_SIGN = r"\b(?:DUMU|IGI|KI|URUDU|GIN|KU|KÙ|SES|ITI|LUGAL|TUG|TA)\b"
+SOURCE_SYLLABLE = r"\b[\w!\[\]{}'/]+-[\w!\[\]{}'/]+\b"
+SOURCE_FUNCTION = r"(?i)\b(?:a-na|i-na|ma-na|sa|ina|ana)\b"
+TABLE_STOPWORDS = (
+    "a", "again", "and", "at", "be", "by", "comment", "context", "date", "fact", "for", "from", "in", "is", "line", "meaning", "note", "of", "or", "reason", "reading",
+    "son", "silver", "text", "that", "the", "this", "to", "was", "with", "word", "owed", "witnessed",
+)
+TITLE_TOP, ROW_TOLERANCE, STREAK_LIMIT, PAGE_CANDIDATES, SEGMENT_GAP = 90.0, 3.0, 2, 8, 24.0

@@ -56,11 +56,7 @@ def determinatives(text: Column, full_width: bool = True) -> Column:
 
 
 def unify_gaps(text: Column, broken_line: bool = True) -> Column:
-    kinds = [
-        r"<\s*big[\s_\-]*gap\s*>", r"<\s*gap\s*>", rf"{LEFT}big[\s_\-]*gap{RIGHT}", rf"{LEFT}x(?:\s+x)+{RIGHT}", r"\.{3,}|…+|\[\.+\]",
-        r"\[\s*x\s*\]|\(\s*x\s*\)", rf"{LEFT}x{{2,}}{RIGHT}", rf"{LEFT}x{RIGHT}", r"\(\s*large\s+break\s*\)", r"\(\s*break\s*\)", r"\(\s*\d+\s+broken\s+lines?\s*\)",
-    ]
-    return sub(text, "|".join(kinds + ([r"\(\s*broken\s+line\s*\)"] if broken_line else [])), "<gap>", ignore_case=True)
+    return sub(text, "|".join((*R.GAPS, R.GAP_BROKEN_LINE) if broken_line else R.GAPS), "<gap>", ignore_case=True)
 
 
 def collapse_gaps(text: Column) -> Column:
@@ -89,13 +85,12 @@ def commodities(text: Column) -> Column:
 
 
 def shekels(text: Column) -> Column:
-    return sub(subs(text, R.SHEKELS, True), rf"1\s*/\s*12\s*(?:\(shekel\)|{LEFT}shekel)?", "15 grains", True)
+    return subs(text, R.SHEKELS, True)
 
 
 def grammar_notes(text: Column) -> Column:
-    soft = r"\(\s*(?:fem|plur|pl|sing|singular|plural|\?|\!)(?:\.\s*(?:plur|plural|sing|singular))?\.?\s*[^)]*\)"
-    text = sub(text, soft, " ", True)
-    text = sub(text, rf"{LEFT}(?:fem|sing|pl|plural)\.?{RIGHT}\s*", " ", True)
+    text = sub(text, R.GRAMMAR_NOTES, " ", True)
+    text = sub(text, rf"{LEFT}{R.GRAMMAR_WORDS}{RIGHT}\s*", " ", True)
     return F.replace(text, F.lit("(?)"), F.lit(""))
 
 
@@ -148,11 +143,12 @@ class Profile:
     plus_policy: bool = False
     removals: bool = True
     alphabet: str = ""
+    fallback: tuple = ()
 
 
 V2 = Profile()
 INFER = Profile(line_numbers=False, drop_question=False, full_width=False, broken_line=False, fractions=R.FRACTIONS_5, sums=False, cluster=False, big_gap=False, forbidden=R.INFER_FORBIDDEN, removals=False)
-SIMPLE = Profile(**{**INFER.__dict__, "skip_signs": ("0.625", "0.75"), "forbidden": ""})
+SIMPLE = Profile(**{**INFER.__dict__, "skip_signs": ("0.625", "0.75"), "forbidden": R.SIMPLE_FORBIDDEN, "alphabet": R.SIMPLE_ALPHABET, "fallback": R.SIMPLE_FALLBACK})
 BEST = Profile(**{**INFER.__dict__, "forbidden": R.BEST_FORBIDDEN, "drop_comma": True, "plus_policy": True})
 PROFILES = {"v2": V2, "infer": INFER, "simple": SIMPLE, "best": BEST}
 
@@ -189,18 +185,21 @@ def normalize_target(text: Column, profile: Profile | str = V2) -> Column:
     text = roman_months(stray_marks(grammar_notes(text), p.big_gap))
     text = collapse_gaps(text) if p.cluster else collapse_gaps_simple(text)
     text = F.replace(text, F.lit("<gap>"), F.lit(_MARK))
-    text = allowed_alphabet(text, p.alphabet) if p.alphabet else F.translate(text, p.forbidden, "") if p.forbidden else text
+    text = F.translate(text, p.forbidden, "") if p.forbidden else text
     text = F.translate(F.replace(text, F.lit(_MARK), F.lit(" <gap> ")), "ḫḪ", "hH")
+    text = allowed_alphabet(text, p.alphabet, p.fallback) if p.alphabet else text
     text = punctuation(repeated_words(text))
     if p.removals:
         text = hyphen_spacing(collapse_gaps(strip_angles(text)))
     return squeeze(text)
 
 
-def allowed_alphabet(text: Column, alphabet: str, fallback: dict[str, str] | None = None) -> Column:
-    """Fallback spellings first, then everything outside the alphabet goes; gap marks stay."""
-    text = literals(text, tuple((fallback or {}).items()))
-    return F.regexp_replace(text, "[^" + "".join("\\" + c if c in "\\]-[^&" else c for c in alphabet) + "\x00GAP]", "")
+def allowed_alphabet(text: Column, alphabet: str = R.SIMPLE_ALPHABET, fallback: tuple[tuple[str, str], ...] = R.SIMPLE_FALLBACK) -> Column:
+    """Fallback spellings first, then everything outside the alphabet goes."""
+    one = [r for r in fallback if len(r[1]) == 1]
+    text = F.translate(text, "".join(a for a, _ in one), "".join(b for _, b in one)) if one else text
+    text = literals(text, tuple(r for r in fallback if len(r[1]) != 1))
+    return F.regexp_replace(text, "[^" + "".join("\\" + c if c in "\\]-[^&" else c for c in alphabet) + "]", "")
 
 
 _PUNCT = ",:.?!"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.regex import words_ws
+from tessella.functions import rules as R
+from tessella.functions.regex import let, squeeze, words_ws
+from tessella.functions.text import nonnull
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -59,13 +63,9 @@ def is_indexable(token: Column) -> Column:
     return (token != "") & (token != "<gap>") & F.regexp_like(token, F.lit(r"\p{L}"))
 
 
-#: English words that carry no meaning of their own.
-STOPWORDS = tuple("a an and are as at be by for from he her him his i if in is it its me my not of on or our she so that the their them they this to us was we were will with you your".split())
-
-
-def content_words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    """F8: lower-case words of letters, digits, apostrophes and hyphens that are no stopwords."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'’-]*)"), F.lit(1))
+def content_words(text: Column, stopwords: tuple[str, ...] = R.STOPWORDS) -> Column:
+    """F8: the lower-case words of plain letters, with one hyphen or apostrophe inside, that are no stopwords."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({R.CONTENT_TOKEN})"), F.lit(1))
     return F.filter(words, lambda w: ~w.isin(*stopwords))
 
 
@@ -87,35 +87,66 @@ def page(df: DataFrame, number: int, column: str = "pdf_page") -> DataFrame:
     return df.filter(F.col(column) == number)
 
 
+def _stopword_hits(text: Column) -> Column:
+    return F.size(F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1)), lambda w: w.isin(*R.TABLE_STOPWORDS)))
+
+
 def source_like(text: Column) -> Column:
-    """signs of a transliteration: hyphenated syllables, diacritics, determinatives, capitals with dots; two points make one."""
-    score = lambda p, w=1: F.when(F.regexp_like(text, F.lit(p)), w).otherwise(0)
-    total = score(r"\p{L}+-\p{L}+", 2) + score(r"[šṣṭḫáéíúàèìùŠṢṬḪ]") + score(r"\{[^}]+\}|\([dkg][^)]*\)") + score(r"\p{Lu}{2,}\.\p{Lu}") + score(r"^\s*\d+'?\s")
-    return total >= 2
+    """looks like a transliteration: signs and hyphenated syllables count two, function words and editorial marks one,
+    hyphens one each up to two, and each English stopword takes one away; two make one."""
+
+    def score(t: Column) -> Column:
+        found = lambda pattern, points: F.when(F.regexp_like(t, F.lit("(?U)" + pattern)), points).otherwise(0)
+        hyphens = F.length(t) - F.length(F.replace(t, F.lit("-"), F.lit("")))
+        marks = F.when(F.regexp_like(t, F.lit(r"[\[\]{}!/]")), 1).otherwise(0)
+        return found(R.SOURCE_SIGN, 2) + found(R.SOURCE_SYLLABLE, 2) + found(R.SOURCE_FUNCTION, 1) + marks + F.least(hyphens, F.lit(2)) - _stopword_hits(t)
+
+    return let(squeeze(nonnull(text)), lambda t: (t != "") & (score(t) >= 2))
 
 
 def target_like(text: Column) -> Column:
-    """an English sentence: three words or more of plain letters, few hyphens."""
-    words = F.size(F.regexp_extract_all(text, F.lit(r"\b([A-Za-z]{2,})\b"), F.lit(1)))
-    return (words >= 3) & (F.regexp_count(text, F.lit("-")) * 2 < words) & ~source_like(text)
-
-
-def quality_score(text: Column, source_words: Column) -> Column:
-    """from 0 to 1; penalties for empty, short, long, repeating, symbol-heavy and gap-heavy candidates."""
-    words = words_ws(F.coalesce(text, F.lit("")))
-    n = F.size(words)
-    pen = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0.0))
-    letters = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\p{L}"))
-    size = F.greatest(F.length(text), F.lit(1))
-    repeat = 1 - F.size(F.array_distinct(F.transform(words, F.lower))) / F.greatest(n, F.lit(1))
-    total = (
-        pen(n == 0, 1.0) + pen((n > 0) & (n < 0.3 * source_words), 0.3) + pen(n > 4 * source_words + 10, 0.3) + pen(repeat > 0.5, 0.3)
-        + pen(letters / size < 0.5, 0.2) + pen(F.regexp_count(text, F.lit("<gap>")) > 0.5 * n, 0.15) + pen(F.regexp_like(text, F.lit(r"(.)\1{4,}")), 0.2) + pen(~F.regexp_like(text, F.lit(r"[.!?]$")), 0.05)
-    )
-    return F.greatest(F.lit(0.0), 1 - total)
-
-
-def guarded_filter(candidates: Column, keep, at_least: int = 2) -> Column:
+    """looks like an English sentence: a stopword or three words of plain letters, and no publication named."""
+    words = lambda t: F.regexp_count(t, F.lit("[A-Za-z]{2,}"))
+    return let(squeeze(nonnull(text)), lambda t: (t != "") & ~F.regexp_like(t, F.lit(R.TITLE_SOURCE)) & ((_stopword_hits(t) >= 1) | (words(t) >= 3)))
+
+
+def title_like(text: Column) -> Column:
+    """names a publication, by number or by its letters."""
+    return let(nonnull(text), lambda t: F.regexp_like(t, F.lit(R.TITLE_SOURCE)) & (F.regexp_like(t, F.lit(R.TITLE_NUMBER)) | F.contains(F.lower(t), F.lit("kt "))))
+
+
+def note_like(*parts: Column) -> Column:
+    """any part begins a note or comment."""
+    return reduce(lambda a, b: a | b, (F.regexp_like(nonnull(c), F.lit(R.NOTE_START)) for c in parts))
+
+
+def marker_like(text: Column) -> Column:
+    """a line number."""
+    return F.regexp_like(nonnull(text), F.lit(R.MARKER))
+
+
+def quality_score(text: Column) -> Column:
+    """from 0 to 1: penalties for few letters, many digits, capitals, marks or words of one character, a very long word, no
+    common English word, and a gap."""
+
+    def of(t: Column) -> Column:
+        size = F.greatest(F.length(t), F.lit(1))
+        words = words_ws(t)
+        share = lambda pattern, whole: F.regexp_count(t, F.lit(pattern)) / whole
+        letters = F.regexp_count(t, F.lit(r"\p{L}"))
+        marks = F.length(t) - F.length(F.translate(t, R.QUALITY_PUNCTUATION, ""))
+        common = F.regexp_like(t, F.lit(rf"(?Ui)\b(?:{'|'.join(R.QUALITY_WORDS)})\b"))
+        penalties = (
+            (letters / size < 0.45, 0.35), (share(r"\p{N}", size) > 0.20, 0.20), (share(r"\p{Lu}", F.greatest(letters, F.lit(1))) > 0.30, 0.20), (marks / size > 0.35, 0.25),
+            (F.size(F.filter(words, lambda w: F.length(w) == 1)) / F.size(words) > 0.35, 0.20), (F.array_max(F.transform(words, F.length)) > 22, 0.20), (~common, 0.20), (F.contains(t, F.lit("<gap>")), 0.10),
+        )
+        left = reduce(lambda s, p: s - F.when(p[0], p[1]).otherwise(0.0), penalties, F.lit(1.0))
+        return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), left))
+
+    return let(F.trim(nonnull(text)), of)
+
+
+def guarded_filter(candidates: Column, keep=lambda c: quality_score(c) >= R.QUALITY_LEAST, at_least: int = 2) -> Column:
     """the candidates that pass, unless fewer than at_least do; then all."""
     good = F.filter(candidates, keep)
     return F.when(F.size(good) >= at_least, good).otherwise(candidates)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.regex import let
+from tessella.functions.regex import let, words_ws
 
 SEP = "\x01"
 
@@ -116,39 +115,48 @@ def hints(docs: DataFrame, lexicon: DataFrame, key: str, tokens: Column, form_ke
     return docs.join(per, docs[key] == per["_k"], "left").withColumn("hints", F.coalesce("hints", none)).drop("_k")
 
 
-def rewrite_greedy(tokens: list[str], index: dict[tuple[str, ...], str], pools: dict[str, list[str]], longest: int = 4, most: int = 8) -> tuple[list[str], list[tuple[str, str]]]:
-    """Names replaced by aliases of their kind from left to right, longest first; (tokens, pairs of alias and name).
-
-    Past the cap one token is copied a step; a kind whose pool is used up copies its match whole and uncounted."""
-    out, pairs, used, given = [], [], dict.fromkeys(pools, 0), {}
-    i = 0
-    while i < len(tokens):
-        n = next((n for n in range(min(longest, len(tokens) - i), 0, -1) if tuple(tokens[i : i + n]) in index), 0)
-        if not n or len(pairs) >= most:
-            out.append(tokens[i])
-            i += 1
-            continue
-        name, kind = tuple(tokens[i : i + n]), index[tuple(tokens[i : i + n])]
-        if name not in given and used[kind] >= len(pools[kind]):
-            out.extend(name)
-        else:
-            if name not in given:
-                given[name] = pools[kind][used[kind]]
-                used[kind] += 1
-                pairs.append((given[name], " ".join(name)))
-            out.append(given[name])
-        i += n
-    return out, pairs
-
-
-def alias_names(df: DataFrame, text: str, index: dict[tuple[str, ...], str], pools: dict[str, list[str]], longest: int = 4, most: int = 8) -> DataFrame:
-    """J11 over a column: aliased text and the pairs to restore. The index is a dictionary of names and has a dictionary's size."""
-    @F.pandas_udf("text string, pairs array<struct<alias:string,name:string>>")
-    def work(texts: pd.Series) -> pd.DataFrame:
-        done = [rewrite_greedy((t or "").split(), index, pools, longest, most) for t in texts]
-        return pd.DataFrame({"text": [" ".join(a) for a, _ in done], "pairs": [[{"alias": x, "name": y} for x, y in b] for _, b in done]})
-
-    return df.withColumn("_r", work(text)).select("*", F.col("_r.text").alias("aliased"), F.col("_r.pairs").alias("pairs")).drop("_r")
+_ALIASED = "struct<next:int,used:array<int>,taken:array<struct<pos:int,n:int,source:string,target:string,name:string>>>"
+
+
+def _aliases(found: Column, pools: dict[str, list[tuple[str, str]]], most: int) -> Column:
+    """Of matches struct(pos, n, name, kind): those replaced, with their aliases. From left to right, the longest first; each takes
+    the next alias of its kind; where a kind has none left the match is passed over as a whole."""
+    kinds = sorted(pools)
+    ordered = F.array_sort(F.transform(found, lambda f: F.struct(f["pos"].alias("pos"), (-f["n"]).alias("n"), f["name"].alias("name"), f["kind"].alias("kind"))))
+    pool = F.create_map(*(x for k in kinds for x in (F.lit(k), F.array(*(F.struct(F.lit(u).alias("source"), F.lit(v).alias("target")) for u, v in pools[k])) if pools[k] else F.array().cast("array<struct<source:string,target:string>>"))))
+
+    def step(acc: Column, f: Column) -> Column:
+        place = F.array_position(F.array(*map(F.lit, kinds)), f["kind"]).cast("int") - 1
+        alias = F.get(F.try_element_at(pool, f["kind"]), F.get(acc["used"], place))
+        free = (f["pos"] >= acc["next"]) & (F.size(acc["taken"]) < most)
+        real = free & F.coalesce((alias["source"] != "") & (alias["target"] != ""), F.lit(False))
+        new = F.struct(f["pos"].alias("pos"), (-f["n"]).alias("n"), alias["source"].alias("source"), alias["target"].alias("target"), f["name"].alias("name"))
+        used = F.transform(acc["used"], lambda u, i: F.when((i == place) & real, u + 1).otherwise(u))
+        return F.struct(F.when(free, f["pos"] - f["n"]).otherwise(acc["next"]).alias("next"), used.alias("used"), F.when(real, F.concat(acc["taken"], F.array(new))).otherwise(acc["taken"]).alias("taken")).cast(_ALIASED)
+
+    start = F.struct(F.lit(0).alias("next"), F.array(*(F.lit(0) for _ in kinds)).alias("used"), F.array().alias("taken")).cast(_ALIASED)
+    return F.aggregate(ordered, start, step)["taken"]
+
+
+def alias_names(df: DataFrame, key: str, text: str, lexicon: DataFrame, form: str, name: str, kind: str, pools: dict[str, list[tuple[str, str]]], longest: int = 4, most: int = 8) -> DataFrame:
+    """Names of the lexicon (form: its tokens joined by SEP) replaced by aliases of their kind, most of them at most; two columns
+    are added: aliased, and pairs (alias in the target, name) to restore. pools: (source alias, target alias) in order, by kind."""
+    tokens = words_ws(F.coalesce(F.col(text), F.lit("")))
+    grams = df.select(F.col(key).alias("_k"), F.explode(ngrams(tokens, longest)).alias("g")).select("_k", "g.pos", "g.n", F.col("g.key").alias("_g"))
+    found = grams.join(lexicon.select(F.col(form).alias("_f"), F.col(name).alias("_name"), F.col(kind).alias("_kind")), F.col("_g") == F.col("_f"))
+    per = found.groupBy("_k").agg(F.collect_list(F.struct("pos", "n", F.col("_name").alias("name"), F.col("_kind").alias("kind"))).alias("_m")).select("_k", _aliases(F.col("_m"), pools, most).alias("_taken"))
+
+    def rewritten(t: Column) -> Column:
+        parts = F.aggregate(
+            "_taken",
+            F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")),
+            lambda acc, x: F.struct(F.concat(acc["out"], F.slice(t, acc["at"] + 1, x["pos"] - acc["at"]), F.split(x["source"], " ")).alias("out"), (x["pos"] + x["n"]).alias("at")),
+        )
+        return F.array_join(let(parts, lambda p: F.concat(p["out"], F.slice(t, p["at"] + 1, F.size(t)))), " ")
+
+    joined = df.join(per, df[key] == per["_k"], "left")
+    pairs = F.coalesce(F.transform("_taken", lambda x: F.struct(x["target"].alias("alias"), x["name"].alias("name"))), F.array().cast("array<struct<alias:string,name:string>>"))
+    return joined.select(*(df[c] for c in df.columns), F.when(F.size("_taken") > 0, let(tokens, rewritten)).otherwise(F.col(text)).alias("aliased"), pairs.alias("pairs"))
 
 
 def restore_names(df: DataFrame, text: str = "aliased", pairs: str = "pairs") -> DataFrame:
@@ -178,11 +186,17 @@ def missing_matches(found: DataFrame, docs: DataFrame, spellings: DataFrame, key
 
 
 def drop_dominated(df: DataFrame, key: str, items: str) -> DataFrame:
-    """Rows whose item set is no strict subset of another row's; equal sets all stay. Joined on items and counted, not compared by pairs."""
-    sets = df.select(F.col(key).alias("_k"), F.array_distinct(items).alias("_s")).select("_k", F.size("_s").alias("_n"), F.explode("_s").alias("_i"))
-    a, b = (sets.select(F.col("_k").alias(f"{x}k"), F.col("_n").alias(f"{x}n"), F.col("_i")) for x in "ab")
-    below = a.join(b, "_i").filter("an < bn").groupBy("ak", "an", "bk").agg(F.count("*").alias("shared")).filter("shared = an").select("ak").distinct()
-    return df.join(below, df[key] == below["ak"], "left_anti")
+    """Rows whose item set is no strict subset of another row's; equal sets all stay. Each distinct set looks for larger ones
+    among those that hold its rarest item, so that common items bring no pairs together."""
+    sets = df.select(F.col(key).alias("_k"), F.array_sort(F.array_distinct(items)).alias("_s"))
+    kinds = sets.select("_s").distinct()
+    each = kinds.select("_s", F.explode("_s").alias("_i"))
+    common = each.groupBy("_i").agg(F.count("*").alias("_c"))
+    rarest = each.join(common, "_i").groupBy("_s").agg(F.min_by("_i", F.struct("_c", "_i")).alias("_i"))
+    below = rarest.join(each.select(F.col("_s").alias("_t"), "_i"), "_i").filter((F.size("_t") > F.size("_s")) & (F.size(F.array_except("_s", "_t")) == 0)).select("_s").distinct()
+    some = kinds.filter(F.size("_s") > 0).limit(1).select(F.array().cast(kinds.schema["_s"].dataType).alias("_s"))  # the empty set is below any other
+    gone = sets.join(below.unionAll(some), "_s", "left_semi").select("_k")
+    return df.join(gone, df[key] == gone["_k"], "left_anti")
 
 
 def double_index(tokens: DataFrame, exact: DataFrame, folded: DataFrame, by: list[str], token: str, fold: str, entry: str) -> DataFrame:
@@ -248,9 +262,55 @@ def lexicon_index(lexicon: DataFrame, fields: list[str], normalize: Callable[[Co
     return long.join(forms, "value").filter((F.size("tokens") > 0) & (F.size("tokens") <= longest)).select("field", F.array_join("tokens", SEP).alias("key"), F.size("tokens").alias("n"), "ord")
 
 
-def pick_replacement(df: DataFrame, groups: DataFrame, group: str, options: str, seed: Column, unlike: Callable[[Column], Column]) -> DataFrame:
-    """From the group's options that are unlike the row's own, the one at md5(seed) modulo their number; null if there is none."""
+def pick_replacement(df: DataFrame, options: DataFrame, group: str, option: str, own: str, seed: Column) -> DataFrame:
+    """Of the group's distinct options in order, without the row's own, the one at md5(seed) modulo their number; null if there is none.
+
+    Options are numbered once, and a row looks its choice up by group and number: no row carries all options."""
     from tessella.functions.text import md5_index
 
-    joined = df.join(groups.select(group, options), group, "left").withColumn("_o", F.filter(options, unlike))
-    return joined.withColumn("replacement", F.when(F.size("_o") > 0, F.get("_o", md5_index(seed, F.greatest(F.size("_o"), F.lit(1))).cast("int")))).drop("_o", options)
+    numbered = options.select(F.col(group).alias("_g"), F.col(option).alias("_o")).distinct().withColumn("_n", F.row_number().over(W.partitionBy("_g").orderBy("_o")) - 1)
+    sizes = numbered.groupBy("_g").agg(F.count("*").alias("_size"))
+    mine = numbered.select(F.col("_g").alias("_mg"), F.col("_o").alias("_mo"), F.col("_n").alias("_mn"))
+    rows = df.join(sizes, df[group] == F.col("_g"), "left").drop("_g").join(mine, (df[group] == F.col("_mg")) & (df[own] == F.col("_mo")), "left")
+    left = F.col("_size") - F.when(F.col("_mn").isNotNull(), 1).otherwise(0)
+    at = F.when(left > 0, md5_index(seed, F.greatest(left, F.lit(1))))
+    rows = rows.withColumn("_at", F.when(F.col("_mn").isNotNull() & (at >= F.col("_mn")), at + 1).otherwise(at))
+    chosen = numbered.select(F.col("_g").alias("_cg"), F.col("_n").alias("_cn"), F.col("_o").alias("replacement"))
+    return rows.join(chosen, (df[group] == F.col("_cg")) & (F.col("_at") == F.col("_cn")), "left").select(*(df[c] for c in df.columns), "replacement")
+
+
+def entity_index(lexicon: DataFrame, spellings: DataFrame | None, normalize: Callable[[Column], Column], hint: Callable[[Column], Column], order: str = "_ord", longest: int = 4) -> DataFrame:
+    """(form, place, kind, hint): the distinct hints of each named entity's form, in lexicon order.
+
+    lexicon: form, type, lexeme, norm and order; persons (PN) and places (GN) count, their hint is the lexeme, or else norm. spellings: name,
+    spellings between semicolons, order; they come behind the lexicon's."""
+    names = lexicon.filter(F.trim("type").isin("PN", "GN"))
+    told = F.coalesce(F.nullif(hint(F.col("lexeme")), F.lit("")), F.nullif(hint(F.col("norm")), F.lit("")))
+    rows = names.select(F.lit(0).alias("_from"), F.col(order).alias("_o"), F.lit(0).alias("_i"), F.col("form").alias("raw"), F.trim("type").alias("kind"), told.alias("hint"))
+    if spellings is not None:
+        parts = spellings.select(F.lit(1).alias("_from"), F.col(order).alias("_o"), F.posexplode(F.split(F.coalesce("spellings", F.lit("")), ";")).alias("_i", "raw"), F.lit("ONOMASTICON").alias("kind"), F.nullif(hint(F.col("name")), F.lit("")).alias("hint"))
+        rows = rows.unionByName(parts)
+    rows = _formed(rows.filter("hint is not null"), normalize, longest)
+    # The lexicon's repeats count once, those of the spellings each.
+    each = F.when(F.col("_from") == 1, F.struct("_o", "_i"))
+    once = rows.groupBy("form", "kind", "hint", each.alias("_each")).agg(F.min(F.struct("_from", "_o", "_i")).alias("first"))
+    return once.withColumn("place", F.row_number().over(W.partitionBy("form").orderBy("first")).cast("long")).select("form", "place", "kind", "hint")
+
+
+def _formed(rows: DataFrame, normalize: Callable[[Column], Column], longest: int) -> DataFrame:
+    """With form: the tokens of the normalised raw form joined by SEP, 1 to longest of them."""
+    tokens = F.filter(F.split(normalize(F.coalesce("raw", F.lit(""))), r"\s+"), lambda t: t != "")
+    return rows.withColumn("_t", tokens).filter((F.size("_t") > 0) & (F.size("_t") <= longest)).withColumn("form", F.array_join("_t", SEP)).drop("_t", "raw")
+
+
+def proper_names(lexicon: DataFrame, spellings: DataFrame, normalize: Callable[[Column], Column], order: str = "_ord", longest: int = 4) -> DataFrame:
+    """(form, name, kind) of the forms that are a person's or a place's name alone; the first row of a form wins, the lexicon's before
+    the spellings'. A form that the lexicon has under several types, or another one, is left out."""
+    squeezed = lambda c: F.array_join(words_ws(F.coalesce(c, F.lit(""))), " ")
+    known = _formed(lexicon.select(F.lit(0).alias("_from"), F.col(order).alias("_o"), F.lit(0).alias("_i"), squeezed(F.col("form")).alias("raw"), F.trim(F.coalesce("type", F.lit(""))).alias("kind"), squeezed(F.col("lexeme")).alias("name")), normalize, longest)
+    types = known.groupBy("form").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    more = spellings.select(F.lit(1).alias("_from"), F.col(order).alias("_o"), F.posexplode(F.split(F.coalesce("spellings", F.lit("")), ";")).alias("_i", "raw"), F.lit("PN").alias("kind"), squeezed(F.col("name")).alias("name"))
+    rows = known.unionByName(_formed(more, normalize, longest)).filter((F.col("name") != "") & F.col("kind").isin("PN", "GN"))
+    sure = rows.join(types, "form", "left").filter(F.col("lo").isNull() | ((F.col("lo") == F.col("kind")) & (F.col("hi") == F.col("kind"))))
+    first = sure.groupBy("form").agg(F.min_by(F.struct("name", "kind"), F.struct("_from", "_o", "_i")).alias("x"))
+    return first.select("form", "x.name", "x.kind")

@@ -66,7 +66,7 @@ def _words(spark, sf_dir):
 
 
 def _phrases(spark, sf_dir):
-    """Each three words in a row of each benchmark item, once; items of one or two words as they are. The SQL has first words only."""
+    """Each three words in a row of each benchmark item, once; items of one or two words as they are."""
     items = table(spark, sf_dir, "benchmark").select("item_id", words_ws(F.lower(text.nonnull(F.col("text")))).alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.slice("w", i, 3))
     return items.select("item_id", F.explode(F.array_distinct(grams)).alias("p")).filter(F.size("p") > 0)
@@ -74,9 +74,10 @@ def _phrases(spark, sf_dir):
 
 _PHRASE_SQL = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
-p AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')[1:3] AS p FROM benchmark),
-spots AS (SELECT doc_id, i - 1 AS pos, w[i:i + 2] AS g FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
-found AS (SELECT doc_id, pos, item_id FROM spots JOIN p ON g = p AND len(p) = 3)
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, w[i:i + 2] AS p FROM b, unnest(range(1, greatest(len(w) - 1, 2))) AS u(i) WHERE len(w) > 0),
+spots AS (SELECT doc_id, i - 1 AS pos, w[i:i + n - 1] AS g FROM d, unnest(range(1, len(w) + 1)) AS u(i), unnest([1, 2, 3]) AS v(n) WHERE i + n - 1 <= len(w)),
+found AS (SELECT doc_id, pos, item_id, len(p) AS n FROM spots JOIN p ON g = p)
 """
 
 
@@ -99,7 +100,7 @@ def lookup_list(spark, sf_dir):
     return joins.lookup_list(table(spark, sf_dir, "region"), table(spark, sf_dir, "nation"), "r_regionkey", "n_regionkey", "n_name", "n_nationkey", name="nations").select("r_regionkey", "r_name", "nations")
 
 
-@query(_PHRASE_SQL + "SELECT doc_id, item_id, rank FROM (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos), item_id) AS rank FROM found GROUP BY doc_id, item_id) WHERE rank <= 12")
+@query(_PHRASE_SQL + "SELECT doc_id, item_id, rank FROM (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY max(n) DESC, min(pos), item_id) AS rank FROM found GROUP BY doc_id, item_id) WHERE rank <= 12")
 def ngram_join(spark, sf_dir):
     """J8"""
     phrases = _phrases(spark, sf_dir)
@@ -166,7 +167,7 @@ def precedence_union(spark, sf_dir):
 
 @query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
 def first_match(spark, sf_dir):
-    """J18, J24, J26"""
+    """J18"""
     return joins.first_by(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"])
 
 
@@ -177,11 +178,27 @@ def align_by_id(spark, sf_dir):
     return joins.align_by_id(o.select("id", F.col("o_orderstatus").alias("v")), o.select("id", F.col("o_orderpriority").alias("v")), "id", "v")
 
 
-@query("SELECT source, count(*) AS n FROM documents a JOIN documents b USING (source) WHERE a.doc_id <> b.doc_id AND a.lang = 'fr' AND b.lang = 'fr' GROUP BY source")
+_POOLS_SQL = "WITH c AS (SELECT conv_id, 0 AS pool, turn AS pos, coalesce(text, '') AS text FROM conversations UNION ALL SELECT conv_id, 1, turn, lower(coalesce(text, '')) FROM conversations) "
+
+
+def _pools(spark, sf_dir):
+    """Two pools of candidates for each conversation: its turns, and its turns in small letters."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), text.nonnull(F.col("text")).alias("text"))
+    return joins.concat_pools(c, c.withColumn("text", F.lower("text")))
+
+
+@query(_POOLS_SQL + "SELECT conv_id, pool, pos, md5(text) AS digest FROM c")
+def pooled_candidates(spark, sf_dir):
+    """J20"""
+    return _pools(spark, sf_dir).select("conv_id", "pool", "pos", F.md5("text").alias("digest"))
+
+
+@query(_POOLS_SQL + "SELECT a.conv_id, a.pos AS a_pos, a.pool AS a_pool, count(*) AS n, sum((a.text = b.text)::INT)::BIGINT AS same FROM c a JOIN c b ON a.conv_id = b.conv_id AND (a.pos, a.pool) <> (b.pos, b.pool) GROUP BY ALL")
 def candidate_pairs(spark, sf_dir):
-    """Ordered pairs of a source's French documents."""
-    d = joins.concat_pools(table(spark, sf_dir, "documents").filter("lang = 'fr'").select("source", "doc_id"))
-    return joins.candidate_pairs(d, "source", "doc_id", []).groupBy("source").agg(F.count("*").alias("n"))
+    """Ordered pairs of a conversation's candidates, of which there are as many as its turns."""
+    pools = _pools(spark, sf_dir).withColumn("place", F.struct("pos", "pool"))
+    pairs = joins.candidate_pairs(pools, "conv_id", "place", ["text"])
+    return pairs.groupBy("conv_id", F.col("a_place.pos").alias("a_pos"), F.col("a_place.pool").alias("a_pool")).agg(F.count("*").alias("n"), F.sum((F.col("a_text") == F.col("b_text")).cast("long")).alias("same"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -205,16 +222,16 @@ SELECT doc_id, o[i + 1] AS replacement FROM m""")
 def hash_choice_swap(spark, sf_dir):
     """Another source of the language, chosen by md5."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    groups = d.select("lang", "source").distinct().groupBy("lang").agg(F.array_sort(F.collect_list("source")).alias("options"))
     seed = F.concat_ws("|", F.col("doc_id").cast("string"), "source")
-    out = joins.pick_replacement(d, groups, "lang", "options", seed, lambda x: x != F.col("source"))
+    out = joins.pick_replacement(d, d, "lang", "source", "source", seed)
     return out.filter("replacement is not null").select("doc_id", "replacement")
 
 
+_STOP = "['a','an','and','are','as','at','be','by','for','from','has','he','her','him','his','i','in','into','is','it','its','me','my','of','on','or','our','she','that','the','their','them','they','this','to','us','was','we','were','with','you','your']"
 _COOC_SQL = """
-WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}][\\p{L}\\p{N}''’-]*'), lambda x: NOT list_contains(%s, x)) AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[A-Za-z]+(?:[-''][A-Za-z]+)?'), lambda x: NOT list_contains(%s, x)) AS w FROM documents),
 t AS (SELECT doc_id, 'word' AS kind, unnest(w) AS term FROM d UNION ALL SELECT doc_id, 'bigram', w[i] || ' ' || w[i + 1] FROM d, unnest(range(1, len(w))) AS u(i))
-""" % ("[" + ", ".join(f"'{w}'" for w in filters.STOPWORDS) + "]")
+""" % _STOP
 
 
 @query(_COOC_SQL + "SELECT kind, term, n, \"rows\" FROM (SELECT kind, term, count(*) AS n, count(DISTINCT doc_id) AS \"rows\", row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, term) AS k FROM t GROUP BY kind, term HAVING count(*) >= 2) WHERE k <= 50")
@@ -258,13 +275,13 @@ def type_sets(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value >= 10 GROUP BY ALL),
-r AS (SELECT user_id, count(*) AS k, string_agg(event_type, ' / ' ORDER BY n DESC, event_type) AS choices, max(n) AS best_n FROM c GROUP BY user_id)
-SELECT user_id, choices, best_n FROM r WHERE k <= 4""")
+WITH c AS (SELECT l_suppkey, l_shipmode, count(*) AS n FROM lineitem WHERE l_quantity >= 40 GROUP BY ALL),
+r AS (SELECT l_suppkey, count(*) AS k, string_agg(l_shipmode, ' / ' ORDER BY n DESC, l_shipmode) AS choices, max(n) AS best_n FROM c GROUP BY l_suppkey)
+SELECT l_suppkey, choices, best_n FROM r WHERE k <= 7""")
 def gloss_vote(spark, sf_dir):
     """A20"""
-    e = table(spark, sf_dir, "events").withColumn("confidence", F.when(F.col("value") < 10, "low").otherwise("high"))
-    return aggregates.vote(e, "user_id", "event_type", "confidence")
+    votes = table(spark, sf_dir, "lineitem").withColumn("confidence", F.when(F.col("l_quantity") < 40, "low").otherwise("high"))
+    return aggregates.vote(votes, "l_suppkey", "l_shipmode", "confidence", max_variants=7)
 
 
 @query("SELECT p_partkey, p_name, exact FROM (SELECT p_partkey, p_name, lower(p_name) = 'lavender 3' OR lower(p_type) = 'small' AS exact, p_type FROM part WHERE contains(lower(p_name), 'small') OR contains(lower(p_type), 'small') ORDER BY exact DESC, p_type, p_partkey LIMIT 200)")
@@ -288,9 +305,9 @@ def ordered_rank(spark, sf_dir):
     return global_rank(li, [F.expr("coalesce(try_cast(l_returnflag AS int), 0)"), F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")]).select("l_orderkey", "l_linenumber", "rank")
 
 
-@query("SELECT doc_id, text AS note FROM documents WHERE lang = 'es' UNION ALL SELECT vec_id, NULL FROM embeddings")
+@query("SELECT doc_id, text AS note FROM documents UNION ALL SELECT vec_id, NULL FROM embeddings")
 def union_reports(spark, sf_dir):
-    """U1, U2, on all documents; the SQL has the Spanish ones."""
+    """U1, U2"""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("note"))
     return sets.union_all(d, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")))
 
@@ -305,9 +322,9 @@ def merged_sets(spark, sf_dir):
 def set_predicates(spark, sf_dir):
     """Each customer's states against all states."""
     o = table(spark, sf_dir, "orders")
-    every = [r[0] for r in o.select("o_orderstatus").distinct().collect()]  # a handful of states
-    whole = F.array(*map(F.lit, every))
-    own = o.groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("s"))
+    whole = o.agg(F.collect_set("o_orderstatus").alias("whole"))  # one row
+    own = o.groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("s")).join(F.broadcast(whole), F.lit(True))
+    whole = F.col("whole")
     return own.select("o_custkey", sets.intersects(F.col("s"), whole).alias("overlaps"), sets.strict_subset(F.col("s"), whole).alias("strict"))
 
 
@@ -319,9 +336,13 @@ def common_keys(spark, sf_dir):
     return sets.common_keys(a, b, "key", "shape")
 
 
-@query("SELECT doc_id, merged FROM (SELECT doc_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(list_concat(string_split(text, ' ')[1:6], ['The', 'of', 'OF']), lambda x: [x])), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: lower(y)), lower(x[1])) THEN a ELSE list_concat(a, x) END) AS merged FROM documents)")
+@query("""
+WITH w AS (SELECT doc_id, list_concat(string_split(text, ' '), ['The', 'of', 'OF']) AS w FROM documents),
+e AS (SELECT doc_id, i, w[i] AS x FROM w, unnest(range(1, len(w) + 1)) AS u(i)),
+f AS (SELECT doc_id, min(i) AS i, arg_min(x, i) AS x FROM e GROUP BY doc_id, lower(x))
+SELECT doc_id, list(x ORDER BY i) AS merged FROM f GROUP BY doc_id""")
 def merge_ci(spark, sf_dir):
-    """U6, on all words; the SQL has the first six."""
+    """U6"""
     return table(spark, sf_dir, "documents").select("doc_id", text.merge_ci(F.split("text", " "), F.array(F.lit("The"), F.lit("of"), F.lit("OF"))).alias("merged"))
 
 
@@ -359,7 +380,7 @@ def missing_mentions(spark, sf_dir):
 def merged_entities(spark, sf_dir):
     """Part names merged where they share a word."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("display"), F.array(F.col("p_name"), F.col("p_type")).alias("names"), F.array("p_brand").alias("spellings"), F.array(F.lit("part")).alias("sources"))
-    return entities.merge_entities(p, "p_partkey")
+    return entities.merge_entities(p, "p_partkey", mode="components")
 
 
 @query()
