@@ -335,7 +335,7 @@ def clip(text: Column, limit: int, mark: str = "...") -> Column:
 def join_fragments(parts: Column) -> Column:
     """Fragments of a line joined by blanks; a fragment ending in a hyphen takes the next one without."""
     return F.aggregate(
-        F.filter(F.transform(parts, F.trim), lambda p: p != ""),
+        F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""),
         F.lit(""),
         lambda acc, p: F.when(acc == "", p).when(F.endswith(acc, F.lit("-")), F.concat(F.substr(acc, F.lit(1), F.length(acc) - 1), p)).otherwise(F.concat(acc, F.lit(" "), p)),
     )

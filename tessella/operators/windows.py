@@ -121,7 +121,7 @@ def trim_to_budget(hints: Column, size, base: Column, limit: int) -> Column:
 
 def pack_lines(text: Column, limit: int = 200) -> Column:
     """Pieces between newlines and double blanks, words of each packed up to a length."""
-    pieces = F.filter(F.transform(F.split(text, r"\n|  "), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(text, r"\n|  "), lambda p: F.trim(p)), lambda p: p != "")
 
     def pack(words: Column) -> Column:
         grown = F.aggregate(

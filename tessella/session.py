@@ -72,11 +72,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 _written = threading.local()
 
 
-def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it back."""
-    path = scratch(df.sparkSession, name)
+def passing(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, deleted when the innermost open `settle` ends."""
+    path = scratch(spark, name)
     if stack := getattr(_written, "stack", None):
         stack[-1].append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Cut lineage: write df as Parquet into the shared folder and read it back."""
+    path = passing(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,13 +16,17 @@ from tessella.operators.filters import require_columns
 
 
 def with_order(df: DataFrame, name: str = "_ord") -> DataFrame:
-    """Contiguous row numbers from 0 in reading order, by counts of the partitions before (no single task)."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
+    """Contiguous row numbers from 0 for a scan of whole files: by file name, then by place in the file. Each file's rows are counted,
+    and a row's number is the count of the files before plus its place; rows themselves don't move."""
+    placed = df.withColumns({"_f": F.input_file_name(), "_m": F.monotonically_increasing_id()})
+    files = placed.groupBy("_f").agg(F.count("*").alias("_c"), F.min("_m").alias("_least"))
+    before = F.coalesce(F.sum("_c").over(W.orderBy("_f").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    starts = files.select(F.col("_f").alias("_file"), (before - F.col("_least")).alias("_shift"))
+    return placed.join(starts, F.col("_f") == F.col("_file")).select(*df.columns, (F.col("_m") + F.col("_shift")).cast("long").alias(name))
 
 
 def csv(spark: SparkSession, path: str, columns: list[str] | None = None, na: str = "literal", order: bool = True) -> DataFrame:
-    """RFC 4180 with line breaks in quotes, all strings. na='pandas' reads the usual NA spellings as null, 'literal' as they are."""
+    """RFC 4180 with line breaks in quotes, all strings; a file is read whole by one task, as only its start tells quotes from text. na='pandas' reads the usual NA spellings as null, 'literal' as they are."""
     if columns is None:
         columns = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -70,6 +77,20 @@ def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
+def pdf_words(spark: SparkSession, path: str, extract: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
+    """(path, page, text, x0, x1, top, bottom) of the words that `extract` finds in the bytes of each file. No PDF library comes with
+    this one; with pdfplumber, extract opens the bytes and yields the page number and extract_words() of each page."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [(name, int(page), str(text), *map(float, at)) for page, text, *at in extract(content)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 7, (pa.string(), pa.int32(), pa.string(), *[pa.float64()] * 4), strict=True)], ["path", "page", "text", "x0", "x1", "top", "bottom"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(work, "path string, page int, text string, x0 double, x1 double, top double, bottom double")
+
+
 def words(df: DataFrame, top_min: float = 0.0, bottom_max: float = 1e9) -> DataFrame:
     """A table of words with places, those between two heights."""
     require_columns(df, "page", "text", "x0", "x1", "top", "bottom")

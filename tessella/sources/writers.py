@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,21 +32,54 @@ def json_column(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def replace_atomically(df: DataFrame, path: str) -> None:
-    """K4: written beside the target, then renamed onto it; a reader sees the old folder or the new one."""
+_POINTER = "_current"
+
+
+def _paths(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """K4: the version of a replaced table that its pointer names; None before the first."""
+    jvm, root, fs = _paths(spark, path)
+    pointer = jvm.org.apache.hadoop.fs.Path(root, _POINTER)
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        name = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+    return f"{path.rstrip('/')}/{name}"
+
+
+def replace_atomically(df: DataFrame, path: str, before_commit: Callable[[], None] = lambda: None) -> None:
+    """K4: a table of versions. The rows go to a folder of their own, then a pointer file is renamed over the one that names the version
+    before: a reader of `current` sees one version or the other as a whole, whenever the writer stops. Versions that the
+    pointer has left go at the next replacement but the last, which readers may still hold."""
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, staged, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + s) for s in ("", ".staged", ".old"))
-    fs = target.getFileSystem(conf)
-    fs.delete(staged, True)
-    df.write.parquet(path.rstrip("/") + ".staged")
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    if not fs.rename(staged, target):
-        fs.rename(old, target)
-        raise OSError(f"could not replace {path}")
-    fs.delete(old, True)
+    jvm, root, fs = _paths(spark, path)
+    make = jvm.org.apache.hadoop.fs.Path
+    name = f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path.rstrip('/')}/{name}")
+    before_commit()
+    held = current(spark, path)
+    staged = make(root, f"{_POINTER}.{uuid.uuid4().hex}")
+    out = fs.create(staged, True)
+    out.write(bytearray(name, "utf-8"))
+    out.close()
+    # FileContext renames onto an existing file in one step, which FileSystem's own rename does not.
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(staged), fs.makeQualified(make(root, _POINTER)), options)
+    keep = {name, (held or "").rpartition("/")[2]}
+    for entry in fs.listStatus(root):
+        own = entry.getPath().getName()
+        if own.startswith("version-") and own not in keep and own < name:
+            fs.delete(entry.getPath(), True)
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessella.sources.readers import last_by_key
-from tessella.sources.writers import replace_atomically
+from tessella.sources.writers import current, replace_atomically
 
 
 def run_log(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] = lambda d: d, files: int | None = None) -> StreamingQuery:
@@ -21,16 +21,13 @@ def run_log(spark: SparkSession, source: str, schema, sink: str, checkpoint: str
 
 
 def upsert_latest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
-    """The last row of each key, merged batch by batch; a batch that runs again changes nothing."""
+    """The last row of each key, merged batch by batch into the versions of sink (`writers.current` names the last one); a batch that
+    runs again, or whose commit was cut short, changes nothing that is committed."""
 
     def merge(batch: DataFrame, _: int) -> None:
         own = batch.sparkSession
-        try:
-            now = own.read.schema(batch.schema).parquet(sink).unionByName(batch)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            now = batch
+        before = current(own, sink)
+        now = own.read.schema(batch.schema).parquet(before).unionByName(batch) if before else batch
         replace_atomically(last_by_key(now, key, order), sink)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()

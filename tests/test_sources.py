@@ -1,5 +1,6 @@
 """Sources, sinks and streams."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.sources import readers, writers
@@ -29,14 +30,66 @@ def test_json_and_log(spark, tmp_path):
 
 def test_replace_and_extend(spark, tmp_path):
     path = str(tmp_path / "t")
-    writers.replace_atomically(spark.range(3), path)
-    writers.replace_atomically(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5
+    assert writers.current(spark, path) is None
+    seen = []
+    for n in (3, 5, 7, 9):
+        writers.replace_atomically(spark.range(n), path)
+        seen.append(writers.current(spark, path))
+        assert spark.read.parquet(seen[-1]).count() == n
+    assert spark.read.parquet(seen[2]).count() == 7 and len(list((tmp_path / "t").glob("version-*"))) == 2
+
+    def stop():
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):  # a writer that stops before its commit leaves the version before
+        writers.replace_atomically(spark.range(11), path, before_commit=stop)
+    assert writers.current(spark, path) == seen[3] and spark.read.parquet(seen[3]).count() == 9
+    writers.replace_atomically(spark.range(2), path)
+    assert spark.read.parquet(writers.current(spark, path)).count() == 2
     both = writers.extended(spark.createDataFrame([("a",)], "x string"), spark.createDataFrame([("b", "c")], "x string, y string"))
     assert sorted(map(tuple, both.collect())) == [("a", ""), ("b", "c")]
     assert spark.range(1).select(writers.formatted(F.lit(1.23456)).alias("x"), writers.formatted(F.lit(None).cast("double")).alias("y")).first() == ("1.235", "")
 
 
+def test_upsert_survives_a_stop(spark, tmp_path, monkeypatch):
+    """A batch whose commit is cut short runs again on the version before; nothing is lost or counted twice."""
+    from tessella.streaming import checkpoint
+
+    source, sink, state, schema = str(tmp_path / "in"), str(tmp_path / "last"), str(tmp_path / "s"), "k long, v string, o long"
+    spark.createDataFrame([(1, "a", 1), (2, "b", 2)], schema).write.parquet(source)
+    upsert_latest(spark, source, schema, sink, state, "k", "o").awaitTermination()
+    spark.createDataFrame([(1, "z", 3), (4, "n", 4)], schema).write.mode("append").parquet(source)
+
+    def cut(df, path):
+        def stop():
+            raise RuntimeError("cut short")
+
+        writers.replace_atomically(df, path, before_commit=stop)
+
+    monkeypatch.setattr(checkpoint, "replace_atomically", cut)
+    with pytest.raises(Exception, match="cut short"):
+        upsert_latest(spark, source, schema, sink, state, "k", "o").awaitTermination()
+    read = lambda: sorted((r.k, r.v) for r in spark.read.parquet(writers.current(spark, sink)).collect())
+    assert read() == [(1, "a"), (2, "b")]
+    monkeypatch.undo()
+    upsert_latest(spark, source, schema, sink, state, "k", "o").awaitTermination()
+    assert read() == [(1, "z"), (2, "b"), (4, "n")]
+
+
+def test_order_over_files(spark, tmp_path):
+    for name, rows in (("b", "x,1\nx,2\n"), ("a", "y,3\n"), ("c", 'z,"4\n5"\nz,6\nz,7\n')):
+        (tmp_path / f"{name}.csv").write_text("k,v\n" + rows, encoding="utf-8")
+    got = readers.csv(spark, str(tmp_path), ["k", "v"]).orderBy("_ord").collect()
+    assert [(r.k, r.v, r._ord) for r in got] == [("y", "3", 0), ("x", "1", 1), ("x", "2", 2), ("z", "4\n5", 3), ("z", "6", 4), ("z", "7", 5)]
+
+
+def test_pdf_words(spark, tmp_path):
+    (tmp_path / "one.pdf").write_bytes(b"a b")
+    (tmp_path / "none.pdf").write_bytes(b"")
+    got = readers.pdf_words(spark, str(tmp_path), lambda raw: [(1, w, 10.0 * i, 10.0 * i + 5, 3.0, 8.0) for i, w in enumerate(raw.decode().split())])
+    assert sorted((r.text, r.page, r.x0, r.top) for r in readers.words(got).collect()) == [("a", 1, 0.0, 3.0), ("b", 1, 10.0, 3.0)]
+
+
 def test_streams(spark, tmp_path):
     source, schema = str(tmp_path / "in"), "k long, v string, o long"
     spark.createDataFrame([(1, "a", 1), (2, "b", 2)], schema).write.parquet(source)
@@ -46,7 +99,7 @@ def test_streams(spark, tmp_path):
     upsert_latest(spark, source, schema, str(tmp_path / "last"), str(tmp_path / "s2"), "k", "o").awaitTermination()
     spark.createDataFrame([(1, "z", 3)], schema).write.mode("append").parquet(source)
     upsert_latest(spark, source, schema, str(tmp_path / "last"), str(tmp_path / "s2"), "k", "o").awaitTermination()
-    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "last")).collect()) == [(1, "z"), (2, "b")]
+    assert sorted((r.k, r.v) for r in spark.read.parquet(writers.current(spark, str(tmp_path / "last"))).collect()) == [(1, "z"), (2, "b")]
 
 
 def test_env_and_bucket(tmp_path):
