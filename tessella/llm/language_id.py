@@ -212,6 +212,7 @@ def identify(docs: DataFrame, sample: tuple | None = None, doc_col: str = "doc_i
     rows = docs.select(F.struct(*(F.col(c) for c in kept)).alias("row"), F.lit(None).cast("string").alias("text") if keep and text_col in kept else F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.claim("language_id", _models.clear)
         model = model_of(sent.value)
         for batch in batches:
             column = pc.struct_field(batch.column(0), text_col) if text_col in kept else batch.column(1)

@@ -145,6 +145,7 @@ def _sign_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tb.claim("minhash_dedup")
     for batch in batches:
         for i, j, (doc, element, count) in _bag_of(batch.column(2)):
             n = j - i

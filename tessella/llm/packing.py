@@ -169,6 +169,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_col: s
     """Per piece: doc_id, piece, start, length, ids_crc32."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.claim("packing", _coders.clear)
         code = coder(tokenizer)
         for batch in batches:
             for i, j, _, _ in tb.chunks(batch.column(1)):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,26 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Called where an operator starts in a Python worker, which serves one after another: what others cached there goes
+    back to the system. forget: empties the owner's own cache."""
+    others = [name for name in _caches if name != owner]
+    for name in others:
+        _caches.pop(name)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: its memory is its own affair
+            pass
+    if forget:
+        _caches[owner] = forget
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
