@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import chat_format, html_extract, language_id, license_scan, line_dedup, media, minhash_dedup, mixing, packing, quality_rules
-from tessella.session import settle
+from tessella.session import settle, spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A whole table, on all cores however few splits its file has."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def tokenizer_path() -> str:
