@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import language_id, line_dedup, minhash_dedup, mixing, packing
 from tessella.llm.queries import tokenizer_path
-from tessella.session import materialize, settle, ship
+from tessella.session import materialize, settle, ship, spread
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
 
     def build() -> DataFrame:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
         for name, stage in STAGES[:-1]:
             docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
         return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import numbers
 from tessella.functions import rules as R
-from tessella.functions.regex import LEFT, RIGHT, W, let, literals, removed, squeeze, sub, subs, words_ws
+from tessella.functions.regex import LEFT, RIGHT, W, guarded, let, literals, removed, squeeze, sub, subs, words_ws
 
 _MARK = "\x00GAP\x00"
 
@@ -37,9 +37,8 @@ def diacritics(text: Column, drop_question: bool = False) -> Column:
     """sz, s, and t, as š, ṣ, ṭ; a vowel before 2 or 3 with its accent."""
     text = literals(text, R.SIBILANTS)
     text = F.replace(text, F.lit("?"), F.lit("")) if drop_question else text
-    for digit, accented in (("2₂", R.VOWELS[1]), ("3₃", R.VOWELS[2])):
-        text = subs(text, tuple((f"{v}[{digit}]", a) for v, a in zip(R.VOWELS[0], accented, strict=True)))
-    return text
+    rules = tuple((f"{v}[{digit}]", a) for digit, accented in (("2₂", R.VOWELS[1]), ("3₃", R.VOWELS[2])) for v, a in zip(R.VOWELS[0], accented, strict=True))
+    return guarded(text, lambda t: F.regexp_like(t, F.lit(f"[{R.VOWELS[0]}][2₂3₃]")), lambda t: subs(t, rules))
 
 
 def drop_line_numbers(text: Column) -> Column:
@@ -81,11 +80,12 @@ def fraction_signs(text: Column, skip: tuple[str, ...] = ()) -> Column:
 
 
 def commodities(text: Column) -> Column:
-    return subs(text, tuple((rf"(?<=\s)-{k}{RIGHT}", v) for k, v in R.COMMODITIES))
+    some = lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(f"-{k}")) for k, _ in R.COMMODITIES))
+    return guarded(text, some, lambda t: subs(t, tuple((rf"(?<=\s)-{k}{RIGHT}", v) for k, v in R.COMMODITIES)))
 
 
 def shekels(text: Column) -> Column:
-    return subs(text, R.SHEKELS, True)
+    return guarded(text, lambda t: F.regexp_like(t, F.lit(r"(?U)/\s*12")), lambda t: subs(t, R.SHEKELS, True))
 
 
 def grammar_notes(text: Column) -> Column:
@@ -101,7 +101,7 @@ def stray_marks(text: Column, big_gap: bool = True) -> Column:
 
 
 def roman_months(text: Column) -> Column:
-    return subs(text, tuple((rf"{LEFT}Month\s+{r}{RIGHT}", f"Month {n}") for r, n in R.ROMAN), True)
+    return guarded(text, lambda t: F.regexp_like(t, F.lit("(?Ui)month")), lambda t: subs(t, tuple((rf"{LEFT}Month\s+{r}{RIGHT}", f"Month {n}") for r, n in R.ROMAN), True))
 
 
 def repeated_words(text: Column) -> Column:

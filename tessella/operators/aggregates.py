@@ -61,8 +61,18 @@ def changed_rows(df: DataFrame, before: Column, after: Column) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(~before.eqNullSafe(after)).alias("changed"))
 
 
+def _counted(items: Column) -> Column:
+    """struct(x, n) of the distinct items of an array: the places in its sorted form where a new one begins, and how far the next is."""
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: (F.size(s) > 0) & ((i == 1) | (F.get(s, i - 1) != F.get(s, i - 2))))
+        return let(starts, lambda p: F.transform(p, lambda i, k: F.struct(F.get(s, i - 1).alias("x"), (F.coalesce(F.get(p, k + 1), F.size(s) + 1) - i).cast("long").alias("n"))))
+
+    return let(F.array_sort(items), of)
+
+
 def char_inventory(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Characters, their count, and the first row (by key) that has them. Counted within rows first, so rows shuffled are few."""
+    """Characters, their count, and the first row (by key) that has them."""
     chars = df.select(F.col(key).alias("k"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "")).alias("ch")).filter("ch <> ''")
     return chars.groupBy("ch").agg(F.count("*").alias("n"), F.min("k").alias("first_key"))
 
@@ -84,12 +94,14 @@ def pattern_inventory(df: DataFrame, columns: list[str], pattern: str) -> DataFr
 
 
 def cooccurrence(df: DataFrame, key: str, words: Column) -> DataFrame:
-    """Counts of words and of adjacent pairs, over the words left after filtering."""
-    base = df.select(F.col(key).alias("key"), words.alias("w"))
-    single = base.select("key", F.explode("w").alias("term")).withColumn("kind", F.lit("word"))
-    pairs = let(F.col("w"), lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))
-    double = base.filter(F.size("w") > 1).select("key", F.explode(pairs).alias("term")).withColumn("kind", F.lit("bigram"))
-    return single.unionByName(double).groupBy("kind", "term").agg(F.count("*").alias("n"), F.countDistinct("key").alias("rows"))
+    """Counts of words and of adjacent pairs, over the words left after filtering; each row counts its own first, and gives both
+    kinds in one go."""
+    pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))
+    kinds = lambda w: F.array(F.struct(F.lit("word").alias("kind"), w.alias("w")), F.struct(F.lit("bigram").alias("kind"), pairs(w).alias("w")))
+    rows = df.select(F.col(key).alias("key"), F.explode(let(words, kinds)).alias("k")).select("key", "k.kind", F.explode(_counted(F.col("k.w"))).alias("c"))
+    # A key that comes on several rows counts once in rows; keys of their own row need no second look.
+    per = rows.groupBy("kind", F.col("c.x").alias("term"), "key").agg(F.sum("c.n").alias("n"))
+    return per.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

@@ -136,11 +136,11 @@ def pack_lines(text: Column, limit: int = 200) -> Column:
     return F.flatten(F.transform(pieces, lambda p: pack(F.filter(F.split(p, r"\s+"), lambda w: w != ""))))
 
 
-def splice(df: DataFrame, new: DataFrame, page: str, number: int, order: str) -> DataFrame:
+def splice(df: DataFrame, new: DataFrame, page: str, number: int, order: str, name: str = "n") -> DataFrame:
     """A page's rows replaced by new ones, which stand where its rows stood or before the next page; numbered anew by page and old order."""
     kept = df.filter(F.col(page) != number).withColumn("_new", F.lit(0))
-    both = kept.unionByName(new.withColumn("_new", F.lit(1)).withColumn(page, F.lit(number)), allowMissingColumns=True)
-    return both.orderBy(page, "_new", order).drop("_new")
+    both = kept.unionByName(new.withColumn("_new", F.lit(1)).withColumn(page, F.lit(number).cast(df.schema[page].dataType)), allowMissingColumns=True)
+    return global_rank(both, [F.col(page), F.col("_new"), F.col(order)], name).drop("_new")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -110,7 +110,7 @@ def _sql_diacritics(x: str) -> str:
 @query(f"SELECT doc_id, md5({_sql_diacritics('coalesce(text, chr(32))')}) AS digest FROM documents")
 def diacritics(spark, sf_dir):
     """N11"""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.diacritics(F.coalesce("text", F.lit(" ")))).alias("digest"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.md5(text.diacritics(F.coalesce("text", F.lit(" ")))).alias("digest"))
 
 
 def _sql_signs(x: str) -> str:
@@ -144,40 +144,40 @@ def addition_folding(spark, sf_dir):
 def gap_unify(spark, sf_dir):
     """N14, on all texts; its lookarounds have no counterpart in the other engine, tests hold it against Python."""
     t = text.nonnull(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(squeeze(text.unify_gaps(t))).alias("digest"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.md5(squeeze(text.unify_gaps(t))).alias("digest"))
 
 
 @query()
 def normalize_source_v2(spark, sf_dir):
     """N22"""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_source(F.col("text"), "v2")).alias("digest"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.md5(text.normalize_source(F.col("text"), "v2")).alias("digest"))
 
 
 @query()
 def normalize_target_v2(spark, sf_dir):
     """N23"""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_target(F.col("text"), "v2")).alias("digest"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.md5(text.normalize_target(F.col("text"), "v2")).alias("digest"))
 
 
 @query()
 def normalize_inference(spark, sf_dir):
     """All inference profiles on both sides."""
     cols = [f(F.col("text"), p).alias(f"{s}_{p}") for p in ("infer", "simple", "best") for s, f in (("source", text.normalize_source), ("target", text.normalize_target))]
-    wide = table(spark, sf_dir, "conversations").select("conv_id", "turn", *cols)
-    return wide.select("conv_id", "turn", F.md5(F.concat_ws("\x01", *wide.columns[2:])).alias("digest"))
+    wide = table(spark, sf_dir, "documents", heavy=True).select("doc_id", *cols)
+    return wide.select("doc_id", F.md5(F.concat_ws("\x01", *wide.columns[1:])).alias("digest"))
 
 
 @query()
 def clean_v1(spark, sf_dir):
     """N1, N2"""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.clean_source_v1(F.col("text"))).alias("source"), F.md5(text.clean_target_v1(F.col("text"))).alias("target"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.md5(text.clean_source_v1(F.col("text"))).alias("source"), F.md5(text.clean_target_v1(F.col("text"))).alias("target"))
 
 
 @query()
 def repeated_word_dedupe(spark, sf_dir):
     """Needs backreferences, which the other engine lacks."""
     t = text.nonnull(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.repeated_words(t)).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.length(text.repeated_words(t)).cast("long").alias("n"))
 
 
 @query("SELECT doc_id, text, lang FROM documents WHERE NOT (coalesce(trim(text), '') IN ('', 'Other', 'None') OR regexp_matches(coalesce(trim(text), ''), '^[A-Z!]+$'))")
@@ -206,17 +206,21 @@ def changed_rows(spark, sf_dir):
     return aggregates.changed_rows(table(spark, sf_dir, "documents"), F.col("text"), squeeze(text.nonnull(F.col("text"))))
 
 
-@query("SELECT doc_id, field, opened, closed FROM (SELECT doc_id, 'text' AS field, length(text) - length(replace(text, '(', '')) AS opened, length(text) - length(replace(text, ')', '')) AS closed FROM documents UNION ALL SELECT doc_id, 'head', length(left(text, 40)) - length(replace(left(text, 40), '(', '')), length(left(text, 40)) - length(replace(left(text, 40), ')', '')) FROM documents) WHERE opened <> closed")
+_TAGGED = "replace(replace(coalesce(text, ''), ' the ', ' <x '), ' of ', ' y> ')"
+
+
+@query(f"SELECT doc_id, field, opened, closed FROM (SELECT doc_id, unnest(['whole', 'head']) AS field, unnest([length(t) - length(replace(t, '<', '')), length(h) - length(replace(h, '<', ''))]) AS opened, unnest([length(t) - length(replace(t, '>', '')), length(h) - length(replace(h, '>', ''))]) AS closed FROM (SELECT doc_id, {_TAGGED} AS t, left({_TAGGED}, 80) AS h FROM documents)) WHERE opened <> closed")
 def unbalanced_brackets(spark, sf_dir):
-    """F9"""
-    docs = table(spark, sf_dir, "documents").withColumn("head", F.left("text", F.lit(40)))
-    return filters.unbalanced(docs, "text", "head", opening="(", closing=")").select("doc_id", "field", "opened", "closed")
+    """F9, with `the` and `of` standing for brackets."""
+    whole = F.replace(F.replace(text.nonnull(F.col("text")), F.lit(" the "), F.lit(" <x ")), F.lit(" of "), F.lit(" y> "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", whole.alias("whole"), F.left(whole, F.lit(80)).alias("head"))
+    return filters.unbalanced(docs, "whole", "head").select("doc_id", "field", "opened", "closed")
 
 
 @query("SELECT ch, count(*) AS n, min(doc_id) AS first_key FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch")
 def char_inventory(spark, sf_dir):
     """A9"""
-    return aggregates.char_inventory(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return aggregates.char_inventory(table(spark, sf_dir, "documents", heavy=True), "text", "doc_id")
 
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ,."
@@ -228,7 +232,7 @@ FROM (SELECT doc_id, unnest(string_split(w, '-')) AS syllable FROM (SELECT doc_i
 WHERE regexp_replace(syllable, '[a-zA-Z,.]', '', 'g') <> '' GROUP BY syllable""")
 def disallowed_syllables(spark, sf_dir):
     """A10, F14"""
-    return aggregates.disallowed_syllables(table(spark, sf_dir, "documents"), "text", "doc_id", _ALPHABET)
+    return aggregates.disallowed_syllables(table(spark, sf_dir, "documents", heavy=True), "text", "doc_id", _ALPHABET)
 
 
 @query("SELECT DISTINCT unnest(regexp_extract_all(html, '<[a-z0-9]+')) AS match FROM pages")
@@ -383,7 +387,7 @@ def budget_trim(spark, sf_dir):
 @query()
 def line_packing(spark, sf_dir):
     """W18"""
-    return table(spark, sf_dir, "documents").select("doc_id", windows.pack_lines(text.nonnull(F.col("text"))).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "\x01")).alias("digest"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", windows.pack_lines(text.nonnull(F.col("text"))).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "\x01")).alias("digest"))
 
 
 @query("SELECT doc_id, source, rn <= greatest(1, floor(n * 0.1 + 0.5)) AS held_out FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents)")

@@ -62,7 +62,7 @@ def any_mismatch_count(spark, sf_dir):
 
 
 def _words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", words_ws(F.lower(text.nonnull(F.col("text")))).alias("w"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", "source", words_ws(F.lower(text.nonnull(F.col("text")))).alias("w"))
 
 
 def _phrases(spark, sf_dir):
@@ -237,7 +237,7 @@ t AS (SELECT doc_id, 'word' AS kind, unnest(w) AS term FROM d UNION ALL SELECT d
 @query(_COOC_SQL + "SELECT kind, term, n, \"rows\" FROM (SELECT kind, term, count(*) AS n, count(DISTINCT doc_id) AS \"rows\", row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, term) AS k FROM t GROUP BY kind, term HAVING count(*) >= 2) WHERE k <= 50")
 def cooccurrence_topk(spark, sf_dir):
     """The fifty commonest words and pairs."""
-    counts = aggregates.cooccurrence(table(spark, sf_dir, "documents"), "doc_id", filters.content_words(F.col("text"))).filter("n >= 2")
+    counts = aggregates.cooccurrence(table(spark, sf_dir, "documents", heavy=True), "doc_id", filters.content_words(F.col("text"))).filter("n >= 2")
     return aggregates.top_k(counts, ["kind"], [F.desc("n"), F.asc("term")], 50)
 
 
@@ -275,13 +275,13 @@ def type_sets(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT l_suppkey, l_shipmode, count(*) AS n FROM lineitem WHERE l_quantity >= 40 GROUP BY ALL),
-r AS (SELECT l_suppkey, count(*) AS k, string_agg(l_shipmode, ' / ' ORDER BY n DESC, l_shipmode) AS choices, max(n) AS best_n FROM c GROUP BY l_suppkey)
-SELECT l_suppkey, choices, best_n FROM r WHERE k <= 7""")
+WITH c AS (SELECT l_suppkey, l_linenumber AS line, count(*) AS n FROM lineitem WHERE l_quantity >= 49 GROUP BY ALL),
+r AS (SELECT l_suppkey, count(*) AS k, string_agg(CAST(line AS VARCHAR), ' / ' ORDER BY n DESC, line) AS choices, max(n) AS best_n FROM c GROUP BY l_suppkey)
+SELECT l_suppkey, choices, best_n FROM r WHERE k <= 5""")
 def gloss_vote(spark, sf_dir):
     """A20"""
-    votes = table(spark, sf_dir, "lineitem").withColumn("confidence", F.when(F.col("l_quantity") < 40, "low").otherwise("high"))
-    return aggregates.vote(votes, "l_suppkey", "l_shipmode", "confidence", max_variants=7)
+    votes = table(spark, sf_dir, "lineitem").withColumn("confidence", F.when(F.col("l_quantity") < 49, "low").otherwise("high"))
+    return aggregates.vote(votes, "l_suppkey", "l_linenumber", "confidence", max_variants=5)
 
 
 @query("SELECT p_partkey, p_name, exact FROM (SELECT p_partkey, p_name, lower(p_name) = 'lavender 3' OR lower(p_type) = 'small' AS exact, p_type FROM part WHERE contains(lower(p_name), 'small') OR contains(lower(p_type), 'small') ORDER BY exact DESC, p_type, p_partkey LIMIT 200)")
@@ -355,13 +355,13 @@ def _names(spark, sf_dir):
 @query()
 def name_mentions(spark, sf_dir):
     """J12, A15"""
-    return entities.mention_frequency(table(spark, sf_dir, "documents"), _names(spark, sf_dir), "doc_id", "text", "entry", "name")
+    return entities.mention_frequency(table(spark, sf_dir, "documents", heavy=True), _names(spark, sf_dir), "doc_id", "text", "entry", "name")
 
 
 @query()
 def surface_mentions(spark, sf_dir):
     """A16"""
-    return entities.surface_frequency(table(spark, sf_dir, "documents"), _names(spark, sf_dir), "doc_id", "text", "entry", "name")
+    return entities.surface_frequency(table(spark, sf_dir, "documents", heavy=True), _names(spark, sf_dir), "doc_id", "text", "entry", "name")
 
 
 @query()

@@ -102,6 +102,12 @@ def settle(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> Da
     return spark.read.schema(out.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt out anew for work that costs more than moving its rows; any other scan as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
     jvm = spark.sparkContext._jvm
