@@ -94,14 +94,13 @@ def pattern_inventory(df: DataFrame, columns: list[str], pattern: str) -> DataFr
 
 
 def cooccurrence(df: DataFrame, key: str, words: Column) -> DataFrame:
-    """Counts of words and of adjacent pairs, over the words left after filtering; each row counts its own first, and gives both
-    kinds in one go."""
+    """Counts of words and of adjacent pairs, over the words left after filtering; one pass gives both kinds, and a row's own
+    repeats are added up before anything moves."""
     pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))
-    kinds = lambda w: F.array(F.struct(F.lit("word").alias("kind"), w.alias("w")), F.struct(F.lit("bigram").alias("kind"), pairs(w).alias("w")))
-    rows = df.select(F.col(key).alias("key"), F.explode(let(words, kinds)).alias("k")).select("key", "k.kind", F.explode(_counted(F.col("k.w"))).alias("c"))
-    # A key that comes on several rows counts once in rows; keys of their own row need no second look.
-    per = rows.groupBy("kind", F.col("c.x").alias("term"), "key").agg(F.sum("c.n").alias("n"))
-    return per.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    terms = df.select(F.col(key).alias("key"), F.explode(let(words, lambda w: F.concat(w, pairs(w)))).alias("term"))
+    per = terms.groupBy("term", "key").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    # A word has no blank in it, a pair has one.
+    return per.select(F.when(F.contains("term", F.lit(" ")), "bigram").otherwise("word").alias("kind"), "term", "n", "rows")
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -115,7 +114,9 @@ def token_dictionary(df: DataFrame, key: str, tokens: Column, words: Column, min
     each = base.select("key", F.explode("t").alias("token"))
     per_row = each.groupBy("token", "key").agg(F.count("*").alias("n"))
     totals = per_row.groupBy("token").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_occurrences"), F.slice(F.array_sort(F.collect_set("key")), 1, examples).alias("examples")).filter(F.col("n_rows") >= min_rows)
-    pairs = base.select(F.explode(F.array_distinct("t")).alias("token"), "w").select("token", F.explode("w").alias("word")).groupBy("token", "word").agg(F.count("*").alias("n"))
+    # A row's words are counted before they meet its tokens.
+    counted = base.select(F.array_distinct("t").alias("t"), _counted(F.col("w")).alias("w"))
+    pairs = counted.select(F.explode("t").alias("token"), "w").select("token", F.explode("w").alias("c")).groupBy("token", F.col("c.x").alias("word")).agg(F.sum("c.n").alias("n"))
     best = top_k(pairs, ["token"], [F.desc("n"), F.asc("word")], k).groupBy("token").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("top"))
     return totals.join(best.select("token", F.transform("top", lambda x: x["word"]).alias("top_words")), "token", "left")
 

@@ -28,18 +28,40 @@ def _pick(seed: Column, options: Column) -> Column:
     return F.when(F.size(options) > 0, F.get(options, md5_index(seed, F.greatest(F.size(options), F.lit(1))).cast("int")))
 
 
+def _others(entries: DataFrame, by: str, alike: list[Column]) -> DataFrame:
+    """For each entry (by, _n: its place among those of by) the places that it can't be replaced by: those that agree in one of alike."""
+    gone = None
+    for c in alike:
+        keyed = entries.select(by, "_n", c.alias("_k"))
+        own = keyed.select(F.col(by).alias("_by"), F.col("_n").alias("_m"), F.col("_k").alias("_l"))
+        pairs = keyed.join(own, (F.col(by) == F.col("_by")) & (F.col("_k") == F.col("_l"))).select(by, "_n", "_m")
+        gone = pairs if gone is None else gone.unionAll(pairs)
+    return gone.groupBy(by, "_n").agg(F.array_sort(F.collect_set("_m")).alias("_gone"))
+
+
+def _chosen(rows: DataFrame, entries: DataFrame, by: str, seed: Column) -> DataFrame:
+    """Rows (by, _gone) with _new: the entry at md5(seed) modulo the number of entries of by that are left. A row looks it up by its place,
+    so none carries all of them."""
+    sizes = entries.groupBy(by).agg(F.count("*").alias("_size"))
+    left = F.col("_size") - F.size("_gone")
+    rows = rows.join(sizes, by).filter(left > 0).withColumn("_at", F.aggregate("_gone", md5_index(seed, left), lambda at, g: F.when(g <= at, at + 1).otherwise(at)))
+    new = entries.select(F.col(by).alias("_by"), F.col("_n").alias("_place"), F.struct(*(c for c in entries.columns if c not in (by, "_n"))).alias("_new"))
+    return rows.join(new, (F.col(by) == F.col("_by")) & (F.col("_at") == F.col("_place"))).drop("_by", "_place", "_at", "_size")
+
+
 def swap_names(pairs: DataFrame, lexicon: DataFrame, key: str = "oare_id", source: str = "transliteration", target: str = "translation", most: int = 3) -> DataFrame:
     """G1: source tokens that are names (lexicon: form, norm, lexeme, type, _ord; the first of a form counts), found in the target but for
-    case and accents, are replaced on both sides by another name of the type, chosen by md5."""
+    case and accents, are replaced on both sides by another name of the type, chosen by md5. The lexicon is a dictionary: its names of a
+    type are numbered in one task."""
     names = lexicon.withColumn("display", F.coalesce(F.nullif(F.trim("norm"), F.lit("")), F.trim("lexeme")))
-    first = names.withColumn("_r", F.row_number().over(W.partitionBy("form").orderBy("_ord"))).filter("_r = 1").select("form", "norm", "lexeme", "type", "display")
-    pools = names.groupBy("type").agg(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "form", "display"))), lambda s: F.struct(s["form"].alias("form"), s["display"].alias("display"))).alias("pool"))
+    entries = names.withColumn("_n", (F.row_number().over(W.partitionBy("type").orderBy("_ord", "form", "display")) - 1).cast("long")).select("type", "_n", "form", "display", "norm", "lexeme", "_ord")
+    others = _others(entries, "type", [F.col("form"), F.collate("display", "UNICODE_CI_AI")])
+    first = entries.groupBy("form").agg(F.min_by(F.struct("norm", "lexeme", "type", "display", "_n"), F.struct("_ord", "_n")).alias("e")).select("form", "e.*").join(others, ["type", "_n"]).drop("_n")
     rows = pairs.withColumn("_t", F.filter(F.split(F.trim(source), r"\s+"), lambda t: t != "")).select("*", F.posexplode("_t").alias("_pos", "_tok"))
     hit = rows.join(first, rows["_tok"] == first["form"]).withColumn("_a", find_folded(target, F.coalesce("norm", F.lit("")))).withColumn("_b", find_folded(target, F.coalesce("lexeme", F.lit(""))))
-    hit = hit.withColumn("_m", F.coalesce(F.get("_a", F.lit(0)), F.get("_b", F.lit(0)))).filter("_m is not null").join(pools, "type")
-    other = F.filter("pool", lambda c: (c["form"] != F.col("form")) & (F.collate(c["display"], "UNICODE_CI_AI") != F.collate(F.col("display"), "UNICODE_CI_AI")))
+    hit = hit.withColumn("_m", F.coalesce(F.get("_a", F.lit(0)), F.get("_b", F.lit(0)))).filter("_m is not null")
     seed = F.concat_ws("|", F.col(key).cast("string"), F.col("_pos").cast("string"), "form", "display")
-    out = hit.withColumn("_new", _pick(seed, other)).filter("_new is not null").withColumn("_form", F.col("_new.form"))
+    out = _chosen(hit, entries.select("type", "_n", "form", "display"), "type", seed).withColumn("_form", F.col("_new.form"))
     swapped = F.concat(F.substr(target, F.lit(1), F.col("_m.start")), F.col("_new.display"), F.substr(F.col(target), F.col("_m.end") + 1))
     out = out.withColumns({source: _spliced("_t", "_pos", "_form"), target: swapped})
     out = out.withColumns({"augmentation_type": F.concat("type", F.lit("_swap")), "replaced_source_form": F.col("form"), "replacement_form": F.col("_form"), "replaced_source_name": F.col("_m.text"), "replacement_name": F.col("_new.display")})

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -104,16 +105,92 @@ def chrf(stats: list[int] | tuple[int, ...]) -> float:
     return 100 * (1 + BETA**2) * p * r / (BETA**2 * p + r) if p + r else 0.0
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Units of text that are compared at once.
+CHUNK = 400_000
+
+
+def _hashed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _overlaps(units: list[np.ndarray], rows: list[np.ndarray], n_rows: int, longest: int) -> list[np.ndarray]:
+    """For each order up to the longest: n-grams by row of either side, and of both (the smaller counts). units, rows: a side's units
+    one after another and the row of each. N-grams are compared by 64-bit hashes."""
+    out, keys = [], [np.zeros(len(u), np.uint64) for u in units]
+    for n in range(1, longest + 1):
+        hashes, owners = [], []
+        for k in (0, 1):
+            size = max(0, len(units[k]) - n + 1)
+            keys[k] = _hashed(keys[k][:size] * _STEP + units[k][n - 1 : n - 1 + size])
+            whole = rows[k][:size] == rows[k][n - 1 : n - 1 + size]
+            owners.append(rows[k][:size][whole])
+            hashes.append(keys[k][whole] + owners[k].astype(np.uint64) * _STEP)
+        unique, of = np.unique(np.concatenate(hashes), return_inverse=True)
+        first = len(hashes[0])
+        counts = [np.bincount(of[:first], minlength=len(unique)), np.bincount(of[first:], minlength=len(unique))]
+        owner = np.zeros(len(unique), np.int64)
+        owner[of] = np.concatenate(owners)
+        totals = [np.bincount(o, minlength=n_rows) for o in owners]
+        out.append(np.stack([*totals, np.bincount(owner, weights=np.minimum(*counts), minlength=n_rows).astype(np.int64)]))
+    return out
+
+
+def _numbered(lists: list[list[str]], names: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.fromiter((names.setdefault(w, len(names) + 1) for x in lists for w in x), np.uint64)
+    return flat, np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    joined = ["".join(t.split()) for t in texts]
+    flat = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return flat, np.repeat(np.arange(len(joined)), [len(x) for x in joined])
+
+
+def _chunks(hyps: list[str], refs: list[str]) -> Iterator[tuple[list[str], list[str]]]:
+    size = np.cumsum([len(h) + len(r) for h, r in zip(hyps, refs, strict=True)])
+    at = 0
+    while at < len(hyps):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, side="right")))
+        yield hyps[at:end], refs[at:end]
+        at = end
+
+
+def bleu_table(hyps: list[str], refs: list[str]) -> np.ndarray:
+    """`bleu_statistics` of each pair as a row, all pairs at once."""
+    parts = []
+    for h, r in _chunks(hyps, refs):
+        names: dict[str, int] = {}
+        (a, x), (b, y) = (_numbered([tokenize_13a(t) for t in side], names) for side in (h, r))
+        orders = _overlaps([a, b], [x, y], len(h), BLEU_N)
+        parts.append(np.stack([orders[0][0], orders[0][1], *(c for o in orders for c in (o[2], o[0]))], axis=1))
+    return np.concatenate(parts) if parts else np.zeros((0, 2 + 2 * BLEU_N), np.int64)
+
+
+def chrf_table(hyps: list[str], refs: list[str]) -> np.ndarray:
+    """`chrf_statistics` of each pair as a row, all pairs at once."""
+    parts = []
+    for h, r in _chunks(hyps, refs):
+        names: dict[str, int] = {}
+        (a, x), (b, y) = _points(h), _points(r)
+        (c, u), (d, v) = (_numbered([_chr_words(t) for t in side], names) for side in (h, r))
+        orders = _overlaps([a, b], [x, y], len(h), CHAR_N) + _overlaps([c, d], [u, v], len(h), WORD_N)
+        parts.append(np.stack([col for o in orders for col in (np.where(o[1] > 0, o[0], 0), o[1], o[2])], axis=1))
+    return np.concatenate(parts) if parts else np.zeros((0, 3 * (CHAR_N + WORD_N)), np.int64)
+
+
 @F.pandas_udf(T.DoubleType())
 def sentence_chrf(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """M3"""
-    return pd.Series([chrf(chrf_statistics(h or "", r or "")) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
+    return pd.Series([chrf(x) for x in chrf_table(hyp.fillna("").tolist(), ref.fillna("").tolist()).tolist()], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def sentence_bleu(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """M4: with effective order."""
-    return pd.Series([bleu(bleu_statistics(h or "", r or ""), True) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
+    return pd.Series([bleu(x, True) for x in bleu_table(hyp.fillna("").tolist(), ref.fillna("").tolist()).tolist()], dtype="float64")
 
 
 def corpus_scores(df: DataFrame, hypothesis: str, reference: str, by: list[str] | None = None) -> DataFrame:
@@ -123,7 +200,8 @@ def corpus_scores(df: DataFrame, hypothesis: str, reference: str, by: list[str]
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [bleu_statistics(h or "", r or "") + chrf_statistics(h or "", r or "") for h, r in zip(f["_h"], f["_r"], strict=True)]
+            sides = f["_h"].fillna("").tolist(), f["_r"].fillna("").tolist()
+            rows = np.concatenate([bleu_table(*sides), chrf_table(*sides)], axis=1)
             yield pd.concat([f[by or []].reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype="int64")], axis=1)
 
     base = df.select(*(by or []), F.col(hypothesis).alias("_h"), F.col(reference).alias("_r"))

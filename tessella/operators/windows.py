@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,19 +62,20 @@ def neighbours(df: DataFrame, by: list[str], order: str, key: str) -> DataFrame:
     return df.withColumn("previous", F.lag(key).over(w)).withColumn("next", F.lead(key).over(w))
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank", total: str | None = None) -> DataFrame:
     """Ranks from 1 over all rows without one task that holds them all: rows are dealt by range, ranked in each range,
-    and moved by the number of rows in the ranges before, of which there are as many as partitions."""
+    and moved by the number of rows in the ranges before, of which there are as many as partitions. total: a column with the number of rows."""
     placed = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = placed.groupBy("_range").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_range").rowsBetween(*BEFORE)), F.lit(0))).select("_range", "_before")
+    before = counts.select("_range", F.coalesce(F.sum("_c").over(W.orderBy("_range").rowsBetween(*BEFORE)), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_all"))
     ranked = placed.withColumn("_r", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
-    return ranked.join(F.broadcast(before), "_range").withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_r", "_before", "_range")
+    out = ranked.join(F.broadcast(before), "_range").withColumn(name, (F.col("_r") + F.col("_before")).cast("long"))
+    return (out.withColumn(total, F.col("_all").cast("long")) if total else out).drop("_r", "_before", "_range", "_all")
 
 
 def drop_top_fraction(df: DataFrame, order: list[Column], fraction: float) -> DataFrame:
     """Without the first ceil(n * fraction) rows of an order."""
-    return global_rank(df, order, "_rank").filter(F.col("_rank") > math.ceil(df.count() * fraction)).drop("_rank")
+    return global_rank(df, order, "_rank", "_total").filter(F.col("_rank") > F.ceil(F.col("_total") * F.lit(fraction))).drop("_rank", "_total")
 
 
 def dedupe_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -93,19 +92,19 @@ def cap_per_source(df: DataFrame, by: str, order: str, most: int = 3, suffix: st
 
 def quantile_bins(df: DataFrame, value: str, tie: str, rows_per_bin: int = 100, most: int = 5) -> DataFrame:
     """Bins of equal counts in order of (value, tie), the larger ones first; between 2 and most of them."""
-    n = df.count()
-    q = min(most, max(2, n // rows_per_bin))
-    size, more = divmod(n, q)
-    at = F.col("_rank") - 1
-    low = F.floor(at / (size + 1)) + 1
-    high = F.floor((at - more * (size + 1)) / max(size, 1)) + more + 1
-    return global_rank(df, [F.col(value), F.col(tie)], "_rank").withColumn("bin", F.when(at < more * (size + 1), low).otherwise(high).cast("int")).drop("_rank")
+    ranked = global_rank(df, [F.col(value), F.col(tie)], "_rank", "_total")
+    ranked = ranked.withColumn("_q", F.least(F.lit(most), F.greatest(F.lit(2), F.floor(F.col("_total") / rows_per_bin))).cast("long"))
+    ranked = ranked.withColumns({"_size": F.floor(F.col("_total") / F.col("_q")), "_more": F.col("_total") % F.col("_q")})
+    at, size, more = F.col("_rank") - 1, F.col("_size"), F.col("_more")
+    low, high = F.floor(at / (size + 1)) + 1, F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1))) + more + 1
+    return ranked.withColumn("bin", F.when(at < more * (size + 1), low).otherwise(high).cast("int")).drop("_rank", "_total", "_q", "_size", "_more")
 
 
 def length_buckets(df: DataFrame, value: str, tie: str, k: int) -> DataFrame:
     """N // k rows a bucket in order of length, the remainder in the last."""
-    size = max(1, df.count() // k)
-    return global_rank(df, [F.col(value), F.col(tie)], "_rank").withColumn("bucket", F.least(F.floor((F.col("_rank") - 1) / size), F.lit(k - 1)).cast("int")).drop("_rank")
+    ranked = global_rank(df, [F.col(value), F.col(tie)], "_rank", "_total")
+    size = F.greatest(F.lit(1), F.floor(F.col("_total") / k))
+    return ranked.withColumn("bucket", F.least(F.floor((F.col("_rank") - 1) / size), F.lit(k - 1)).cast("int")).drop("_rank", "_total")
 
 
 def trim_to_budget(hints: Column, size, base: Column, limit: int) -> Column:

@@ -225,6 +225,21 @@ def test_quality_and_kinds(spark):
     assert {x.t: (x.s, x.e) for x in got if x.t != "a-na šu-li"} == {k: v for k, v in kinds.items() if k != "a-na šu-li"}
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text("ab .,'\u00e9\U0001f600", max_size=25), st.text("ab .,'\u00e9\U0001f600", max_size=25)), max_size=6))
+def test_score_tables_row_by_row(pairs):
+    h, r = [x for x, _ in pairs], [y for _, y in pairs]
+    assert scoring.bleu_table(h, r).tolist() == [scoring.bleu_statistics(*p) for p in pairs]
+    assert scoring.chrf_table(h, r).tolist() == [scoring.chrf_statistics(*p) for p in pairs]
+
+
+def test_score_tables_in_chunks(monkeypatch):
+    r = random.Random(1)
+    pairs = [tuple(" ".join(r.choice(("the", "cat", "sat,", "on", "a")) for _ in range(r.randint(0, 30))) for _ in "hr") for _ in range(40)]
+    monkeypatch.setattr(scoring, "CHUNK", 100)
+    assert scoring.chrf_table(*zip(*pairs, strict=True)).tolist() == [scoring.chrf_statistics(*p) for p in pairs]
+
+
 def test_scores():
     assert scoring.bleu(scoring.bleu_statistics("the cat sat on the mat", "the cat sat on the mat")) == pytest.approx(100)
     assert scoring.chrf(scoring.chrf_statistics("abc def", "abc def")) == pytest.approx(100)
