@@ -138,6 +138,20 @@ def test_one_id_on_two_texts(spark):
     assert got == Counter({(5, 5): 2, (6, 5): 1, (7, 5): 1, (None, 5): 1, (None, None): 1})
 
 
+def test_very_long_texts(spark):
+    """Texts far longer than a chunk, near copies of each other, beside short ones."""
+    r = random.Random(12)
+    words = [f"u{r.randrange(10**7)}" for _ in range(250_000)]
+    other = list(words)
+    for k in range(0, 250_000, 300):
+        other[k] = f"t{k}"
+    far = [w if r.random() > 0.1 else "z" for w in words]
+    docs = [(3, " ".join(words)), (1, " ".join(other)), (9, " ".join(far)), (2, "short one here"), (4, " ".join(words[:100]))]
+    assert len(docs[0][1]) > 2 * tb.CHUNK
+    got = {x.doc_id: x.class_id for x in minhash_dedup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == classes_of(docs) and got[3] == 1 and got[9] == 9
+
+
 def test_first_of_class(spark):
     r = random.Random(8)
     a, b = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(2))

@@ -177,6 +177,12 @@ def test_mixing(spark):
     assert mixing.sample(frame(spark, [])).collect() == []
 
 
+def test_mixing_very_long_and_repeated(spark):
+    rows = [(1, "word " * 500_000, "en", "s"), (2, "some other words here", "en", "s"), (2, "some other words here", "en", "s"), (2, "and a second text of it", "fr", "t"), (3, "", None, None)]
+    got = Counter((x.doc_id, x.n_words) for x in mixing.weights(frame(spark, rows)).collect())
+    assert got == {(1, 500_000): 1, (2, 4): 2, (2, 6): 1, (3, 0): 1}
+
+
 def test_mixing_by_own_targets_and_contradictions(spark):
     rows = [(i, "some words that are here", ("en", "fr")[i % 2], ("a", "b")[i % 2]) for i in range(40)]
     with pytest.warns(UserWarning, match="raking stopped"):
@@ -284,6 +290,15 @@ def test_license_full_texts(spark):
     assert got == dict(enumerate(names))
 
 
+def test_one_id_on_two_texts_each_by_itself(spark):
+    """Rows that share an id are judged each by its own text."""
+    mit = license_scan.TEMPLATES["mit-notice"]
+    rows = [(5, f"some more words that stand here before it\n{mit}", "en", "s"), (5, "no licence in these words", "en", "s")]
+    assert sorted((x.doc_id, x.n_matches) for x in license_scan.scan(frame(spark, rows)).collect()) == [(5, 0), (5, 1)]
+    assert sorted(x.n_bytes for x in media.encode(frame(spark, rows)).collect()) == sorted(len(t.encode()) for _, t, *_ in rows)
+    assert len({x.payload_sha256 for x in media.encode(frame(spark, rows)).collect()}) == 2
+
+
 def test_license_windows(spark):
     """Wrapped texts inside longer documents, against all windows of words."""
     wrap = lambda x, head="": "\n".join(head + y for y in textwrap.wrap(x, 70))
