@@ -137,7 +137,7 @@ def quality_score(text: Column) -> Column:
         marks = F.length(t) - F.length(F.translate(t, R.QUALITY_PUNCTUATION, ""))
         common = F.regexp_like(t, F.lit(rf"(?Ui)\b(?:{'|'.join(R.QUALITY_WORDS)})\b"))
         penalties = (
-            (letters / size < 0.45, 0.35), (share(r"\p{N}", size) > 0.20, 0.20), (share(r"\p{Lu}", F.greatest(letters, F.lit(1))) > 0.30, 0.20), (marks / size > 0.35, 0.25),
+            (letters / size < 0.45, 0.35), (share(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", size) > 0.20, 0.20), (share(r"\p{Lu}", F.greatest(letters, F.lit(1))) > 0.30, 0.20), (marks / size > 0.35, 0.25),
             (F.size(F.filter(words, lambda w: F.length(w) == 1)) / F.size(words) > 0.35, 0.20), (F.array_max(F.transform(words, F.length)) > 22, 0.20), (~common, 0.20), (F.contains(t, F.lit("<gap>")), 0.10),
         )
         left = reduce(lambda s, p: s - F.when(p[0], p[1]).otherwise(0.0), penalties, F.lit(1.0))

@@ -87,8 +87,9 @@ def ngram_join(docs: DataFrame, phrases: DataFrame, key: str, tokens: Column, ph
 
 
 def token_candidates(tokens: DataFrame, lexicon: DataFrame, on: str, by: list[str], order: list[str], k: int = 3) -> DataFrame:
-    """The first k lexicon rows of each token place."""
-    return tokens.join(lexicon, on).withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
+    """The first k lexicon rows of each token place, in an order of lexicon columns; a token's rows are cut to k before they meet its places."""
+    first = lexicon.withColumn("_r", F.row_number().over(W.partitionBy(on).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
+    return tokens.join(first, on).withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def greedy_spans(found: Column, most: int = 8) -> Column:

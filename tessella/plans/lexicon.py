@@ -109,16 +109,17 @@ def ngram_join(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT conv_id, turn, lower(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')[1]) AS token FROM conversations),
-l AS (SELECT p_partkey, lower(string_split(p_name, ' ')[1]) AS token, p_size FROM part UNION ALL SELECT doc_id, lower(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')[1]), n_chars FROM documents)
-SELECT conv_id, turn, p_partkey AS entry FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY p_size, p_partkey) AS k FROM t JOIN l USING (token)) WHERE k <= 3""")
+WITH c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM conversations),
+t AS (SELECT conv_id, turn, i - 1 AS pos, w[i] AS token FROM c, unnest(range(1, len(w) + 1)) AS u(i)),
+l AS (SELECT DISTINCT item_id, length(text) AS size, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) AS token FROM benchmark)
+SELECT conv_id, turn, pos, item_id AS entry FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, pos ORDER BY size, item_id) AS k FROM t JOIN l USING (token)) WHERE k <= 3""")
 def token_candidates(spark, sf_dir):
-    """First words looked up, the first three by size."""
-    first = lambda c: F.lower(F.get(words_ws(text.nonnull(c)), F.lit(0)))
-    tokens = table(spark, sf_dir, "conversations").select("conv_id", "turn", first(F.col("text")).alias("token"))
-    lex = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.lower(F.split("p_name", " ")[0]).alias("token"), F.col("p_size").cast("long").alias("size"))
-    lex = lex.unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry"), first(F.col("text")).alias("token"), F.col("n_chars").alias("size")))
-    return joins.token_candidates(tokens, lex, "token", ["conv_id", "turn"], ["size", "entry"]).select("conv_id", "turn", "entry")
+    """Every word of every turn looked up in the items that hold it, the first three by length."""
+    words = words_ws(F.lower(text.nonnull(F.col("text"))))
+    tokens = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(words).alias("pos", "token"))
+    lex = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry"), F.length("text").alias("size"), F.explode(F.array_distinct(words)).alias("token"))
+    out = joins.token_candidates(tokens, lex, "token", ["conv_id", "turn", "pos"], ["size", "entry"])
+    return out.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "entry")
 
 
 @query()

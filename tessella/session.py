@@ -35,7 +35,7 @@ def session(app: str = "tessella", cores: str | int = "*", shuffle_partitions: i
 
 
 #: What a Python worker gets at once, and the JVM holds for it.
-ARROW_BATCH = "8m"
+ARROW_BATCH = "4m"
 
 
 def ship(spark: SparkSession) -> None:
