@@ -277,10 +277,12 @@ def _pivots(groups: DataFrame) -> DataFrame:
 
 
 def _open(placed: DataFrame, small: int) -> DataFrame:
-    """The members (key, node, root, ...) of groups that lie in several components; few: whether the pairs across them are up to small for each member."""
-    parts = placed.groupBy("key", "root").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts"))
-    spread = parts.filter("parts > 1").select("key", F.col("n").cast("long").alias("n"), (F.col("n") * F.col("n") - F.col("within") <= 2.0 * small * F.col("n")).alias("few"))
-    return placed.join(spread, "key")
+    """The members (key, node, root, ...) of groups that lie in several components; few: whether the pairs across them are up to small
+    for each member; main: whether a member is in the group's largest component."""
+    sizes = placed.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
+    parts = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "root"))["root"].alias("most"), F.count("*").alias("parts"))
+    spread = parts.filter("parts > 1").select("key", F.col("n").cast("long").alias("n"), "most", (F.col("n") * F.col("n") - F.col("within") <= 2.0 * small * F.col("n")).alias("few"))
+    return placed.join(spread, "key").withColumn("main", F.col("root") == F.col("most")).drop("most")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -295,15 +297,16 @@ def _measured(stars: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """(pivot, node): the pairs of members of a group that lie in different components and may be similar, as far as a pivot that they have in common tells."""
-    cols = ("node", "root", "size", "pivot", "shared", "np", "extra", "missing", "xo", "mo")
+    """(pivot, node): the pairs of members of a group that lie in different components and may be similar, as far as a pivot that they have
+    in common tells. One of each pair is outside the group's largest component, so its members never meet each other."""
+    cols = ("node", "main", "root", "size", "pivot", "shared", "np", "extra", "missing", "xo", "mo")
     a, b = (members.select("key", *(F.col(c).alias(f"{c}{k}") for c in cols)) for k in "ab")
     both = lambda x: " + ".join(f"bit_count({x}a[{k}] & {x}b[{k}])" for k in range(BITS // 64))
     lacking = f"least(npa - shareda, npa - sharedb, {both('missing')} + least(moa, mob))"
     beyond = f"least(sizea - shareda, sizeb - sharedb, {both('extra')} + least(xoa, xob))"
     likely = f"pivota <> pivotb or {_similar(f'(shareda + sharedb - npa + {lacking} + {beyond})', 'sizea', 'sizeb')}"
-    fit = f"nodea < nodeb and roota <> rootb and {DEN} * least(sizea, sizeb) >= {NUM} * greatest(sizea, sizeb) and ({likely})"
-    return a.join(b, "key").filter(fit).select(F.col("nodea").alias("pivot"), F.col("nodeb").alias("node")).distinct()
+    fit = f"roota <> rootb and (mainb or nodea < nodeb) and {DEN} * least(sizea, sizeb) >= {NUM} * greatest(sizea, sizeb) and ({likely})"
+    return a.filter("not maina").join(b, "key").filter(fit).select(F.least("nodea", "nodeb").alias("pivot"), F.greatest("nodea", "nodeb").alias("node")).distinct()
 
 
 def _again(nodes: DataFrame, texts: DataFrame) -> DataFrame:
