@@ -24,11 +24,11 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tessella.llm import textbytes as tb
 from tessella.session import materialize, settle, ship
 
-CAPACITY, SHARD, ROUNDS, CACHE = 2048, 60_000, 200, 1_500_000
+CAPACITY, SHARD, ROUNDS, CACHE = 2048, 60_000, 200, 500_000
 U = np.uint64
 _SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTED = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -92,6 +92,8 @@ class Coder:
     """Ids of whole texts, through a cache of pre-tokens."""
 
     def __init__(self, path: str):
+        # A worker has one core; the tokenizer's own threads would only take memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -327,11 +329,11 @@ def _packed(docs: DataFrame, tokenizer: str, capacity: int, shard: int, rounds:
     shards = max(1, -(-int(counts.sum()) // shard))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        own = int(part["shard"].iloc[0])
+    def work(part: pa.Table) -> pa.Table:
+        own = part["shard"][0].as_py()
         sequence, offset = pack_lengths(part["length"].to_numpy(), lengths, plan, own, shards, capacity)
-        out = part[["doc_id", "piece", "start", "length", "ids_crc32"]].astype({"piece": "int32"})
-        return out.assign(sequence_id=sequence * shards + own, offset=offset)
+        cols = [part["doc_id"], part["piece"].cast(pa.int32()), part["start"], part["length"], part["ids_crc32"], pa.array(sequence * shards + own), pa.array(offset)]
+        return pa.table(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(work, schema)
+    return dealt.groupBy("shard").applyInArrow(work, schema)

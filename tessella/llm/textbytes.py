@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1 << 62, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -24,6 +24,15 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _caches: dict[str, Callable[[], None]] = {}
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, as many workers share a machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its memory is its own affair
+        pass
+
+
 def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
     """Called where an operator starts in a Python worker, which serves one after another: what others cached there goes
     back to the system. forget: empties the owner's own cache."""
@@ -32,11 +41,7 @@ def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
         _caches.pop(name)()
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: its memory is its own affair
-            pass
+        trim()
     if forget:
         _caches[owner] = forget
 
@@ -58,7 +63,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets from 0) of about CHUNK bytes each; null counts as empty."""
+    """(first row, row after the last, bytes, offsets from 0) of about CHUNK bytes each; null counts as empty. What they leave behind is given back after the last one."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
@@ -71,6 +76,7 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         j = min(j, n)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    trim()
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
