@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -191,8 +192,11 @@ def training_sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, words_per
     picked = best.select("d", "lang").distinct().collect()  # at most docs_per_lang ids a language
     if not picked:
         return ()
-    ids = docs.sparkSession.createDataFrame([(r.d, r.lang) for r in picked], f"d {docs.schema[doc_col].dataType.simpleString()}, lang string")
-    texts = docs.select(F.col(doc_col).alias("d"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("d").isin([r.d for r in picked])).join(F.broadcast(ids), ["d", "lang"]).select("lang", "text")
+    ids: dict[str, list] = {}
+    for r in picked:
+        ids.setdefault(r.lang, []).append(r.d)
+    chosen = reduce(lambda a, b: a | b, ((F.col(lang_col) == lang) & F.col(doc_col).isin(own) for lang, own in ids.items()))
+    texts = docs.filter(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     found = texts.mapInArrow(_words, "lang string, o long, word string").distinct()
     kept = found.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("o", "word"))).filter(F.col("k") <= words_per_lang)
     sample: dict[str, list[str]] = {}
