@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, line_dedup, media, minhash_dedup, mixing, packing, quality_rules
+from tessella.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, line_dedup, media, minhash_dedup, mixing, packing, quality_rules, whitening
 from tessella.session import settle, spread
 
 
@@ -80,6 +80,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.encode(_read(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(_read(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c")
+    return rows.select("vec_id", "n", "deviation", "identity_error", each).select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_read(spark, sf_dir, "documents"), largest=True)
 
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
