@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, line_dedup, media, minhash_dedup, mixing, packing, quality_rules, whitening
-from tessella.session import settle, spread
+from tessella.llm import chat_format, erasure, exact_dedup, html_extract, language_id, license_scan, line_dedup, media, minhash_dedup, mixing, packing, quality_rules, whitening
+from tessella.session import scratch, settle, spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.encode(_read(spark, sf_dir, "documents"))
 
 
+def op11_erasure_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erasure.erase_shop({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in erasure.MONEY}, scratch(spark, "erased"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(_read(spark, sf_dir, "embeddings"))
     each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c")
@@ -101,6 +105,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
+    "op11_erasure_rewrite": op11_erasure_rewrite,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
