@@ -3,27 +3,20 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions.rules import NAME_BOUNDARY
-from tessella.operators.joins import double_index, mentions
-from tessella.session import materialize
+from tessella.operators.folding import fold, folded
+from tessella.operators.joins import double_index
+from tessella.operators.mentions import mention_frequency, surface_frequency
+from tessella.operators.skew import lookup_hot
+from tessella.session import materialize, settle
 
-
-def fold(text: str) -> str:
-    """N37 as a key: compatibility decomposition without combining marks, plain dashes, one blank, lower case."""
-    flat = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
-    return " ".join(flat.replace("—", "-").replace("–", "-").split()).lower()
-
-
-@F.pandas_udf(T.StringType())
-def folded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: fold(t or ""))
+__all__ = ["find_folded", "fold", "folded", "mention_frequency", "merge_entities", "merge_ordered", "source_frequency", "surface_frequency"]
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])))
@@ -49,65 +42,87 @@ def find_folded(text: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([one(t, w) for t, w in zip(text, wanted, strict=True)])
 
 
-def merge_ordered(entries: Iterable[dict]) -> list[dict]:
-    """In order, each entry joins the first one before it that shares a folded name; not transitive, as the first such decides.
-    Of entries whose folded display names agree the last stays."""
-    merged: list[dict] = []
-    keys: list[set[str]] = []
-    for e in entries:
+class _Ordered:
+    """A19, one entry after the other: each joins the first one before it that shares a folded name; not transitive, as the first such decides.
+    Holds the merged entries and, by folded name, the first of them that has it."""
+
+    def __init__(self) -> None:
+        self.merged: list[dict] = []
+        self.first: dict[str, int] = {}
+
+    def take(self, e: dict, place: int = 0) -> None:
         own = {fold(n) for n in e["names"]} - {""}
-        at = next((i for i, k in enumerate(keys) if k & own), None)
+        at = min((self.first[k] for k in own if k in self.first), default=None)
         if at is None:
-            merged.append({"display": e["display"], "names": set(e["names"]), "spellings": set(e["spellings"]), "sources": set(e["sources"])})
-            keys.append(own)
-        else:
-            for field in ("names", "spellings", "sources"):
-                merged[at][field] |= set(e[field])
-            keys[at] |= own
-    return list({fold(m["display"]): m for m in merged}.values())
+            at = len(self.merged)
+            self.merged.append({"display": e["display"], "names": set(), "spellings": set(), "sources": set(), "place": place})
+        for field in ("names", "spellings", "sources"):
+            self.merged[at][field].update(e[field])
+        for k in own:
+            self.first[k] = min(at, self.first.get(k, at))
 
 
-_ENTITY = "display string, names array<string>, spellings array<string>, sources array<string>"
+def merge_ordered(entries: Iterable[dict]) -> list[dict]:
+    """A19 over a list. Of merged entries whose folded display names agree the last stays."""
+    state = _Ordered()
+    for e in entries:
+        state.take(e)
+    return [{k: v for k, v in m.items() if k != "place"} for m in {fold(m["display"]): m for m in state.merged}.values()]
 
 
-def merge_entities(df: DataFrame, order: str, mode: str = "ordered") -> DataFrame:
-    """A19 over (display, names, spellings, sources). 'ordered' follows the order exactly, in one group, for dictionaries;
-    'components' joins all that share names, however indirectly, and scales."""
-    if mode == "ordered":
+_ENTITY = "display string, names array<string>, spellings array<string>, sources array<string>"
 
-        def work(part: pd.DataFrame) -> pd.DataFrame:
-            rows = part.sort_values(order)[["display", "names", "spellings", "sources"]].to_dict("records")
-            out = merge_ordered(rows)
-            return pd.DataFrame([{**e, **{k: sorted(e[k]) for k in ("names", "spellings", "sources")}} for e in out], columns=["display", "names", "spellings", "sources"])
 
-        return df.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(work, _ENTITY)
-    names = df.select(F.col(order).alias("id"), F.explode("names").alias("n")).withColumn("key", folded("n")).filter("key <> ''").select("id", "key").distinct()
+def _roots(names: DataFrame) -> DataFrame:
+    """(id, root) of the components of ids (id, key) that share keys: the least key spreads through shared names until none changes."""
     now = names.groupBy("id").agg(F.min("key").alias("root"))
-    while True:  # the least key spreads through shared names
-        least = names.join(now, "id").groupBy("key").agg(F.min("root").alias("root"))
-        new = names.join(least, "key").groupBy("id").agg(F.min("root").alias("root"))
-        new = materialize(new, "roots")
-        if new.exceptAll(now).isEmpty():
-            break
+    while True:
+        least = materialize(names.join(now, "id").groupBy("key").agg(F.min("root").alias("root"), F.count("*").alias("n")), "least")
+        new = materialize(lookup_hot(names, least, ["key"], "n", F.col("id")).groupBy("id").agg(F.min("root").alias("root")), "roots")
+        if new.join(now.withColumnRenamed("root", "before"), "id").filter("root <> before").isEmpty():
+            return new
         now = new
-    rows = df.join(now, df[order] == now["id"], "left").withColumn("root", F.coalesce("root", F.col(order).cast("string")))
-    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("names", "spellings", "sources")]
-    return rows.groupBy("root").agg(F.min_by("display", order).alias("display"), *sets).select("display", "names", "spellings", "sources")
 
 
-def mention_frequency(docs: DataFrame, names: DataFrame, key: str, text: str, entry: str, name: str, boundary: str = NAME_BOUNDARY) -> DataFrame:
-    """Per entry how many mentions and rows; an entry counts once a row, so both agree."""
-    found = mentions(docs, names, key, text, entry, name, boundary)
-    return found.select(key, entry).distinct().groupBy(entry).agg(F.count("*").alias("mention_count"), F.countDistinct(key).alias("row_count"))
-
-
-def surface_frequency(docs: DataFrame, names: DataFrame, key: str, text: str, entry: str, name: str, boundary: str = NAME_BOUNDARY) -> DataFrame:
-    """The longest of an entry's names that stands in the original text, counted over rows."""
-    found = mentions(docs, names, key, text, entry, name, boundary).select(key, entry).distinct()
-    full = found.join(names.select(entry, F.col(name).alias("_name")), entry).join(docs.select(key, F.col(text).alias("_text")), key)
-    quoted = F.concat(F.lit(rf"(?<![{boundary}])\Q"), F.col("_name"), F.lit(rf"\E(?![{boundary}])"))
-    hit = full.filter(F.regexp_like("_text", quoted)).groupBy(key, entry).agg(F.max_by("_name", F.struct(F.length("_name"), F.col("_name"))).alias("surface"))
-    return hit.groupBy("surface").agg(F.count("*").alias("mention_count"), F.countDistinct(key).alias("row_count"))
+def merge_entities(df: DataFrame, order: str, mode: str = "ordered") -> DataFrame:
+    """A19 over (display, names, spellings, sources). 'ordered' follows the order exactly: entries without a common name never meet, so each component of
+    shared folded names is folded alone, in order, by one task that holds its merged entries and not its rows. 'components' joins all that share names,
+    however indirectly. order: a column of distinct values. Null names count as none; nulls in the lists are left out."""
+    lists = ("names", "spellings", "sources")
+    clean = df.select(F.col(order).alias("id"), "display", *(F.array_compact(F.coalesce(c, F.array().cast("array<string>"))).alias(c) for c in lists))
+
+    def build() -> DataFrame:
+        rows = materialize(clean, "entities")
+        names = materialize(rows.select("id", F.explode("names").alias("n")).withColumn("key", folded("n")).filter("key <> ''").select("id", "key").distinct(), "entity-names")
+        rooted = rows.join(_roots(names), "id", "left").withColumn("root", F.coalesce(F.concat(F.lit("n"), "root"), F.concat(F.lit("i"), F.col("id").cast("string"))))
+        if mode == "components":
+            sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]
+            return rooted.groupBy("root").agg(F.min_by("display", "id").alias("display"), *sets).select("display", *lists)
+        numbered = rooted.select("root", "id", "display", *lists).repartition("root").sortWithinPartitions("root", "id")
+        # Of merged entries with one folded display name the last stays: the one whose first entry came last.
+        merged = numbered.mapInPandas(_fold_components, f"place {df.schema[order].dataType.simpleString()}, key string, {_ENTITY}")
+        return merged.groupBy("key").agg(F.max_by(F.struct("display", *lists), "place").alias("e")).select("e.*")
+
+    return settle(df.sparkSession, build, "merged-entities")
+
+
+def _fold_components(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of components in order, each component's fold alone."""
+    root, state = None, _Ordered()
+
+    def out() -> pd.DataFrame:
+        rows = [{"place": m["place"], "key": fold(m["display"]), "display": m["display"], **{k: sorted(m[k]) for k in ("names", "spellings", "sources")}} for m in state.merged]
+        return pd.DataFrame(rows, columns=["place", "key", "display", "names", "spellings", "sources"])
+
+    for part in parts:
+        for r in part.to_dict("records"):
+            if r["root"] != root:
+                if state.merged:
+                    yield out()
+                root, state = r["root"], _Ordered()
+            state.take(r, r["id"])
+    if state.merged:
+        yield out()
 
 
 def source_frequency(tokens: DataFrame, exact: DataFrame, loose: DataFrame, key: str, token: str, folded_token: str, entry: str) -> DataFrame:

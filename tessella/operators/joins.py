@@ -167,25 +167,6 @@ def restore_names(df: DataFrame, text: str = "aliased", pairs: str = "pairs") ->
     return df.withColumn("restored", F.aggregate(ordered, F.col(text), lambda acc, p: F.regexp_replace(acc, quoted(p["alias"]), F.regexp_replace(p["name"], F.lit(r"([\\$])"), F.lit(r"\\$1")))))
 
 
-def mentions(docs: DataFrame, names: DataFrame, key: str, text: str, entry: str, name: str, boundary: str, longest: int = 4) -> DataFrame:
-    """(key, entry, name) of folded names in folded text: tokens between non-name characters, n-grams joined, then leftmost-longest by a fold of each row."""
-    fold = lambda c: F.lower(F.regexp_replace(F.translate(c, "—–", "--"), r"(?U)\s+", " "))
-    tokens = F.filter(F.split(fold(F.coalesce(F.col(text), F.lit(""))), f"[^{boundary}]+"), lambda t: t != "")
-    keys = names.select(F.col(entry).alias("_e"), F.col(name).alias("_n"), F.array_join(F.filter(F.split(fold(F.col(name)), f"[^{boundary}]+"), lambda t: t != ""), SEP).alias("_f"))
-    grams = docs.select(F.col(key).alias("_k"), F.explode(ngrams(tokens, longest)).alias("g")).select("_k", "g.pos", "g.n", F.col("g.key").alias("_g"))
-    found = grams.join(keys, F.col("_g") == F.col("_f")).groupBy("_k").agg(F.collect_list(F.struct("pos", "n", F.concat_ws(SEP, F.col("_e").cast("string"), F.col("pos").cast("string")).alias("key"), F.col("_n").alias("hint"))).alias("_m"))
-    spans = found.select("_k", F.explode(greedy_spans(F.col("_m"), 1 << 30)).alias("s"))
-    return spans.select(F.col("_k").alias(key), F.substring_index("s.key", SEP, 1).alias(entry), F.col("s.hint").alias(name), "s.pos")
-
-
-def missing_matches(found: DataFrame, docs: DataFrame, spellings: DataFrame, key: str, entry: str, source: str, spelling: str) -> DataFrame:
-    """Mentions none of whose entry's spellings stands in the row's source, exactly or but for case and accents."""
-    text = docs.select(F.col(key), F.col(source).alias("_src"))
-    told = found.select(key, entry).distinct().join(text, key).join(spellings.select(F.col(entry), F.col(spelling).alias("_sp")), entry)
-    hit = told.filter(F.contains("_src", F.col("_sp")) | F.contains(F.collate(F.col("_src"), "UNICODE_CI_AI"), F.collate(F.col("_sp"), "UNICODE_CI_AI"))).select(key, entry).distinct()
-    return found.join(hit, [key, entry], "left_anti")
-
-
 def drop_dominated(df: DataFrame, key: str, items: str) -> DataFrame:
     """Rows whose item set is no strict subset of another row's; equal sets all stay. Each distinct set looks for larger ones
     among those that hold its rarest item, so that common items bring no pairs together."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.functions.regex import words_ws
-from tessella.operators import aggregates, augment, entities, filters, joins, sets
+from tessella.operators import aggregates, augment, entities, filters, joins, mentions, sets
 from tessella.plans.registry import query, table
 
 
@@ -348,9 +348,13 @@ def merge_ci(spark, sf_dir):
 
 
 def _names(spark, sf_dir):
-    """Names to look for: the longer words of benchmark items."""
+    """Names to look for, of any number of words: each benchmark item as a whole, its words but for single letters, its runs of two and of eight words.
+    An item is an entry; the second half of them are an onomasticon's."""
     w = words_ws(text.nonnull(F.col("text")))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("entry"), F.explode(w).alias("name")).filter(F.length("name") > 5).groupBy("name").agg(F.min("entry").alias("entry"))
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry"), w.alias("w"))
+    every = items.select("entry", F.explode(F.array_distinct(F.concat(F.col("w"), runs(2), runs(8), F.array(F.array_join("w", " "))))).alias("name"))
+    return every.filter(F.length("name") > 1).withColumn("loose", F.col("entry") % 2 == 1)
 
 
 @query()
@@ -367,21 +371,21 @@ def surface_mentions(spark, sf_dir):
 
 @query()
 def missing_mentions(spark, sf_dir):
-    """Mentions in a turn whose name the next turn lacks."""
-    from tessella.functions.rules import NAME_BOUNDARY
+    """Mentions in a turn none of whose entry's names stands in the next turn, exactly or, for every second entry, but for accents."""
     from tessella.plans.corpus import pairs
 
     p = pairs(spark, sf_dir).withColumn("k", F.concat_ws(":", "conv_id", "turn"))
     names = _names(spark, sf_dir)
-    found = joins.mentions(p, names, "k", "source", "entry", "name", NAME_BOUNDARY)
-    return joins.missing_matches(found, p, names.withColumnRenamed("name", "spelling"), "k", "entry", "target", "spelling").select("k", "entry", "name")
+    found = mentions.mentions(p, names, "k", "source", "entry", "name")
+    return mentions.missing_matches(found, p, names.withColumnRenamed("name", "spelling"), "k", "entry", "target", "spelling", "loose").select("k", "entry", "name")
 
 
 @query()
 def merged_entities(spark, sf_dir):
-    """Part names merged where they share a word."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("display"), F.array(F.col("p_name"), F.col("p_type")).alias("names"), F.array("p_brand").alias("spellings"), F.array(F.lit("part")).alias("sources"))
-    return entities.merge_entities(p, "p_partkey", mode="components")
+    """Parts merged in order where they share a name, by the first such part: their names are the words of their own name, and size with brand."""
+    words = F.split("p_name", " ")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("display"), F.array_append(words, F.concat_ws(" ", "p_brand", "p_size")).alias("names"), F.array("p_brand").alias("spellings"), F.array(F.col("p_type")).alias("sources"))
+    return entities.merge_entities(p, "p_partkey")
 
 
 @query()
