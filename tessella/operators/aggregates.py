@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.regex import let
+from tessella.operators.ranks import nearest_ranks, percentiles
 
 
 def join_unique(value: str, order: str, sep: str = "\n---------\n") -> Column:
@@ -17,19 +18,18 @@ def join_unique(value: str, order: str, sep: str = "\n---------\n") -> Column:
 
 def quartile_fences(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
     """A2: one row: n, q1, median, q3, iqr, fences, and the whiskers (least and greatest value inside the fences)."""
-    stats = df.agg(F.count(value).alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = stats.select("n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    q = q.withColumns({"iqr": F.col("q3") - F.col("q1"), "lower_fence": F.col("q1") - k * (F.col("q3") - F.col("q1")), "upper_fence": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
-    # The one row of fences is broadcast by construction; the whiskers are a second aggregate.
-    inside = df.select(value).join(F.broadcast(q), F.col(value).between(F.col("lower_fence"), F.col("upper_fence")))
-    whiskers = inside.agg(F.min(value).alias("lower_whisker"), F.max(value).alias("upper_whisker"))
-    return q.join(F.broadcast(whiskers), F.lit(True))
+    n, (q1, median, q3) = percentiles(df, value, [0.25, 0.5, 0.75])
+    iqr = q3 - q1 if n else None
+    low, high = (q1 - k * iqr, q3 + k * iqr) if n else (None, None)
+    row = df.agg(F.min(F.when(F.col(value).between(F.lit(low), F.lit(high)), F.col(value))).alias("lower_whisker"), F.max(F.when(F.col(value).between(F.lit(low), F.lit(high)), F.col(value))).alias("upper_whisker"))
+    told = {"n": n, "q1": q1, "median": median, "q3": q3, "iqr": iqr, "lower_fence": low, "upper_fence": high}
+    return row.select(*(F.lit(v).cast("long" if c == "n" else "double").alias(c) for c, v in told.items()), "lower_whisker", "upper_whisker")
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
     """A3: count, mean, median, population variance, extremes."""
-    c = F.col(value)
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.var_pop(c).alias("variance"), F.min(c).alias("min"), F.max(c).alias("max"))
+    c, (_, (median,)) = F.col(value), percentiles(df, value, [0.5])
+    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.lit(median).cast("double").alias("median"), F.var_pop(c).alias("variance"), F.min(c).alias("min"), F.max(c).alias("max"))
 
 
 def drop_outliers(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
@@ -40,9 +40,7 @@ def drop_outliers(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
 
 def percentile_profile(df: DataFrame, value: str, percents: tuple[int, ...] = (0, 5, 10, 25, 50, 75, 90, 95, 99, 100)) -> DataFrame:
     """A5: nearest-rank percentiles as rows."""
-    exprs = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in percents]
-    wide = df.agg(*exprs)
-    return wide.select(F.explode(F.array(*(F.struct(F.lit(p).alias("percent"), F.col(f"p{p}").cast("double").alias("value")) for p in percents))).alias("x")).select("x.*")
+    return df.sparkSession.createDataFrame(list(zip(percents, nearest_ranks(df, value, percents), strict=True)), "percent int, value double")
 
 
 def ratio_of_sums(df: DataFrame, part: str, whole: str) -> DataFrame:
@@ -113,7 +111,10 @@ def token_dictionary(df: DataFrame, key: str, tokens: Column, words: Column, min
     base = df.select(F.col(key).alias("key"), tokens.alias("t"), words.alias("w"))
     each = base.select("key", F.explode("t").alias("token"))
     per_row = each.groupBy("token", "key").agg(F.count("*").alias("n"))
-    totals = per_row.groupBy("token").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_occurrences"), F.slice(F.array_sort(F.collect_set("key")), 1, examples).alias("examples")).filter(F.col("n_rows") >= min_rows)
+    totals = per_row.groupBy("token").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_occurrences")).filter(F.col("n_rows") >= min_rows)
+    # The first keys of a token are cut before they meet: no task holds all keys of a frequent one.
+    first = top_k(per_row, ["token"], [F.asc("key")], examples).groupBy("token").agg(F.array_sort(F.collect_list("key")).alias("examples"))
+    totals = totals.join(first, "token")
     # A row's words are counted before they meet its tokens.
     counted = base.select(F.array_distinct("t").alias("t"), _counted(F.col("w")).alias("w"))
     pairs = counted.select(F.explode("t").alias("token"), "w").select("token", F.explode("w").alias("c")).groupBy("token", F.col("c.x").alias("word")).agg(F.sum("c.n").alias("n"))
@@ -134,6 +135,27 @@ def phrase_summary(df: DataFrame, key: str, tokens: Column, phrase: list[str], w
     return found.select(key, F.size("_f").cast("long").alias("n"), F.col("_f.pos").alias("positions"), F.col("_f.context").alias("contexts"))
 
 
+def phrase_report(df: DataFrame, key: str, order: str, tokens: Column, translation: str, words: Column, phrase: list[str], k: int = 10, examples: int = 5, window: int = 3, least: int = 2) -> DataFrame:
+    """A13, whole: (kind, rank, item, context, n). Kinds: rows and occurrences (one row each, n their number); word, bigram and translation: the k
+    commonest of the rows that hold the phrase, least times or more, ties in order of first sight; example: the first occurrences, by `order` and place, with
+    the row's key, its context and its translation. Counts and cuts combine before the shuffle; a null translation counts as an empty one."""
+    base = df.select(F.col(key).cast("string").alias("key"), F.col(order).alias("o"), tokens.alias("t"), F.trim(F.coalesce(F.col(translation), F.lit(""))).alias("x"), words.alias("w"))
+    found = base.join(phrase_summary(base, "key", F.col("t"), phrase, window), "key").select("key", "o", "x", "w", "n", "positions", "contexts")
+    pairs = F.when(F.size("w") > 1, F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("w", i), x))).otherwise(F.array().cast("array<string>"))
+    kinds = {"word": F.col("w"), "bigram": pairs, "translation": F.array("x")}
+    each = found.select("o", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), v.alias("v")) for c, v in kinds.items()))).alias("s")).select("o", "s.kind", F.posexplode("s.v").alias("i", "item"))
+    counted = each.groupBy("kind", "item").agg(F.count("*").alias("n"), F.min(F.struct("o", "i")).alias("first")).filter(F.col("n") >= least)
+    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "first"))).filter(F.col("rank") <= k)
+    none = F.lit(None).cast("string")
+    tops = ranked.select("kind", F.col("rank").cast("long").alias("rank"), "item", none.alias("context"), "n")
+    spots = found.select("o", "key", "x", F.posexplode("contexts").alias("i", "context")).orderBy("o", "i").limit(examples)
+    shown = spots.withColumn("rank", F.row_number().over(W.orderBy("o", "i")).cast("long"))  # `examples` rows
+    told = shown.select(F.lit("example").alias("kind"), "rank", F.concat_ws("\t", "key", "x").alias("item"), "context", F.lit(1).cast("long").alias("n"))
+    sums = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"))
+    heads = sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("n")) for c in ("rows", "occurrences")))).alias("h")).select("h.kind", F.lit(1).cast("long").alias("rank"), none.alias("item"), none.alias("context"), "h.n")
+    return heads.unionByName(tops).unionByName(told)
+
+
 def type_sets(df: DataFrame, form: str, kind: str) -> DataFrame:
     """The sorted types of each form."""
     return df.groupBy(form).agg(F.array_sort(F.collect_set(kind)).alias("types"))
@@ -154,8 +176,9 @@ def coverage(df: DataFrame, hints: Column) -> DataFrame:
 
 def result_profile(df: DataFrame, text: str) -> DataFrame:
     """Share of empty results and their lengths."""
-    size = F.length(F.coalesce(F.col(text), F.lit("")))
-    return df.agg(F.count("*").alias("n"), (100.0 * F.count_if(size == 0) / F.count("*")).alias("empty_percent"), F.avg(size).alias("mean"), F.percentile(size, F.lit(0.5)).alias("median"), F.min(size).alias("min"), F.max(size).alias("max"))
+    sized = df.select(F.length(F.coalesce(F.col(text), F.lit(""))).alias("size"))
+    size, (_, (median,)) = F.col("size"), percentiles(sized, "size", [0.5])
+    return sized.agg(F.count("*").alias("n"), (100.0 * F.count_if(size == 0) / F.count("*")).alias("empty_percent"), F.avg(size).alias("mean"), F.lit(median).cast("double").alias("median"), F.min(size).alias("min"), F.max(size).alias("max"))
 
 
 def span_bounds(df: DataFrame, by: list[str], page: str, order: str, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.functions.regex import words_ws
+from tessella.functions.rules import STOPWORDS
 from tessella.operators import aggregates, augment, entities, filters, joins, mentions, sets
 from tessella.plans.registry import query, table
 
@@ -228,7 +229,7 @@ def hash_choice_swap(spark, sf_dir):
     return out.filter("replacement is not null").select("doc_id", "replacement")
 
 
-_STOP = "['a','an','and','are','as','at','be','by','for','from','has','he','her','him','his','i','in','into','is','it','its','me','my','of','on','or','our','she','that','the','their','them','they','this','to','us','was','we','were','with','you','your']"
+_STOP = "[" + ",".join(f"'{x}'" for x in STOPWORDS) + "]"
 _COOC_SQL = """
 WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[A-Za-z]+(?:[-''][A-Za-z]+)?'), lambda x: NOT list_contains(%s, x)) AS w FROM documents),
 t AS (SELECT doc_id, 'word' AS kind, unnest(w) AS term FROM d UNION ALL SELECT doc_id, 'bigram', w[i] || ' ' || w[i + 1] FROM d, unnest(range(1, len(w))) AS u(i))
@@ -269,6 +270,33 @@ def phrase_summary(spark, sf_dir):
     return out.select("doc_id", "n", "positions")
 
 
+@query("""
+WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS t FROM documents),
+s AS (SELECT doc_id, i, array_to_string(t[greatest(i - 3, 1):i + 4], ' ') AS context FROM d, unnest(range(1, len(t))) AS u(i) WHERE t[i] = 'of' AND t[i + 1] = 'the'),
+f AS (SELECT doc_id, trim(coalesce(lang, '')) AS x, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z]+(?:[-''][A-Za-z]+)?'), lambda x: NOT list_contains(%s, x)) AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM s)),
+e AS (
+  SELECT 'word' AS kind, doc_id, i, w[i] AS item FROM f, unnest(range(1, len(w) + 1)) AS u(i)
+  UNION ALL SELECT 'bigram', doc_id, i, w[i] || ' ' || w[i + 1] FROM f, unnest(range(1, len(w))) AS u(i)
+  UNION ALL SELECT 'translation', doc_id, 1, x FROM f
+),
+c AS (SELECT kind, item, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, min((doc_id, i))) AS rank FROM e GROUP BY kind, item HAVING count(*) >= 2)
+SELECT 'rows' AS kind, 1 AS rank, NULL AS item, NULL AS context, count(DISTINCT doc_id) AS n FROM s
+UNION ALL SELECT 'occurrences', 1, NULL, NULL, count(*) FROM s
+UNION ALL SELECT kind, rank, item, NULL, n FROM c WHERE rank <= 10
+UNION ALL SELECT 'example', row_number() OVER (ORDER BY doc_id, i), doc_id || chr(9) || x, context, 1 FROM (SELECT * FROM s ORDER BY doc_id, i LIMIT 5) JOIN f USING (doc_id)""" % _STOP)
+def phrase_report(spark, sf_dir):
+    """The whole report on a phrase; a document's own content words and its language stand for its translation."""
+    docs = table(spark, sf_dir, "documents", heavy=True)
+    words = words_ws(F.lower(text.nonnull(F.col("text"))))
+    return aggregates.phrase_report(docs, "doc_id", "doc_id", words, "lang", filters.content_words(text.nonnull(F.col("text"))), ["of", "the"])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def rows_without(spark, sf_dir):
+    """Documents without those labelled toxic."""
+    return sets.without(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id")
+
+
 @query("SELECT o_custkey, list_sort(list_distinct(list(o_orderstatus))) AS types FROM orders GROUP BY o_custkey")
 def type_sets(spark, sf_dir):
     """A18"""
@@ -394,7 +422,7 @@ def name_swap(spark, sf_dir):
     from tessella.plans.corpus import pairs
 
     p = pairs(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("oare_id"), F.col("source").alias("transliteration"), F.col("source").alias("translation"))
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words_ws(text.nonnull(F.col("text")))).alias("i", "form")).filter(F.length("form") > 3)
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words_ws(text.nonnull(F.col("text")))).alias("i", "form"))
     lex = w.select("form", F.col("form").alias("norm"), F.col("form").alias("lexeme"), F.when(F.col("item_id") % 2 == 0, "PN").otherwise("GN").alias("type"), F.struct("item_id", "i").alias("_ord"))
     return augment.swap_names(p, lex)
 

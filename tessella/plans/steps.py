@@ -84,10 +84,20 @@ step(
 )
 step("apostrophes", "N41", ((" the ", " Puzur-x' "), (" of ", " APuzur-y’ ")), text.fix_apostrophes, _regex("translate(t, '''’', '')", (r"(^|[^\p{L}\p{N}_])Puzur-", r"\1Puzur4-")))
 step("glyphs", "N42", ((" the ", " {na "), (" of ", " !Star "), ("The ", "1-")), text.repair_glyphs, _regex(_chain("t", (("{", "i"), ("!Star", "IStar"))), ("^1-", "I-")))
-step("markers_blanked", "N43", (), lambda t: text.blank_markers(F.left(t, F.lit(2))), "CASE WHEN regexp_matches(trim(left(t, 2)), '(?i)^\\(?\\s*[\\divxlc]+\\.?\\s*\\)?$') THEN '' ELSE left(t, 2) END")
-_SENSE = _regex("trim(" + _regex("trim(" + _regex("trim(trim(lower(string_split(t, '.')[1])), chr(34) || chr(39) || '“”')", (r"[,;/()].*$", "")) + ")", ("^a ", ""), ("^an ", ""), ("^the ", "")) + ")", ("s$", ""))
-step("first_senses", "N44", (("The ", "the "),), lambda t: text.plural(text.singular(F.substring_index(t, ".", 1))), f"CASE WHEN {_SENSE} LIKE '%s' THEN {_SENSE} ELSE {_SENSE} || 's' END")
-step("sense_suffixes", "N45", (), lambda t: text.strip_sense(F.concat(F.substring_index(t, " ", 1), F.lit("  XIV "))), _regex("trim(string_split(t, ' ')[1] || '  XIV ')", (r"\s+[IVXLCDM]+$", "")))
+_BLANKED = "list_transform(string_split(t, chr(10)), lambda x: CASE WHEN regexp_matches(trim(x), '(?i)^\\(?\\s*[\\divxlc]+\\.?\\s*\\)?$') THEN '' ELSE x END)"
+step(
+    "markers_blanked", "N43: each line of a text as a field", ((" the ", "\n(iv.)\n"), (" of ", "\n12\n"), (" and ", "\nCX )\n")),
+    lambda t: F.array_join(F.transform(F.split(t, "\n"), lambda x: text.blank_markers(x)), "\n"), f"array_to_string({_BLANKED}, chr(10))",
+)
+_SENSE = _regex("trim(" + _regex("trim(" + _regex("trim(trim(lower(x)), chr(34) || chr(39) || '“”')", (r"[,;/()].*$", "")) + ")", ("^a ", ""), ("^an ", ""), ("^the ", "")) + ")", ("s$", ""))
+step(
+    "first_senses", "N44: each sentence of a text as a definition", (("The ", "the "), (" of ", "; "), (" and ", " (")), lambda t: F.array_join(F.transform(F.split(t, r"[.\n]"), lambda x: text.plural(text.singular(x))), "|"),
+    f"array_to_string(list_transform(regexp_split_to_array(t, '[.\\n]'), lambda x: CASE WHEN {_SENSE} LIKE '%s' THEN {_SENSE} ELSE {_SENSE} || 's' END), '|')",
+)
+step(
+    "sense_suffixes", "N45: each word of a text, marked with a number", (), lambda t: F.array_join(F.transform(F.split(t, " "), lambda x: text.strip_sense(F.concat(x, F.lit("  XIV ")))), " "),
+    "array_to_string(list_transform(string_split(t, ' '), lambda x: " + _regex("trim(x || '  XIV ')", (r"\s+[IVXLCDM]+$", "")) + "), ' ')",
+)
 step("hint_texts", "N46", ((" the ", ' "x" '), (" of ", "; ")), text.hint_text, "array_to_string(list_filter(regexp_split_to_array(trim(string_split(string_split(" + _squeezed("translate(t, chr(160) || '\"', ' ')") + ", ';')[1], '(')[1]), '\\s+'), lambda x: x <> '')[1:4], ' ')")
 _LINES = "list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 step(

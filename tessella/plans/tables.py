@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +21,28 @@ def csv_round_trip(spark, sf_dir):
 
     def build() -> DataFrame:
         path = passing(spark, "csv")
-        writers.csv(table(spark, sf_dir, "documents").orderBy("doc_id").select("doc_id", "text"), path, single=True)
+        writers.csv(table(spark, sf_dir, "documents").orderBy("doc_id").select("doc_id", "text"), path)
         return readers.csv(spark, path, ["doc_id", "text"])
 
     return settle(spark, build, "csv-back")
 
 
-@query("SELECT n, CASE WHEN n IN ('', 'NA', 'null', 'None', 'nan', 'N/A') THEN NULL ELSE n END AS read FROM (SELECT unnest(['a', '', 'NA', 'null', 'None', 'nan', 'N/A', 'na', 'x y']) AS n)")
+_MISSING = ("", "NA", "null", "None", "nan", "N/A", "#N/A", "-NaN", "na", " NA", "none")
+
+
+@query(f"""
+WITH c AS (SELECT conv_id || ':' || turn AS k, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') ELSE [{', '.join(f"'{x}'" for x in _MISSING)}][(conv_id + turn) % {len(_MISSING)} + 1] END AS v FROM conversations)
+SELECT k, md5(v) AS literal, CASE WHEN v IN ('', {', '.join(f"'{x}'" for x in ("NA", "null", "nan", "N/A", "None", "NULL", "NaN", "n/a", "<NA>", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN"))}) THEN NULL ELSE md5(v) END AS read FROM c""")
 def csv_missing_values(spark, sf_dir):
-    """The spellings of a missing value, read as such."""
+    """Turns, every second one a spelling of a missing value or close to one, written and read literally and with missing values."""
 
     def build() -> DataFrame:
         path = passing(spark, "csv-na")
-        own = spark.createDataFrame([(x, x) for x in ("a", "", "NA", "null", "None", "nan", "N/A", "na", "x y")], "n string, read string")
-        writers.csv(own, path)
-        plain = readers.csv(spark, path, ["n", "read"], order=False)
-        return plain.select("n").join(readers.csv(spark, path, ["n", "read"], na="pandas").select(F.col("read"), F.coalesce("read", F.lit("\0")).alias("k")), F.col("n") == F.col("k"), "left").select("n", "read")
+        odd = F.get(F.array(*map(F.lit, _MISSING)), ((F.col("conv_id") + F.col("turn")) % len(_MISSING)).cast("int"))
+        rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("k"), F.when(F.col("turn") % 2 == 0, text.nonnull(F.col("text"))).otherwise(odd).alias("v"))
+        writers.csv(rows, path)
+        plain = readers.csv(spark, path, ["k", "v"], order=False).select("k", F.md5("v").alias("literal"))
+        return plain.join(readers.csv(spark, path, ["k", "v"], na="pandas", order=False).select("k", F.md5("v").alias("read")), "k")
 
     return settle(spark, build, "csv-na-back")
 
@@ -85,18 +89,6 @@ def token_glosses(spark, sf_dir):
     return settle(spark, build, "glosses-back")
 
 
-@query("SELECT 'A' AS key, '1 2' AS value UNION ALL SELECT 'B', 'x=y' UNION ALL SELECT 'C', ''")
-def env_values(spark, sf_dir):
-    """A driver's file of settings."""
-    fd, path = tempfile.mkstemp(suffix=".env")
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.write("# comment\nexport A='1 2'\nB=x=y\nC=\nA=later\nno sign\n")
-    try:
-        return spark.createDataFrame(sorted(readers.env_file(path).items()), "key string, value string")
-    finally:
-        os.unlink(path)
-
-
 @query("SELECT doc_id, lang AS label, '' AS vec FROM documents UNION ALL SELECT vec_id, '', CAST(label AS VARCHAR) FROM embeddings")
 def extended_rows(spark, sf_dir):
     """K2: rows of both tables, what one lacks is blank."""
@@ -267,7 +259,7 @@ def proper_names(spark, sf_dir):
 
 
 def _aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(words_ws(text.nonnull(F.col("text")))).alias("form")).filter(F.length("form") > 5)
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(words_ws(text.nonnull(F.col("text")))).alias("form"))
     lex = w.groupBy("form").agg(F.min("item_id").alias("i")).select("form", F.upper("form").alias("name"), F.when(F.col("i") % 2 == 0, "PN").otherwise("GN").alias("kind"))
     docs = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("k"), "text")
     pools = {"PN": [(f"Anna{c}", f"Anne{c}") for c in "abcd"], "GN": [(f"Ur{c}", f"Uru{c}") for c in "abcd"]}
@@ -282,8 +274,8 @@ def aliased_names(spark, sf_dir):
 
 @query()
 def restored_names(spark, sf_dir):
-    """The aliases back to names, the longest first."""
-    return joins.restore_names(_aliased(spark, sf_dir).withColumn("aliased", F.concat_ws(" ", F.col("pairs.alias")))).select("k", "restored")
+    """In the aliased turns, aliases back to names, the longest first."""
+    return joins.restore_names(_aliased(spark, sf_dir)).select("k", F.md5("restored").alias("restored"), F.size("pairs").cast("long").alias("n_pairs"))
 
 
 @query()

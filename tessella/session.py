@@ -9,7 +9,8 @@ import shutil
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,16 +88,23 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The result of build, written to the shared folder; all tables that were written on the way are deleted."""
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Within, `materialize` writes tables that are deleted at the end."""
     _written.stack = [*getattr(_written, "stack", []), []]
     try:
-        out, path = build(), scratch(spark, name)
-        out.write.parquet(path)
+        yield
     finally:
         *_written.stack, own = _written.stack
         for table in own:
             remove(spark, table)
+
+
+def settle(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of build, written to the shared folder; all tables that were written on the way are deleted."""
+    with temporary(spark):
+        out, path = build(), scratch(spark, name)
+        out.write.parquet(path)
     if _written.stack:
         _written.stack[-1].append(path)
     return spark.read.schema(out.schema).parquet(path)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 
 def csv(df: DataFrame, path: str, columns: list[str] | None = None, single: bool = False) -> None:
-    """K1, K6: columns in a fixed order with a header; one file only for an export."""
+    """K1, K6: columns in a fixed order with a header, values as they are, blanks at their ends too; one file only for an export."""
     out = df.select(*(columns or df.columns))
     out = out.coalesce(1) if single else out
-    out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def extended(base: DataFrame, more: DataFrame) -> DataFrame:
