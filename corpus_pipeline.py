@@ -5,8 +5,8 @@ STAGES: language ID, line dedup, MinHash near-dedup, mixing to target weights, b
 source, n_chars, whatever other columns docs has.
 
 Defined cases, by stage. A text that is null or has no letter has no language and goes with the first stage; null lang and
-source are values like others in mixing. A document keeps its place if it loses some of its lines, and goes if
-nothing but white space is left of it. Of repeated rows and of equal texts one stays, that with the smallest doc_id;
+source are values like others in mixing. A document keeps its place if it loses some of its lines, and goes if it loses
+lines and nothing but ASCII white space is left of it; one that loses none stays as it is (one of white space alone has gone with the first stage). Of repeated rows and of equal texts one stays, that with the smallest doc_id;
 rows without doc_id lose no line, are no near copies, and are never sampled. Texts of any length are worked on whole;
 an empty table gives an empty result at each stage.
 """
@@ -34,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines; a document that loses all its text goes."""
     out = line_dedup.dedup_lines(_columns(docs), keep=("lang", "source"))
-    out = out.filter((F.col("n_dropped") == 0) | (F.trim("kept") != ""))
+    out = out.filter((F.col("n_dropped") == 0) | F.regexp_like("kept", F.lit(r"[^\x20\x09-\x0D]")))
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 

@@ -5,7 +5,9 @@ Template of a turn: `### <role>: <text></turn>\\n`. In roles and texts the backs
 sequence is undone exactly.
 
 Prefix sums of turn tokens (a quarter of the written code points, rounded up) choose turn-aligned windows
-of at most BUDGET tokens. Every window begins with the conversation's system turns; then come those last
+of at most BUDGET tokens. Every window begins with the conversation's system turns: with all of them where they fit into three
+quarters of the budget, else with as many of the last ones as do, and the others stand at their own place alone, as other turns do. So the
+output is at most about ten times the input, however many and long system turns are. Then come those last
 turns of the window before it that fit into HISTORY tokens (a quarter of what the system turns leave, if that
 is less, and no more than the window's own turns leave). Both are repeats and carry no loss. What is left of
 the budget, the room, is for own turns: a turn of more than half the room has a window to itself, the others
@@ -17,7 +19,7 @@ Columns of a window: conv_id, window (from 0), text, n_repeated (turns before th
 
 Defined cases: null text and null role are empty; null conv_id is a conversation of its own; ties of turn are
 ordered by role and text; repeated rows are repeated turns; an empty table has no window; other columns
-are ignored. A window exceeds its budget only where the system turns and a single own turn do. Running sums
+are ignored. A window exceeds its budget only where a single own turn does, on top of what is repeated. Running sums
 hold sizes alone and go by SPAN turn numbers first, then over the spans of a conversation, so a long
 conversation is spread over tasks; texts, however long, meet only in their windows.
 """
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from tessella.session import materialize
 
 BUDGET, HISTORY, SPAN = 1024, 256, 1024
+#: The share of the budget that repeated system turns may take, as a fraction.
+SYSTEM = (3, 4)
 END = "</turn>\n"
 #: Each control character and the letter that stands for it after a backslash. The backslash is written first and read last.
 CONTROLS = (("\\", "b"), ("#", "h"), ("<", "l"), (":", "c"))
@@ -54,11 +58,16 @@ def _head(role: Column) -> Column:
 
 def _placed(rows: DataFrame, budget: int, history: int) -> DataFrame:
     """(conv, id, system, size, window, pos): sizes of all turns (conv, turn, id, role, size, tie) and where they go."""
-    rows = rows.withColumn("system", F.col("role") == "system").withColumn("span", F.floor(F.col("turn") / SPAN))
-    fixed = rows.groupBy("conv").agg(F.sum(F.when(F.col("system"), F.col("size")).otherwise(0)).alias("fixed"))
+    share = budget * SYSTEM[0] // SYSTEM[1]
+    # The last system turns that fit; a turn has a token at least, so only the last `share` of them are looked at.
+    late = W.partitionBy("conv").orderBy(F.desc("turn"), F.desc("tie"), F.desc("id"))
+    last = rows.filter(F.col("role") == "system").withColumn("k", F.row_number().over(late)).filter(F.col("k") <= share)
+    last = last.withColumn("tail", F.sum("size").over(late.rowsBetween(W.unboundedPreceding, 0))).filter(F.col("tail") <= share)
+    fixed = last.groupBy(F.col("conv").alias("c")).agg(F.sum("size").alias("fixed"), F.collect_list("id").alias("repeated"))
+    rows = rows.withColumn("span", F.floor(F.col("turn") / SPAN)).join(fixed, F.col("conv").eqNullSafe(F.col("c")), "left").drop("c")
+    rows = rows.withColumn("system", F.coalesce(F.array_contains("repeated", F.col("id")), F.lit(False))).withColumn("fixed", F.coalesce("fixed", F.lit(0).cast("long"))).drop("repeated")
     left = F.greatest(F.lit(budget) - F.col("fixed"), F.lit(1))
-    fixed = fixed.withColumn("past", F.least(F.lit(history), F.floor(left / 4))).withColumn("room", F.greatest(left - F.col("past"), F.lit(1)))
-    rows = rows.join(fixed, rows["conv"].eqNullSafe(fixed["conv"])).drop(fixed["conv"])
+    rows = rows.withColumn("past", F.least(F.lit(history), F.floor(left / 4))).withColumn("room", F.greatest(left - F.col("past"), F.lit(1)))
     rows = rows.withColumn("large", (~F.col("system") & (2 * F.col("size") > F.col("room"))).cast("long"))
     rows = rows.withColumn("part", F.when(F.col("system") | (F.col("large") == 1), F.lit(0)).otherwise(F.col("size")))
     # Running sums before each turn: within spans of turn numbers, then over the spans.

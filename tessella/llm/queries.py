@@ -152,15 +152,16 @@ def _chat_sql() -> str:
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL {odd}),
 heads AS (SELECT *, '### ' || {escaped("role", 4)} || ': ' AS head, {escaped("text", 3)} AS body FROM turns),
 sized AS (
-  SELECT *, length(head) + length(body) + 8 AS chars, ceil((length(head) + length(body) + 8) / 4.0)::BIGINT AS size, role = 'system' AS fixed,
+  SELECT *, length(head) + length(body) + 8 AS chars, ceil((length(head) + length(body) + 8) / 4.0)::BIGINT AS size,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn, head, body) AS pos FROM heads
 ),
-kept AS (SELECT conv_id, coalesce(sum(size) FILTER (fixed), 0) AS fixed_size FROM sized GROUP BY conv_id),
+named AS (SELECT * EXCLUDE (size), size, role = 'system' AND sum(size) OVER (PARTITION BY conv_id, role = 'system' ORDER BY pos DESC) <= {chat_format.BUDGET * chat_format.SYSTEM[0] // chat_format.SYSTEM[1]} AS fixed FROM sized),
+kept AS (SELECT conv_id, coalesce(sum(size) FILTER (fixed), 0) AS fixed_size FROM named GROUP BY conv_id),
 rooms AS (
   SELECT conv_id, fixed_size, least({chat_format.HISTORY}, greatest({chat_format.BUDGET} - fixed_size, 1) // 4) AS past,
     greatest(greatest({chat_format.BUDGET} - fixed_size, 1) - least({chat_format.HISTORY}, greatest({chat_format.BUDGET} - fixed_size, 1) // 4), 1) AS room FROM kept
 ),
-kinds AS (SELECT s.*, fixed_size, past, room, CASE WHEN NOT fixed AND 2 * size > room THEN 1 ELSE 0 END AS alone FROM sized s JOIN rooms USING (conv_id)),
+kinds AS (SELECT s.*, fixed_size, past, room, CASE WHEN NOT fixed AND 2 * size > room THEN 1 ELSE 0 END AS alone FROM named s JOIN rooms USING (conv_id)),
 running AS (
   SELECT *, coalesce(sum(CASE WHEN fixed OR alone = 1 THEN 0 ELSE size END) OVER o, 0) AS before, coalesce(sum(alone) OVER o, 0) AS larger
   FROM kinds WINDOW o AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)

@@ -340,3 +340,31 @@ def test_stages_on_odd_rows(spark):
         for rows in (odd, odd.limit(0)):
             out = stage(spark, rows, "")
             assert out.count() <= 200 * rows.count() and (k == 4 or out.columns == ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def test_many_system_turns_stay_linear(spark):
+    """Twice the system turns, twice the output; the last ones that fit are repeated, all stand once."""
+
+    def formatted(n):
+        rows = [(1, 2 * i + k, role, f"{role} {i} " + "word " * 60) for i in range(n) for k, role in enumerate(("system", "assistant"))]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        made = chat_format.windows(df)
+        back = chat_format.read_back(made).collect()
+        assert [(t.role, t.text) for t in back[0].turns] == [(r, x) for _, _, r, x in rows]
+        assert back[0].targets == "".join(x for _, _, r, x in rows if r == "assistant")
+        repeats = {w.text.count("### system: ") for w in made.collect()}
+        assert max(repeats) < 20
+        return back[0].formatted_chars, sum(len(x) for *_, x in rows)
+
+    (one, own), (two, _) = formatted(60), formatted(120)
+    assert two < 2.5 * one and one < 12 * own
+
+
+def test_a_document_of_white_space_left_goes(spark, tmp_path):
+    import corpus_pipeline as p
+
+    line = "a line of more than forty code points that repeats " * 2
+    rows = [(i, f"{line}\n\n\t\x0b" if i < 6 else f"{line}\nown words", "en", "s", 1) for i in range(8)] + [(9, " \n\t", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in p.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {6: "own words", 7: f"{line}\nown words", 9: " \n\t"}

@@ -332,3 +332,35 @@ def test_license_windows(spark):
         assert (got[i].dice or 0) == (best if best >= 0.8 else 0), i
     assert [got[i].license for i in (1, 2, 4, 5, 6, 7)] == ["mit", "apache-2.0-header", "proprietary-notice", "gpl-3-work-notice", None, "cc-by-nc-4.0-notice"]
     assert {"isc", "mit"} <= set(got[3].licenses) and got[4].n_matches == got[5].n_matches == 1
+
+
+def test_sample_keeps_columns_of_any_name(spark):
+    rows = [(i, "some words that are here", "en", "s", i, f"t{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __of long, `__topic` string")
+    got = mixing.sample(df, fraction=1.0).collect()
+    assert sorted(tuple(x) for x in got) == rows and got[0].__fields__ == df.columns
+
+
+def raked(cells, targets, rounds):
+    """Plain Python: cells of (margins, mass); targets by margin."""
+    fitted = {k: float(m) for k, m in cells.items()}
+    for _ in range(rounds):
+        for i, target in enumerate(targets):
+            now = Counter()
+            for k, m in fitted.items():
+                now[k[i]] += m
+            fitted = {k: m * target[k[i]] / now[k[i]] if now[k[i]] else m for k, m in fitted.items()}
+    return fitted
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 200])
+def test_raking_against_plain_python(spark, rounds):
+    r = random.Random(5)
+    cells = {(s, g, t): r.randrange(1, 500) for s in "abc" for g in ("en", "fr") for t in range(3) if r.random() < 0.8}
+    total = sum(cells.values())
+    own = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.6, "fr": 0.4}, "topic": {0: 0.3, 1: 0.3, 2: 0.4}}
+    want = raked(cells, [{k: v * total for k, v in t.items()} for t in own.values()], rounds)
+    df = spark.createDataFrame([(*k, m) for k, m in cells.items()], "source string, lang string, topic int, mass long")
+    for few in (0, 1000):
+        got = {(x.source, x.lang, x.topic): x.weight for x in mixing.fit(df, own, local_cells=few, rounds=rounds).collect()}
+        assert all(abs(got[k] - want[k] / m) < 1e-5 * want[k] / m for k, m in cells.items())
