@@ -15,7 +15,7 @@ components, and its pairs across components are no more than SMALL for each memb
 compared. The members of other groups get a second, longer signature with bands of STRICT_ROWS slots, so many
 of them that two bags of similarity 0.8 meet as before, but less similar ones rarely do; its groups end in
 the same way, and those with more pairs take pivots in turn, each without the pivots before. After
-ROUNDS pivots what is left ends in pairs whatever its number.
+ROUNDS pivots what is left meets by an exact prefix filter over the bags' rarest elements.
 
 Pairs that can't be similar are not verified: with a(x) units of x inside a pivot p, x and y share
 a(x) + a(y) - n(p) units, what both lack of p, and what both have beyond p. Of either set a member keeps a
@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
@@ -43,7 +44,7 @@ from tessella.session import materialize, settle, ship
 
 SLOTS, ROWS, BANDS, SHINGLE = 168, 6, 28, 5
 NUM, DEN = 4, 5  # similarity 0.8
-#: Groups end in pairs where these are up to SMALL for each member; others do so after ROUNDS pivots only.
+#: Groups end in pairs where these are up to SMALL for each member; the nodes of others meet by their rarest elements after ROUNDS pivots.
 SMALL, ROUNDS = 64, 3
 #: Buckets of the bit maps, 64 in each long.
 BITS = 512
@@ -309,6 +310,28 @@ def _pairs(members: DataFrame) -> DataFrame:
     return a.filter("not maina").join(b, "key").filter(fit).select(F.least("nodea", "nodeb").alias("pivot"), F.greatest("nodea", "nodeb").alias("node")).distinct()
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root, size, element, count) of the bags of rows (node, root, size, text)."""
+    for batch in batches:
+        for i, j, (doc, element, count) in _bag_of(batch.column(3)):
+            own = [batch.column(k).slice(i, j - i).take(pa.array(doc)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(element.view(np.int64)), pa.array(count)], ["node", "root", "size", "element", "count"])
+
+
+def _by_rare_elements(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pivot, node): all pairs of the members' nodes in different components that may be similar, by an exact prefix filter: similar bags share four fifths
+    of either's units, so they share one of the rarest of each, as many as a fifth and one. What all have in common brings none together."""
+    nodes = members.select("node", "root", "size").distinct()
+    units = materialize(texts.join(nodes, "node").select("node", "root", "size", "text").mapInArrow(_elements, "node long, root long, size long, element long, count long"), "elements")
+    held = units.groupBy("element").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("count").over(W.partitionBy("node").orderBy("held", "element").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rare = units.join(held, "element").withColumn("before", before).filter((F.expr(f"before <= size - ({NUM} * size + {DEN - 1}) div {DEN}")) & (F.col("held") > 1))
+    rare = materialize(rare.select("element", "node", "root", "size"), "rare-elements")
+    a, b = (rare.select("element", *(F.col(c).alias(f"{c}{k}") for c in ("node", "root", "size"))) for k in "ab")
+    fit = f"nodea < nodeb and roota <> rootb and {DEN} * least(sizea, sizeb) >= {NUM} * greatest(sizea, sizeb)"
+    return a.join(b, "element").filter(fit).select(F.col("nodea").alias("pivot"), F.col("nodeb").alias("node")).distinct()
+
+
 def _again(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, node, root): the groups of the second signature of nodes (node, root)."""
     signed = materialize(texts.join(nodes, "node").select("node", "text", "root").mapInArrow(_sign_again, "node long, root long, bands array<long>"), "signatures")
@@ -375,13 +398,15 @@ def _classes(docs: DataFrame, small: int, rounds: int) -> DataFrame:
     for turn in range(1, rounds + 1):
         if members.isEmpty():
             break
-        end = F.col("few") if turn < rounds else F.lit(True)
-        stars = _pairs(members.filter(end))
-        large = members.filter(~end)
+        stars = _pairs(members.filter("few"))
+        large = members.filter("not few")
         if turn == 1 and not large.isEmpty():
             large = materialize(_open(_again(large.select("node", "root").distinct(), texts), small).join(best, "node"), "open")
-            stars = stars.unionAll(_pairs(large.filter(end)))
-            large = large.filter(~end)
+            stars = stars.unionAll(_pairs(large.filter("few")))
+            large = large.filter("not few")
+        if turn == rounds and not large.isEmpty():
+            stars = stars.unionAll(_by_rare_elements(large, texts)).distinct()
+            large = large.limit(0)
         if large.isEmpty():
             groups, found = None, stars
         else:

@@ -185,6 +185,27 @@ def test_hard_group_brute_force(spark, small, rounds):
     assert got == want and len(set(want.values())) > 10
 
 
+def test_many_components_meet_by_rare_elements(spark):
+    """One group of 600 members in 200 components with most of their words in common: few pairs, none lost."""
+    r = random.Random(4)
+    shared = " ".join(f"c{k}" for k in range(40))
+    docs = []
+    for c in range(200):
+        own = [f"w{c}x{k}" for k in range(30)]
+        for k in range(3):
+            w = list(own)
+            if k:
+                w[r.randrange(30)] = f"n{c}x{k}"
+            docs.append((3 * c + k, f"{shared} {' '.join(w)}"))
+    texts = frame(spark, docs).selectExpr("doc_id AS node", "text")
+    size = {i: sum(shingles(t).values()) for i, t in docs}
+    members = spark.createDataFrame([("k", i, i, n) for i, n in size.items()], "key string, node long, root long, size long")
+    pairs = {(x.pivot, x.node) for x in minhash_dedup._by_rare_elements(members, texts).collect()}
+    bags = {i: shingles(t) for i, t in docs}
+    alike = {(a, b) for a in bags for b in range(a + 1, min(a + 3, 600)) if 5 * sum((bags[a] & bags[b]).values()) >= 4 * sum((bags[a] | bags[b]).values())}
+    assert alike <= pairs and len(pairs) <= 600 < 600 * 599 / 2
+
+
 def test_overlaps_brute_force(spark):
     docs = corpus(seed=9, n=40)
     texts = frame(spark, docs).selectExpr("doc_id as node", "text").filter("text is not null")
