@@ -15,7 +15,8 @@ components, and its pairs across components are no more than SMALL for each memb
 compared. The members of other groups get a second, longer signature with bands of STRICT_ROWS slots, so many
 of them that two bags of similarity 0.8 meet as before, but less similar ones rarely do; its groups end in
 the same way, and those with more pairs take pivots in turn, each without the pivots before. After
-ROUNDS pivots what is left meets by an exact prefix filter over the bags' rarest elements.
+ROUNDS pivots groups end in pairs if these are up to LAST * SMALL for each member, and the members of the others meet by an
+exact prefix filter over the bags' rarest elements. Either way is exact, so which one is taken changes no result.
 
 Pairs that can't be similar are not verified: with a(x) units of x inside a pivot p, x and y share
 a(x) + a(y) - n(p) units, what both lack of p, and what both have beyond p. Of either set a member keeps a
@@ -46,6 +47,8 @@ SLOTS, ROWS, BANDS, SHINGLE = 168, 6, 28, 5
 NUM, DEN = 4, 5  # similarity 0.8
 #: Groups end in pairs where these are up to SMALL for each member; the nodes of others meet by their rarest elements after ROUNDS pivots.
 SMALL, ROUNDS = 64, 3
+#: After ROUNDS pivots pairs are made up to LAST times as many for each member.
+LAST = 16
 #: Buckets of the bit maps, 64 in each long.
 BITS = 512
 #: The second signature: two bags of similarity 0.8 meet in none of its bands with a chance of 1 in 1,000.
@@ -394,14 +397,15 @@ def _classes(docs: DataFrame, small: int, rounds: int) -> DataFrame:
     # Of a node's pivots, the one that most nodes have: the likeliest to tell something of a pair.
     known = near.join(near.groupBy("pivot").agg(F.count("*").alias("of")), "pivot")
     best = known.groupBy("node").agg(F.max_by(F.struct(*(c for c in near.columns if c != "node")), F.struct("of", "pivot")).alias("x")).select("node", "x.*")
-    members = materialize(_open(_rooted(groups.filter("pivot <> node"), roots), small).join(near, ["pivot", "node"]), "open")
+    room = lambda turn: small if turn < rounds else LAST * small
+    members = materialize(_open(_rooted(groups.filter("pivot <> node"), roots), room(1)).join(near, ["pivot", "node"]), "open")
     for turn in range(1, rounds + 1):
         if members.isEmpty():
             break
         stars = _pairs(members.filter("few"))
         large = members.filter("not few")
         if turn == 1 and not large.isEmpty():
-            large = materialize(_open(_again(large.select("node", "root").distinct(), texts), small).join(best, "node"), "open")
+            large = materialize(_open(_again(large.select("node", "root").distinct(), texts), room(turn)).join(best, "node"), "open")
             stars = stars.unionAll(_pairs(large.filter("few")))
             large = large.filter("not few")
         if turn == rounds and not large.isEmpty():
@@ -419,7 +423,7 @@ def _classes(docs: DataFrame, small: int, rounds: int) -> DataFrame:
             roots = components(links)
         if groups is None:
             break
-        members = materialize(_open(_rooted(groups.filter("pivot <> node").select("key", "node"), roots), small).join(best, "node"), "open")
+        members = materialize(_open(_rooted(groups.filter("pivot <> node").select("key", "node"), roots), room(turn + 1)).join(best, "node"), "open")
     # The class of a component has the smallest doc_id of its bags.
     of = nodes.select("node", "f1", "f2", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("class_id"))
