@@ -372,7 +372,7 @@ def _marker_counts(outer: Column) -> Column:
 def extract_quoted(text: Column) -> Column:
     """The parts between double quotes, split at commas, without parentheses and ! or ?, each once."""
     found = F.flatten(F.transform(F.regexp_extract_all(nonnull(text), F.lit('"([^"]+)"'), F.lit(1)), lambda q: F.split(q, ",")))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: squeeze(F.translate(F.regexp_replace(x, r"\([^)]*\)", ""), "!?", ""))), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: squeeze(F.translate(F.regexp_replace(x, r"\([^()]*\)", " "), "!?", "  "))), lambda x: x != ""))
 
 
 def merge_ci(a: Column, b: Column) -> Column:
@@ -382,9 +382,45 @@ def merge_ci(a: Column, b: Column) -> Column:
     return F.transform(F.array_sort(F.transform(first, lambda h: F.struct(h["i"].alias("i"), h["x"].alias("x")))), lambda h: h["x"])
 
 
+_ITEM = r"""(?:'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|-?(?:0|[1-9][0-9]*+))"""
+#: What stands for a backslash while the other escapes are read.
+_HELD = "\x00"
+
+
+def _literal(item: Column) -> Column:
+    """A quoted string or whole number of a literal as its value."""
+    inner = F.replace(F.substr(item, F.lit(2), F.length(item) - 2), F.lit("\\\\"), F.lit(_HELD))
+    for written, value in (("\\'", "'"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), (_HELD, "\\")):
+        inner = F.replace(inner, F.lit(written), F.lit(value))
+    return F.when(F.regexp_like(item, F.lit("^['\"]")), inner).otherwise(item)
+
+
 def list_literal(text: Column) -> Column:
-    """A list of strings written as ['a', 'b'] as an array."""
-    return F.coalesce(F.from_json(F.regexp_replace(nonnull(text), r"(?<=[\[,\s])'|'(?=[\],])", '"'), "array<string>"), F.array().cast("array<string>"))
+    """The values of a list written as ['a', "it's", 3], or of one such value, without those that are blank; quotes of the other kind, commas, brackets and
+    escapes inside quotes are text. What is no such literal is one value as it stands; blank text is none. Lists of lists and other values count as text."""
+    whole = rf"^(?s)(?:\[\s*+(?:{_ITEM}(?:\s*+,\s*+{_ITEM})*+\s*+,?\s*+)?\]|{_ITEM})$"
+
+    def read(t: Column) -> Column:
+        values = F.transform(F.regexp_extract_all(t, F.lit(f"({_ITEM})"), F.lit(1)), lambda x: squeeze_ends(_literal(x)))
+        return F.when(t == "", F.array().cast("array<string>")).when(F.regexp_like(t, F.lit(whole)), F.filter(values, lambda x: x != "")).otherwise(F.array(t))
+
+    return let(squeeze_ends(nonnull(text)), read)
+
+
+def squeeze_ends(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def written_list(values: Column) -> Column:
+    """The literal that `list_literal` reads, in single quotes."""
+    quoted = F.transform(values, lambda x: F.concat(F.lit("'"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'")))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+
+
+def with_quoted(existing: Column, source: Column) -> Column:
+    """A written list with the quoted words of a source behind its own values, later repeats but for case left out (U6), written again."""
+    return written_list(merge_ci(list_literal(existing), extract_quoted(source)))
 
 
 def prompt(source: Column, hints: Column, task: str = "Translate:", label: str = "Hints") -> Column:

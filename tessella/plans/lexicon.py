@@ -375,6 +375,15 @@ def merge_ci(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.merge_ci(F.split("text", " "), F.array(F.lit("The"), F.lit("of"), F.lit("OF"))).alias("merged"))
 
 
+@query()
+def quoted_vocabulary(spark, sf_dir):
+    """Written lists of a document's lines, and what its text has between quotes, as one list; held against Python's own reading in the tests."""
+    source = F.replace(F.replace(text.nonnull(F.col("text")), F.lit(" the "), F.lit(' "Silver, tin (of a kind)!" ')), F.lit(" of "), F.lit(' "it\'s" '))
+    lines = text.written_list(F.split(source, "\n"))
+    made = table(spark, sf_dir, "documents", heavy=True).select("doc_id", text.with_quoted(lines, source).alias("made"))
+    return made.select("doc_id", F.md5("made").alias("digest"), F.length("made").cast("long").alias("n"))
+
+
 def _names(spark, sf_dir):
     """Names to look for, of any number of words: each benchmark item as a whole, its words but for single letters, its runs of two and of eight words.
     An item is an entry; the second half of them are an onomasticon's."""
