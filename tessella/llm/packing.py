@@ -14,7 +14,7 @@ spread. Only ids and lengths move, never texts.
 
 Tokens: the tokenizer's pre-tokens are independent of each other, so each worker encodes a pre-token once
 and keeps its ids in a cache of bounded size, under a 64-bit hash; a text's ids are gathered from there. A
-text that holds a special token's string goes to the tokenizer as a whole.
+text that holds a special token's string, or a character that is unassigned in Python's Unicode tables (the tokenizer's may be newer), goes to the tokenizer as a whole.
 
 Defined cases: null text is an empty one and has the single id 0; documents over CAPACITY are cut into
 full pieces from their end, so the first may be shorter; a very long text goes through a worker by itself;
@@ -38,6 +38,8 @@ from tessella.session import materialize, settle, ship
 
 CAPACITY, SHARD, ROUNDS, CACHE = 2048, 60_000, 200, 500_000
 U = np.uint64
+#: The kind of a character that Python's tables leave unassigned.
+UNKNOWN = 4
 _SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTED = ("s", "t", "re", "ve", "m", "ll", "d")
 _kinds: list[np.ndarray] = []
@@ -45,11 +47,11 @@ _coders: dict[str, Coder] = {}
 
 
 def _kind() -> np.ndarray:
-    """Code point to 0 other, 1 letter, 2 number, 3 white space."""
+    """Code point to 0 other, 1 letter, 2 number, 3 white space, 4 unassigned."""
     if not _kinds:
         import unicodedata
 
-        kind = np.array([{"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
+        kind = np.array([UNKNOWN if (own := unicodedata.category(chr(c))) == "Cn" else {"L": 1, "N": 2}.get(own[0], 0) for c in range(0x110000)], np.uint8)
         kind[_SPACE] = 3
         _kinds.append(kind)
     return _kinds[0]
@@ -119,18 +121,24 @@ class Coder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets by text); id 0 ends each text."""
-        odd = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        odd = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        # The tokenizer's tables may be newer: texts with characters that Python has no kind for go to it as a whole.
+        new = np.flatnonzero(_kind()[points] == UNKNOWN)
+        if len(new):
+            odd.update((np.searchsorted(np.cumsum([len(t) for t in texts]), new, side="right")).tolist())
         if not odd:
-            return self._gather(texts)
-        ids, at = self._gather(["" if i in set(odd) else t for i, t in enumerate(texts)])
+            return self._gather(texts, whole, points)
+        left = ["" if i in odd else t for i, t in enumerate(texts)]
+        whole = "".join(left)
+        ids, at = self._gather(left, whole, np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32))
         parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
         for i in odd:
             parts[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, 0], np.uint32)
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
 
-    def _gather(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = "".join(texts)
-        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def _gather(self, texts: list[str], whole: str, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         starts = pretokens(points, offsets)
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
