@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.regex import let, words_ws
+from tessella.operators.phrases import find
 
 SEP = "\x01"
 
@@ -43,27 +44,15 @@ def any_mismatch(verdicts: DataFrame, key: str, flag: str = "match") -> DataFram
     return verdicts.groupBy(key).agg(F.bool_or(F.col(flag) == "No").alias("bad")).agg(F.count_if("bad").alias("n_keys"))
 
 
-def ngrams(tokens: Column, longest: int = 4) -> Column:
-    """All runs of 1 to longest tokens as struct(pos from 0, n, key)."""
-
-    def of(tokens: Column, n: int) -> Column:
-        count = F.size(tokens) - (n - 1)
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.struct((i - 1).alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), SEP).alias("key")))).otherwise(
-            F.array().cast("array<struct<pos:int,n:int,key:string>>")
-        )
-
-    return let(tokens, lambda t: F.concat(*(of(t, n) for n in range(1, longest + 1))))
+def _by_key(key: Column, longest: int) -> Column:
+    """The tokens of a phrase given as one string; none for phrases of more than longest tokens."""
+    parts = F.split(key, SEP)
+    return F.when(F.size(parts) <= longest, parts).otherwise(F.array().cast("array<string>"))
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, key: str, tokens: Column, phrase_id: str, phrase_tokens: Column) -> DataFrame:
-    """(key, pos, phrase_id): where each phrase stands. Joined on the first one to three tokens, the rest is compared on arrays."""
-    longest = phrases.agg(F.max(F.size(phrase_tokens))).first()[0] or 0  # rows carry so many tokens, not whole texts
-    places = F.explode(F.transform("_t", lambda _, i: F.struct(i.alias("pos"), F.slice("_t", i + 1, longest).alias("_rest")))).alias("a")
-    at = docs.select(F.col(key), tokens.alias("_t")).select(key, places).select(key, "a.*")
-    heads = F.transform(F.sequence(F.lit(1), F.least(F.size("_rest"), F.lit(3))), lambda n: F.slice("_rest", 1, n))
-    at = at.filter(F.size("_rest") > 0).select(key, "pos", "_rest", F.explode(heads).alias("_first"))
-    index = phrases.select(F.col(phrase_id), phrase_tokens.alias("_p")).filter(F.size("_p") > 0).withColumn("_head", F.slice("_p", 1, 3))
-    return at.join(index, (at["_first"] == index["_head"]) & (F.slice("_rest", 1, F.size("_p")) == F.col("_p"))).select(key, "pos", phrase_id)
+    """(key, pos, phrase_id): where each phrase stands."""
+    return find(docs, key, tokens, phrases, phrase_tokens, [phrase_id]).select(key, "pos", phrase_id)
 
 
 def phrase_contains(docs: DataFrame, phrases: DataFrame, key: str, tokens: Column, phrase_id: str, phrase_tokens: Column) -> DataFrame:
@@ -79,8 +68,7 @@ def lookup_list(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
 def ngram_join(docs: DataFrame, phrases: DataFrame, key: str, tokens: Column, phrase_id: str, phrase_key: Column, longest: int = 4, most: int = 12) -> DataFrame:
     """The phrases that stand in a row, longest first, most of them at most."""
-    grams = docs.select(F.col(key), F.explode(ngrams(tokens, longest)).alias("g")).select(key, "g.*")
-    found = grams.join(phrases.select(F.col(phrase_id), phrase_key.alias("_key")), F.col("key") == F.col("_key"))
+    found = find(docs, key, tokens, phrases, _by_key(phrase_key, longest), [phrase_id])
     once = found.groupBy(key, phrase_id).agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "pos", phrase_id))
     return once.withColumn("rank", rank).filter(F.col("rank") <= most)
@@ -108,10 +96,10 @@ def greedy_spans(found: Column, most: int = 8) -> Column:
 
 
 def hints(docs: DataFrame, lexicon: DataFrame, key: str, tokens: Column, form_key: str, hint: str, longest: int = 4, most: int = 8) -> DataFrame:
-    """J10 as a join: n-grams meet the lexicon, then each row folds its own matches. One column, hints, is added."""
-    grams = docs.select(F.col(key).alias("_k"), F.explode(ngrams(tokens, longest)).alias("g")).select("_k", "g.pos", "g.n", F.col("g.key").alias("_g"))
-    found = grams.join(lexicon.select(F.col(form_key).alias("_f"), F.col(hint).alias("_h")), F.col("_g") == F.col("_f"))
-    per = found.groupBy("_k").agg(F.collect_list(F.struct("pos", "n", F.col("_g").alias("key"), F.col("_h").alias("hint"))).alias("_m")).select("_k", greedy_spans(F.col("_m"), most).alias("hints"))
+    """J10 as a join: the lexicon's forms are found in the texts, then each row folds its own matches. One column, hints, is added."""
+    forms = lexicon.select(F.col(form_key).alias("_f"), F.col(hint).alias("_h"))
+    found = find(docs, key, tokens, forms, _by_key(F.col("_f"), longest), ["_f", "_h"]).withColumnRenamed(key, "_k")
+    per = found.groupBy("_k").agg(F.collect_list(F.struct("pos", "n", F.col("_f").alias("key"), F.col("_h").alias("hint"))).alias("_m")).select("_k", greedy_spans(F.col("_m"), most).alias("hints"))
     none = F.array().cast("array<struct<pos:int,n:int,key:string,hint:string>>")
     return docs.join(per, docs[key] == per["_k"], "left").withColumn("hints", F.coalesce("hints", none)).drop("_k")
 
@@ -143,8 +131,8 @@ def alias_names(df: DataFrame, key: str, text: str, lexicon: DataFrame, form: st
     """Names of the lexicon (form: its tokens joined by SEP) replaced by aliases of their kind, most of them at most; two columns
     are added: aliased, and pairs (alias in the target, name) to restore. pools: (source alias, target alias) in order, by kind."""
     tokens = words_ws(F.coalesce(F.col(text), F.lit("")))
-    grams = df.select(F.col(key).alias("_k"), F.explode(ngrams(tokens, longest)).alias("g")).select("_k", "g.pos", "g.n", F.col("g.key").alias("_g"))
-    found = grams.join(lexicon.select(F.col(form).alias("_f"), F.col(name).alias("_name"), F.col(kind).alias("_kind")), F.col("_g") == F.col("_f"))
+    forms = lexicon.select(F.col(form).alias("_f"), F.col(name).alias("_name"), F.col(kind).alias("_kind"))
+    found = find(df, key, tokens, forms, _by_key(F.col("_f"), longest), ["_name", "_kind"]).withColumnRenamed(key, "_k")
     per = found.groupBy("_k").agg(F.collect_list(F.struct("pos", "n", F.col("_name").alias("name"), F.col("_kind").alias("kind"))).alias("_m")).select("_k", _aliases(F.col("_m"), pools, most).alias("_taken"))
 
     def rewritten(t: Column) -> Column:

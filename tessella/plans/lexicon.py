@@ -10,6 +10,7 @@ from tessella.functions.regex import words_ws
 from tessella.functions.rules import STOPWORDS
 from tessella.operators import aggregates, augment, entities, filters, joins, mentions, sets
 from tessella.plans.registry import query, table
+from tessella.session import settle
 
 
 @query("SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -85,14 +86,18 @@ found AS (SELECT doc_id, pos, item_id, len(p) AS n FROM spots JOIN p ON g = p)
 @query(_PHRASE_SQL + "SELECT doc_id, pos, item_id FROM found")
 def phrase_positions(spark, sf_dir):
     """J5"""
-    out = joins.phrase_matches(_words(spark, sf_dir), _phrases(spark, sf_dir), "doc_id", F.col("w"), "item_id", F.col("p"))
-    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "item_id")
+
+    def build() -> DataFrame:
+        out = joins.phrase_matches(_words(spark, sf_dir), _phrases(spark, sf_dir), "doc_id", F.col("w"), "item_id", F.col("p"))
+        return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "item_id")
+
+    return settle(spark, build, "phrase-positions")
 
 
 @query(_PHRASE_SQL + "SELECT DISTINCT doc_id, item_id FROM found")
 def phrase_contains(spark, sf_dir):
     """J6"""
-    return joins.phrase_contains(_words(spark, sf_dir), _phrases(spark, sf_dir), "doc_id", F.col("w"), "item_id", F.col("p"))
+    return settle(spark, lambda: joins.phrase_contains(_words(spark, sf_dir), _phrases(spark, sf_dir), "doc_id", F.col("w"), "item_id", F.col("p")), "phrase-contains")
 
 
 @query("SELECT r_regionkey, r_name, coalesce(string_agg(n_name, '; ' ORDER BY n_nationkey), '') AS nations FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL")
@@ -104,9 +109,12 @@ def lookup_list(spark, sf_dir):
 @query(_PHRASE_SQL + "SELECT doc_id, item_id, rank FROM (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY max(n) DESC, min(pos), item_id) AS rank FROM found GROUP BY doc_id, item_id) WHERE rank <= 12")
 def ngram_join(spark, sf_dir):
     """J8"""
-    phrases = _phrases(spark, sf_dir)
-    out = joins.ngram_join(_words(spark, sf_dir), phrases, "doc_id", F.col("w"), "item_id", F.array_join("p", joins.SEP), longest=3)
-    return out.select("doc_id", "item_id", F.col("rank").cast("long").alias("rank"))
+
+    def build() -> DataFrame:
+        out = joins.ngram_join(_words(spark, sf_dir), _phrases(spark, sf_dir), "doc_id", F.col("w"), "item_id", F.array_join("p", joins.SEP), longest=3)
+        return out.select("doc_id", "item_id", F.col("rank").cast("long").alias("rank"))
+
+    return settle(spark, build, "ngram-join")
 
 
 @query("""
@@ -125,13 +133,13 @@ def token_candidates(spark, sf_dir):
 
 @query()
 def greedy_hints(spark, sf_dir):
-    """Longest phrases of one or two words from anywhere in the benchmark's items."""
+    """Longest phrases of one to four words from anywhere in the benchmark's items."""
     words = words_ws(F.lower(text.nonnull(F.col("text"))))
+    run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), joins.SEP))).otherwise(F.array().cast("array<string>"))
     lex = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
-    two = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(F.get("w", i), F.lit(joins.SEP), x))
-    lex = lex.select(F.explode(F.concat("w", two)).alias("form"), F.col("item_id").cast("string").alias("hint")).groupBy("form").agg(F.min("hint").alias("hint"))
+    lex = lex.select(F.explode(F.concat(*map(run, range(1, 5)))).alias("form"), F.col("item_id").cast("string").alias("hint")).groupBy("form").agg(F.min("hint").alias("hint"))
     turns = table(spark, sf_dir, "conversations").withColumn("k", F.concat_ws(":", "conv_id", "turn"))
-    out = joins.hints(turns, lex, "k", words, "form", "hint", longest=2)
+    out = settle(spark, lambda: joins.hints(turns, lex, "k", words, "form", "hint"), "hints")
     return out.select("conv_id", "turn", F.size("hints").cast("long").alias("n"), F.to_json("hints").alias("hints"))
 
 
