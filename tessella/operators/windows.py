@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators import scans
 from tessella.session import materialize
 
 BEFORE = (W.unboundedPreceding, -1)
 
 
 def islands(df: DataFrame, by: list[str], order: str, ends: Column) -> DataFrame:
-    """Numbers the runs that a closing row ends; the row after it begins the next."""
-    w = W.partitionBy(*by).orderBy(order)
-    return df.withColumn("island", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(w.rowsBetween(*BEFORE)), F.lit(0)))
+    """Numbers the runs that a closing row ends; the row after it begins the next. A key's rows are worked on by many tasks."""
+    closing = F.when(ends, 1).otherwise(0)
+    marked = scans.apply(scans.deal(df.withColumn("_closing", closing), by, order), by, order, island=scans.running_sum(F.col("_closing")))
+    return marked.withColumn("island", F.col("island") - F.col("_closing")).drop("_closing", "_range")
 
 
 def merge_islands(df: DataFrame, by: list[str], order: str, texts: list[str], ends: Column, keep_open: bool = True) -> DataFrame:
@@ -39,16 +41,14 @@ def spans(df: DataFrame, by: list[str], order: str, weights: list[str], budget:
 
 
 def forward_fill(df: DataFrame, by: list[str], order: str, column: str) -> DataFrame:
-    """Blank values take the last one that is not."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(column, F.coalesce(F.last(F.nullif(F.col(column), F.lit("")), True).over(w), F.lit("")))
+    """Blank values take the last one that is not. A key's rows are worked on by many tasks."""
+    filled = scans.apply(scans.deal(df, by, order), by, order, _last=scans.running_last(F.nullif(F.col(column), F.lit(""))))
+    return filled.withColumn(column, F.coalesce("_last", F.lit(""))).drop("_last", "_range")
 
 
 def runs(df: DataFrame, by: list[str], order: str, column: str) -> DataFrame:
-    """Numbers runs of equal values; a value that comes again is a new run."""
-    w = W.partitionBy(*by).orderBy(order)
-    new = F.when(F.lag(column).over(w).eqNullSafe(F.col(column)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
+    """Numbers runs of equal values; a value that comes again is a new run. A key's rows are worked on by many tasks."""
+    return scans.numbered_runs(scans.deal(df, by, order), by, order, column).drop("_range")
 
 
 def number_segments(df: DataFrame, by: list[str], order: str, keep: Column) -> DataFrame:

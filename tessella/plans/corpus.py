@@ -10,6 +10,7 @@ from tessella.functions import numbers, text
 from tessella.functions.regex import squeeze, words_space, words_ws
 from tessella.operators import aggregates, filters, windows
 from tessella.plans.registry import query, table
+from tessella.session import settle
 
 PAIRS_SQL = """
 WITH pairs AS (
@@ -293,7 +294,7 @@ i AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY conv_id ORDER BY turn
 def sentence_islands(spark, sf_dir):
     """Turns joined until one ends in a full stop."""
     turns = table(spark, sf_dir, "conversations").withColumn("text", text.nonnull(F.col("text")))
-    out = windows.merge_islands(turns, ["conv_id"], "turn", ["text"], F.endswith("text", F.lit(".")))
+    out = settle(spark, lambda: windows.merge_islands(turns, ["conv_id"], "turn", ["text"], F.endswith("text", F.lit("."))), "islands")
     return out.select("conv_id", "island", "first", "last", "length", "closed", F.md5("text").alias("digest"))
 
 
@@ -313,14 +314,14 @@ def contiguous_windows(spark, sf_dir):
 def forward_fill(spark, sf_dir):
     """W3"""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("o"), F.when(F.col("event_type") == "click", F.concat("event_type", F.col("user_id").cast("string"))).otherwise("").alias("label"))
-    return windows.forward_fill(e, ["user_id"], "o", "label").select("event_id", "label")
+    return settle(spark, lambda: windows.forward_fill(e, ["user_id"], "o", "label").select("event_id", "label"), "filled")
 
 
 @query("SELECT event_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS new FROM events)")
 def run_grouping(spark, sf_dir):
     """W4"""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.struct("ts", "event_id").alias("o"))
-    return windows.runs(e, ["user_id"], "o", "event_type").select("event_id", "run")
+    return settle(spark, lambda: windows.runs(e, ["user_id"], "o", "event_type").select("event_id", "run"), "runs")
 
 
 @query("""
@@ -330,7 +331,7 @@ SELECT conv_id, page_start, page_end, length, row_number() OVER (PARTITION BY co
 def segment_numbering(spark, sf_dir):
     """Finished segments with their bounds, numbered."""
     turns = table(spark, sf_dir, "conversations").withColumn("text", text.nonnull(F.col("text")))
-    marked = windows.islands(turns.withColumn("ends", filters.is_terminal(F.col("text"))), ["conv_id"], "turn", F.col("ends"))
+    marked = settle(spark, lambda: windows.islands(turns.withColumn("ends", filters.is_terminal(F.col("text"))), ["conv_id"], "turn", F.col("ends")), "islands")
     bounds = aggregates.span_bounds(marked, ["conv_id", "island"], "turn", "turn", "turn").join(marked.groupBy("conv_id", "island").agg(F.bool_or("ends").alias("closed")), ["conv_id", "island"])
     out = windows.number_segments(bounds, ["conv_id"], "island", F.col("closed"))
     return out.select("conv_id", "page_start", "page_end", "length", F.col("segment_index").cast("long").alias("segment_index"))
