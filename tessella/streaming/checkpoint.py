@@ -33,6 +33,30 @@ def upsert_latest(spark: SparkSession, source: str, schema, sink: str, checkpoin
     return spark.readStream.schema(schema).parquet(source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
 
 
+def keep_latest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, key: str, order: str, files: int | None = None) -> StreamingQuery:
+    """S8 as a stream: the last row of each key is the state of a streaming aggregation, so a batch costs what its own keys cost, however many there are.
+
+    Each batch writes the keys that its rows touched, as they stand after it, into a folder of its own in sink; a batch that runs again after a stop
+    writes the same folder anew. `latest` reads the sink. State and progress are in checkpoint, from where a stopped query goes on."""
+    stream = spark.readStream.schema(schema)
+    stream = stream.option("maxFilesPerTrigger", files) if files else stream
+    rows = stream.parquet(source)
+    rest = [c for c in rows.columns if c != key]
+    # Ties in order go by the other columns, so that the row kept doesn't depend on batches. Columns that Spark can't order would fail here.
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, *(c for c in rest if c != order))).alias("_row"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return last.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def latest(spark: SparkSession, sink: str, key: str) -> DataFrame:
+    """The rows of a sink of `keep_latest`: for each key what its last batch wrote, by a maximum that combines before the shuffle."""
+    log = spark.read.option("basePath", sink).parquet(sink)
+    return log.groupBy(key).agg(F.max_by("_row", "batch").alias("_row")).select(key, "_row.*")
+
+
 def windowed_counts(stream: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts by time window with a watermark."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.sources import readers, writers
-from tessella.streaming.checkpoint import TokenBucket, run_log, upsert_latest
+from tessella.streaming.checkpoint import TokenBucket, keep_latest, latest, run_log, upsert_latest
 
 
 def test_csv(spark, tmp_path):
@@ -76,6 +76,26 @@ def test_upsert_survives_a_stop(spark, tmp_path, monkeypatch):
     assert read() == [(1, "z"), (2, "b"), (4, "n")]
 
 
+def test_latest_as_state(spark, tmp_path):
+    """Stops between batches and a batch written twice change nothing; a batch writes its own keys only; older rows that come late lose."""
+    source, sink, state, schema = str(tmp_path / "in"), str(tmp_path / "last"), str(tmp_path / "s"), "k long, o long, v string"
+    rounds = [[(1, 1, "a"), (2, 2, "b"), (None, 1, "n")], [(1, 3, "z"), (4, 4, None)], [(1, 2, "late"), (2, 2, "a"), (None, 2, None)]]
+    want = {}
+    for rows in rounds:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        keep_latest(spark, source, schema, sink, state, "k", "o").awaitTermination()
+        for k, o, v in rows:
+            want[k] = max(want.get(k, (o, v)), (o, v), key=lambda x: (x[0], x[1] or ""))
+        assert {r.k: (r.o, r.v) for r in latest(spark, sink, "k").collect()} == want
+    assert spark.read.parquet(f"{sink}/batch=1").count() == 2
+    # The last batch's commit is lost: it runs again on the state before it and writes the same rows into the same folder.
+    commits = sorted((tmp_path / "s" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    keep_latest(spark, source, schema, sink, state, "k", "o").awaitTermination()
+    assert {r.k: (r.o, r.v) for r in latest(spark, sink, "k").collect()} == want and len(list((tmp_path / "last").glob("batch=*"))) == 3
+
+
 def test_order_over_files(spark, tmp_path):
     for name, rows in (("b", "x,1\nx,2\n"), ("a", "y,3\n"), ("c", 'z,"4\n5"\nz,6\nz,7\n')):
         (tmp_path / f"{name}.csv").write_text("k,v\n" + rows, encoding="utf-8")
