@@ -193,6 +193,33 @@ def sentence_bleu(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([bleu(x, True) for x in bleu_table(hyp.fillna("").tolist(), ref.fillna("").tolist()).tolist()], dtype="float64")
 
 
+BOTH_WAYS = T.StructType([T.StructField(x, T.DoubleType()) for x in ("ab", "ba")])
+
+
+def _turned(table: np.ndarray, chrf_orders: bool) -> np.ndarray:
+    """Statistics of pairs with their sides exchanged: what both share is the same from either side."""
+    if chrf_orders:
+        ref, hyp, both = table[:, 1::3], table[:, 0::3], table[:, 2::3]
+        return np.stack([ref, hyp, both], axis=2).reshape(len(table), -1)
+    length = table[:, 1:2]
+    totals = np.maximum(0, length - np.arange(BLEU_N))
+    return np.concatenate([length, table[:, :1], np.stack([table[:, 2::2], totals], axis=2).reshape(len(table), -1)], axis=1)
+
+
+@F.pandas_udf(BOTH_WAYS)
+def chrf_both_ways(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """M3 of a against b and of b against a, counted once."""
+    table = chrf_table(a.fillna("").tolist(), b.fillna("").tolist())
+    return pd.DataFrame({k: np.array([chrf(x) for x in t.tolist()], "float64") for k, t in (("ab", table), ("ba", _turned(table, True)))})
+
+
+@F.pandas_udf(BOTH_WAYS)
+def bleu_both_ways(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """M4 of a against b and of b against a, counted once."""
+    table = bleu_table(a.fillna("").tolist(), b.fillna("").tolist())
+    return pd.DataFrame({k: np.array([bleu(x, True) for x in t.tolist()], "float64") for k, t in (("ab", table), ("ba", _turned(table, False)))})
+
+
 def corpus_scores(df: DataFrame, hypothesis: str, reference: str, by: list[str] | None = None) -> DataFrame:
     """Corpus BLEU, chrF++ and the root of their product. Statistics are summed in Spark; the closed forms see one row a group."""
     n = 2 + 2 * BLEU_N
@@ -287,14 +314,16 @@ def mbr(df: DataFrame, by: str, text: str, pos: str, w_chrf: float = 0.55, w_ble
     cands = cands.withColumn("_bonus", w_length * F.col("_len") + w_support * scaled(F.col("support"), by) + (w_priority * scaled(F.col("priority"), by) if extra else 0.0))
     a = cands.select(by, F.col(pos).alias("_a"), F.col(text).alias("_at"))
     b = cands.select(by, F.col(pos).alias("_b"), F.col(text).alias("_bt"))
-    pairs = a.join(b, by).filter("_a <> _b")
+    # Each pair once: the n-grams that two texts share count for both.
+    pairs = a.join(b, by).filter("_a < _b").withColumn("_j", w_jaccard * token_jaccard(F.col("_at"), F.col("_bt")))
     total = w_chrf + w_bleu + w_jaccard
-    score = w_jaccard * token_jaccard(F.col("_at"), F.col("_bt"))
-    if w_chrf:
-        score = score + w_chrf * sentence_chrf(F.col("_at"), F.col("_bt"))
-    if w_bleu:
-        score = score + w_bleu * sentence_bleu(F.col("_at"), F.col("_bt"))
-    mean = pairs.withColumn("_s", score / total).groupBy(by, F.col("_a").alias(pos)).agg(F.avg("_s").alias("_mean"))
+    ab = ba = F.col("_j")
+    for weight, name, score in ((w_chrf, "_chrf", chrf_both_ways), (w_bleu, "_bleu", bleu_both_ways)):
+        if weight:
+            pairs = pairs.withColumn(name, score("_at", "_bt"))
+            ab, ba = ab + weight * F.col(f"{name}.ab"), ba + weight * F.col(f"{name}.ba")
+    sides = F.array(F.struct(F.col("_a").alias("p"), (ab / total).alias("s")), F.struct(F.col("_b").alias("p"), (ba / total).alias("s")))
+    mean = pairs.select(by, F.explode(sides).alias("_x")).groupBy(by, F.col("_x.p").alias(pos)).agg(F.avg("_x.s").alias("_mean"))
     scored = cands.join(mean, [by, pos], "left").withColumn("score", F.coalesce("_mean", F.lit(0.0)) + F.col("_bonus"))
     best = scored.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), pos))).filter("_k = 1")
     return best.select(by, pos, text, "support", "score")
