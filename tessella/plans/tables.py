@@ -11,7 +11,7 @@ from tessella.functions.regex import words_ws
 from tessella.operators import aggregates, augment, entities, filters, joins, layout, scoring, windows
 from tessella.plans.registry import query, table
 from tessella.session import passing, settle
-from tessella.sources import readers, writers
+from tessella.sources import paged, readers, writers
 
 
 # --- sources and sinks ------------------------------------------------------------------------------------
@@ -364,7 +364,38 @@ def guarded_candidates(spark, sf_dir):
     return pool.select("conv_id", F.transform(filters.guarded_filter(F.col("t")), lambda x: F.md5(x)).alias("kept"))
 
 
+def _paged(spark: SparkSession, sf_dir: str, build, name: str) -> DataFrame:
+    """What build makes of all web pages as files of pages: their sources in text layout under a line with the page's id, and an index."""
+
+    def written() -> DataFrame:
+        path = passing(spark, "text-pages")
+        source = table(spark, sf_dir, "pages").select(F.concat_ws("\n", F.col("page_id").cast("string"), F.coalesce("html", F.lit(""))).alias("text"))
+        paged.write(source, path)
+        return build(path, paged.index(spark, path, passing(spark, "page-index")))
+
+    return settle(spark, written, name)
+
+
 @query()
 def page_image_urls(spark, sf_dir):
-    """Files as data URLs; the table's own files stand for images."""
-    return readers.page_images(spark, f"{sf_dir}/nation.parquet*").select(F.md5("url").alias("digest"))
+    """A rough image of each page's source as a data URL."""
+    images = lambda path, pages: paged.images(spark, path, pages).select("width", "height", F.md5("url").alias("digest"))
+    return _paged(spark, sf_dir, images, "page-images")
+
+
+@query(r"""
+WITH l AS (SELECT page_id, u.i AS line, ls[u.i] AS t FROM (SELECT page_id, string_split(replace(coalesce(html, ''), chr(12), ' '), chr(10)) AS ls FROM pages), unnest(range(1, len(ls) + 1)) AS u(i)),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l)
+SELECT page_id, CAST(line AS BIGINT) AS line, CAST(len(ws) AS BIGINT) AS n_words, 6.0::DOUBLE * (length(t) - length(regexp_replace(t, '^[\x20\x09-\x0D]+', ''))) AS x0, 6.0::DOUBLE * length(regexp_replace(t, '[\x20\x09-\x0D]+$', '')) AS x1, md5(array_to_string(ws, ' ')) AS words FROM w WHERE len(ws) > 0
+""")
+def text_page_lines(spark, sf_dir):
+    """The words of each line of all pages' sources, from files of pages by page ranges."""
+
+    def lines(path: str, pages: str) -> DataFrame:
+        w = paged.words(spark, path, pages)
+        each = w.groupBy("path", "page", "top").agg(F.count("*").alias("n_words"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_sort(F.collect_list(F.struct(F.col("x0").alias("at"), "text"))).alias("w"))
+        ids = w.filter("top = 0").select(F.col("path").alias("_path"), F.col("page").alias("_page"), F.col("text").cast("long").alias("page_id"))
+        each = each.filter("top > 0").join(ids, (F.col("path") == F.col("_path")) & (F.col("page") == F.col("_page")))
+        return each.select("page_id", (F.col("top") / paged.LINE).cast("long").alias("line"), "n_words", "x0", "x1", F.md5(F.array_join("w.text", " ")).alias("words"))
+
+    return _paged(spark, sf_dir, lines, "page-lines")
