@@ -13,6 +13,8 @@ found by one fold, and windows that share bigrams with one of more matching bigr
 template, first place) are dropped. A window within a line that matches is no further unit, nor is one whose licence
 the whole text has with the same Dice or a higher one.
 
+SPDX expressions are units of a kind of their own: `spdx` has the identifiers of all in a text as written, templates or not.
+
 Defined cases: null text has no unit that matches; texts under two words match nothing; equal scores go
 to the template first by name; repeated rows each get a row; an empty table gives an empty result; other
 columns are ignored. A very long text is read as a whole by Spark's own string functions. The templates are constants,
@@ -60,6 +62,14 @@ TEMPLATES = {
     "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0",
     "spdx-gpl-3.0": "SPDX-License-Identifier: GPL-3.0-or-later",
     "spdx-mit": "SPDX-License-Identifier: MIT",
+    "0bsd": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "bsl-1.0": 'Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "bsl-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "cc0-1.0-notice": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "lgpl-3-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "unlicense-text": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 #: Words that other texts are full of: no anchors where there are others.
@@ -155,12 +165,39 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _GAP), lambda w: w != "")
 
 
+#: The tag that SPDX expressions stand behind, what they are made of, and what joins identifiers.
+SPDX_TAG = "SPDX-License-Identifier:"
+SPDX_RUN = r"^[A-Za-z0-9.+() \t-]*"
+SPDX_JOINTS = ("AND", "OR", "WITH")
+
+
+def spdx(text: Column) -> Column:
+    """The licences that the SPDX expressions in a text name, sorted: identifiers and AND, OR or WITH by turns, brackets aside; an expression
+    ends where anything else stands, and what follows WITH is an exception, no licence."""
+
+    def named(run: Column) -> Column:
+        tokens = F.filter(F.split(run, r"[ \t()]+"), lambda t: t != "")
+
+        def licences(ts: Column) -> Column:
+            odd = F.transform(ts, lambda t, i: F.when((i % 2 == 1) & ~t.isin(*SPDX_JOINTS), i))
+            stop = F.coalesce(F.array_min(odd), F.size(ts))
+            placed = F.transform(ts, lambda t, i: F.struct(t.alias("t"), i.alias("i"), (F.coalesce(F.get(ts, i - 1), F.lit("")) == "WITH").alias("exception")))
+            return let(stop, lambda end: F.transform(F.filter(placed, lambda p: (p["i"] % 2 == 0) & (p["i"] < end) & ~p["exception"]), lambda p: F.regexp_replace(p["t"], r"[.\-]+$", "")))
+
+        return let(tokens, licences)
+
+    behind = F.split(text, SPDX_TAG, -1)
+    runs = F.when(F.contains(text, F.lit(SPDX_TAG)), F.transform(F.slice(behind, 2, F.size(behind) - 1), lambda b: F.regexp_extract(b, SPDX_RUN, 0)))
+    names = F.filter(F.flatten(F.transform(runs, named)), lambda x: x != "")
+    return F.array_sort(F.array_distinct(F.coalesce(names, F.array().cast("array<string>"))))
+
+
 def _ints(values: list[int]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<int>")
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_col, n_lines, n_matches (units with a licence), license and dice of the best one, licenses (sorted names)."""
+    """Per row: doc_col, n_lines, n_matches (units with a licence), license and dice of the best one, licenses (sorted names), spdx (sorted identifiers)."""
     grams = template_bigrams()
     sizes = [len(g) for g in grams.values()]
     near = F.array(*map(_ints, _candidates(sizes, threshold)))  # constants; folded into one literal each
@@ -169,16 +206,16 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id",
     whole = F.coalesce(F.col(text_col), F.lit(""))
     # Only texts with an anchor word are split further.
     likely_text = F.when(F.lower(whole).rlike(_any_word(_anchors(threshold, _least))), whole).otherwise(F.lit(""))
-    docs = docs.select(F.col(doc_col), likely_text.alias("__text"), (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("__n"))
+    docs = docs.select(F.col(doc_col), likely_text.alias("__text"), (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("__n"), spdx(whole).alias("__spdx"))
     lines = F.split(F.col("__text"), "\n", -1)
     units = F.transform(lines, normal_words)
     # The whole text's words are its lines' words; a text of one line is one unit.
-    base = docs.select(F.col(doc_col), units.alias("lines"), F.col("__n").alias("n_lines"))
-    base = base.select(doc_col, "lines", "n_lines", F.when(F.size("lines") > 1, F.concat("lines", F.array(F.flatten("lines")))).otherwise(F.col("lines")).alias("units"))
+    base = docs.select(F.col(doc_col), units.alias("lines"), F.col("__n").alias("n_lines"), F.col("__spdx").alias("spdx"))
+    base = base.select(doc_col, "lines", "n_lines", "spdx", F.when(F.size("lines") > 1, F.concat("lines", F.array(F.flatten("lines")))).otherwise(F.col("lines")).alias("units"))
     fits = F.transform("units", lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(near, F.size(w) - 1), _ints([])).alias("near"), i.alias("i")))
     words = F.get("units", F.size("units") - 1)
     pairs = let(words, lambda w: F.when(F.arrays_overlap(w, F.array(*map(F.lit, _anchors(threshold)))), F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))))
-    base = base.select(doc_col, "n_lines", "lines", F.filter(fits, lambda u: (F.size(u["w"]) > 1) & (F.size(u["near"]) > 0)).alias("units"), pairs.alias("pairs"))
+    base = base.select(doc_col, "n_lines", "spdx", "lines", F.filter(fits, lambda u: (F.size(u["w"]) > 1) & (F.size(u["near"]) > 0)).alias("units"), pairs.alias("pairs"))
 
     def bigrams(words: Column) -> Column:
         return F.array_sort(F.transform(F.slice(words, 2, F.size(words) - 1), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w)))
@@ -186,8 +223,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id",
     def tagged(sorted_grams: Column) -> Column:
         return F.transform(sorted_grams, lambda g, i: F.concat(g, F.lit(" "), (i + 1 - F.array_position(sorted_grams, g)).cast("string")))
 
-    base = base.select(doc_col, "n_lines", "lines", "pairs", F.transform("units", lambda u: F.struct(bigrams(u["w"]).alias("g"), u["near"].alias("near"), u["i"].alias("i"))).alias("units"))
-    base = base.select(doc_col, "n_lines", "lines", "pairs", F.transform("units", lambda u: F.struct(tagged(u["g"]).alias("g"), u["near"].alias("near"), u["i"].alias("i"))).alias("units"))
+    base = base.select(doc_col, "n_lines", "spdx", "lines", "pairs", F.transform("units", lambda u: F.struct(bigrams(u["w"]).alias("g"), u["near"].alias("near"), u["i"].alias("i"))).alias("units"))
+    base = base.select(doc_col, "n_lines", "spdx", "lines", "pairs", F.transform("units", lambda u: F.struct(tagged(u["g"]).alias("g"), u["near"].alias("near"), u["i"].alias("i"))).alias("units"))
     dice = lambda g, k: F.lit(2.0) * F.size(F.array_intersect(g, F.get(sets, k))) / (F.size(g) + F.get(_ints(sizes), k))
     scored = F.transform("units", lambda u: F.array_max(F.filter(F.transform(u["near"], lambda k: F.struct(dice(u["g"], k).alias("dice"), (-k).alias("t"), u["i"].cast("int").alias("i"))), lambda s: s["dice"] >= threshold)))
     # Windows: of templates with enough of their different bigrams in the text.
@@ -197,9 +234,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id",
     enough = _ints([len(x) - b + o for x, b, o in zip(kinds, sizes, shared, strict=True)])
     every = F.array(*map(F.lit, sorted(set().union(*kinds))))
     likely = let(F.array_intersect("pairs", every), lambda p: F.filter(_ints(list(range(len(sizes)))), lambda k: F.size(F.array_intersect(p, F.get(table[0], k))) >= F.get(enough, k)))
-    base = base.select(doc_col, "n_lines", "lines", "pairs", F.filter(scored, lambda s: s.isNotNull()).alias("found"), F.when(F.size("pairs") > 0, likely).alias("likely"))
+    base = base.select(doc_col, "n_lines", "spdx", "lines", "pairs", F.filter(scored, lambda s: s.isNotNull()).alias("found"), F.when(F.size("pairs") > 0, likely).alias("likely"))
     spans = F.when(F.size("likely") > 0, _apart(F.flatten(F.transform("likely", lambda k: _windows(F.col("pairs"), k, *(F.get(t, k) for t in table), threshold)))))
-    base = base.select(doc_col, "n_lines", "lines", "found", spans.alias("spans"))
+    base = base.select(doc_col, "n_lines", "spdx", "lines", "found", spans.alias("spans"))
     line_of = F.flatten(F.transform("lines", lambda w, i: F.transform(w, lambda _: i)))
 
     def further(of: Column, w: Column) -> Column:
@@ -209,7 +246,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id",
         return ~F.exists("found", lambda s: within(s) | of_text(s))
 
     extra = let(line_of, lambda of: F.transform(F.filter("spans", lambda w: further(of, w)), lambda w: F.struct(w["dice"].alias("dice"), w["k"].alias("t"), F.lit(-1).alias("i"))))
-    found = base.select(doc_col, "n_lines", F.when(F.size("spans") > 0, F.concat("found", extra)).otherwise(F.col("found")).alias("found"))
+    found = base.select(doc_col, "n_lines", "spdx", F.when(F.size("spans") > 0, F.concat("found", extra)).otherwise(F.col("found")).alias("found"))
     top = F.array_max("found")
     return found.select(
         doc_col,
@@ -218,4 +255,5 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id",
         F.get(names, -top["t"]).alias("license"),
         top["dice"].alias("dice"),
         F.array_sort(F.array_distinct(F.transform("found", lambda s: F.get(names, -s["t"])))).alias("licenses"),
+        "spdx",
     )

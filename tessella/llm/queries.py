@@ -136,9 +136,13 @@ scored AS (
   FROM counted g JOIN template t USING (gram) GROUP BY doc_id, unit, name
 ),
 best AS (SELECT doc_id, unit, max(dice) AS dice, min_by(name, (-dice, name)) AS name FROM scored WHERE dice >= {license_scan.THRESHOLD} GROUP BY doc_id, unit),
-per AS (SELECT doc_id, count(*) AS n_matches, max(dice) AS dice, min_by(name, (-dice, name)) AS license, list_sort(list(DISTINCT name)) AS licenses FROM best GROUP BY doc_id)
-SELECT p.doc_id, len(ls) AS n_lines, coalesce(n_matches, 0) AS n_matches, license, dice, coalesce(licenses, []) AS licenses
-FROM parts p LEFT JOIN per USING (doc_id)"""
+per AS (SELECT doc_id, count(*) AS n_matches, max(dice) AS dice, min_by(name, (-dice, name)) AS license, list_sort(list(DISTINCT name)) AS licenses FROM best GROUP BY doc_id),
+runs AS (SELECT doc_id, j AS run, list_filter(regexp_split_to_array(regexp_extract(rs[j], '{license_scan.SPDX_RUN}'), '[ \\t()]+'), lambda t: t <> '') AS ts FROM (SELECT doc_id, string_split(text, '{license_scan.SPDX_TAG}') AS rs FROM documents), unnest(range(2, len(rs) + 1)) AS u(j)),
+tokens AS (SELECT doc_id, run, i, ts[i] AS t, i > 1 AND ts[i - 1] = 'WITH' AS exception FROM runs, unnest(range(1, len(ts) + 1)) AS u(i)),
+ends AS (SELECT doc_id, run, min(i) FILTER (i % 2 = 0 AND t NOT IN ('AND', 'OR', 'WITH')) AS stop FROM tokens GROUP BY doc_id, run),
+named AS (SELECT doc_id, list_sort(list(DISTINCT regexp_replace(t, '[.-]+$', ''))) AS spdx FROM tokens JOIN ends USING (doc_id, run) WHERE i % 2 = 1 AND i < coalesce(stop, i + 1) AND NOT exception AND regexp_replace(t, '[.-]+$', '') <> '' GROUP BY doc_id)
+SELECT p.doc_id, len(ls) AS n_lines, coalesce(n_matches, 0) AS n_matches, license, dice, coalesce(licenses, []) AS licenses, coalesce(spdx, []) AS spdx
+FROM parts p LEFT JOIN per USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
 def _chat_sql() -> str:

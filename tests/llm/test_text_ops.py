@@ -268,6 +268,28 @@ def test_adpcm_and_laws():
     assert media.a_law()[0xD5] == 8 and media.a_law()[0x55] == -8 and media.a_law()[0xAA] == 32256
 
 
+def test_spdx_expressions(spark):
+    tag = "SPDX-License-Identifier:"
+    cases = [
+        (None, []), ("", []), (tag, []), (f"// {tag} BSD-3-Clause", ["BSD-3-Clause"]), (f"{tag} MIT */", ["MIT"]), (f"<!-- {tag} CC0-1.0 -->", ["CC0-1.0"]),
+        (f"{tag} (MIT OR Apache-2.0) AND EPL-2.0\nx", ["Apache-2.0", "EPL-2.0", "MIT"]), (f"{tag}GPL-2.0-only WITH Classpath-exception-2.0 OR Zlib", ["GPL-2.0-only", "Zlib"]),
+        (f"{tag} MIT and then words", ["MIT"]), (f"{tag} MIT ANDROID", ["MIT"]), (f"see {tag} GPL-2.0+. Then {tag} MIT.", ["GPL-2.0+", "MIT"]), (f"{tag} MIT OR", ["MIT"]),
+        (f"{tag} LicenseRef-own\n{tag} MIT\n{tag}\tMIT", ["LicenseRef-own", "MIT"]), (f"{tag} -- none", []), ("SPDX MIT", []), ("word " * 50_000 + f"{tag} " + "MIT OR " * 5_000 + "ISC", ["ISC", "MIT"]),
+    ]
+    rows = [(i, t, None, None) for i, (t, _) in enumerate(cases)]
+    got = {x.doc_id: x.spdx for x in license_scan.scan(frame(spark, rows)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_further_licenses(spark):
+    """Each template is found as itself, wherever it stands in a text, with a word of it changed as well."""
+    t = license_scan.TEMPLATES
+    names = ["0bsd", "bsl-1.0", "bsl-1.0-notice", "cc0-1.0-notice", "epl-2.0-notice", "isc", "lgpl-3-notice", "unlicense-text", "zlib"]
+    rows = [(i, f"Some words before.\n{t[n]}\nand behind", None, None) for i, n in enumerate(names)] + [(100 + i, t[n].replace("software", "program", 1), None, None) for i, n in enumerate(names)]
+    got = {x.doc_id: x.license for x in license_scan.scan(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(names))] == names and [got[100 + i] for i in range(len(names))] == names
+
+
 def test_license_anchors():
     """No unit that reaches the threshold is without an anchor word: not even the part of a template without them."""
     anchors = set(license_scan._anchors(0.8, license_scan._least))
