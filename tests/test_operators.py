@@ -193,6 +193,24 @@ def rows_joined(rows, gap):
     return [(i, *x["from"], x["top"], x["s"], x["t"]) for i, x in enumerate((x for x in out if x["s"] and x["t"]), 1)]
 
 
+def test_rows_of_a_page(spark):
+    """Rows by a loop over the words in order; chains of tops closer than the tolerance, ties, and words without a place."""
+    rng = random.Random(4)
+    words = [(p, f"w{i}", rng.choice([10.0, 100.0, 240.0, 260.0, 300.0, 400.0]) + i / 1000, 1.0 * i, rng.choice([0.0, 0.5, 2.5, 3.0, 4.0]) * rng.randrange(12), 5.0) for p in range(4) for i in range(60)]
+    words += [(9, "a", 1.0, 2.0, None, 1.0), (9, "b", 2.0, 3.0, None, 7.0), (9, "c", 1.0, 2.0, 5.0, 9.0)]
+    want = {}
+    for w in sorted(words, key=lambda w: (w[0], w[4] is not None, w[4] or 0.0)):
+        first = want.setdefault(w[0], [[w[4], []]])
+        if first[-1][0] != w[4] and (first[-1][0] is None or abs(w[4] - first[-1][0]) > 3.0):
+            first.append([w[4], []])
+        first[-1][1].append(w)
+    side = lambda ws, low, high: [w for w in sorted(ws, key=lambda w: (w[2], w[4] or 0.0)) if low <= w[2] < high]
+    expected = [(p, top, max(w[5] for w in ws), *(" ".join(w[1] for w in side(ws, *b)) for b in ((0, 230), (230, 290), (290, 999))), max((w[3] for w in side(ws, 0, 230)), default=None)) for p, rows in want.items() for top, ws in rows]
+    got = layout.cluster_rows(spark.createDataFrame(words, "page int, text string, x0 double, x1 double, top double, bottom double"), tolerance=3.0)
+    got = [tuple(r) for r in got.select("page", "top", "bottom", "left_text", "marker_text", "right_text", "left_x1").collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_layout_by_states(spark):
     r = random.Random(4)
     rows = []
