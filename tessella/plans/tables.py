@@ -379,7 +379,7 @@ def _paged(spark: SparkSession, sf_dir: str, build, name: str) -> DataFrame:
 @query()
 def page_image_urls(spark, sf_dir):
     """A rough image of each page's source as a data URL."""
-    images = lambda path, pages: paged.images(spark, path, pages).select("width", "height", F.md5("url").alias("digest"))
+    images = lambda path, index: paged.images(spark, path, index).select("width", "height", F.md5("url").alias("digest"))
     return _paged(spark, sf_dir, images, "page-images")
 
 
@@ -391,11 +391,10 @@ SELECT page_id, CAST(line AS BIGINT) AS line, CAST(len(ws) AS BIGINT) AS n_words
 def text_page_lines(spark, sf_dir):
     """The words of each line of all pages' sources, from files of pages by page ranges."""
 
-    def lines(path: str, pages: str) -> DataFrame:
-        w = paged.words(spark, path, pages)
-        each = w.groupBy("path", "page", "top").agg(F.count("*").alias("n_words"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_sort(F.collect_list(F.struct(F.col("x0").alias("at"), "text"))).alias("w"))
-        ids = w.filter("top = 0").select(F.col("path").alias("_path"), F.col("page").alias("_page"), F.col("text").cast("long").alias("page_id"))
-        each = each.filter("top > 0").join(ids, (F.col("path") == F.col("_path")) & (F.col("page") == F.col("_page")))
-        return each.select("page_id", (F.col("top") / paged.LINE).cast("long").alias("line"), "n_words", "x0", "x1", F.md5(F.array_join("w.text", " ")).alias("words"))
+    def lines(path: str, index: str) -> DataFrame:
+        pages = paged.pages(spark, path, index).withColumn("page_id", F.col("lines")[0]["words"][0]["text"].cast("long"))
+        each = pages.select("page_id", F.explode("lines").alias("l")).filter("l.top > 0")
+        ends = [F.get("l.words", F.lit(0))["x0"].alias("x0"), F.element_at("l.words", -1)["x1"].alias("x1")]
+        return each.select("page_id", (F.col("l.top") / paged.LINE).cast("long").alias("line"), F.size("l.words").cast("long").alias("n_words"), *ends, F.md5(F.array_join("l.words.text", " ")).alias("words"))
 
     return _paged(spark, sf_dir, lines, "page-lines")

@@ -35,7 +35,7 @@ SPLIT_MB = 32
 CHUNK = 1 << 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMAS = {
-    "words": "path string, page long, text string, x0 double, x1 double, top double, bottom double",
+    "pages": "path string, page long, lines array<struct<top: double, words: array<struct<text: string, x0: double, x1: double>>>>",
     "images": "path string, page long, width int, height int, url string",
     "index": "path string, start long, stop long, pages long",
 }
@@ -94,10 +94,9 @@ def png(text: str, wrap: int) -> tuple[int, int, bytes]:
 
 class PagesReader(D.DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.what, self.index = options["path"], options.get("what", "words"), options.get("index")
+        self.path, self.what, self.index = options["path"], options.get("what", "pages"), options.get("index")
         self.size, self.wrap = int(float(options.get("split_mb", SPLIT_MB)) * (1 << 20)), int(options.get("wrap", 120))
         self.low, self.high = 1, NEVER
-        self.fields = [x.split() for x in SCHEMAS[self.what].split(", ")]
 
     def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:  # noqa: N802
         """Bounds on `page` are kept here; all others are left to Spark."""
@@ -143,22 +142,31 @@ class PagesReader(D.DataSourceReader):
         return [Ranges(r) for r in out] or [Ranges([])]
 
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-        columns = zip(*rows, strict=True) if rows else [[]] * len(self.fields)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, (_, t) in zip(columns, self.fields, strict=True)], [n for n, _ in self.fields])
-
-    def _rows(self, path: str, page: int, raw: bytes) -> Iterator[tuple]:
-        text = raw.decode("utf-8", "replace")
-        if self.what == "images":
-            width, height, image = png(text, self.wrap)
-            yield path, page, width, height, "data:image/png;base64," + base64.b64encode(image).decode()
-            return
-        for i, line in enumerate(text.split("\n")):
-            for m in WORD.finditer(line):
-                yield path, page, m[0], m.start() * CELL, m.end() * CELL, i * LINE, (i + 1) * LINE
+        kinds = {"images": [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string()], "index": [pa.string(), pa.int64(), pa.int64(), pa.int64()]}[self.what]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMAS[self.what].split(", ")])
+
+    def _nested(self, pages: list[tuple[str, int, str]]) -> pa.RecordBatch:
+        """A row a page: its lines with words, as arrays by offsets."""
+        texts, begins, ends, tops, words_upto, lines_upto = [], [], [], [], [0], [0]
+        for _, _, text in pages:
+            for i, line in enumerate(text.split("\n")):
+                found = [(m[0], m.start(), m.end()) for m in WORD.finditer(line)]
+                if found:
+                    for to, values in zip((texts, begins, ends), zip(*found, strict=True), strict=True):
+                        to.extend(values)
+                    tops.append(i)
+                    words_upto.append(len(texts))
+            lines_upto.append(len(tops))
+        cells = [pa.array(np.array(x, np.float64) * CELL) for x in (begins, ends)]
+        words = pa.StructArray.from_arrays([pa.array(texts, pa.string()), *cells], ["text", "x0", "x1"])
+        lines = pa.StructArray.from_arrays([pa.array(np.array(tops, np.float64) * LINE), pa.ListArray.from_arrays(pa.array(words_upto, pa.int32()), words)], ["top", "words"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[0] for p in pages]), pa.array([p[1] for p in pages], pa.int64()), pa.ListArray.from_arrays(pa.array(lines_upto, pa.int32()), lines)], ["path", "page", "lines"]
+        )
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs = FileSystem.from_uri(self.path)[0]
+        made = self._nested if self.what == "pages" else self._batch
         rows: list[tuple] = []
         weight = 0
         for path, start, stop, first in partition.ranges:
@@ -169,14 +177,21 @@ class PagesReader(D.DataSourceReader):
                 for page, raw in enumerate(pages_between(handle, start, stop), first):
                     if page > self.high:
                         break
-                    for row in self._rows(path, page, raw) if page >= self.low else ():
-                        rows.append(row)
-                        weight += len(row[4]) if self.what == "images" else 100
-                        if weight > 2 * CHUNK:
-                            yield self._batch(rows)
-                            rows, weight = [], 0
+                    if page < self.low:
+                        continue
+                    text = raw.decode("utf-8", "replace")
+                    if self.what == "images":
+                        width, height, image = png(text, self.wrap)
+                        text = "data:image/png;base64," + base64.b64encode(image).decode()
+                        rows.append((path, page, width, height, text))
+                    else:
+                        rows.append((path, page, text))
+                    weight += len(text)
+                    if weight > CHUNK:
+                        yield made(rows)
+                        rows, weight = [], 0
         if rows:
-            yield self._batch(rows)
+            yield made(rows)
 
 
 class TextPages(D.DataSource):
@@ -185,7 +200,7 @@ class TextPages(D.DataSource):
         return NAME
 
     def schema(self) -> str:
-        return SCHEMAS[self.options.get("what", "words")]
+        return SCHEMAS[self.options.get("what", "pages")]
 
     def reader(self, schema) -> PagesReader:  # noqa: ARG002
         return PagesReader(dict(self.options))
@@ -205,14 +220,20 @@ def index(spark: SparkSession, path: str, out: str, split_mb: float = SPLIT_MB)
     return out
 
 
-def words(spark: SparkSession, path: str, pages: str | None = None) -> DataFrame:
-    """(path, page, text, x0, x1, top, bottom) of all words; pages: a folder written by `index`."""
-    return _load(spark, path, "words", index=pages)
+def pages(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
+    """(path, page, lines) with the words of each line that has any in order: top, words (text, x0, x1); index: a folder written by `index`."""
+    return _load(spark, path, "pages", index=index)
 
 
-def images(spark: SparkSession, path: str, pages: str | None = None, wrap: int = 120) -> DataFrame:
+def words(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
+    """(path, page, text, x0, x1, top, bottom) of all words."""
+    lines = pages(spark, path, index).select("path", "page", F.explode("lines").alias("l")).select("path", "page", "l.top", F.explode("l.words").alias("w"))
+    return lines.select("path", "page", "w.*", "top", (F.col("top") + LINE).alias("bottom"))
+
+
+def images(spark: SparkSession, path: str, index: str | None = None, wrap: int = 120) -> DataFrame:
     """(path, page, width, height, url) of a rough image of each page as a data URL: ink as dots, no letters, as no font comes with this library."""
-    return _load(spark, path, "images", index=pages, wrap=wrap)
+    return _load(spark, path, "images", index=index, wrap=wrap)
 
 
 def write(df: DataFrame, path: str, column: str = "text") -> None:
