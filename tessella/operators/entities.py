@@ -16,7 +16,26 @@ from tessella.operators.mentions import mention_frequency, surface_frequency
 from tessella.operators.skew import lookup_hot
 from tessella.session import materialize, settle
 
-__all__ = ["find_folded", "fold", "folded", "mention_frequency", "merge_entities", "merge_ordered", "source_frequency", "surface_frequency"]
+__all__ = ["find_folded", "fold", "folded", "folded_places", "folded_spot", "mention_frequency", "merge_entities", "merge_ordered", "source_frequency", "surface_frequency"]
+
+
+def folded_places(t: str) -> tuple[str, list[int]]:
+    """A folded text, and for each of its characters the own place of the one it came from."""
+    chars, places = [], []
+    for i, c in enumerate(t):
+        for x in unicodedata.normalize("NFKD", c):
+            if not unicodedata.combining(x):
+                chars.append(x.lower()[0] if x.lower() else x)
+                places.append(i)
+    return "".join(chars).replace("—", "-").replace("–", "-"), places
+
+
+def folded_spot(t: str, places: list[int], at: int, size: int) -> tuple[int, int]:
+    """Own start and end of the folded characters from `at`, with the marks that follow."""
+    start, end = places[at], places[at + size - 1] + 1
+    while end < len(t) and unicodedata.combining(t[end]):
+        end += 1
+    return start, end
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])))
@@ -24,17 +43,10 @@ def find_folded(text: pd.Series, wanted: pd.Series) -> pd.Series:
     """Where folded names stand in a text: offsets and the text in its own spelling, through a map of folded to own places."""
 
     def one(t: str, w: str) -> list[dict]:
-        chars, places = [], []
-        for i, c in enumerate(t or ""):
-            for x in unicodedata.normalize("NFKD", c):
-                if not unicodedata.combining(x):
-                    chars.append(x.lower()[0] if x.lower() else x)
-                    places.append(i)
-        flat, key, out, at = "".join(chars).replace("—", "-").replace("–", "-"), fold(w), [], 0
+        flat, places = folded_places(t or "")
+        key, out, at = fold(w), [], 0
         while key and (at := flat.find(key, at)) >= 0:
-            start, end = places[at], places[at + len(key) - 1] + 1
-            while end < len(t) and unicodedata.combining(t[end]):
-                end += 1
+            start, end = folded_spot(t, places, at, len(key))
             out.append({"start": start, "end": end, "text": t[start:end]})
             at += 1
         return out

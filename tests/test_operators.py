@@ -120,6 +120,20 @@ def test_swaps(spark):
     assert [(x.transliteration, x.translation) for x in augment.swap_items(p2, items, F.col("definition")).collect()] == [("1 AN.NA", "two tins")]
 
 
+def test_swaps_stay_in_their_rows(spark):
+    """Texts are neither shuffled nor joined, whatever the lexicon repeats; the joined form of a large lexicon gives the same rows."""
+    pairs = spark.createDataFrame([(str(i), f"x šu {i} gu Bel šu", f"𐎀 Su, gú and BEL {i}") for i in range(30)] + [(None, "šu", "su"), ("n", None, None)], "oare_id string, transliteration string, translation string")
+    lex = spark.createDataFrame([("šu", "Su", "", "PN", 0), ("gu", None, "Gu", "PN", 1), ("gú", "GU", "", "PN", 2), ("bel", "", "Bel", "PN", 3), ("Bel", "bel", None, "PN", 4), ("šu", "Other", "", "GN", 5), ("at", " ", None, "PN", 6), ("lone", "x", "", "DN", 7), ("no", "x", "", None, 8)], "form string, norm string, lexeme string, type string, _ord int")
+    near, far = augment.swap_names(pairs, lex), augment.swap_names(pairs, lex, local=3)
+    assert sorted(near.collect(), key=str) == sorted(far.collect(), key=str) and near.count() == 91
+    items = spark.createDataFrame([("word", "KB", "silver", 0), ("word", "AN.NA", "lead", 1)], "type string, form string, definition string, _ord int").withColumn("form_original", F.col("form"))
+    swapped = augment.swap_items(spark.createDataFrame([("r", "1 KB KB", "𐎀 Silver, x")], "oare_id string, transliteration string, translation string"), items, F.col("definition"))
+    assert [x.translation for x in swapped.collect()] == ["𐎀 tin, x"] * 2
+    for made in (near, swapped):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+
+
 def test_windows(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(("a b.", "c", "d.", "e"))], "k int, o int, t string")
     got = windows.merge_islands(df, ["k"], "o", ["t"], F.endswith("t", F.lit(".")))
