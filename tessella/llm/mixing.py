@@ -8,9 +8,10 @@ with one scale such that the expected words are FRACTION of all; it is sampled w
 as a number from 0 to 1, lies below.
 
 The topic of a text is a cluster of its words. Each word of 4 letters or more votes for the topic that a table of
-SLOTS word hashes gives it, and the topic with most votes is the text's. The table comes from k-means by cosine over the
-word counts of a bounded sample (of the SAMPLE_DOCS documents with the smallest hashes of doc_id the SAMPLE_WORDS words with the smallest hashes), each language's mean taken
-off so that topics are not languages: a slot's topic is the centre with the largest part there.
+SLOTS word hashes gives it, and the topic with most votes is the text's. The table comes from all words of all rows:
+one pass sums the products of the slots' weights (logarithms of counts, of one length for each text) in whole numbers,
+so that the order of rows doesn't matter; each language's mean is taken off so that topics are not languages; and
+k-means by cosine over the main directions of that covariance deals the slots to topics.
 
 Cells are aggregated first. Up to LOCAL_CELLS of them are raked on the driver in numpy; beyond that bound, and
 by the same steps, by joins and aggregates of cell tables. Raking ends when no margin is off by more than
@@ -26,7 +27,7 @@ string functions as a whole; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 from operator import mul
 
@@ -36,11 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.regex import let
-from tessella.session import materialize, settle
+from tessella.session import materialize, settle, ship
 
 TEMPER, FRACTION, TOPICS, ROUNDS, LOCAL_CELLS, TOLERANCE = 0.7, 0.8, 8, 1000, 200_000, 1e-9
-#: The topic model: documents and words of each that it is fitted on, word hashes, rounds of k-means.
-SAMPLE_DOCS, SAMPLE_WORDS, SLOTS, STEPS = 1000, 256, 1024, 20
+#: The topic model: word hashes, rounds of k-means.
+SLOTS, STEPS = 1024, 20
+#: Length of a text's vector of whole numbers, texts multiplied at once (_LENGTH**2 * _TEXTS <= 2**24, which float32 holds), rows of a block of products,
+#: languages whose sums a task holds.
+_LENGTH, _TEXTS, _ROWS, _LANGS = 256, 256, 32, 1000
 #: A topic's mark in the string of a text's votes.
 _MARKS = "0123456789abcdefghijklmnopqrstuvwxyz"
 BISECTIONS = 100
@@ -53,44 +57,119 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
 
 
-def _hashes(text: Column) -> Column:
-    """The hashes of a text's words of 4 letters or more."""
+def _slots(text: Column) -> Column:
+    """The slots of a text's words of 4 letters or more."""
     long = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: F.length(w) >= 4)
-    return F.transform(long, lambda w: F.xxhash64(w))
-
-
-def topic_table(docs: DataFrame, topics: int = TOPICS, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[int]:
-    """The topic of each slot, -1 for slots that no topic has; fitted on a bounded sample."""
-    spread = docs.filter(F.col(doc_col).isNotNull()).select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.col(text_col).alias("text"), F.col(doc_col).alias("d"), F.xxhash64(doc_col, F.lit("topic")).alias("o"))
-    bound = spread.select("d", "o").distinct().orderBy("o", "d").limit(SAMPLE_DOCS).agg(F.max("o")).first()[0]
-    if bound is None:
+    return F.transform(long, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
+
+
+def _table(key: list[str], sums: list[np.ndarray]) -> pa.RecordBatch:
+    flat = np.concatenate([v.ravel() for v in sums]).astype(np.int64) if sums else np.zeros(0, np.int64)
+    ends = np.cumsum([0, *(v.size for v in sums)])
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["k", "v"])
+
+
+def _blocks(gram: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, SLOTS, _ROWS):
+        yield _table([f"g{i:04}"], [gram[i : i + _ROWS]])
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (lang, slots) the sums of a task: blocks of products g, rows by slot d with their number behind, and l: vectors by language with their number."""
+    gram, seen, langs = np.zeros((SLOTS, SLOTS)), np.zeros(SLOTS + 1, np.int64), {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, _TEXTS):
+            b = batch.slice(at, _TEXTS)
+            n, slots = b.num_rows, b.column(1)
+            of = np.repeat(np.arange(n), np.diff(slots.offsets.to_numpy()))
+            x = np.log1p(np.bincount(of * SLOTS + slots.flatten().to_numpy(), minlength=n * SLOTS).reshape(n, SLOTS))
+            x = np.rint(x * (_LENGTH / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)))
+            single = x.astype(np.float32)
+            gram += single.T @ single
+            seen[:-1] += (x > 0).sum(axis=0)
+            seen[-1] += n
+            names = np.array(b.column(0).to_pylist(), object)
+            for name in dict.fromkeys(names):
+                own = names == name
+                mine = langs.setdefault(name, np.zeros(SLOTS + 1, np.int64))
+                mine[:-1] += x[own].sum(axis=0).astype(np.int64)
+                mine[-1] += int(own.sum())
+            if len(langs) > _LANGS:
+                yield _table([f"l{k}" for k in langs], list(langs.values()))
+                langs.clear()
+    if seen[-1]:
+        yield from _blocks(gram)
+        yield _table(["d", *(f"l{k}" for k in langs)], [seen, *langs.values()])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of k: each key's sum; a language's becomes what its mean takes off the products, in whole numbers."""
+    key, total, less = None, None, None
+
+    def out() -> Iterator[pa.RecordBatch]:
+        nonlocal less
+        if key is not None and key[0] != "l":
+            yield _table([key], [total])
+        elif key is not None:
+            less = np.zeros((SLOTS, SLOTS)) if less is None else less
+            less -= np.rint(np.outer(total[:-1].astype(np.float64), total[:-1] / total[-1]))
+
+    for b in batches:
+        for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            own = v.values.to_numpy()
+            if k == key:
+                total = total + own
+            else:
+                yield from out()
+                key, total = k, own
+    yield from out()
+    if less is not None:
+        yield from _blocks(less)
+
+
+def topic_table(rows: DataFrame, topics: int = TOPICS) -> list[int]:
+    """The topic of each slot, -1 for slots that no topic has, from all of (lang, slots). What reaches the driver is SLOTS by SLOTS."""
+    ship(rows.sparkSession)
+    sums = rows.select("lang", "slots").mapInArrow(_products, "k string, v array<bigint>")
+    for _ in range(2):  # the second time adds what the languages' means take off
+        sums = sums.repartition("k").sortWithinPartitions("k").mapInArrow(_added, "k string, v array<bigint>")
+    got = {r.k: r.v for r in sums.collect()}
+    seen = np.array(got.pop("d", [0] * (SLOTS + 1)), np.float64)
+    if not seen[:-1].any():
         return [-1] * SLOTS
-    words = F.slice(F.array_sort(_hashes(F.col("text"))), 1, SAMPLE_WORDS)
-    rows = spread.filter(F.col("o") <= bound).dropDuplicates(["o"]).select("lang", F.transform(words, lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")).alias("slots")).collect()  # SAMPLE_DOCS rows of bounded size
-    rows = sorted((r for r in rows if r.slots), key=lambda r: (r.lang, r.slots))
-    if not rows:
+    rare = np.log((seen[-1] + 1) / (seen[:-1] + 1))
+    within = np.concatenate([np.array(got[k], np.float64).reshape(-1, SLOTS) for k in sorted(got)]) * np.outer(rare, rare)
+    values, vectors = np.linalg.eigh(within)
+    x = vectors[:, -2 * topics :] * np.sqrt(np.maximum(values[-2 * topics :], 0))
+    size = np.linalg.norm(x, axis=1)
+    of = np.full(SLOTS, -1)
+    used = (seen[:-1] > 0) & (size > 1e-6 * size.max(initial=0))
+    if not used.any():
         return [-1] * SLOTS
-    x = np.stack([np.bincount(r.slots, minlength=SLOTS) for r in rows]).astype(np.float64)
-    x = np.log1p(x) * np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1))
-    langs = np.array([r.lang for r in rows])
-    for name in np.unique(langs):
-        x[langs == name] -= x[langs == name].mean(axis=0)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    # Centres begin far apart: each at the document that is least like those before.
-    centres = [x[0]]
-    while len(centres) < min(topics, len(x)):
-        centres.append(x[int(np.argmin(np.max(x @ np.stack(centres).T, axis=1)))])
+    of[used] = _clusters(x[used] / size[used, None], size[used], topics)
+    return [int(k) for k in of]
+
+
+def _clusters(x: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
+    """K-means by cosine of unit rows. Centres begin far apart: the first at the heaviest row, each at the weighty one that is least like those before."""
+    centres = [x[int(np.argmax(weight))]]
+    while len(centres) < min(most, len(x)):
+        unlike = 1 - np.max(x @ np.stack(centres).T, axis=1)
+        centres.append(x[int(np.argmax(unlike * weight))])
     centre = np.stack(centres)
     for _ in range(STEPS):
         of = np.argmax(x @ centre.T, axis=1)
-        centre = np.stack([x[of == k].sum(axis=0) if (of == k).any() else centre[k] for k in range(len(centre))])
+        centre = np.stack([(x[of == k] * weight[of == k, None]).sum(axis=0) if (of == k).any() else centre[k] for k in range(len(centre))])
         centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-    best = centre.argmax(axis=0)
-    return [int(k) if centre[k, i] > 0 else -1 for i, k in enumerate(best)]
+    return np.argmax(x @ centre.T, axis=1)
 
 
 def topic(text: Column, table: list[int], topics: int = TOPICS) -> Column:
     """The topic with most votes of the text's words, the least among equals."""
+    return _voted(_slots(text), table, topics)
+
+
+def _voted(slots: Column, table: list[int], topics: int) -> Column:
     if topics > len(_MARKS):
         raise ValueError(f"at most {len(_MARKS)} topics")
     of = F.array(*(F.lit(_MARKS[k] if k >= 0 else "") for k in table))  # a constant, folded into one literal
@@ -100,7 +179,7 @@ def topic(text: Column, table: list[int], topics: int = TOPICS) -> Column:
         return (-F.array_max(F.array(*counts))["k"]).cast("int")
 
     # The votes are bound once; every count looks at them again.
-    return let(F.array_join(F.transform(_hashes(text), lambda h: F.get(of, F.pmod(h, F.lit(SLOTS)).cast("int"))), ""), most)
+    return let(F.array_join(F.transform(slots, lambda i: F.get(of, i)), ""), most)
 
 
 def rake(cells: np.ndarray, mass: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
@@ -229,9 +308,10 @@ def fit(cells: DataFrame, targets: Mapping[str, Mapping] | None = None, temper:
 
 def _fitted(docs: DataFrame, targets: Mapping[str, Mapping] | None, temper: float, fraction: float, topics: int, local_cells: int, doc_col: str, text_col: str) -> tuple[DataFrame, DataFrame, Column]:
     """The rows (__d, n_words and the margins), the cells with weight and prob, and the topic of a text."""
-    of = topic(F.col(text_col), topic_table(docs, topics, doc_col, text_col), topics)
-    rows = docs.select(F.col(doc_col).alias("__d"), n_words(F.col(text_col)).alias("n_words"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), of.alias("topic"))
-    rows = materialize(rows, "mix-rows")
+    slots = materialize(docs.select(F.col(doc_col).alias("__d"), n_words(F.col(text_col)).alias("n_words"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), _slots(F.col(text_col)).alias("slots")), "mix-slots")
+    table = topic_table(slots, topics)
+    of = topic(F.col(text_col), table, topics)
+    rows = materialize(slots.select("__d", "n_words", "source", "lang", _voted(F.col("slots"), table, topics).alias("topic")), "mix-rows")
     cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("n_words").alias("mass")), "mix-cells")
     return rows, fit(cells, targets, temper, fraction, local_cells), of
 

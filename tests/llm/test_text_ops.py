@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import language_id, license_scan, media, mixing, quality_rules
 
@@ -386,3 +387,17 @@ def test_raking_against_plain_python(spark, rounds):
     for few in (0, 1000):
         got = {(x.source, x.lang, x.topic): x.weight for x in mixing.fit(df, own, local_cells=few, rounds=rounds).collect()}
         assert all(abs(got[k] - want[k] / m) < 1e-5 * want[k] / m for k, m in cells.items())
+
+
+def test_topics_come_from_all_words_of_all_rows(spark):
+    """Sums in numpy over every row, however many and long; the table doesn't depend on the rows' order or partitions."""
+    r = random.Random(7)
+    rows = [(("", "en", "fr")[i % 3], [r.randrange(i % 5 * 40, mixing.SLOTS) for _ in range(r.choice((0, 3, 60, 900)))]) for i in range(1500)]
+    x = np.log1p(np.array([np.bincount(s, minlength=mixing.SLOTS) for _, s in rows]))
+    x = np.rint(256 * x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+    df = spark.createDataFrame(rows, "lang string, slots array<int>")
+    got = {k: v for k, v in df.repartition(3).mapInArrow(mixing._products, "k string, v array<bigint>").repartition("k").sortWithinPartitions("k").mapInArrow(mixing._added, "k string, v array<bigint>").filter("k = 'd'").collect()}
+    assert got["d"] == [*(x > 0).sum(axis=0).tolist(), len(rows)]
+    sums = df.repartition(4).mapInArrow(mixing._products, "k string, v array<bigint>").filter("k like 'g%'").selectExpr("k", "posexplode(v) as (i, x)").groupBy("k", "i").agg(F.sum("x").alias("x"))
+    assert [y.x for y in sums.orderBy("k", "i").collect()] == (x.T @ x).astype(int).ravel().tolist()
+    assert mixing.topic_table(df, 4) == mixing.topic_table(df.repartition(7), 4)
