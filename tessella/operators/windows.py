@@ -119,20 +119,10 @@ def trim_to_budget(hints: Column, size, base: Column, limit: int) -> Column:
 
 
 def pack_lines(text: Column, limit: int = 200) -> Column:
-    """Pieces between newlines and double blanks, words of each packed up to a length."""
-    pieces = F.filter(F.transform(F.split(text, r"\n|  "), lambda p: F.trim(p)), lambda p: p != "")
-
-    def pack(words: Column) -> Column:
-        grown = F.aggregate(
-            words,
-            F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now")),
-            lambda acc, w: F.when(acc["now"] == "", F.struct(acc["done"].alias("done"), w.alias("now")))
-            .when(F.length(acc["now"]) + 1 + F.length(w) <= limit, F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.lit(" "), w).alias("now")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), w.alias("now"))),
-        )
-        return F.when(grown["now"] == "", grown["done"]).otherwise(F.concat(grown["done"], F.array(grown["now"])))
-
-    return F.flatten(F.transform(pieces, lambda p: pack(F.filter(F.split(p, r"\s+"), lambda w: w != ""))))
+    """Pieces between newlines and double blanks, words of each packed up to a length; a longer word stands alone."""
+    pieces = F.filter(F.transform(F.split(text, r"\n|  "), lambda p: F.trim(F.regexp_replace(p, r"\s*[\t\n\x0B\f\r]\s*", " "))), lambda p: p != "")
+    packed = F.lit(rf"(?s)([^ ]{{{limit + 1},}}|.{{1,{limit}}})(?: |\z)")
+    return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= limit, F.array(p)).otherwise(F.regexp_extract_all(p, packed, F.lit(1)))))
 
 
 def splice(df: DataFrame, new: DataFrame, page: str, number: int, order: str, name: str = "n") -> DataFrame:
