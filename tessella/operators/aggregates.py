@@ -80,7 +80,10 @@ def disallowed_syllables(df: DataFrame, text: str, key: str, alphabet: str) -> D
     from tessella.functions.regex import words_ws
     from tessella.operators.filters import disallowed_characters
 
-    parts = df.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.flatten(F.transform(words_ws(F.coalesce(F.col(text), F.lit(""))), lambda w: F.split(w, "-"))))).alias("syllable"))
+    # Most words have plain letters alone: a look at each spares the rest of the work.
+    other = F.lit("[^" + "".join("\\" + c if c in "\\]-[^&" else c for c in alphabet) + "]" if alphabet else "(?s).")
+    odd = F.filter(words_ws(F.coalesce(F.col(text), F.lit(""))), lambda w: F.regexp_like(w, other))
+    parts = df.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.filter(F.flatten(F.transform(odd, lambda w: F.split(w, "-"))), lambda x: F.regexp_like(x, other)))).alias("syllable"))
     bad = parts.select("k", "syllable", disallowed_characters(F.col("syllable"), alphabet).alias("bad")).filter(F.size("bad") > 0)
     return bad.groupBy("syllable").agg(F.min("k").alias("first_key"), F.array_join(F.first("bad"), "").alias("disallowed"))
 
