@@ -106,9 +106,10 @@ def roman_months(text: Column) -> Column:
 
 def repeated_words(text: Column) -> Column:
     """Repeats of a word, then of four, three and two words, once."""
-    text = sub(text, rf"{LEFT}([{W}]+)(?:\s+\1{RIGHT})+", "$1")
+    # A word gives nothing back: what follows its parts is a letter, never a blank.
+    text = sub(text, rf"{LEFT}([{W}]++)(?:\s++\1{RIGHT})++", "$1")
     for n in (4, 3, 2):
-        text = sub(text, rf"{LEFT}((?:[{W}]+\s+){{{n - 1}}}[{W}]+)(?:\s+\1{RIGHT})+", "$1")
+        text = sub(text, rf"{LEFT}((?:[{W}]++\s++){{{n - 1}}}[{W}]++)(?:\s++\1{RIGHT})++", "$1")
     return text
 
 
@@ -199,7 +200,10 @@ def allowed_alphabet(text: Column, alphabet: str = R.SIMPLE_ALPHABET, fallback:
     one = [r for r in fallback if len(r[1]) == 1]
     text = F.translate(text, "".join(a for a, _ in one), "".join(b for _, b in one)) if one else text
     text = literals(text, tuple(r for r in fallback if len(r[1]) != 1))
-    return F.regexp_replace(text, "[^" + "".join("\\" + c if c in "\\]-[^&" else c for c in alphabet) + "]", "")
+    # Java looks through a class with letters past ASCII one by one: plain letters are told apart before it.
+    plain = "".join(f"\\x{i:02x}" for i in range(128) if chr(i) not in alphabet)
+    rest = "".join(c for c in alphabet if ord(c) > 127)
+    return F.regexp_replace(text, (f"[{plain}]|" if plain else "") + r"(?=[^\x00-\x7F])[^\x00" + rest + "]", "")
 
 
 _PUNCT = ",:.?!"
@@ -208,20 +212,18 @@ _PUNCT = ",:.?!"
 def map_words(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     """Whole tokens replaced; punctuation at a token's ends is peeled off and put back behind what comes before it."""
     table = F.create_map(*(F.lit(x) for pair in dict(rules).items() for x in pair))
-    peel = rf"^([{_PUNCT}]*)(.*?)([{_PUNCT}]*)$"
+    marks = F.lit(_PUNCT)
 
-    def one(token: Column) -> Column:
-        lead, core, trail = (F.regexp_extract(token, "(?s)" + peel, k) for k in (1, 2, 3))
-        bare = F.regexp_like(token, F.lit(rf"^[{_PUNCT}]+$"))
-        # A token of punctuation alone is all trailing.
-        return F.struct(F.when(bare, F.lit("")).otherwise(lead).alias("lead"), F.coalesce(F.try_element_at(table, core), core).alias("core"), F.when(bare, token).otherwise(trail).alias("trail"), (~bare).alias("has"))
+    # Punctuation joins the part before it, whatever part that is; a core is a part of its own. A token of punctuation alone has no core.
+    def piece(x: Column, i: Column) -> Column:
+        lead = F.substr(x["t"], F.lit(1), F.length(x["t"]) - F.length(F.ltrim(x["t"], marks)))
+        trail = F.substr(x["t"], F.length(F.rtrim(x["t"], marks)) + 1)
+        core = F.coalesce(F.try_element_at(table, x["core"]), x["core"])
+        plain = F.when(i > 0, F.concat(F.lit(" "), core)).otherwise(core)
+        marked = F.concat(lead, F.when((i > 0) | (lead != ""), F.lit(" ")).otherwise(F.lit("")), core, trail)
+        return F.when(x["core"] == x["t"], plain).when(x["core"] == "", x["t"]).otherwise(marked)
 
-    # Punctuation joins the part before it, whatever part that is; a core is a part of its own.
-    def grow(acc: Column, p: Column) -> Column:
-        blank = F.when(acc["some"] | (p["lead"] != ""), F.lit(" ")).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["s"], p["lead"], F.when(p["has"], F.concat(blank, p["core"])).otherwise(F.lit("")), p["trail"]).alias("s"), F.lit(True).alias("some"))
-
-    return F.aggregate(F.transform(words_ws(text), one), F.struct(F.lit("").alias("s"), F.lit(False).alias("some")), grow)["s"]
+    return F.array_join(F.transform(F.transform(words_ws(text), lambda t: F.struct(t.alias("t"), F.btrim(t, marks).alias("core"))), piece), "")
 
 
 def _clean_v1(text: Column, patterns: tuple, words: tuple, replaced: tuple, gone: tuple) -> Column:
@@ -357,16 +359,17 @@ def md5_index(seed: Column, n: Column) -> Column:
 
 def marker_counts(text: Column) -> Column:
     """struct(words, x, ellipsis): tokens after stripping brackets and punctuation, and how many of them mark gaps."""
-    return let(F.transform(words_ws(nonnull(text)), lambda t: F.btrim(t, F.lit(R.OUTER_STRIP))), _marker_counts)
 
+    def kind(t: Column) -> Column:
+        """0: nothing left, 1: a word, 2: dots, 3: x. The pattern is tried where dots begin."""
+        marks, inner = F.btrim(t, F.lit("*'\"")), F.btrim(t, F.lit(R.INNER_STRIP))
+        dots = (F.startswith(marks, F.lit("...")) | F.startswith(marks, F.lit("…"))) & F.regexp_like(marks, F.lit(r"^(?:\.{3,}|…+)$"))
+        return F.when(dots, 2).when((marks == "") | (inner == ""), 0).when(inner == "x", 3).otherwise(1)
 
-def _marker_counts(outer: Column) -> Column:
-    marks = F.transform(outer, lambda t: F.btrim(t, F.lit("*'\"")))
-    inner = F.transform(outer, lambda t: F.btrim(t, F.lit(R.INNER_STRIP)))
-    pairs = F.filter(F.arrays_zip(marks.alias("m"), inner.alias("t")), lambda p: p["m"] != "")
-    dots = F.filter(pairs, lambda p: F.regexp_like(p["m"], F.lit(r"^(?:\.{3,}|…+)$")))
-    plain = F.filter(pairs, lambda p: ~F.regexp_like(p["m"], F.lit(r"^(?:\.{3,}|…+)$")) & (p["t"] != ""))
-    return F.struct((F.size(dots) + F.size(plain)).alias("words"), F.size(F.filter(plain, lambda p: p["t"] == "x")).alias("x"), F.size(dots).alias("ellipsis"))
+    # Two plain letters or digits side by side outlast all stripping: most tokens are words at a look.
+    kinds = F.transform(words_ws(nonnull(text)), lambda t: F.when(F.regexp_like(t, F.lit("[A-Za-z0-9]{2}")), 1).otherwise(let(F.btrim(t, F.lit(R.OUTER_STRIP)), kind)))
+    count = lambda k, test: F.size(F.filter(k, test))
+    return let(kinds, lambda k: F.struct(count(k, lambda x: x > 0).alias("words"), count(k, lambda x: x == 3).alias("x"), count(k, lambda x: x == 2).alias("ellipsis")))
 
 
 def extract_quoted(text: Column) -> Column:

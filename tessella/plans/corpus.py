@@ -281,7 +281,7 @@ SELECT doc_id, (len(dots) + len(plain))::BIGINT AS words, len(list_filter(plain,
 def marker_counts(spark, sf_dir):
     """N52, with `the` and `of` standing for gap marks."""
     m = text.marker_counts(F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" [x] ")), F.lit(" of "), F.lit(" (...) ")))
-    return table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).select("doc_id", F.col("m.words").cast("long").alias("words"), F.col("m.x").cast("long").alias("x"), F.col("m.ellipsis").cast("long").alias("ellipsis"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", m.alias("m")).select("doc_id", F.col("m.words").cast("long").alias("words"), F.col("m.x").cast("long").alias("x"), F.col("m.ellipsis").cast("long").alias("ellipsis"))
 
 
 _TURNS_SQL = """

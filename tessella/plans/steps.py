@@ -42,7 +42,7 @@ def step(name: str, does: str, marks: Marks, change: Callable[[Column], Column],
         marked = F.coalesce("text", F.lit(""))
         for a, b in marks:
             marked = F.replace(marked, F.lit(a), F.lit(b))
-        made = table(spark, sf_dir, "documents").select("doc_id", change(marked).alias("made"))
+        made = table(spark, sf_dir, "documents", heavy=True).select("doc_id", change(marked).alias("made"))
         return made.select("doc_id", F.md5("made").alias("digest"), F.length("made").cast("long").alias("n"))
 
     run.__doc__, run.__name__ = does, name

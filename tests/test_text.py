@@ -117,3 +117,19 @@ def test_idempotent(spark):
     for f in (squeeze, text.normalize_spelling, text.unify_gaps):
         once = one(spark, f, *values)
         assert one(spark, f, *once) == once
+
+
+def test_long_texts_cost_their_length(spark):
+    """Values of the plain rules on odd tokens, and no list or text that grows word by word."""
+    from tessella.operators import windows
+
+    rules = (("a", "one"), ("bb", "two words"))
+    for source, want in ((", a", ", one"), (",a ,b. a", ", one, b. one"), ("... a!? x", "... one!? x"), ("bb, (bb) é,", "two words, (bb) é,"), ("", ""), (" \u2028 a", "one"), ("a ?! ,,", "one?!,,")):
+        assert one(spark, lambda t: text.map_words(t, rules), source)[0] == want
+    for source, want in (("aaaaaaaa bb cc", ["aaaaaaaa", "bb cc"]), ("a b\tc\x0b d  e", ["a b c", "d", "e"]), ("\t \n", []), ("𐎀𐎀 𐎀𐎀 𐎀", ["𐎀𐎀 𐎀𐎀", "𐎀"]), ("a aaaaaa b", ["a", "aaaaaa", "b"]), ("abcde fghij", ["abcde", "fghij"])):
+        assert one(spark, lambda t: windows.pack_lines(t, 5), source)[0] == want
+    m = one(spark, text.marker_counts, "*x* [..] '...' (ab) ⌈…⌉ a é x1 ,x, ()* ....")[0]
+    assert (m.words, m.x, m.ellipsis) == (9, 2, 3)
+    assert one(spark, lambda t: text.allowed_alphabet(t, "abé-]^", ()), "aàbcé]^-x𐎀\x00")[0] == "abé]^-"
+    plan = spark.range(1).selectExpr("string(id) as t").select(text.map_words(F.col("t"), rules), windows.pack_lines(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" not in plan
