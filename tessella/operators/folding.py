@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,10 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_FOREIGN = re.compile(r"[^\x00-\x7F]+")
+
+
 def fold(text: str) -> str:
     """N37 as a key: compatibility decomposition without combining marks, plain dashes, one blank, lower case."""
-    flat = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
-    return " ".join(flat.replace("—", "-").replace("–", "-").split()).lower()
+    flat = text or ""
+    if not flat.isascii():  # no mark or dash is ASCII
+        flat = _FOREIGN.sub(lambda m: "".join(c for c in m[0] if not unicodedata.combining(c)), unicodedata.normalize("NFKD", flat)).replace("—", "-").replace("–", "-")
+    return " ".join(flat.split()).lower()
 
 
 @F.pandas_udf(T.StringType())

@@ -84,9 +84,10 @@ def _first(found: list[tuple[int, int, str]], surfaces: dict[str, tuple[int, str
 
 def _surfaces(text: str, automaton: ahocorasick.Automaton | None, boundary: str) -> dict[str, tuple[int, str]]:
     """The longest own spelling of each entry that stands in the text; of ties the last in order."""
+    own = {text[start:end]: entries for start, end, entries in hits(text, automaton, boundary)}  # each name once, however often it stands there
     out: dict[str, tuple[int, str]] = {}
-    for start, end, entries in hits(text, automaton, boundary):
-        told = (end - start, text[start:end])
+    for n, entries in own.items():
+        told = (len(n), n)
         for e in entries:
             if e not in out or told > out[e]:
                 out[e] = told

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import pytest
 
@@ -111,3 +112,24 @@ def test_merged_query(spark):
     rows = [(r.p_name, [*r.p_name.split(" "), f"{r.p_brand} {r.p_size}"], [r.p_brand], [r.p_type]) for r in parts]
     got = QUERIES["merged_entities"](spark, small).collect()
     assert sorted((r.display, list(r.names), list(r.spellings), list(r.sources)) for r in got) == slow_merge(rows)
+
+
+def test_a_name_counts_once_a_text():
+    """An entry's names are compared once for each name that stands in a text, not for each place; folding gives what its definition does."""
+
+    compared = []
+
+    class Entries(tuple):
+        def __iter__(self):
+            compared.append(1)
+            return super().__iter__()
+
+    found = mentions._surfaces("the cat, the cat and the dog", mentions._automaton({"the": Entries(("a", "b")), "the cat": Entries(("b",))}), "A-Za-z")
+    assert found == {"a": (3, "the"), "b": (7, "the cat")} and len(compared) == 2
+
+    def plain(t):
+        flat = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        return " ".join(flat.replace("—", "-").replace("–", "-").split()).lower()
+
+    for t in ("", "A  b\tC\x1fd", "É–x—ﬁ ½ Ａ　ö", "ẹ́ İ ẞ", "́", "한글 Ⅷ"):
+        assert fold(t) == plain(t)
