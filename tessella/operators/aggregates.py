@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.regex import let
 from tessella.operators.ranks import nearest_ranks, percentiles
+from tessella.operators.skew import bit_filter
+from tessella.session import materialize
 
 
 def join_unique(value: str, order: str, sep: str = "\n---------\n") -> Column:
@@ -59,16 +64,6 @@ def changed_rows(df: DataFrame, before: Column, after: Column) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(~before.eqNullSafe(after)).alias("changed"))
 
 
-def _counted(items: Column) -> Column:
-    """struct(x, n) of the distinct items of an array: the places in its sorted form where a new one begins, and how far the next is."""
-
-    def of(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: (F.size(s) > 0) & ((i == 1) | (F.get(s, i - 1) != F.get(s, i - 2))))
-        return let(starts, lambda p: F.transform(p, lambda i, k: F.struct(F.get(s, i - 1).alias("x"), (F.coalesce(F.get(p, k + 1), F.size(s) + 1) - i).cast("long").alias("n"))))
-
-    return let(F.array_sort(items), of)
-
-
 def char_inventory(df: DataFrame, text: str, key: str) -> DataFrame:
     """Characters, their count, and the first row (by key) that has them."""
     chars = df.select(F.col(key).alias("k"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "")).alias("ch")).filter("ch <> ''")
@@ -109,20 +104,60 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def token_dictionary(df: DataFrame, key: str, tokens: Column, words: Column, min_rows: int = 2, k: int = 5, examples: int = 3) -> DataFrame:
-    """For each source token its rows, occurrences, commonest words of the other side and first examples."""
-    base = df.select(F.col(key).alias("key"), tokens.alias("t"), words.alias("w"))
-    each = base.select("key", F.explode("t").alias("token"))
-    per_row = each.groupBy("token", "key").agg(F.count("*").alias("n"))
+def token_dictionary(df: DataFrame, key: str, tokens: Column, words: Column | None, min_rows: int = 2, k: int = 5, examples: int = 3) -> DataFrame:
+    """For each source token its rows, occurrences, first examples and, if words are given, the commonest words of the other side. With words, a few
+    small tables are written on the way (`session.settle` deletes them)."""
+    base = df.select(F.col(key).alias("key"), tokens.alias("t"), *([words.alias("w")] if words is not None else []))
+    per_row = base.select("key", F.explode("t").alias("token")).groupBy("token", "key").agg(F.count("*").alias("n"))
     totals = per_row.groupBy("token").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_occurrences")).filter(F.col("n_rows") >= min_rows)
     # The first keys of a token are cut before they meet: no task holds all keys of a frequent one.
-    first = top_k(per_row, ["token"], [F.asc("key")], examples).groupBy("token").agg(F.array_sort(F.collect_list("key")).alias("examples"))
-    totals = totals.join(first, "token")
-    # A row's words are counted before they meet its tokens.
-    counted = base.select(F.array_distinct("t").alias("t"), _counted(F.col("w")).alias("w"))
-    pairs = counted.select(F.explode("t").alias("token"), "w").select("token", F.explode("w").alias("c")).groupBy("token", F.col("c.x").alias("word")).agg(F.sum("c.n").alias("n"))
-    best = top_k(pairs, ["token"], [F.desc("n"), F.asc("word")], k).groupBy("token").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("top"))
-    return totals.join(best.select("token", F.transform("top", lambda x: x["word"]).alias("top_words")), "token", "left")
+    first = top_k(per_row, ["token"], [F.asc("key")], examples).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("e"))
+    totals = totals.join(first, "token").select("token", "n_rows", "n_occurrences", F.col("e.key").alias("examples"))
+    if words is None:
+        return totals
+    totals = materialize(totals, "tokens")
+    return totals.join(_top_words(base, totals, k), "token", "left")
+
+
+#: Rows of a task that counts words by token; the share of all rows from which a token's are dealt over tasks; in which part of a token's rows its commonest words likely are.
+TOKEN_ROWS, HOT_SHARE, LIKELY = 200_000, 1 / 100, 10
+
+
+def _top_words(base: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """(token, top_words): the commonest k words of the rows that hold a token, ties by word.
+
+    Words go as 64-bit numbers, by a hash that gives no two words of the texts the same. A token's rows come together with their words, which are
+    counted where they are, so that pairs of token and word are never moved. Tokens with a large share of all rows, fewer than 1 / HOT_SHARE, are counted on
+    both sides of a shuffle instead."""
+    for seed in count():
+        number = lambda w: F.xxhash64(w, F.lit(seed))  # noqa: B023, E731
+        names = base.select(F.explode(F.array_distinct("w")).alias("word")).distinct().select("word", number(F.col("word")).alias("x"))
+        names = materialize(names, "words")
+        if not names.groupBy("x").count().filter("count > 1").head(1):
+            break
+    n = totals.agg(F.sum("n_rows")).first()[0] or 0
+    hot = [r["token"] for r in totals.filter(F.col("n_rows") > n * HOT_SHARE).select("token").collect()]
+    rows = base.select(F.array_distinct("t").alias("t"), F.transform("w", number).alias("w")).select(F.explode("t").alias("token"), "w")  # numbered once a row
+
+    def best(of: DataFrame, least: Column) -> DataFrame:
+        """Of the tokens of `of`, the words counted `least` times or more that may be among the k commonest: ties stay in."""
+        some = bit_filter(of.select(F.xxhash64("token").alias("h")), "h")(rows.withColumn("h", F.xxhash64("token")), "h").drop("h")
+        parts = max(rows.sparkSession.sparkContext.defaultParallelism, n // TOKEN_ROWS + 1)
+        sides = [some.filter(~F.col("token").isin(hot)).repartition(parts, "token"), *([some.filter(F.col("token").isin(hot))] if hot else [])]
+        counted = [x.join(of, "token").select("token", "n_rows", F.explode("w").alias("x")).groupBy("token", "n_rows", "x").agg(F.count("*").alias("n")).filter(least) for x in sides]
+        ranked = [c.withColumn("_rank", F.rank().over(W.partitionBy("token").orderBy(F.desc("n")))).filter(F.col("_rank") <= k) for c in counted]
+        return materialize(reduce(DataFrame.unionByName, ranked).select("token", "x", "n"), "words-of-tokens")
+
+    # Sorting all pairs would cost more than counting them: words of few of a token's rows are left out first. Tokens that then have fewer than k words are done again with all.
+    tokens = totals.select("token", "n_rows")
+    ties = best(tokens, F.col("n") * LIKELY >= F.col("n_rows"))
+    full = ties.groupBy("token").count().filter(F.col("count") >= k)
+    short = materialize(tokens.join(full, "token", "left_anti"), "short-tokens")
+    if short.head(1):
+        ties = ties.join(full, "token", "left_semi").unionByName(best(short, F.lit(True)))
+    top = top_k(ties.join(names, "x"), ["token"], [F.desc("n"), F.asc("word")], k)
+    top = top.groupBy("token").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("top"))
+    return top.select("token", F.col("top.word").alias("top_words"))
 
 
 def phrase_summary(df: DataFrame, key: str, tokens: Column, phrase: list[str], window: int = 3) -> DataFrame:
