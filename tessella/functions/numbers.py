@@ -35,13 +35,13 @@ def fractions_to_decimals(text: Column) -> Column:
         num, den = n.cast("double"), d.cast("double")
         return F.when(den == 0, whole).otherwise(general(F.round(num / F.when(den == 0, 1.0).otherwise(den), 4)))
 
-    return map_matches(text, r"(\d+)\s?/\s?(\d+)", change, (0, 1, 2))
+    return map_matches(text, r"(\d+)\s?/\s?(\d+)", change, (0, 1, 2), "/")
 
 
 def fold_additions(text: Column) -> Column:
     """`a + b` becomes the sum, four decimals at most, from left to right without overlap."""
     number = r"(\d+(?:\.\d+)?)"
-    return map_matches(text, rf"{number}\s*\+\s*{number}", lambda a, b: general(F.round(a.cast("double") + b.cast("double"), 4)), (1, 2))
+    return map_matches(text, rf"{number}\s*\+\s*{number}", lambda a, b: general(F.round(a.cast("double") + b.cast("double"), 4)), (1, 2), r"\+")
 
 
 def _near(whole: Column, part: Column, value: Column, table: tuple) -> Column:
@@ -63,7 +63,7 @@ def canonical_decimals(text: Column, table: tuple = FRACTIONS_4, floor_slack: fl
         whole = F.floor(x + floor_slack)
         return _near(whole, x - whole, x, table)
 
-    return map_matches(text, rf"(?<![{W}/])(\d+\.\d{{4,}})(?![{W}/])", change, (1,))
+    return map_matches(text, rf"(?<![{W}/])(\d+\.\d{{4,}})(?![{W}/])", change, (1,), r"\.\d{4}")
 
 
 def canonical_sums(text: Column, table: tuple = FRACTIONS_4) -> Column:
@@ -73,4 +73,4 @@ def canonical_sums(text: Column, table: tuple = FRACTIONS_4) -> Column:
         whole, part = a.cast("double"), b.cast("double")
         return _near(F.floor(whole), part, whole + part, table)
 
-    return map_matches(text, rf"(?<![{W}/])(\d+)\s*\+\s*(0\.\d{{4,}})(?![{W}/])", change, (1, 2))
+    return map_matches(text, rf"(?<![{W}/])(\d+)\s*\+\s*(0\.\d{{4,}})(?![{W}/])", change, (1, 2), r"\+\s*0\.")

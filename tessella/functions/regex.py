@@ -32,8 +32,20 @@ def removed(text: Column, tokens: tuple[str, ...]) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """White space runs of any kind as one blank, none at the ends."""
-    return F.trim(sub(text, r"\s+", " "))
+    """White space runs of any kind as one blank, none at the ends. Single blanks, which are most of them, are left as they are."""
+    return F.trim(sub(text, r"(?: \s|[^\S ])\s*+", " "))
+
+
+def holds(text: Column, characters: str) -> Column:
+    """Whether any of the characters is in the text; plain letters are told apart first where none is asked for."""
+    least = min(map(ord, characters))
+    plain = next((rf"(?=[^\x00-\x{n:02X}])" for n in (0xFF, 0x7F) if least > n), "")
+    return F.regexp_like(text, F.lit(plain + "[" + "".join(rf"\x{{{ord(c):x}}}" for c in characters) + "]"))
+
+
+def translated(text: Column, characters: str, to: str) -> Column:
+    """F.translate, which goes character by character, only for texts that hold any of the characters."""
+    return guarded(text, lambda t: holds(t, characters), lambda t: F.translate(t, characters, to))
 
 
 def words_ws(text: Column) -> Column:
@@ -56,8 +68,8 @@ def guarded(text: Column, test, change) -> Column:
     return let(text, lambda t: F.when(test(t), change(t)).otherwise(t))
 
 
-def map_matches(text: Column, pattern: str, change, groups: tuple[int, ...] = (0,)) -> Column:
-    """Each match of pattern replaced by change(its groups), in one pass from left to right.
+def map_matches(text: Column, pattern: str, change, groups: tuple[int, ...] = (0,), look: str = "") -> Column:
+    """Each match of pattern replaced by change(its groups), in one pass from left to right. look: a cheaper pattern, found in all texts that have a match.
 
     The text between matches comes from a split by the same pattern, so lookarounds see the whole text."""
     rx = F.lit("(?U)" + pattern)
@@ -68,4 +80,5 @@ def map_matches(text: Column, pattern: str, change, groups: tuple[int, ...] = (0
         # A split drops nothing with limit -1: there is one part more than there are matches.
         return F.array_join(F.zip_with(F.split(t, "(?U)" + pattern, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
-    return let(text, lambda t: F.when(F.regexp_like(t, rx), replaced(t)).otherwise(t))
+    some = lambda t: F.regexp_like(t, F.lit("(?U)" + look)) & F.regexp_like(t, rx) if look else F.regexp_like(t, rx)
+    return let(text, lambda t: F.when(some(t), replaced(t)).otherwise(t))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import numbers
 from tessella.functions import rules as R
-from tessella.functions.regex import LEFT, RIGHT, W, guarded, let, literals, removed, squeeze, sub, subs, words_ws
+from tessella.functions.regex import LEFT, RIGHT, W, guarded, let, literals, removed, squeeze, sub, subs, translated, words_ws
 
 _MARK = "\x00GAP\x00"
 
@@ -24,7 +24,7 @@ def strip_angles(text: Column, keep_big: bool = False) -> Column:
     """Without < and > but in gap tokens; a big gap becomes a gap unless kept."""
     text = F.replace(text, F.lit("<big_gap>"), F.lit("\x00BIG\x00" if keep_big else _MARK))
     text = F.replace(text, F.lit("<gap>"), F.lit(_MARK))
-    text = F.translate(text, "<>", "")
+    text = removed(text, ("<", ">"))
     text = F.replace(text, F.lit(_MARK), F.lit("<gap>"))
     return F.replace(text, F.lit("\x00BIG\x00"), F.lit("<big_gap>")) if keep_big else text
 
@@ -43,24 +43,30 @@ def diacritics(text: Column, drop_question: bool = False) -> Column:
 
 def drop_line_numbers(text: Column) -> Column:
     n = r"\d+'?"
-    return subs(text, ((rf"{R.LINE_BREAK}\s*{n}\s*-\s*{n}\s*", " "), (rf"{LEFT}{n}\s*-\s*{n}\s*", " "), (rf"{R.LINE_BREAK}\s*{n}\s*", " "), (R.LINE_BREAK, " ")))
+    # What a match begins with is looked for before what must not stand in front of it.
+    at = r"(?=[\\\r\n])"
+    text = sub(text, rf"{at}{R.LINE_BREAK}\s*{n}\s*-\s*{n}\s*", " ")
+    text = guarded(text, lambda t: F.regexp_like(t, F.lit(r"(?U)-(?=\s*\d)")), lambda t: sub(t, rf"(?=\d){LEFT}{n}\s*-\s*{n}\s*", " "))
+    return subs(text, ((rf"{at}{R.LINE_BREAK}\s*{n}\s*", " "), (at + R.LINE_BREAK, " ")))
 
 
 def determinatives(text: Column, full_width: bool = True) -> Column:
     """Up to six capitals in parentheses stand bare, up to four small letters in braces."""
-    marks = [(r"\(", r"\)")] + ([("（", "）")] if full_width else [])
-    for a, b in marks:
-        text = subs(text, ((rf"{a}([{R.UPPER}0-9]{{1,6}}){b}", "$1"), (rf"{a}([{R.LOWER}]{{1,4}}){b}", "{$1}")))
+    for a, b in ("()", "（）") if full_width else ("()",):
+        rules = ((rf"\{a}([{R.UPPER}0-9]{{1,6}})\{b}", "$1"), (rf"\{a}([{R.LOWER}]{{1,4}})\{b}", "{$1}"))
+        text = guarded(text, lambda t, a=a: F.contains(t, F.lit(a)), lambda t, rules=rules: subs(t, rules))
     return text
 
 
 def unify_gaps(text: Column, broken_line: bool = True) -> Column:
-    return sub(text, "|".join((*R.GAPS, R.GAP_BROKEN_LINE) if broken_line else R.GAPS), "<gap>", ignore_case=True)
+    ways = "|".join((*R.GAPS, R.GAP_BROKEN_LINE) if broken_line else R.GAPS)
+    # Each way begins with one of these; an x that stands for a sign, and big, with no word in front.
+    return sub(text, rf"(?-i:(?=[<.…\[(]|[xX](?![a-wyzA-WYZ])|[bB](?![a-hj-zA-HJ-Z]))(?<![a-zA-Z](?=[xXbB])))(?:{ways})", "<gap>", ignore_case=True)
 
 
 def collapse_gaps(text: Column) -> Column:
     """A cluster of gaps, hyphens around it included, as one gap between blanks."""
-    return sub(text, r"-?\s*<gap>(?:(?:\s*-\s*|\s+)+<gap>)+\s*-?", " <gap> ")
+    return guarded(text, lambda t: F.regexp_like(t, F.lit(r"(?U)<gap>[\s-]++<gap>")), lambda t: sub(t, r"-?\s*<gap>(?:[\s-]++<gap>)+\s*-?", " <gap> "))
 
 
 def collapse_gaps_simple(text: Column) -> Column:
@@ -68,15 +74,15 @@ def collapse_gaps_simple(text: Column) -> Column:
 
 
 def hyphen_spacing(text: Column) -> Column:
-    return subs(text, ((r"(?<=\S)-\s+(?=\S)", "-"), (r"(^|\s)-(?=\s|$)", "$1")))
+    return guarded(text, lambda t: F.contains(t, F.lit("-")), lambda t: subs(t, ((r"-(?<=\S-)\s+(?=\S)", "-"), (r"(^|\s)-(?=\s|$)", "$1"))))
 
 
 def characters(text: Column) -> Column:
-    return F.translate(text, R.CHARACTERS[0], R.CHARACTERS[1])
+    return translated(text, R.CHARACTERS[0], R.CHARACTERS[1])
 
 
 def fraction_signs(text: Column, skip: tuple[str, ...] = ()) -> Column:
-    return literals(text, tuple(r for r in R.FRACTION_SIGNS if r[0] not in skip))
+    return guarded(text, lambda t: F.contains(t, F.lit("0.")), lambda t: literals(t, tuple(r for r in R.FRACTION_SIGNS if r[0] not in skip)))
 
 
 def commodities(text: Column) -> Column:
@@ -90,14 +96,15 @@ def shekels(text: Column) -> Column:
 
 def grammar_notes(text: Column) -> Column:
     text = sub(text, R.GRAMMAR_NOTES, " ", True)
-    text = sub(text, rf"{LEFT}{R.GRAMMAR_WORDS}{RIGHT}\s*", " ", True)
+    text = sub(text, rf"(?=[fpsſ]){LEFT}{R.GRAMMAR_WORDS}{RIGHT}\s*", " ", True)
     return F.replace(text, F.lit("(?)"), F.lit(""))
 
 
 def stray_marks(text: Column, big_gap: bool = True) -> Column:
     keep = rf"(?!/?(?:big_gap|gap){RIGHT})" if big_gap else rf"(?!gap{RIGHT})"
-    text = subs(text, ((rf"<<[^>]*>>|<{keep}[^>]*>", ""), (rf"{LEFT}(?:\.\.+|xx+){RIGHT}", ""), (r"(?<![0-9/])\s+/\s+(?![0-9])\S+", "")))
-    return F.translate(text, "“”‘’", "\"\"''")
+    text = subs(text, ((rf"<<[^>]*>>|<{keep}[^>]*>", ""), (rf"(?=\.\.|xx){LEFT}(?:\.\.+|xx+){RIGHT}", "")))
+    text = guarded(text, lambda t: F.contains(t, F.lit("/")), lambda t: sub(t, r"(?<![0-9/])\s+/\s+(?![0-9])\S+"))
+    return translated(text, "“”‘’", "\"\"''")
 
 
 def roman_months(text: Column) -> Column:
@@ -114,7 +121,7 @@ def repeated_words(text: Column) -> Column:
 
 
 def punctuation(text: Column) -> Column:
-    return subs(text, ((r"\s+([.,:])", "$1"), (r"([.,])\1+", "$1")))
+    return subs(text, ((r"\s+([.,:])", "$1"), (r"([.,])\1++", "$1")))
 
 
 def plus_usage(text: Column) -> Column:
@@ -181,13 +188,13 @@ def normalize_target(text: Column, profile: Profile | str = V2) -> Column:
     p = PROFILES[profile] if isinstance(profile, str) else profile
     text = nonnull(text)
     text = literals(drop_line_numbers(text), R.TARGET_FIXES) if p.line_numbers else text
-    text = sub(unify_gaps(text, p.broken_line), rf"{LEFT}PN{RIGHT}", "<gap>")
+    text = sub(unify_gaps(text, p.broken_line), rf"PN(?<![{W}]PN){RIGHT}", "<gap>")
     text = _numbers(shekels(commodities(text)), p)
     text = roman_months(stray_marks(grammar_notes(text), p.big_gap))
     text = collapse_gaps(text) if p.cluster else collapse_gaps_simple(text)
     text = F.replace(text, F.lit("<gap>"), F.lit(_MARK))
-    text = F.translate(text, p.forbidden, "") if p.forbidden else text
-    text = F.translate(F.replace(text, F.lit(_MARK), F.lit(" <gap> ")), "ḫḪ", "hH")
+    text = removed(text, tuple(dict.fromkeys(p.forbidden)))
+    text = literals(F.replace(text, F.lit(_MARK), F.lit(" <gap> ")), (("ḫ", "h"), ("Ḫ", "H")))
     text = allowed_alphabet(text, p.alphabet, p.fallback) if p.alphabet else text
     text = punctuation(repeated_words(text))
     if p.removals:
@@ -198,7 +205,7 @@ def normalize_target(text: Column, profile: Profile | str = V2) -> Column:
 def allowed_alphabet(text: Column, alphabet: str = R.SIMPLE_ALPHABET, fallback: tuple[tuple[str, str], ...] = R.SIMPLE_FALLBACK) -> Column:
     """Fallback spellings first, then everything outside the alphabet goes."""
     one = [r for r in fallback if len(r[1]) == 1]
-    text = F.translate(text, "".join(a for a, _ in one), "".join(b for _, b in one)) if one else text
+    text = translated(text, "".join(a for a, _ in one), "".join(b for _, b in one)) if one else text
     text = literals(text, tuple(r for r in fallback if len(r[1]) != 1))
     # Java looks through a class with letters past ASCII one by one: plain letters are told apart before it.
     plain = "".join(f"\\x{i:02x}" for i in range(128) if chr(i) not in alphabet)

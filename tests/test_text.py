@@ -133,3 +133,19 @@ def test_long_texts_cost_their_length(spark):
     assert one(spark, lambda t: text.allowed_alphabet(t, "abé-]^", ()), "aàbcé]^-x𐎀\x00")[0] == "abé]^-"
     plan = spark.range(1).selectExpr("string(id) as t").select(text.map_words(F.col("t"), rules), windows.pack_lines(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert "aggregate(" not in plan
+
+
+def test_a_gap_before_many_blanks_ends(spark):
+    """The blanks between two gaps were split in every way before the second was missed: thirty took minutes."""
+    text_ = F.concat(F.lit("<gap>"), F.repeat(F.lit(" "), 60), F.lit("- a<gap> - <gap>  b"))
+    got = spark.range(1).select(text.collapse_gaps(text_).alias("x"), text.normalize_source(text_, "v2").alias("s")).first()
+    assert got.x == "<gap>" + " " * 60 + "- a <gap> b" and got.s == "<gap> a <gap> b"
+
+
+def test_looks_before_patterns(spark):
+    """A step that is left out at a look gives what its pattern gives."""
+    rows = [(" a  b\n\nc  d ", "a b c d"), ("a b", "a b"), (" x", "x")]
+    df = spark.createDataFrame([(t, e) for t, e in rows], "t string, e string")
+    assert [tuple(r) for r in df.select(squeeze(F.col("t")), "e").collect()] == [(e, e) for _, e in rows]
+    gaps = spark.createDataFrame([("x ax xb Xx BİG gap, abig gap (x)",)], "t string").select(text.unify_gaps(F.col("t")).alias("g")).first().g
+    assert gaps == "<gap> ax xb <gap> <gap>, abig gap <gap>"
