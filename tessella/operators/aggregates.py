@@ -160,25 +160,28 @@ def _top_words(base: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     return top.select("token", F.col("top.word").alias("top_words"))
 
 
-def phrase_summary(df: DataFrame, key: str, tokens: Column, phrase: list[str], window: int = 3) -> DataFrame:
-    """(key, positions, contexts) of the rows that hold the phrase; overlapping occurrences count each."""
+def phrase_summary(df: DataFrame, key: str, tokens: Column, phrase: list[str], window: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, positions, contexts) of the rows that hold the phrase, and their columns `keep`; overlapping occurrences count each."""
     k = len(phrase)
     query = F.array(*map(F.lit, phrase))
 
     def found_in(t: Column) -> Column:
-        spots = F.when(F.size(t) >= k, F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1))), lambda i: F.slice(t, i, k) == query)).otherwise(F.array().cast("array<int>"))
+        spots = F.when(F.size(t) >= k, F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1))), lambda i: (F.get(t, i - 1) == query[0]) & (F.slice(t, i, k) == query))).otherwise(F.array().cast("array<int>"))
         return F.transform(spots, lambda i: F.struct((i - 1).cast("long").alias("pos"), F.array_join(F.slice(t, F.greatest(i - window, F.lit(1)), F.least(i, F.lit(window + 1)) - 1 + k + window), " ").alias("context")))
 
-    found = df.select(F.col(key), let(tokens, found_in).alias("_f")).filter(F.size("_f") > 0)
-    return found.select(key, F.size("_f").cast("long").alias("n"), F.col("_f.pos").alias("positions"), F.col("_f.context").alias("contexts"))
+    found = df.select(F.col(key), *keep, let(tokens, found_in).alias("_f")).filter(F.size("_f") > 0)
+    return found.select(key, *keep, F.size("_f").cast("long").alias("n"), F.col("_f.pos").alias("positions"), F.col("_f.context").alias("contexts"))
 
 
 def phrase_report(df: DataFrame, key: str, order: str, tokens: Column, translation: str, words: Column, phrase: list[str], k: int = 10, examples: int = 5, window: int = 3, least: int = 2) -> DataFrame:
     """A13, whole: (kind, rank, item, context, n). Kinds: rows and occurrences (one row each, n their number); word, bigram and translation: the k
     commonest of the rows that hold the phrase, least times or more, ties in order of first sight; example: the first occurrences, by `order` and place, with
-    the row's key, its context and its translation. Counts and cuts combine before the shuffle; a null translation counts as an empty one."""
-    base = df.select(F.col(key).cast("string").alias("key"), F.col(order).alias("o"), tokens.alias("t"), F.trim(F.coalesce(F.col(translation), F.lit(""))).alias("x"), words.alias("w"))
-    found = base.join(phrase_summary(base, "key", F.col("t"), phrase, window), "key").select("key", "o", "x", "w", "n", "positions", "contexts")
+    the row's key, its context and its translation. Counts and cuts combine before the shuffle; a null translation counts as an empty one. Writes one table on the way (`session.settle` deletes it)."""
+    # A row takes its own columns along: no text moves. Only rows with the phrase are written, for the three uses below.
+    base = df.select("*", F.col(key).cast("string").alias("_key"), F.col(order).alias("_o"), F.trim(F.coalesce(F.col(translation), F.lit(""))).alias("_x"))
+    summed = phrase_summary(base, "_key", tokens, phrase, window, keep=("_o", "_x", *dict.fromkeys(df.columns)))
+    found = summed.select(F.col("_key").alias("key"), F.col("_o").alias("o"), F.col("_x").alias("x"), words.alias("w"), "n", "contexts")
+    found = materialize(found, "phrase-rows")
     pairs = F.when(F.size("w") > 1, F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("w", i), x))).otherwise(F.array().cast("array<string>"))
     kinds = {"word": F.col("w"), "bigram": pairs, "translation": F.array("x")}
     each = found.select("o", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), v.alias("v")) for c, v in kinds.items()))).alias("s")).select("o", "s.kind", F.posexplode("s.v").alias("i", "item"))

@@ -296,7 +296,8 @@ def phrase_report(spark, sf_dir):
     """The whole report on a phrase; a document's own content words and its language stand for its translation."""
     docs = table(spark, sf_dir, "documents", heavy=True)
     words = words_ws(F.lower(text.nonnull(F.col("text"))))
-    return aggregates.phrase_report(docs, "doc_id", "doc_id", words, "lang", filters.content_words(text.nonnull(F.col("text"))), ["of", "the"])
+    report = lambda: aggregates.phrase_report(docs, "doc_id", "doc_id", words, "lang", filters.content_words(text.nonnull(F.col("text"))), ["of", "the"])
+    return settle(spark, report, "phrase-report")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -27,3 +27,12 @@ def test_translations_against_plain_python(spark, monkeypatch, hot):
     with temporary(spark):
         got = aggregates.token_dictionary(df, "k", F.col("t"), F.col("w")).collect()
     assert {r["token"]: (r["n_rows"], r["n_occurrences"], r["examples"], r["top_words"] or []) for r in got} == expected
+
+
+def test_report_moves_no_texts(spark):
+    """Rows with the phrase keep their columns: two rows of one key are not crossed, and words are never joined back to their row."""
+    df = spark.createDataFrame([(1, "of the sea of the", "en"), (1, "sun of the", "en"), (2, "of a", "fr")], "k long, s string, l string")
+    words = F.split("s", " ")
+    report = aggregates.phrase_report(df, "k", "k", words, "l", words, ["of", "the"])
+    assert {(r["kind"], r["n"]) for r in report.collect() if r["kind"] in ("rows", "occurrences")} == {("rows", 2), ("occurrences", 3)}
+    assert "Join" not in report._jdf.queryExecution().optimizedPlan().toString()
