@@ -37,7 +37,7 @@ def find(docs: DataFrame, key: str, tokens: Column, phrases: DataFrame, phrase_t
     shapes = index.groupBy(F.col("_r.t").alias("t")).agg(F.first("_r.c").alias("c"), F.collect_set(shape).alias("shapes"))
     shapes = materialize(shapes, "phrase-shapes")  # at most longest * (longest + 1) / 2 shapes a token
 
-    at = bit_filter(shapes, "t")(_places(text, longest), "t")
+    at = _near(bit_filter(shapes, "t")(_places(text, longest), "t"), longest)
     if small:
         listed = at.join(F.broadcast(shapes.drop("c")), "t")
     else:
@@ -51,11 +51,18 @@ def find(docs: DataFrame, key: str, tokens: Column, phrases: DataFrame, phrase_t
 
 
 def _places(text: DataFrame, longest: int) -> DataFrame:
-    """(_k, pos, t, _from, _near): each token's hash with its neighbours, up to longest - 1 on both sides; long texts go by blocks, which overlap by so many."""
+    """(_k, pos, t, f, w): each token's hash, with the tokens of its block and where they begin; long texts go by blocks, which overlap by longest - 1 on both sides."""
     n, around = F.size("_t"), longest - 1
     begins = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
     low = lambda i: F.greatest(i - around, F.lit(0))
-    block = F.transform(begins, lambda b: F.struct(b.alias("b"), low(b).alias("f"), F.slice("_t", low(b) + 1, F.lit(BLOCK + 2 * around)).alias("w"), F.least(b + BLOCK, n).alias("e")))
+    block = F.transform(begins, lambda b: F.struct(b.alias("b"), low(b).alias("f"), F.slice("_t", low(b) + 1, F.least(b + BLOCK, n) - low(b) + around).alias("w"), F.least(b + BLOCK, n).alias("e")))
     blocks = text.select("_k", F.explode(block).alias("x")).select("_k", "x.*")
-    one = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.get("w", i - F.col("f"))).alias("t"), low(i).alias("_from"), F.slice("w", low(i) - F.col("f") + 1, F.lit(2 * around + 1)).alias("_near"))
-    return blocks.select("_k", F.explode(F.transform(F.sequence("b", F.col("e") - 1), one)).alias("a")).select("_k", "a.*")
+    each = blocks.select("_k", "b", "f", "w", F.posexplode(F.slice("w", F.col("b") - F.col("f") + 1, F.col("e") - F.col("b"))).alias("i", "x"))
+    return each.select("_k", (F.col("b") + F.col("i")).alias("pos"), F.xxhash64("x").alias("t"), "f", "w")
+
+
+def _near(places: DataFrame, longest: int) -> DataFrame:
+    """(_k, pos, t, _from, _near): the places left with their neighbours, up to longest - 1 on both sides; made for these alone, not for each token."""
+    around = longest - 1
+    low = F.greatest(F.col("pos") - around, F.lit(0))
+    return places.select("_k", "pos", "t", low.alias("_from"), F.slice("w", low - F.col("f") + 1, F.lit(2 * around + 1)).alias("_near"))

@@ -49,3 +49,16 @@ def test_hints_of_four_tokens(spark):
     with temporary(spark):
         got = joins.hints(docs, lexicon, "k", F.split(F.coalesce("t", F.lit("")), " "), "form", "hint")
         assert {r.k: [(h.pos, h.n, h.hint) for h in r.hints] for r in got.collect()} == {1: [(1, 4, "four")], 2: [(0, 2, "two")], 3: []}
+
+
+def test_neighbours_only_for_places_left(spark):
+    """Tokens that no phrase lists leave the scan without neighbours; those left have them across the bounds of blocks."""
+    from tessella.operators import phrases
+
+    n = phrases.BLOCK + 3
+    text = spark.createDataFrame([(1, [f"a{i}" for i in range(n)]), (2, [])], "_k long, _t array<string>")
+    places = phrases._places(text, 3)
+    assert "_near" not in places.columns and places.count() == n
+    near = {r["pos"]: (r["_from"], r["_near"]) for r in phrases._near(places.filter(f"pos in (0, {phrases.BLOCK})"), 3).collect()}
+    b = phrases.BLOCK
+    assert near == {0: (0, ["a0", "a1", "a2", "a3", "a4"]), b: (b - 2, [f"a{i}" for i in range(b - 2, n)])}
