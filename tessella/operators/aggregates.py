@@ -89,14 +89,61 @@ def pattern_inventory(df: DataFrame, columns: list[str], pattern: str) -> DataFr
     return df.select(F.explode(F.array_distinct(found)).alias("match")).distinct()
 
 
+#: Of how many of the commonest words pairs are counted first, for each pair asked for; most words that a plan holds as a set.
+PAIRED, SET_WORDS = 20, 5_000
+
+
+def _pairs(words: Column) -> Column:
+    """Adjacent words, joined by a blank; null where either is null."""
+    return let(words, lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))
+
+
+def _several(df: DataFrame, key: str) -> DataFrame | None:
+    """The keys that more than one row has, as a table of their own (`session.settle` deletes it); None where there are none."""
+    keys = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_own")).count().filter("count > 1").select("_own")
+    return materialize(keys, "repeated-keys") if keys.head(1) else None
+
+
+def _counted(df: DataFrame, key: str, terms: Column, several: DataFrame | None) -> DataFrame:
+    """(term, n, rows): how often a term is there, and at how many keys that are not null. A row's repeats are told apart where the row is,
+    so that terms are added up before anything moves; only terms of keys with several rows meet by key."""
+    own = [] if several is None else ["_own"]
+    rows = df if several is None else df.join(several, F.col(key) == F.col("_own"), "left")
+    both = let(terms, lambda t: F.struct(F.size(t).alias("k"), F.concat(t, F.array_distinct(t)).alias("t")))
+    each = rows.select(*own, F.col(key).isNotNull().alias("known"), both.alias("x")).select(*own, "known", "x.k", F.posexplode("x.t").alias("i", "term"))
+    per = each.groupBy("term", *own).agg(F.count_if(F.col("i") < F.col("k")).alias("n"), F.count_if((F.col("i") >= F.col("k")) & F.col("known")).alias("rows"))
+    return per.groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_own").isNull(), F.col("rows")).otherwise(1)).alias("rows")) if own else per
+
+
 def cooccurrence(df: DataFrame, key: str, words: Column) -> DataFrame:
-    """Counts of words and of adjacent pairs, over the words left after filtering; one pass gives both kinds, and a row's own
-    repeats are added up before anything moves."""
-    pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))
-    terms = df.select(F.col(key).alias("key"), F.explode(let(words, lambda w: F.concat(w, pairs(w)))).alias("term"))
-    per = terms.groupBy("term", "key").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    """Counts of words and of adjacent pairs, over the words left after filtering; one pass gives both kinds."""
+    counts = _counted(df, key, let(words, lambda w: F.concat(w, _pairs(w))), _several(df, key))
     # A word has no blank in it, a pair has one.
-    return per.select(F.when(F.contains("term", F.lit(" ")), "bigram").otherwise("word").alias("kind"), "term", "n", "rows")
+    return counts.select(F.when(F.contains("term", F.lit(" ")), "bigram").otherwise("word").alias("kind"), "term", "n", "rows")
+
+
+def top_cooccurrence(df: DataFrame, key: str, words: Column, k: int, least: int = 1) -> DataFrame:
+    """Of `cooccurrence` the k commonest words and pairs that are there `least` times, ties by term.
+
+    No pair is there more often than either of its words. So pairs of the commonest words are counted first, and the k-th of them tells
+    which words a pair must have to be as common; if others than those counted can be in one, pairs of all such words are counted. Words and
+    pairs are written on the way (`session.settle` deletes them)."""
+    several = _several(df, key)
+    of_words = materialize(_counted(df, key, words, several).filter(F.col("n") >= least), "word-counts")
+    most: int | None = PAIRED * k
+    while True:
+        common = None if most is None else [r["term"] for r in of_words.orderBy(F.desc("n"), "term").limit(most).select("term").collect()]
+        left = words if common is None else F.transform(words, lambda w: F.when(w.isin(common), w))  # noqa: B023
+        of_pairs = materialize(_counted(df, key, F.filter(_pairs(left), lambda p: p.isNotNull()), several).filter(F.col("n") >= least), "pair-counts")
+        if common is None:
+            break
+        last = of_pairs.orderBy(F.desc("n")).limit(k).select("n").collect()
+        able = of_words.filter(F.col("n") >= (last[-1]["n"] if len(last) == k else least)).count()
+        if able <= len(common):
+            break
+        most = able if able <= SET_WORDS else None
+    kinds = [t.select(F.lit(kind).alias("kind"), "term", "n", "rows") for kind, t in (("word", of_words), ("bigram", of_pairs))]
+    return top_k(kinds[0].unionByName(kinds[1]), ["kind"], [F.desc("n"), F.asc("term")], k)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
