@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.regex import let
+from tessella.session import ship
 
 BLEU_N, CHAR_N, WORD_N, BETA = 4, 6, 2, 2.0
 _TOKEN = ((re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "), (re.compile(r"([^0-9])([\.,])"), r"\1 \2 "), (re.compile(r"([\.,])([^0-9])"), r" \1 \2"), (re.compile(r"([0-9])(-)"), r"\1 \2 "))
@@ -277,10 +278,13 @@ def rouge2(hyp: Column, ref: Column) -> Column:
     return let(sides, score)
 
 
+def _token_set(x: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda w: w != ""))
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
     """M2: of sets of lower-case tokens, 0 to 100; 100 if both are empty."""
-    one = lambda x: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda w: w != ""))
-    counts = let(F.struct(one(a).alias("a"), one(b).alias("b")), lambda s: F.struct(F.size(F.array_union(s["a"], s["b"])).alias("union"), F.size(F.array_intersect(s["a"], s["b"])).alias("both")))
+    counts = let(F.struct(_token_set(a).alias("a"), _token_set(b).alias("b")), lambda s: F.struct(F.size(F.array_union(s["a"], s["b"])).alias("union"), F.size(F.array_intersect(s["a"], s["b"])).alias("both")))
     return let(counts, lambda c: F.when(c["union"] == 0, 100.0).otherwise(100.0 * c["both"] / c["union"]))
 
 
@@ -304,29 +308,141 @@ def scaled(value: Column, by: str) -> Column:
     return F.when(high > low, 100 * (value - low) / (high - low)).otherwise(0.0)
 
 
+def _shared(units: np.ndarray, owner: np.ndarray, pool: np.ndarray, local: np.ndarray, slot: np.ndarray, width: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order up to the longest: n-grams of each text, and at place slot[pool] + i * width[pool] + j what texts i < j of a pool share (the
+    smaller counts). units, owner: the texts' units one after another and the text of each. N-grams of a text are sorted once, whatever the
+    number of texts that they are compared with; single units are compared as they are, longer ones by hashes."""
+    bits = np.uint64(max(1, int(width.max() - 1).bit_length()))
+    first = pool[owner].astype(np.uint64) * (units.max(initial=np.uint64(0)) + np.uint64(1)) + units
+    places, keys, out = int(slot[-1] + width[-1] ** 2), first, []
+    for n in range(1, longest + 1):
+        if n > 1:
+            keys = _hashed(keys[:-1] * _STEP + first[n - 1 :])
+        of = owner[: len(keys)]
+        whole = of == owner[n - 1 :]
+        of = of[whole]
+        key = (keys[whole] << bits) | local[of].astype(np.uint64)
+        order = np.argsort(key)
+        key, text = key[order], of[order]
+        # One entry a text and n-gram; those of an n-gram stand side by side.
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])) if len(key) else np.zeros(0, np.int64)
+        many, gram, text = np.diff(np.append(start, len(key))), key[start] >> bits, text[start]
+        at, found, least = np.arange(len(start)), [], []
+        for d in range(1, int(width.max())):
+            at = at[: np.searchsorted(at, len(start) - d)]
+            at = at[(gram[at] == gram[at + d]) & (pool[text[at]] == pool[text[at + d]])]
+            if not len(at):
+                break
+            x, y = text[at], text[at + d]
+            found.append(slot[pool[x]] + local[x] * width[pool[x]] + local[y])
+            least.append(np.minimum(many[at], many[at + d]))
+        both = np.bincount(np.concatenate(found), np.concatenate(least), places) if found else np.zeros(places)
+        out.append((np.bincount(of, minlength=len(pool)).astype(np.float64), both))
+        if not len(keys):
+            keys = np.zeros(1, np.uint64)
+    return out
+
+
+def _chrf_ways(orders: list[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`chrf` of texts a against texts b and of b against a."""
+    precision, recall, used = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for total, both in orders:
+        live = (total[a] > 0) & (total[b] > 0)
+        precision += np.where(live, both[at] / np.maximum(total[a], 1), 0)
+        recall += np.where(live, both[at] / np.maximum(total[b], 1), 0)
+        used += live
+    p, r = precision / np.maximum(used, 1), recall / np.maximum(used, 1)
+    score = lambda p, r: np.where(p + r > 0, 100 * (1 + BETA**2) * p * r / np.where(p + r > 0, BETA**2 * p + r, 1), 0)
+    return score(p, r), score(r, p)
+
+
+def _bleu_way(orders: list[tuple[np.ndarray, np.ndarray]], hyp: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`bleu` of texts hyp against texts ref, with effective order."""
+    length, other = orders[0][0][hyp], orders[0][0][ref]
+    logs, smooth, used = np.zeros(len(hyp)), np.ones(len(hyp)), np.zeros(len(hyp))
+    for n, (_, both) in enumerate(orders):
+        total, match = np.maximum(length - n, 0), both[at]
+        live = total > 0
+        smooth = np.where(live & (match == 0), smooth * 2, smooth)
+        logs += np.where(live, np.log(100 * np.where(match > 0, match, 1 / smooth) / np.maximum(total, 1)), 0)
+        used += live
+    short = np.exp(np.minimum(1 - other / np.maximum(length, 1), 0))
+    return np.where((length > 0) & (orders[0][1][at] > 0), short * np.exp(logs / np.maximum(used, 1)), 0)
+
+
+def _pool_chunks(pools: list[list[tuple[str, str]]]) -> Iterator[list[list[tuple[str, str]]]]:
+    """Pools with CHUNK units of text or places of pairs, or one larger pool."""
+    chunk: list[list[tuple[str, str]]] = []
+    size = 0
+    for p in pools:
+        own = max(sum(len(t) + len(s) for t, s in p), len(p) ** 2)
+        if chunk and size + own > CHUNK:
+            yield chunk
+            chunk, size = [], 0
+        chunk.append(p)
+        size += own
+    if chunk:
+        yield chunk
+
+
+def pool_means(pools: list[list[tuple[str, str]]], w_chrf: float, w_bleu: float, w_jaccard: float) -> list[np.ndarray]:
+    """M5: for each text of each pool the mean of its weighted scores against the pool's other texts; 0 where there is none.
+    A text comes with its set of tokens, joined by blanks."""
+    out: list[np.ndarray] = []
+    for chunk in _pool_chunks(pools):
+        width = np.array([len(p) for p in chunk])
+        slot, begin = np.cumsum(width**2) - width**2, np.cumsum(width) - width
+        pool = np.repeat(np.arange(len(chunk)), width)
+        local = np.arange(len(pool)) - begin[pool]
+        texts, sets = [t for p in chunk for t, _ in p], [s for p in chunk for _, s in p]
+        shared = lambda flat, owner, longest: _shared(flat, owner, pool, local, slot, width, longest)  # noqa: B023, E731
+        listed = lambda lists, longest: shared(*_numbered(lists, {}), longest)  # noqa: B023, E731
+        place = np.arange(int(slot[-1] + width[-1] ** 2))
+        of = np.repeat(np.arange(len(chunk)), width**2)
+        i, j = np.divmod(place - slot[of], width[of])
+        at = place[i < j]
+        a, b = (begin[of] + i)[at], (begin[of] + j)[at]
+        ab, ba = np.zeros(len(at)), np.zeros(len(at))
+        if w_jaccard:
+            ((total, both),) = listed([s.split(" ") if s else [] for s in sets], 1)
+            union = total[a] + total[b] - both[at]
+            score = np.where(union > 0, 100.0 * both[at] / np.maximum(union, 1), 100.0)
+            ab, ba = ab + w_jaccard * score, ba + w_jaccard * score
+        if w_chrf:
+            x, y = _chrf_ways(shared(*_points(texts), CHAR_N) + listed([_chr_words(t) for t in texts], WORD_N), a, b, at)
+            ab, ba = ab + w_chrf * x, ba + w_chrf * y
+        if w_bleu:
+            orders = listed([tokenize_13a(t) for t in texts], BLEU_N)
+            ab, ba = ab + w_bleu * _bleu_way(orders, a, b, at), ba + w_bleu * _bleu_way(orders, b, a, at)
+        sums = np.bincount(a, ab, len(pool)) + np.bincount(b, ba, len(pool))
+        means = sums / ((w_chrf + w_bleu + w_jaccard) or 1) / np.maximum(width[pool] - 1, 1)
+        out += np.split(means, begin[1:])
+    return out
+
+
 def mbr(df: DataFrame, by: str, text: str, pos: str, w_chrf: float = 0.55, w_bleu: float = 0.25, w_jaccard: float = 0.2, w_length: float = 0.1, w_support: float = 0.0, w_priority: float = 0.0, cap: int = 32) -> DataFrame:
-    """M5, M8: the candidate most like the others. Pools are capped (T8) as the method has it, so pairs are bounded."""
+    """M5, M8: the candidate most like the others. Pools are capped (T8) as the method has it, so a pool is one row of `cap` texts at most and
+    no text is moved for each of its pairs. Scores that are equal to nine places are ties, which go to the first place."""
+    ship(df.sparkSession)
     cands = dedupe_candidates(df, by, text, pos, priority="priority" if "priority" in df.columns else None)
     cands = cands.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.desc("support"), pos))).filter(F.col("_r") <= cap)
     extra = ["priority"] if "priority" in cands.columns else []
     words = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))
     cands = cands.withColumn("_len", length_bonus(cands, by, words.cast("double")))
     cands = cands.withColumn("_bonus", w_length * F.col("_len") + w_support * scaled(F.col("support"), by) + (w_priority * scaled(F.col("priority"), by) if extra else 0.0))
-    a = cands.select(by, F.col(pos).alias("_a"), F.col(text).alias("_at"))
-    b = cands.select(by, F.col(pos).alias("_b"), F.col(text).alias("_bt"))
-    # Each pair once: the n-grams that two texts share count for both.
-    pairs = a.join(b, by).filter("_a < _b").withColumn("_j", w_jaccard * token_jaccard(F.col("_at"), F.col("_bt")))
-    total = w_chrf + w_bleu + w_jaccard
-    ab = ba = F.col("_j")
-    for weight, name, score in ((w_chrf, "_chrf", chrf_both_ways), (w_bleu, "_bleu", bleu_both_ways)):
-        if weight:
-            pairs = pairs.withColumn(name, score("_at", "_bt"))
-            ab, ba = ab + weight * F.col(f"{name}.ab"), ba + weight * F.col(f"{name}.ba")
-    sides = F.array(F.struct(F.col("_a").alias("p"), (ab / total).alias("s")), F.struct(F.col("_b").alias("p"), (ba / total).alias("s")))
-    mean = pairs.select(by, F.explode(sides).alias("_x")).groupBy(by, F.col("_x.p").alias(pos)).agg(F.avg("_x.s").alias("_mean"))
-    scored = cands.join(mean, [by, pos], "left").withColumn("score", F.coalesce("_mean", F.lit(0.0)) + F.col("_bonus"))
-    best = scored.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), pos))).filter("_k = 1")
-    return best.select(by, pos, text, "support", "score")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def means(texts: pd.Series, sets: pd.Series) -> pd.Series:
+        return pd.Series(pool_means([list(zip(t, s, strict=True)) for t, s in zip(texts, sets, strict=True)], w_chrf, w_bleu, w_jaccard), dtype=object)
+
+    entry = F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"), "support", F.col("_bonus").alias("bonus"))
+    pools = cands.groupBy(by).agg(F.collect_list(entry).alias("_p"))
+    # Rows without a pool are candidates, but none is compared with another.
+    some = lambda f: F.when(F.col(by).isNull(), F.array().cast("array<string>")).otherwise(F.transform("_p", lambda x: f(F.coalesce(x["text"], F.lit("")))))
+    scored = pools.select(by, "_p", means(some(lambda t: t), some(lambda t: F.array_join(_token_set(t), " "))).alias("_m"))
+    ranked = F.transform("_p", lambda x, i: let(F.coalesce(F.get("_m", i), F.lit(0.0)) + x["bonus"], lambda s: F.struct((-F.round(s, 9)).alias("order"), x["pos"].alias("pos"), x["text"].alias("text"), x["support"].alias("support"), s.alias("score"))))
+    best = scored.select(by, F.array_min(ranked).alias("_x"))
+    return best.select(by, F.col("_x.pos").alias(pos), F.col("_x.text").alias(text), F.col("_x.support").alias("support"), F.col("_x.score").alias("score"))
 
 
 def diverse_subset(texts: Column, k: int) -> Column:

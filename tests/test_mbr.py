@@ -40,3 +40,32 @@ def test_choice(spark):
         best[k] = max(best.get(k, -1), sum(score(t, u) for u in others) / len(others))
     got = {r.k: r.score for r in scoring.mbr(df, "k", "t", "pos", w_length=0.0).select("k", F.col("score")).collect()}
     assert got.keys() == best.keys() and all(abs(got[k] - best[k]) < 1e-9 for k in best)
+
+
+def test_pools_against_loop(monkeypatch):
+    """Means of pools of any size, taken together or each for itself, are those of a loop over ordered pairs."""
+    r = random.Random(3)
+    pools = [[r.choice(texts(40, 4)) for _ in range(n)] for n in (0, 1, 2, 5, 33, 1, 9)]
+    sets = lambda t: dict.fromkeys(t.lower().split())
+
+    def score(a, b):
+        x, y = set(sets(a)), set(sets(b))
+        j = 100.0 * len(x & y) / len(x | y) if x | y else 100.0
+        return (0.5 * scoring.chrf(scoring.chrf_statistics(a, b)) + 0.3 * scoring.bleu(scoring.bleu_statistics(a, b), True) + 0.4 * j) / 1.2
+
+    for chunk in (400_000, 300, 1):
+        monkeypatch.setattr(scoring, "CHUNK", chunk)
+        got = scoring.pool_means([[(t, " ".join(sets(t))) for t in p] for p in pools], 0.5, 0.3, 0.4)
+        assert [len(g) for g in got] == [len(p) for p in pools]
+        for p, g in zip(pools, got, strict=True):
+            for i, t in enumerate(p):
+                assert abs(g[i] - sum(score(t, u) for j, u in enumerate(p) if j != i) / max(1, len(p) - 1)) < 1e-9
+
+
+def test_texts_move_once(spark):
+    """No text is joined with the others of its pool; rows without a pool are not compared; equal scores go to the first place."""
+    df = spark.createDataFrame([(1, 0, "a b"), (1, 1, "b a"), (2, 5, None), (None, 0, "x"), (None, 1, "y z")], "k int, pos int, t string")
+    out = scoring.mbr(df, "k", "t", "pos", w_length=0.0)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: (r.pos, r.t, r.support, r.score) for r in out.collect()}
+    assert got.keys() == {1, 2, None} and got[1][0] == 0 and got[1][3] > 20 and got[2] == (5, None, 1, 0.0) and got[None] == (0, "x", 1, 0.0)
