@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.regex import W, let, map_matches
+from tessella.functions.regex import NO_DIGITS, PAIR, W, let, map_matches, past_ascii
 from tessella.functions.rules import FRACTION_TOLERANCE, FRACTIONS_4
 
 
+#: Decimal digits of all scripts but ASCII's, with their values.
+_DIGITS = [(chr(i), str(unicodedata.decimal(chr(i)))) for i in range(128, sys.maxunicode + 1) if unicodedata.decimal(chr(i), None) is not None]
+
+
+def _value(digits: Column) -> Column:
+    """A number in digits of any script."""
+    plain = F.translate(digits, "".join(d for d, _ in _DIGITS), "".join(v for _, v in _DIGITS))
+    return F.when(past_ascii(digits), plain).otherwise(digits).cast("double")
+
+
 def _trimmed(text: Column) -> Column:
     """Without trailing zeros of a decimal and then its point."""
     return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
@@ -32,7 +45,7 @@ def fractions_to_decimals(text: Column) -> Column:
     """`3 / 4` becomes 0.75, four decimals at most; a denominator of 0 leaves the text."""
 
     def change(whole: Column, n: Column, d: Column) -> Column:
-        num, den = n.cast("double"), d.cast("double")
+        num, den = _value(n), _value(d)
         return F.when(den == 0, whole).otherwise(general(F.round(num / F.when(den == 0, 1.0).otherwise(den), 4)))
 
     return map_matches(text, r"(\d+)\s?/\s?(\d+)", change, (0, 1, 2), "/")
@@ -41,7 +54,7 @@ def fractions_to_decimals(text: Column) -> Column:
 def fold_additions(text: Column) -> Column:
     """`a + b` becomes the sum, four decimals at most, from left to right without overlap."""
     number = r"(\d+(?:\.\d+)?)"
-    return map_matches(text, rf"{number}\s*\+\s*{number}", lambda a, b: general(F.round(a.cast("double") + b.cast("double"), 4)), (1, 2), r"\+")
+    return map_matches(text, rf"{number}\s*\+\s*{number}", lambda a, b: general(F.round(_value(a) + _value(b), 4)), (1, 2), r"\+")
 
 
 def _near(whole: Column, part: Column, value: Column, table: tuple) -> Column:
@@ -59,18 +72,18 @@ def canonical_decimals(text: Column, table: tuple = FRACTIONS_4, floor_slack: fl
     """Decimals of four places or more in the spelling of the nearest known fraction."""
 
     def change(m: Column) -> Column:
-        x = m.cast("double")
+        x = _value(m)
         whole = F.floor(x + floor_slack)
         return _near(whole, x - whole, x, table)
 
-    return map_matches(text, rf"(?<![{W}/])(\d+\.\d{{4,}})(?![{W}/])", change, (1,), r"\.\d{4}")
+    return map_matches(text, rf"(?<![{W}{PAIR}/])(\d+\.\d{{4,}})(?![{W}/])", change, (1,), rf"\.[^{NO_DIGITS}]{{4}}")
 
 
 def canonical_sums(text: Column, table: tuple = FRACTIONS_4) -> Column:
     """`3 + 0.3333` as 3.3333."""
 
     def change(a: Column, b: Column) -> Column:
-        whole, part = a.cast("double"), b.cast("double")
+        whole, part = _value(a), _value(b)
         return _near(F.floor(whole), part, whole + part, table)
 
-    return map_matches(text, rf"(?<![{W}/])(\d+)\s*\+\s*(0\.\d{{4,}})(?![{W}/])", change, (1, 2), r"\+\s*0\.")
+    return map_matches(text, rf"(?<![{W}{PAIR}/])(\d+)\s*\+\s*(0\.\d{{4,}})(?![{W}/])", change, (1, 2), r"\+\s*0\.")

@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 #: What a word character is: letters, numbers of any kind and the underscore.
 W = r"\p{L}\p{N}_"
+#: A letter beyond 16 bits. Java looks back by characters only for a class that names one, else by halves of such letters.
+PAIR = "\U00012000"
 #: Word bounds on either side, for use around a token.
-LEFT, RIGHT = rf"(?<![{W}])", rf"(?![{W}])"
+LEFT, RIGHT = rf"(?<![{W}{PAIR}])", rf"(?![{W}])"
+#: Characters of patterns one by one: Java looks such a class up, but tries ranges one after the other.
+LETTERS = "".join(chr(i) for i in range(128) if chr(i).isalpha())
+BREAKS = "".join(rf"\x{i:02x}" for i in range(128) if not (chr(i).isalnum() or chr(i) == "_"))
+NO_DIGITS = "".join(rf"\x{i:02x}" for i in range(128) if not chr(i).isdigit())
+#: A character past ASCII of a class: [[^\x00-\x7F]&&[class]]. Plain letters are told apart first.
+PAST_ASCII = r"[^\x00-\x7F]"
 
 
 def sub(text: Column, pattern: str, to: str = "", ignore_case: bool = False) -> Column:
@@ -32,15 +40,39 @@ def removed(text: Column, tokens: tuple[str, ...]) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """White space runs of any kind as one blank, none at the ends. Single blanks, which are most of them, are left as they are."""
-    return F.trim(sub(text, r"(?: \s|[^\S ])\s*+", " "))
+    """White space runs of any kind as one blank, none at the ends. Line feeds become blanks without a pattern; single blanks, which most then are, are left as they are."""
+    runs = lambda t: F.contains(t, F.lit("  ")) | F.regexp_like(t, F.lit(r"(?U)[\s&&[^ ]]"))
+    return F.trim(guarded(F.replace(text, F.lit("\n"), F.lit(" ")), runs, lambda t: sub(t, r"(?: \s|[^\S ])\s*+", " ")))
+
+
+def past_ascii(text: Column) -> Column:
+    """Whether there is any character past ASCII."""
+    return F.octet_length(text) > F.length(text)
+
+
+def contains_any(text: Column, *parts: str) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
+
+
+def one_of(characters: str) -> str:
+    """A class of these characters, for a pattern."""
+    return "[" + "".join(rf"\x{{{ord(c):x}}}" for c in characters) + "]"
 
 
 def holds(text: Column, characters: str) -> Column:
-    """Whether any of the characters is in the text; plain letters are told apart first where none is asked for."""
-    least = min(map(ord, characters))
-    plain = next((rf"(?=[^\x00-\x{n:02X}])" for n in (0xFF, 0x7F) if least > n), "")
-    return F.regexp_like(text, F.lit(plain + "[" + "".join(rf"\x{{{ord(c):x}}}" for c in characters) + "]"))
+    """Whether any of the characters is in the text."""
+    plain, rest = [c for c in characters if ord(c) < 128], "".join(c for c in characters if ord(c) > 127)
+    looks = [F.contains(text, F.lit(c)) for c in plain]
+    if rest:
+        looks.append(past_ascii(text) & F.regexp_like(text, F.lit(f"[{PAST_ASCII}&&{one_of(rest)}]")))
+    return reduce(lambda a, b: a | b, looks)
+
+
+def dropped(text: Column, characters: str) -> Column:
+    """Without any of these characters."""
+    plain, rest = "".join(c for c in characters if ord(c) < 128), "".join(c for c in characters if ord(c) > 127)
+    text = F.regexp_replace(text, one_of(plain), "") if plain else text
+    return guarded(text, past_ascii, lambda t: F.regexp_replace(t, f"[{PAST_ASCII}&&{one_of(rest)}]", "")) if rest else text
 
 
 def translated(text: Column, characters: str, to: str) -> Column:

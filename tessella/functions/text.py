@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import numbers
 from tessella.functions import rules as R
-from tessella.functions.regex import LEFT, RIGHT, W, guarded, let, literals, removed, squeeze, sub, subs, translated, words_ws
+from tessella.functions.regex import BREAKS, LEFT, LETTERS, NO_DIGITS, PAIR, PAST_ASCII, RIGHT, W, contains_any, dropped, guarded, holds, let, literals, one_of, past_ascii, removed, squeeze, sub, subs, translated, words_ws
 
 _MARK = "\x00GAP\x00"
 
@@ -33,12 +33,16 @@ def hyphenate_gaps(text: Column) -> Column:
     return subs(text, ((r"(?<=[^\s-])<gap>", "-<gap>"), (r"<gap>(?=[^\s-])", "<gap>-")))
 
 
+def _some_accents(text: Column) -> Column:
+    return contains_any(text, *"2₂3₃") & F.regexp_like(text, F.lit(f"[{R.VOWELS[0]}][2₂3₃]"))
+
+
 def diacritics(text: Column, drop_question: bool = False) -> Column:
     """sz, s, and t, as š, ṣ, ṭ; a vowel before 2 or 3 with its accent."""
     text = literals(text, R.SIBILANTS)
     text = F.replace(text, F.lit("?"), F.lit("")) if drop_question else text
     rules = tuple((f"{v}[{digit}]", a) for digit, accented in (("2₂", R.VOWELS[1]), ("3₃", R.VOWELS[2])) for v, a in zip(R.VOWELS[0], accented, strict=True))
-    return guarded(text, lambda t: F.regexp_like(t, F.lit(f"[{R.VOWELS[0]}][2₂3₃]")), lambda t: subs(t, rules))
+    return guarded(text, _some_accents, lambda t: subs(t, rules))
 
 
 def drop_line_numbers(text: Column) -> Column:
@@ -58,10 +62,25 @@ def determinatives(text: Column, full_width: bool = True) -> Column:
     return text
 
 
+def _but(most: str) -> str:
+    """The plain letters without some."""
+    return "".join(c for c in LETTERS if c not in most)
+
+
+#: Looks for what steps begin with, behind a character that stands alone as it is rare: an x for a sign or big, a word of grammar, a month, and a decimal.
+_NO_LETTER = rf"(?<![{LETTERS}].)"
+_SIGN = rf"(?![{_but('xXbBiI')}]|[iI][{_but('gG')}])"
+_GRAMMAR = rf"(?Ui:em|ing|l(?:ural)?)\.?(?![{LETTERS}])"
+_DECIMAL = rf"[^{NO_DIGITS}]{{4}}"
+_GAP_MARKS = ("<", "[", "(", "…", "...")
+
+
 def unify_gaps(text: Column, broken_line: bool = True) -> Column:
     ways = "|".join((*R.GAPS, R.GAP_BROKEN_LINE) if broken_line else R.GAPS)
     # Each way begins with one of these; an x that stands for a sign, and big, with no word in front.
-    return sub(text, rf"(?-i:(?=[<.…\[(]|[xX](?![a-wyzA-WYZ])|[bB](?![a-hj-zA-HJ-Z]))(?<![a-zA-Z](?=[xXbB])))(?:{ways})", "<gap>", ignore_case=True)
+    some = lambda t: contains_any(t, *_GAP_MARKS) | F.regexp_like(t, F.lit(rf"[xXbB]{_NO_LETTER}{_SIGN}"))
+    pattern = rf"(?-i:(?=[<.…\[(]|[xX](?![a-wyzA-WYZ])|[bB](?![a-hj-zA-HJ-Z]))(?<![a-zA-Z](?=[xXbB])))(?:{ways})"
+    return guarded(text, some, lambda t: sub(t, pattern, "<gap>", ignore_case=True))
 
 
 def collapse_gaps(text: Column) -> Column:
@@ -70,7 +89,7 @@ def collapse_gaps(text: Column) -> Column:
 
 
 def collapse_gaps_simple(text: Column) -> Column:
-    return sub(text, r"(?:<gap>\s*){2,}", "<gap>")
+    return guarded(text, lambda t: F.contains(t, F.lit("<gap>")), lambda t: sub(t, r"(?:<gap>\s*){2,}", "<gap>"))
 
 
 def hyphen_spacing(text: Column) -> Column:
@@ -91,44 +110,57 @@ def commodities(text: Column) -> Column:
 
 
 def shekels(text: Column) -> Column:
-    return guarded(text, lambda t: F.regexp_like(t, F.lit(r"(?U)/\s*12")), lambda t: subs(t, R.SHEKELS, True))
+    return guarded(text, lambda t: F.contains(t, F.lit("/")) & F.regexp_like(t, F.lit(r"(?U)/\s*12")), lambda t: subs(t, R.SHEKELS, True))
 
 
 def grammar_notes(text: Column) -> Column:
-    text = sub(text, R.GRAMMAR_NOTES, " ", True)
-    text = sub(text, rf"(?=[fpsſ]){LEFT}{R.GRAMMAR_WORDS}{RIGHT}\s*", " ", True)
+    text = guarded(text, lambda t: F.contains(t, F.lit("(")), lambda t: sub(t, R.GRAMMAR_NOTES, " ", True))
+    text = guarded(text, lambda t: F.regexp_like(t, F.lit(rf"[fFpPsSſ]{_NO_LETTER}{_GRAMMAR}")), lambda t: sub(t, rf"(?=[fpsſ]){LEFT}{R.GRAMMAR_WORDS}{RIGHT}\s*", " ", True))
     return F.replace(text, F.lit("(?)"), F.lit(""))
 
 
 def stray_marks(text: Column, big_gap: bool = True) -> Column:
     keep = rf"(?!/?(?:big_gap|gap){RIGHT})" if big_gap else rf"(?!gap{RIGHT})"
-    text = subs(text, ((rf"<<[^>]*>>|<{keep}[^>]*>", ""), (rf"(?=\.\.|xx){LEFT}(?:\.\.+|xx+){RIGHT}", "")))
+    text = guarded(text, lambda t: F.contains(t, F.lit("<")), lambda t: sub(t, rf"<<[^>]*>>|<{keep}[^>]*>"))
+    text = guarded(text, lambda t: contains_any(t, "..", "xx"), lambda t: sub(t, rf"(?=\.\.|xx){LEFT}(?:\.\.+|xx+){RIGHT}"))
     text = guarded(text, lambda t: F.contains(t, F.lit("/")), lambda t: sub(t, r"(?<![0-9/])\s+/\s+(?![0-9])\S+"))
     return translated(text, "“”‘’", "\"\"''")
 
 
 def roman_months(text: Column) -> Column:
-    return guarded(text, lambda t: F.regexp_like(t, F.lit("(?Ui)month")), lambda t: subs(t, tuple((rf"{LEFT}Month\s+{r}{RIGHT}", f"Month {n}") for r, n in R.ROMAN), True))
+    return guarded(text, lambda t: F.regexp_like(t, F.lit("[mM][oO][nN][tT][hH]")), lambda t: subs(t, tuple((rf"{LEFT}Month\s+{r}{RIGHT}", f"Month {n}") for r, n in R.ROMAN), True))
+
+
+def _repeats(text: Column, word: str, apart: str, blank: str) -> Column:
+    """Repeats of a word, then of four, three and two words, once, by the classes of characters in words, in none, and between them. The text begins with a blank."""
+    # A word gives nothing back: what follows its parts is a letter, never a blank.
+    w, s, end = f"{word}++", f"{blank}++", f"(?!{word})"
+    once = lambda t, run: F.regexp_replace(t, rf"(?<={apart})({run})(?:{s}\1{end})++", "$1")
+    # Of a repeat of two to four words the first two stand again, two to four words on.
+    again = rf"\1{s}\2{end}"
+    some = f"{apart}({w}){s}({w}){s}(?:{again}|{w}{s}(?:{again}|{w}{s}{again}))"
+    return guarded(once(text, w), lambda t: F.regexp_like(t, F.lit(some)), lambda t: reduce(lambda c, n: once(c, f"{(w + s) * (n - 1)}{w}"), (4, 3, 2), t))
 
 
 def repeated_words(text: Column) -> Column:
     """Repeats of a word, then of four, three and two words, once."""
-    # A word gives nothing back: what follows its parts is a letter, never a blank.
-    text = sub(text, rf"{LEFT}([{W}]++)(?:\s++\1{RIGHT})++", "$1")
-    for n in (4, 3, 2):
-        text = sub(text, rf"{LEFT}((?:[{W}]++\s++){{{n - 1}}}[{W}]++)(?:\s++\1{RIGHT})++", "$1")
-    return text
+    plain = lambda t: ~past_ascii(t) | ~F.regexp_like(t, F.lit(rf"[{PAST_ASCII}&&[^\p{{L}}\p{{N}}]]"))
+    # Where all characters past ASCII are letters or numbers, a word is what ASCII's other characters leave.
+    either = lambda t: F.when(plain(t), _repeats(t, f"[^{BREAKS}]", f"[{BREAKS}]", r"[ \t\n\x0b\f\r]")).otherwise(_repeats(t, f"[{W}]", f"[^{W}{PAIR}]", r"\p{IsWhite_Space}"))
+    return F.substr(let(F.concat(F.lit(" "), text), either), F.lit(2))
 
 
 def punctuation(text: Column) -> Column:
-    return subs(text, ((r"\s+([.,:])", "$1"), (r"([.,])\1++", "$1")))
+    some = lambda t: F.regexp_like(t, F.lit(r"(?U)[.,:](?<=[\s.,].)"))
+    return guarded(text, some, lambda t: subs(t, ((r"\s+([.,:])", "$1"), (r"([.,])\1++", "$1"))))
 
 
 def plus_usage(text: Column) -> Column:
     """Blanks around a numeric + go; other + become a hyphen between characters or go."""
     n = R.NUMERIC_PLUS
     token = rf"[{n}]+(?:\.[0-9]+)?"
-    return subs(text, ((rf"({token})\s*\+\s*({token})", "$1+$2"), (r"-\s*\++", "-"), (r"\++\s*-", "-"), (rf"(?<=[^\s{n}])\+(?=[^\s{n}])", "-"), (rf"(?<![{n}])\+|\+(?![{n}])", "")))
+    rules = ((rf"({token})\s*\+\s*({token})", "$1+$2"), (r"-\s*\++", "-"), (r"\++\s*-", "-"), (rf"(?<=[^\s{n}])\+(?=[^\s{n}])", "-"), (rf"(?<![{n}])\+|\+(?![{n}])", ""))
+    return guarded(text, lambda t: F.contains(t, F.lit("+")), lambda t: subs(t, rules))
 
 
 # --- profiles ---------------------------------------------------------------------------------------------
@@ -169,13 +201,16 @@ def _numbers(text: Column, p: Profile) -> Column:
     return text
 
 
-def normalize_source(text: Column, profile: Profile | str = V2) -> Column:
-    p = PROFILES[profile] if isinstance(profile, str) else profile
-    text = nonnull(text)
+def _source_head(text: Column, p: Profile) -> Column:
+    """The steps up to the numbers."""
     text = drop_line_numbers(text) if p.line_numbers else text
     text = determinatives(diacritics(text, p.drop_question), p.full_width)
     text = F.replace(characters(unify_gaps(text, p.broken_line)), F.lit("ₓ"), F.lit(""))
-    text = _numbers(F.replace(text, F.lit("KÙ.B."), F.lit("KÙ.BABBAR")), p)
+    return F.replace(text, F.lit("KÙ.B."), F.lit("KÙ.BABBAR"))
+
+
+def _source_tail(text: Column, p: Profile) -> Column:
+    """The steps behind the numbers."""
     text = F.replace(text, F.lit(","), F.lit("")) if p.drop_comma else text
     text = plus_usage(text) if p.plus_policy else text
     if p.removals:
@@ -184,33 +219,103 @@ def normalize_source(text: Column, profile: Profile | str = V2) -> Column:
     return squeeze(text)
 
 
-def normalize_target(text: Column, profile: Profile | str = V2) -> Column:
+def normalize_source(text: Column, profile: Profile | str = V2) -> Column:
     p = PROFILES[profile] if isinstance(profile, str) else profile
-    text = nonnull(text)
+    return _source_tail(_numbers(_source_head(nonnull(text), p), p), p)
+
+
+def _target_head(text: Column, p: Profile) -> Column:
+    """The steps up to the numbers."""
     text = literals(drop_line_numbers(text), R.TARGET_FIXES) if p.line_numbers else text
-    text = sub(unify_gaps(text, p.broken_line), rf"PN(?<![{W}]PN){RIGHT}", "<gap>")
-    text = _numbers(shekels(commodities(text)), p)
+    text = guarded(unify_gaps(text, p.broken_line), lambda t: F.contains(t, F.lit("PN")), lambda t: sub(t, rf"PN(?<![{W}{PAIR}]PN){RIGHT}", "<gap>"))
+    return shekels(commodities(text))
+
+
+def _target_notes(text: Column, p: Profile) -> Column:
+    """The steps from the numbers to the forbidden characters; gaps are marks then."""
     text = roman_months(stray_marks(grammar_notes(text), p.big_gap))
     text = collapse_gaps(text) if p.cluster else collapse_gaps_simple(text)
-    text = F.replace(text, F.lit("<gap>"), F.lit(_MARK))
-    text = removed(text, tuple(dict.fromkeys(p.forbidden)))
-    text = literals(F.replace(text, F.lit(_MARK), F.lit(" <gap> ")), (("ḫ", "h"), ("Ḫ", "H")))
+    return F.replace(text, F.lit("<gap>"), F.lit(_MARK))
+
+
+def _target_words(text: Column, p: Profile) -> Column:
+    """The forbidden characters and the steps behind them, up to repeated words."""
+    text = dropped(text, "".join(dict.fromkeys(p.forbidden)))
+    text = guarded(F.replace(text, F.lit(_MARK), F.lit(" <gap> ")), past_ascii, lambda t: literals(t, (("ḫ", "h"), ("Ḫ", "H"))))
     text = allowed_alphabet(text, p.alphabet, p.fallback) if p.alphabet else text
-    text = punctuation(repeated_words(text))
+    return repeated_words(text)
+
+
+def _target_tail(text: Column, p: Profile) -> Column:
+    """The steps behind repeated words."""
+    text = punctuation(text)
     if p.removals:
         text = hyphen_spacing(collapse_gaps(strip_angles(text)))
     return squeeze(text)
 
 
+def normalize_target(text: Column, profile: Profile | str = V2) -> Column:
+    p = PROFILES[profile] if isinstance(profile, str) else profile
+    return _target_tail(_target_words(_target_notes(_numbers(_target_head(nonnull(text), p), p), p), p), p)
+
+
+def _source_some(text: Column) -> Column:
+    """Whether any step of inference up to the numbers, sibilants apart, finds something in a source: all their looks in few."""
+    return contains_any(text, *_GAP_MARKS, "ₓ", "KÙ.B.", "0.") | _some_accents(text) | holds(text, R.CHARACTERS[0]) | F.regexp_like(text, F.lit(rf"[.xXbB](?:(?<=\.){_DECIMAL}|(?<!\.){_NO_LETTER}{_SIGN})"))
+
+
+def _target_some(text: Column) -> Column:
+    """Whether any step of inference up to the forbidden characters finds something in a target: all their looks in few."""
+    own = rf"(?<=[xXbB]){_SIGN}|(?<=[fFpPsSſ]){_GRAMMAR}|(?<=[mM])[oO][nN][tT][hH]"
+    look = F.regexp_like(text, F.lit(rf"[.xXbBfFpPsSſmM](?:(?<=\.){_DECIMAL}|(?<!\.){_NO_LETTER}(?:{own}))"))
+    return contains_any(text, *_GAP_MARKS, "..", "xx", "PN", "/", "0.", *(f"-{k}" for k, _ in R.COMMODITIES)) | holds(text, "“”‘’") | look
+
+
+def _plain_lines(text: Column) -> Column:
+    """Whether line feeds, each behind a mark, are all that the alphabet takes from a text that no profile changes else. No repeat goes over a mark, so they may go before or behind repeats."""
+    kept = [c for c in SIMPLE.alphabet if ord(c) < 128 and c not in BEST.forbidden]
+    marks = one_of("".join(c for c in kept if not (c.isalnum() or c in "_ ")))
+    return ~past_ascii(text) & ~F.regexp_like(text, F.lit(f"[^{one_of(''.join(kept))[1:-1]}](?<!{marks}\n)"))
+
+
+def inference(text: Column) -> Column:
+    """struct of source and target in the three profiles of inference, as `normalize_source` and `normalize_target` give them. What the profiles share is done
+    once: their steps are the same up to the numbers, where one leaves two signs as decimals, and behind them but for what is said below. A text in which no step
+    finds anything goes past them."""
+
+    def forms(head: Column, behind) -> Column:
+        """A text behind the numbers: as two of the profiles have it, and as the third."""
+        first = behind(_numbers(head, INFER), INFER)
+        return let(first, lambda n: F.struct(n.alias("n"), F.when(contains_any(head, *SIMPLE.skip_signs), behind(_numbers(head, SIMPLE), SIMPLE)).otherwise(n).alias("simple")))
+
+    def sources(f: Column) -> Column:
+        tail = lambda infer: F.struct(infer.alias("infer"), F.when(f["simple"] == f["n"], infer).otherwise(_source_tail(f["simple"], SIMPLE)).alias("simple"), _source_tail(f["n"], BEST).alias("best"))
+        return let(_source_tail(f["n"], INFER), tail)
+
+    def targets(f: Column) -> Column:
+        # Two profiles differ by characters that one of them forbids, the third by its alphabet.
+        more = "".join(set(INFER.forbidden) ^ set(BEST.forbidden))
+        whole = lambda n, p: _target_tail(_target_words(n, p), p)
+        lines = lambda words: F.when(_plain_lines(f["n"]) & (f["n"] == f["simple"]), _target_tail(F.replace(words, F.lit("\n"), F.lit("")), SIMPLE)).otherwise(whole(f["simple"], SIMPLE))
+        tail = lambda words, best: F.struct(F.when(holds(f["n"], more), whole(f["n"], INFER)).otherwise(best).alias("infer"), lines(words).alias("simple"), best.alias("best"))
+        return let(_target_words(f["n"], BEST), lambda words: let(_target_tail(words, BEST), lambda best: tail(words, best)))
+
+    as_it_is = lambda t: F.struct(t.alias("n"), t.alias("simple"))
+    source = lambda t: let(literals(t, R.SIBILANTS), lambda s: F.when(_source_some(s), let(_source_head(t, INFER), lambda h: forms(h, lambda n, _: n))).otherwise(as_it_is(s)))
+    target = lambda t: F.when(_target_some(t), let(_target_head(t, INFER), lambda h: forms(h, _target_notes))).otherwise(as_it_is(t))
+    sides = let(nonnull(text), lambda t: F.struct(let(source(t), sources).alias("source"), let(target(t), targets).alias("target")))
+    return let(sides, lambda s: F.struct(*(s[side][p].alias(f"{side}_{p}") for p in ("infer", "simple", "best") for side in ("source", "target"))))
+
+
 def allowed_alphabet(text: Column, alphabet: str = R.SIMPLE_ALPHABET, fallback: tuple[tuple[str, str], ...] = R.SIMPLE_FALLBACK) -> Column:
     """Fallback spellings first, then everything outside the alphabet goes."""
     one = [r for r in fallback if len(r[1]) == 1]
-    text = translated(text, "".join(a for a, _ in one), "".join(b for _, b in one)) if one else text
-    text = literals(text, tuple(r for r in fallback if len(r[1]) != 1))
-    # Java looks through a class with letters past ASCII one by one: plain letters are told apart before it.
-    plain = "".join(f"\\x{i:02x}" for i in range(128) if chr(i) not in alphabet)
-    rest = "".join(c for c in alphabet if ord(c) > 127)
-    return F.regexp_replace(text, (f"[{plain}]|" if plain else "") + r"(?=[^\x00-\x7F])[^\x00" + rest + "]", "")
+    spelled = lambda t: literals(F.translate(t, "".join(a for a, _ in one), "".join(b for _, b in one)) if one else t, tuple(r for r in fallback if len(r[1]) != 1))
+    text = guarded(text, lambda t: holds(t, "".join(a[0] for a, _ in fallback)), spelled) if fallback else text
+    plain = "".join(chr(i) for i in range(128) if chr(i) not in alphabet)
+    rest = "".join(rf"\x{{{ord(c):x}}}" for c in alphabet if ord(c) > 127)
+    text = dropped(text, plain) if plain else text
+    return guarded(text, past_ascii, lambda t: F.regexp_replace(t, f"[{PAST_ASCII}&&[^\\x00{rest}]]", ""))
 
 
 _PUNCT = ",:.?!"

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import numbers, text
-from tessella.functions.regex import squeeze, words_space, words_ws
+from tessella.functions.regex import let, squeeze, words_space, words_ws
 from tessella.operators import aggregates, filters, windows
 from tessella.plans.registry import query, table
 from tessella.session import settle
@@ -163,9 +163,9 @@ def normalize_target_v2(spark, sf_dir):
 @query()
 def normalize_inference(spark, sf_dir):
     """All inference profiles on both sides."""
-    cols = [f(F.col("text"), p).alias(f"{s}_{p}") for p in ("infer", "simple", "best") for s, f in (("source", text.normalize_source), ("target", text.normalize_target))]
-    wide = table(spark, sf_dir, "documents", heavy=True).select("doc_id", *cols)
-    return wide.select("doc_id", F.md5(F.concat_ws("\x01", *wide.columns[1:])).alias("digest"))
+    sides = [f"{side}_{p}" for p in ("infer", "simple", "best") for side in ("source", "target")]
+    digest = let(text.inference(F.col("text")), lambda s: F.md5(F.concat_ws("\x01", *(s[k] for k in sides))))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", digest.alias("digest"))
 
 
 @query()

@@ -149,3 +149,35 @@ def test_looks_before_patterns(spark):
     assert [tuple(r) for r in df.select(squeeze(F.col("t")), "e").collect()] == [(e, e) for _, e in rows]
     gaps = spark.createDataFrame([("x ax xb Xx BİG gap, abig gap (x)",)], "t string").select(text.unify_gaps(F.col("t")).alias("g")).first().g
     assert gaps == "<gap> ax xb <gap> <gap>, abig gap <gap>"
+
+
+def test_letters_beyond_16_bits_stand_in_front(spark):
+    """Looking back, half of such a letter was no letter, so that a word began within a word."""
+    check(spark, text.repeated_words, {"𒀀𒀀 𒀀": "𒀀𒀀 𒀀", "𒀀 𒀀": "𒀀", "𒀀a a b": "𒀀a a b", "a b, a b a b": "a b, a b", "a “b b” c d e f c d e f": "a “b” c d e f"})
+    check(spark, text.unify_gaps, {"𒀀x x": "𒀀x <gap>", "𒀀 x": "𒀀 <gap>"})
+
+
+def test_digits_of_all_scripts(spark):
+    """They stopped the query with a failed cast."""
+    check(spark, numbers.canonical_decimals, {"٣.٣٣٣٣ a": "3.3333 a", "𝟏.𝟐𝟑𝟒𝟓": "1.2345"})
+    check(spark, numbers.fractions_to_decimals, {"٣/٤": "0.75"})
+
+
+def test_inference_does_each_profile_whole(spark):
+    """All profiles at once give what each gives by itself; what they share is planned once."""
+    values = [
+        "a2-na (d) x, 10.75 + 1.33333 KÙ.B.\nszu₃ (broken line)", "the the Month XII (fem. plur.) pl. 5/12 shekel -gold, 0.625 “q” <b> [c] + é; V¾", "Plain. Plain words words of of a\nb c a b c.\nOf it it.", "PN … x ḫa ḫa / b .. a , ,b", "", None,
+        "É é é\na a b a b", "a <gap> <gap> b+c ʾ", "Xx x big gap (large break) ٣.٣٣٣٣", "one two three\ntwo three. two three", "a.\n a a\nb.\nb",
+    ]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    each = {f"{side}_{p}": f(F.col("t"), p).alias(f"{side}_{p}") for side, f in (("source", text.normalize_source), ("target", text.normalize_target)) for p in ("infer", "simple", "best")}
+    want = [r.asDict() for r in df.select("i", *each.values()).orderBy("i").collect()]
+    together = df.select("i", text.inference(F.col("t")).alias("s")).select("i", *(f"s.{k}" for k in each))
+    assert [r.asDict() for r in together.orderBy("i").collect()] == want
+    # By the rules as they are written, in order.
+    first = {"source_infer": "á-na {d} <gap>, 1¾ + 1.33333 KÙ.BABBAR šù (broken line)", "source_simple": "á-na {d} <gap>, 10.75 + 1.33333 KÙ.BABBAR šù (broken line)", "source_best": "á-na {d} <gap> 1¾+1.33333 KÙ.BABBAR šù (broken line)"}
+    assert {k: want[0][k] for k in first} == first
+    second = {"target_infer": 'the Month 12 ⅓ shekel 15 grains pašallum gold, ⅝ "q" c é V¾', "target_simple": "the Month 12 ⅓ shekel 15 grains pašallum gold, 0.625 \"q\" [c] + ; v0.75", "target_best": 'the Month 12 ⅓ shekel 15 grains pašallum gold, ⅝ "q" c + é V¾'}
+    assert {k: want[1][k] for k in second} == second
+    plan = df.select(text.inference(F.col("t")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert (plan.count("fem|plur"), plan.count("KÙ.BABBAR")) == (2, 1)
