@@ -259,16 +259,17 @@ def normalize_target(text: Column, profile: Profile | str = V2) -> Column:
     return _target_tail(_target_words(_target_notes(_numbers(_target_head(nonnull(text), p), p), p), p), p)
 
 
-def _source_some(text: Column) -> Column:
-    """Whether any step of inference up to the numbers, sibilants apart, finds something in a source: all their looks in few."""
-    return contains_any(text, *_GAP_MARKS, "ₓ", "KÙ.B.", "0.") | _some_accents(text) | holds(text, R.CHARACTERS[0]) | F.regexp_like(text, F.lit(rf"[.xXbB](?:(?<=\.){_DECIMAL}|(?<!\.){_NO_LETTER}{_SIGN})"))
-
-
 def _target_some(text: Column) -> Column:
     """Whether any step of inference up to the forbidden characters finds something in a target: all their looks in few."""
-    own = rf"(?<=[xXbB]){_SIGN}|(?<=[fFpPsSſ]){_GRAMMAR}|(?<=[mM])[oO][nN][tT][hH]"
-    look = F.regexp_like(text, F.lit(rf"[.xXbBfFpPsSſmM](?:(?<=\.){_DECIMAL}|(?<!\.){_NO_LETTER}(?:{own}))"))
-    return contains_any(text, *_GAP_MARKS, "..", "xx", "PN", "/", "0.", *(f"-{k}" for k, _ in R.COMMODITIES)) | holds(text, "“”‘’") | look
+    own = rf"(?<=[xXbB]){_SIGN}|(?<=[fFpPsS]){_GRAMMAR}|(?<=[mM])[oO][nN][tT][hH]"
+    look = F.regexp_like(text, F.lit(rf"[.xXbBfFpPsSmM<\[(/](?:{_NO_LETTER}(?:{own})|(?<=\.){_DECIMAL}|(?<=[<\[(/]))"))
+    return contains_any(text, "..", "xx", "PN", "0.", *(f"-{k}" for k, _ in R.COMMODITIES)) | holds(text, "…“”‘’ſ") | look
+
+
+def _source_some(text: Column, target: Column) -> Column:
+    """Whether any step of inference up to the numbers finds something in a source, sibilants apart; target: whether one does in a target. Gaps and numbers are
+    looked for there too, and a sibilant, a letter for a letter and what follows, makes none of what is looked for."""
+    return target | F.contains(text, F.lit("KÙ.B.")) | _some_accents(text) | holds(text, R.CHARACTERS[0] + "ₓ")
 
 
 def _plain_lines(text: Column) -> Column:
@@ -289,7 +290,11 @@ def inference(text: Column) -> Column:
         return let(first, lambda n: F.struct(n.alias("n"), F.when(contains_any(head, *SIMPLE.skip_signs), behind(_numbers(head, SIMPLE), SIMPLE)).otherwise(n).alias("simple")))
 
     def sources(f: Column) -> Column:
-        tail = lambda infer: F.struct(infer.alias("infer"), F.when(f["simple"] == f["n"], infer).otherwise(_source_tail(f["simple"], SIMPLE)).alias("simple"), _source_tail(f["n"], BEST).alias("best"))
+        simple = lambda infer: F.when(f["simple"] == f["n"], infer).otherwise(_source_tail(f["simple"], SIMPLE))
+        # Without a plus, the third takes commas only, so that there are blanks alone to squeeze again.
+        best = lambda infer: F.when(F.contains(f["n"], F.lit("+")), _source_tail(f["n"], BEST)).otherwise(F.trim(blanks(F.replace(infer, F.lit(","), F.lit("")))))
+        blanks = lambda text: guarded(text, lambda t: F.contains(t, F.lit("  ")), lambda t: F.regexp_replace(t, "  ++", " "))
+        tail = lambda infer: F.struct(infer.alias("infer"), simple(infer).alias("simple"), best(infer).alias("best"))
         return let(_source_tail(f["n"], INFER), tail)
 
     def targets(f: Column) -> Column:
@@ -301,9 +306,10 @@ def inference(text: Column) -> Column:
         return let(_target_words(f["n"], BEST), lambda words: let(_target_tail(words, BEST), lambda best: tail(words, best)))
 
     as_it_is = lambda t: F.struct(t.alias("n"), t.alias("simple"))
-    source = lambda t: let(literals(t, R.SIBILANTS), lambda s: F.when(_source_some(s), let(_source_head(t, INFER), lambda h: forms(h, lambda n, _: n))).otherwise(as_it_is(s)))
-    target = lambda t: F.when(_target_some(t), let(_target_head(t, INFER), lambda h: forms(h, _target_notes))).otherwise(as_it_is(t))
-    sides = let(nonnull(text), lambda t: F.struct(let(source(t), sources).alias("source"), let(target(t), targets).alias("target")))
+    source = lambda t, some: F.when(_source_some(t, some), let(_source_head(t, INFER), lambda h: forms(h, lambda n, _: n))).otherwise(let(literals(t, R.SIBILANTS), as_it_is))
+    target = lambda t, some: F.when(some, let(_target_head(t, INFER), lambda h: forms(h, _target_notes))).otherwise(as_it_is(t))
+    both = lambda t, some: F.struct(let(source(t, some), sources).alias("source"), let(target(t, some), targets).alias("target"))
+    sides = let(nonnull(text), lambda t: let(_target_some(t), lambda some: both(t, some)))
     return let(sides, lambda s: F.struct(*(s[side][p].alias(f"{side}_{p}") for p in ("infer", "simple", "best") for side in ("source", "target"))))
 
 
